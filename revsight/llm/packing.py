@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 1024, 4096
 POOL, TOLERANCE, END_ID = 512, 8, 2
-CACHE = 400_000
+CACHE = 250_000
 
 
 @dataclass(frozen=True)
@@ -96,37 +97,86 @@ class Pool:
 class Encoder(dict):
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins what it separates, so ids are looked up word by word: frequent words
-    from a bounded cache, the others encoded together once a batch.
+    The tokenizer drops white space, ignores the case of A-Z and never joins what white space separates, nor a letter and
+    a full stop or comma after it.  So ids are looked up word by word: frequent words from a bounded cache, the others
+    encoded together once a block.  Texts that hold the opening of a special token are encoded whole.
     """
 
+    BETWEEN, SPECIAL = "<|startoftext|>", b"<|"
+    _TAILS = (b".", b",")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.token_to_id(self.BETWEEN)
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.tails = {t: self.plain(t.decode()) for t in self._TAILS}
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _encode(self, words: list[bytes]) -> Iterator[bytes]:
-        for got in self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False):
-            yield np.array(got.ids, dtype="<u4").tobytes()
+        """Ids of each word.  Words of letters alone are one piece each, which its last token shows; others get a mark between."""
+        plain = [w.decode("utf-8", "surrogatepass") for w in words]
+        letters = all(map(str.isalpha, plain))
+        between = " " if letters else self.BETWEEN
+        ids = np.array(self.tokenizer.encode_batch_fast([between.join(plain)], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1 if letters else np.append(np.flatnonzero(ids == self.mark), len(ids))
+        if len(ends) != len(words):  # a letter whose lower case is no letter
+            yield from map(self.plain, plain)
+            return
+        raw, at = ids.astype("<u4").tobytes(), 0
+        for end in (4 * ends).tolist():
+            yield raw[at:end]
+            at = end if letters else end + 4
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        out, letters, others, tailed = {}, {}, {}, []
+        for w in new:
+            tail = w[-1:] in self.tails and w[-2:-1].isalnum()
+            stem = w[:-1] if tail else w
+            if tail:
+                tailed.append(w)
+            if stem in self:
+                out[stem] = self[stem]
+            else:
+                (letters if stem.isalpha() or stem.decode("utf-8", "surrogatepass").isalpha() else others)[stem] = None
+        for group in (letters, others):
+            if group:
+                out.update(zip(group, self._encode(list(group))))
+        for w in tailed:
+            out[w] = out[w[:-1]] + self.tails[w[-1:]]
+        return out
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text in turn, with the end mark; distinct words the cache has no room for live for one block only."""
+        """Ids of each text in turn, with the end mark; words the cache has no room for are kept for one block only."""
         end = np.array([END_ID], dtype="<u4").tobytes()
         at = 0
         while at < len(texts):
-            block, chars = [], 0
-            while at < len(texts) and (not block or chars < 4_000_000):
-                words = texts[at].encode("utf-8", "surrogatepass").split() if texts[at] else []
-                chars += len(texts[at] or "")
-                block.append(words)
+            block, chars, new = [], 0, {}
+            while at < len(texts) and (not block or chars < 2_000_000):
+                raw = (texts[at] or "").encode("utf-8", "surrogatepass")
+                chars += len(raw)
+                if self.SPECIAL in raw:
+                    block.append(([self.plain(texts[at])], ()))
+                else:
+                    words = raw.lower().split()
+                    ids = list(map(self.get, words))
+                    gaps = [(i, words[i]) for i, x in enumerate(ids) if x is None] if None in ids else ()
+                    new.update((w, None) for _, w in gaps)
+                    block.append((ids, gaps))
                 at += 1
-            new = list({w for words in block for w in words if w not in self})
-            known = dict(zip(new, self._encode(new)))
-            if len(self) < CACHE:
-                self.update(known)
-            for words in block:
-                yield b"".join([self[w] if w in self else known[w] for w in words]) + end
+            found = self._learn(list(new)) if new else {}
+            for ids, gaps in block:
+                for i, w in gaps:
+                    ids[i] = found[w]
+                ids.append(end)
+                yield b"".join(ids)
+            self.update(islice(found.items(), max(0, CACHE - len(self))))
 
 
 @dataclass
