@@ -107,9 +107,14 @@ def measured(df: DataFrame, text: str = "text", out: str = "quality", rules: tup
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df`` that pass every rule, columns unchanged."""
-    q = fresh(df, "quality")
-    return measured(df, text, q, rules).filter(F.col(f"{q}.kept")).drop(q)
+    """The rows of ``df`` that pass every rule, columns unchanged.
+
+    The verdict passes through a one-row explode: a filter on it would otherwise be pushed below the projection, with every
+    measure written out once more for each rule that uses it.
+    """
+    q, verdict = fresh(df, "quality"), fresh(df, "verdict")
+    marked = measured(df, text, q, rules).select(*df.columns, F.explode(F.array(F.col(f"{q}.kept"))).alias(verdict))
+    return marked.where(F.col(verdict)).drop(verdict)
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
