@@ -60,7 +60,10 @@ def limited(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> Da
 
 
 def limited_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> DataFrame:
-    """The same over a stream: state is the client's accepted times, dropped when a client has been silent for a window."""
+    """The same over a stream: state is the client's accepted times, dropped when event time has left a silent client's window.
+
+    Requests more than a window late are dropped.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -70,10 +73,10 @@ def limited_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW
         pdf = pd.concat(list(batches)).sort_values(["ts", "request_id"])
         pdf["accepted"], held = decided([t.value / 1e9 for t in pdf["ts"]], held, limit, window)
         state.update((held,))
-        state.setTimeoutDuration(1000 * 10 * window)
+        state.setTimeoutTimestamp(max(int(max(held, default=0.0) * 1000) + 1000 * window, state.getCurrentWatermarkMs() + 1))
         yield pdf[["request_id", "client", "ts", "accepted"]]
 
-    return requests.groupBy("client").applyInPandasWithState(run, "request_id long, client string, ts timestamp, accepted boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark("ts", f"{window} seconds").groupBy("client").applyInPandasWithState(run, "request_id long, client string, ts timestamp, accepted boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def trailing_counts(requests: DataFrame, window: int = WINDOW) -> DataFrame:
