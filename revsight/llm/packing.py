@@ -221,7 +221,7 @@ def sequences(documents: Iterator[tuple[int | None, bytes]], limits: Limits) ->
 
 
 _FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
-_ROWS = 20_000
+_ROWS, _TEXTS = 20_000, 1_000
 
 
 def pack_documents(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", limits: Limits = Limits(), with_ids: bool = False) -> DataFrame:
@@ -238,8 +238,9 @@ def pack_documents(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                yield from zip(ids, encoder.batch(texts))
+                for at in range(0, batch.num_rows, _TEXTS):
+                    part = batch.slice(at, _TEXTS)
+                    yield from zip(part.column(0).to_pylist(), encoder.batch(part.column(1).to_pylist()))
 
         rows: list[tuple] = []
 
