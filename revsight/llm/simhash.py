@@ -21,25 +21,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import fresh, materialise, words_of
+from ._common import discard, fresh, materialise, words_of
 from .components import components
 
 BITS = 64
 SMALL = 4096
+#: Names of crowded buckets are broadcast up to so many (16 MB), else joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _SLICE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The fingerprint of a whole text; no words: zero; fewer words than a shingle: the whole sequence is the shingle."""
+def shingles(text: str | None, size: int) -> list[bytes]:
+    """Word shingles of a whole text, repeats included; fewer words than a shingle: the whole sequence is the one shingle."""
     words = words_of(text)
-    if not words:
+    if len(words) <= size:
+        return [b" ".join(words)] if words else []
+    if size == 1:
+        return words
+    if size == 3:
+        return [a + b" " + b + b" " + c for a, b, c in zip(words, words[1:], words[2:])]
+    return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
+
+
+def fingerprint(text: str | None, shingle: int, distinct: bool = False) -> int:
+    """The fingerprint of a whole text; no words: zero.  ``distinct``: each shingle counts once."""
+    grams = shingles(text, shingle)
+    if not grams:
         return 0
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    elif shingle == 3:
-        grams = [a + b" " + b + b" " + c for a, b, c in zip(words, words[1:], words[2:])]
-    else:
-        grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+    if distinct:
+        grams = list(set(grams))
     digest = xxhash.xxh64_intdigest
     total = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(grams), _SLICE):
@@ -50,13 +60,13 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 5) -> DataFrame:
+def with_fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 5, distinct: bool = False) -> DataFrame:
     """Every row of ``df`` with its fingerprint as a signed long in ``out``; a null text counts as one without words."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(text)], dtype=np.uint64).view(np.int64)
+            marks = np.array([fingerprint(t.as_py(), shingle, distinct) for t in batch.column(text)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
@@ -104,16 +114,22 @@ def links(marks: DataFrame, radius: int = 3, small: int = SMALL) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of ``marks`` (one long column, ``mark``) that keep its components."""
     all_bits = list(range(BITS))
     first = masks(all_bits, radius)
-    keyed = marks.select("mark", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("mark").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(first)])).alias("k")).select("k.t", "k.key", "mark")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["t", "key"])
-    cold = shared.where(F.col("n") <= small).groupBy("t", "key").agg(F.collect_list("mark").alias("members"))
-    again = F.lit(None)
-    for i, m in enumerate(first):
-        inner = masks([b for b in all_bits if not m >> b & 1], radius)
-        again = F.when(F.col("t") == i, F.array(*[F.struct(F.lit(j).alias("t2"), F.col("mark").bitwiseAND(F.lit(_signed(m | x))).alias("key2")) for j, x in enumerate(inner)])).otherwise(again)
-    hot = shared.where(F.col("n") > small).select("t", "mark", F.explode(again).alias("k")).groupBy("t", "k.t2", "k.key2").agg(F.collect_list("mark").alias("members")).where(F.size("members") > 1)
-    return _links(cold.select("members").unionByName(hot.select("members")), radius)
+    # one long names a bucket: a hash of table and masked bits, the table's number in its last byte
+    name = lambda t, bits: F.xxhash64(t, bits).bitwiseAND(F.lit(-256)).bitwiseOR(t.cast("long"))
+    keyed = marks.select("mark", F.explode(F.array(*[name(F.lit(i), F.col("mark").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(first)])).alias("bucket"))
+    sizes = materialise(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("a"), F.max("mark").alias("b")).where("n > 1"), "buckets")
+    pairs = sizes.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+    many = sizes.where("n > 2").select("bucket", "n")
+    if many.count() <= BROADCAST_ROWS:
+        many = F.broadcast(many)
+    shared = keyed.join(many, "bucket")
+    cold = shared.where(F.col("n") <= small).groupBy("bucket").agg(F.collect_list("mark").alias("members"))
+    second = [(i, j, _signed(m | x)) for i, m in enumerate(first) for j, x in enumerate(masks([b for b in all_bits if not m >> b & 1], radius))]
+    # (2**(radius + 1) - 1)**2 rows whatever the input
+    deeper = F.broadcast(marks.sparkSession.createDataFrame(second, "t int, t2 int, mask long"))
+    again = shared.where(F.col("n") > small).withColumn("t", F.col("bucket").bitwiseAND(F.lit(255)).cast("int")).join(deeper, "t").select("t", "t2", F.col("mark").bitwiseAND(F.col("mask")).alias("key2"), "mark")
+    hot = again.groupBy("t", "t2", "key2").agg(F.collect_list("mark").alias("members")).where(F.size("members") > 1)
+    return pairs.unionByName(_links(cold.select("members").unionByName(hot.select("members")), radius))
 
 
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
@@ -135,10 +151,55 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     return out.select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
-    """One row of each group, the one with the smallest id; rows with a null id stay, repeated rows of one id become one."""
+def _resembling(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Rows (a, b) of ``pairs`` (a, text_a, b, text_b) whose sets of shingles have that Jaccard similarity at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
+                p, q = set(shingles(x.as_py(), shingle)), set(shingles(y.as_py(), shingle))
+                keep.append(p == q or len(p & q) >= similarity * len(p | q))
+            out = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+    """Rows (doc_id, component_id) for every distinct id: documents whose sets of word shingles are that similar, or linked by such.
+
+    Candidates are texts whose fingerprints of distinct single words differ in at most ``radius`` bits: changing one word
+    changes ``shingle`` shingles but one word, so texts this similar lie much closer in words than in shingles.  Each
+    candidate link is then held against the exact similarity.  Fingerprints are grouped by a spanning tree of each of the
+    2**(radius + 1) - 1 tables; the union of the trees is checked.  Equal texts are one node.  Rows that share an id are
+    one node of the text that sorts first; null ids are left out.
+    """
+    slim = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    marked = with_fingerprints(slim, shingle=1, distinct=True).select("doc_id", "fingerprint", F.md5(F.col("text").cast("binary")).alias("digest"))
+    marked = materialise(marked.groupBy("doc_id").agg(F.min_by(F.struct("fingerprint", "digest"), "digest").alias("m")).select("doc_id", "m.fingerprint", "m.digest"), "marks")
+    nodes = materialise(marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fingerprint").alias("fingerprint")), "nodes")
+    reps = materialise(nodes.groupBy("fingerprint").agg(F.min("node").alias("rep")), "reps")
+    found = links(reps.select(F.col("fingerprint").alias("mark")), radius).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    first = found.join(reps.select(F.col("fingerprint").alias("x"), F.col("rep").alias("a")), "x")
+    across = first.join(reps.select(F.col("fingerprint").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
+    within = nodes.join(reps, "fingerprint").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    candidates = materialise(across.unionByName(within), "candidates")
+    ends = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
+    texts = materialise(slim.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")), "texts")
+    pairs = candidates.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    sure = materialise(_resembling(pairs.select("a", "text_a", "b", "text_b"), shingle, similarity), "links")
+    for t in (texts, candidates):
+        discard(t)
+    grouped = components(sure).withColumnRenamed("node", "n").withColumnRenamed("component", "component_id")
+    labels = materialise(nodes.join(grouped, F.col("node") == F.col("n"), "left").select("digest", F.coalesce("component_id", "node").alias("component_id")), "labels")
+    return marked.join(labels, "digest").select("doc_id", "component_id")
+
+
+def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+    """One row of each group of near copies, the one with the smallest id; rows without an id stay, repeated rows of an id become one."""
     mark = fresh(df, "component")
-    kept = groups(df, doc_id, text, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    kept = near_groups(df, doc_id, text, shingle, similarity, radius).where("doc_id = component_id").select(F.col("doc_id").alias(mark))
     named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col(mark), "left_semi").dropDuplicates([doc_id])
     return named.unionByName(df.where(F.col(doc_id).isNull()))
 
