@@ -4,7 +4,8 @@ A filter is a direction; a vector belongs to every filter whose direction it exc
 share a filter are compared.  Directions are random product codes (Becker, Ducas, Gama and Laarhoven, 2016): the turned
 space is cut into ``BLOCKS`` parts with some unit code words each, and a direction is any choice of one word per part.
 Lists of all exceeding directions are decoded without trying them: sums over two halves are pruned by the best of the
-other half.  The number of directions grows with the number of vectors, so filters stay small; the threshold follows from
+other half.  The number of directions is a multiple of the number of vectors, so a filter
+seldom holds vectors that are not alike, and filters with one member are dropped before vectors are moved; the threshold follows from
 the wanted mean list length, and a vector with a shorter list than ``LEAST`` takes its best ``LEAST`` directions.
 
 Equal vectors are grouped first.  Filters with more than ``SPLIT`` members are compared in pairs of blocks, each a group of
@@ -32,7 +33,7 @@ from .components import components
 
 COSINE = 0.95
 BLOCKS, TURNS, MEAN, LEAST = 4, 2, 24, 12
-FILTERS_PER_VECTOR = 4
+FILTERS_PER_VECTOR = 256
 SPLIT = 1024
 SEED = 20160
 
@@ -67,14 +68,14 @@ class Code:
             for at in range(0, len(x), rows):
                 y = x[at : at + rows] @ rotation
                 dots = [y[:, c] @ code.T for c, code in parts]
-                a, b = self._sums(dots[:half]), self._sums(dots[half:])
+                a, b = self._sums(dots[:half], len(y)), self._sums(dots[half:], len(y))
                 top_a, top_b = a.max(axis=1), b.max(axis=1)
                 for i in range(len(y)):
                     out[at + i].append(self._decode(a[i], b[i], top_a[i], top_b[i]) + turn * self.words**self.blocks)
         return [np.sort(np.concatenate(parts)) for parts in out]
 
-    def _sums(self, dots: list[np.ndarray]) -> np.ndarray:
-        out = dots[0] if dots else np.zeros((1, 1))
+    def _sums(self, dots: list[np.ndarray], n: int) -> np.ndarray:
+        out = dots[0] if dots else np.zeros((n, 1))
         for d in dots[1:]:
             out = (out[:, :, None] + d[:, None, :]).reshape(len(d), -1)
         return out
@@ -92,6 +93,8 @@ class Code:
 
 
 def _coded(reps: DataFrame, words: int) -> DataFrame:
+    kind = dict(reps.dtypes)["vec"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Code] = {}
         for batch in batches:
@@ -107,7 +110,7 @@ def _coded(reps: DataFrame, words: int) -> DataFrame:
                     lists[i] = got + (int(dims) << 44)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], names=[*batch.schema.names, "filters"])
 
-    return reps.mapInArrow(run, "rep long, n long, vec array<double>, filters array<long>")
+    return reps.mapInArrow(run, f"rep long, n long, vec {kind}, filters array<long>")
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -177,7 +180,7 @@ def _compared(members: DataFrame, cosine: float) -> DataFrame:
 
         for batch in batches:
             f, i, j, rep, n, block = (batch.column(c).to_pylist() for c in ("f", "i", "j", "rep", "n", "block"))
-            vecs = [np.asarray(v.values) for v in batch.column("vec")]
+            vecs = [np.asarray(v.values, dtype=np.float64) for v in batch.column("vec")]
             lists = [np.asarray(v.values) for v in batch.column("filters")]
             for at in zip(f, i, j, rep, n, block, vecs, lists):
                 if at[:3] != key:
@@ -202,8 +205,10 @@ def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     usable = F.coalesce(fine, F.lit(False)) & F.col(vec_id).isNotNull()
     rows = materialise(df.select(F.col(vec_id).alias("vec_id"), F.when(usable, F.xxhash64(e)).alias("h"), F.when(usable, F.hash(e)).alias("g")), "vectors")
-    good = df.where(usable).select(F.col(vec_id).cast("long").alias("id"), e.alias("vec"))
-    reps = good.groupBy(F.xxhash64("vec").alias("h"), F.hash("vec").alias("g")).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    # vectors keep the type they came in, which the exact cosine is taken from
+    kept = F.col(embedding) if dict(df.dtypes)[embedding] in ("array<float>", "array<double>") else e
+    good = df.where(usable).select(F.col(vec_id).cast("long").alias("id"), kept.alias("vec"), e.alias("key"))
+    reps = good.groupBy(F.xxhash64("key").alias("h"), F.hash("key").alias("g")).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     reps = materialise(reps, "reps")
     words = max(2, math.ceil((FILTERS_PER_VECTOR * max(1, reps.count())) ** (1 / BLOCKS)))
     coded = materialise(_coded(reps.select("rep", "n", "vec"), words), "coded")
