@@ -92,7 +92,10 @@ def measured(df: DataFrame, text: str = "text", out: str = "quality", rules: tup
         "n_stop_words": f"CAST(size(filter({w}, x -> x IN ({quoted}))) AS BIGINT)",
         "n_capitals": F.regexp_count(F.col(t), F.lit("[A-Z]")).cast("long"),
     }
-    df = df.withColumn(m, F.struct(*[(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in values.items()]))
+    measures = F.struct(*[(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in values.items()])
+    # a one-row explode: a filter on a verdict stops above it, where measures are columns; pushed further down it would
+    # write every measure out again for each rule that uses it
+    df = df.select("*", F.explode(F.array(measures)).alias(m))
 
     def test(rule: Rule) -> Column:
         sql = rule.sql()
@@ -107,14 +110,9 @@ def measured(df: DataFrame, text: str = "text", out: str = "quality", rules: tup
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df`` that pass every rule, columns unchanged.
-
-    The verdict passes through a one-row explode: a filter on it would otherwise be pushed below the projection, with every
-    measure written out once more for each rule that uses it.
-    """
-    q, verdict = fresh(df, "quality"), fresh(df, "verdict")
-    marked = measured(df, text, q, rules).select(*df.columns, F.explode(F.array(F.col(f"{q}.kept"))).alias(verdict))
-    return marked.where(F.col(verdict)).drop(verdict)
+    """The rows of ``df`` that pass every rule, columns unchanged."""
+    q = fresh(df, "quality")
+    return measured(df, text, q, rules).where(F.col(f"{q}.kept")).select(*df.columns)
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -148,6 +148,8 @@ def lexicon_table() -> list[int]:
 def label_model(v: np.ndarray, marks: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Posterior of class 1 for each row of ``v`` (rows x voters, 0 or 1); ``marks``: 0, 1 or -1 for none."""
     n, m = v.shape
+    if not n:
+        return np.zeros(0)
     known = marks >= 0
     lexical = v[:, VOTERS:].any(axis=1)
     q = np.where(known, marks, np.where(lexical, 0.9, 0.1)).astype(float)
@@ -175,7 +177,9 @@ def label_model(v: np.ndarray, marks: np.ndarray, rounds: int = 50) -> np.ndarra
 
 def classifier(rows: list[np.ndarray], q: np.ndarray, dims: int, l1: float = 2e-5, l2: float = 1e-5, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias of logistic regression on soft labels, by accelerated proximal gradient steps."""
-    n = max(1, len(rows))
+    if not rows:
+        return np.zeros(dims), -2.0
+    n = len(rows)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.concatenate(rows).astype(np.int64) if len(owner) else np.zeros(0, np.int64)
     w, bias = np.zeros(dims), float(np.log((q.sum() + 1) / (n - q.sum() + 1)))
