@@ -422,4 +422,6 @@ def test_pipeline(spark, sf) -> None:
         seen.append((name, docs_.count()))
         assert name == "pack" or docs_.columns == columns
     assert seen[0][1] >= seen[1][1] == seen[2][1] > 0
-    assert corpus_pipeline.run(spark, sf).count() == seen[-1][1]
+    # where documents are cut follows the partitions; what is packed of each does not
+    packed = lambda df: sorted(map(tuple, df.groupBy("doc_id").agg(F.sum("length"), F.count_if(F.col("start") == 0), F.max("doc_tokens")).collect()))
+    assert packed(corpus_pipeline.run(spark, sf)) == packed(docs_)
