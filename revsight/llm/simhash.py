@@ -29,6 +29,9 @@ SMALL = 4096
 #: Names of crowded buckets are broadcast up to so many (16 MB), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _SLICE = 1 << 16
+#: Shingles are counted in so many classes (16 MB) to order them by rarity.
+SKETCH, _PART = 1 << 22, 1 << 16
+_KNOWN = 200_000
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -166,40 +169,161 @@ def _resembling(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+def _hashed(text: str | None, size: int, known: dict[bytes, int]) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text, from hashes of its words; no words: the empty shingle alone."""
+    words = words_of(text)
+    if len(known) > _KNOWN:
+        known.clear()
+    digest = xxhash.xxh64_intdigest
+    one = np.empty(max(1, len(words)), np.uint64)
+    one[0] = 0
+    for i, w in enumerate(words):
+        h = known.get(w)
+        if h is None:
+            h = known[w] = digest(w, 42)
+        one[i] = h
+    n = max(1, len(one) - size + 1)
+    out = np.full(n, min(len(words), size), np.uint64)
+    for i in range(min(size, len(one))):
+        out = (out ^ one[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def sketch(texts: DataFrame, size: int) -> np.ndarray:
+    """How many texts have a shingle of each of ``SKETCH`` hash classes; its size does not depend on the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = {}, np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(total, (_hashed(text.as_py(), size, known) % np.uint64(SKETCH)).astype(np.int64), 1)
+        for at in range(0, SKETCH, _PART):
+            if total[at : at + _PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // _PART], pa.int32()), pa.array([total[at : at + _PART].tobytes()], pa.binary())], names=["part", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_py(), np.int64)
+        for part, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["part", "counts"])
+
+    out = np.zeros(SKETCH, np.int32)
+    for r in texts.select("text").mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(added, "part int, counts binary").collect():
+        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["counts"], np.int32)
+    return out
+
+
+def _prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Rows (key, node, n) of the rarest of the ``n`` shingles of each text (node, text), one more than may differ.
+
+    In any fixed order of all shingles, two sets with a Jaccard similarity of t share one of the first n - ceil(t * n) + 1
+    shingles of either; here rare ones come first, by the counts of :func:`sketch`, so keys are shared by few.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(sketch(texts, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}
+        for batch in batches:
+            keys, sizes = [np.zeros(0, np.uint64)], []
+            for text in batch.column("text"):
+                h = _hashed(text.as_py(), size, known)
+                order = np.argsort(counts.value[(h % np.uint64(SKETCH)).astype(np.int64)], kind="stable")
+                keys.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]])
+                sizes.append(len(h))
+            many = np.array([len(k) for k in keys[1:]], np.int64)
+            columns = [np.concatenate(keys).view(np.int64), np.repeat(batch.column("node").to_numpy(), many), np.repeat(np.array(sizes, np.int32), many)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n"])
+
+    return texts.select("node", "text").mapInArrow(run, "key long, node long, n int")
+
+
+def _buckets(prefixes: DataFrame) -> DataFrame:
+    """Distinct rows (nodes, sizes) of the texts that share a key, two at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, seen = np.zeros((3, 0), np.int64), set()
+
+        def rows(x: np.ndarray) -> pa.RecordBatch:
+            nodes, sizes = [], []
+            ends = np.flatnonzero(np.diff(x[0])) + 1 if x.shape[1] else np.zeros(0, np.int64)
+            starts, ends = np.append(0, ends), np.append(ends, x.shape[1])
+            for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+                named, at = np.unique(x[1, a:b], return_index=True)
+                # most keys of near copies are shared by the same texts
+                if len(named) > 1 and (mark := xxhash.xxh64_intdigest(named.tobytes())) not in seen:
+                    if len(seen) > _KNOWN:
+                        seen.clear()
+                    seen.add(mark)
+                    nodes.append(named)
+                    sizes.append(x[2, a:b][at])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], names=["nodes", "sizes"])
+
+        held = []
+        for batch in batches:
+            x = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            if not x.shape[1]:
+                continue
+            held.append(x)
+            if x[0, 0] != x[0, -1]:
+                x = np.concatenate([rest, *held], axis=1)
+                cut = int(np.flatnonzero(x[0] != x[0, -1])[-1]) + 1
+                rest, held = x[:, cut:], []
+                yield rows(x[:, :cut])
+        yield rows(np.concatenate([rest, *held], axis=1))
+
+    return prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "nodes array<long>, sizes array<long>").distinct()
+
+
+def _candidates(buckets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of every bucket (nodes, sizes): its smallest node and each other of a size that allows the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, sizes in zip(batch.column("nodes"), batch.column("sizes")):
+                v, n = nodes.values.to_numpy(), sizes.values.to_numpy()
+                fit = np.minimum(n[1:], n[0]) >= similarity * np.maximum(n[1:], n[0]) - 1e-9
+                b = v[1:][fit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), v[0])), pa.array(b)], names=["a", "b"])
+
+    return buckets.select("nodes", "sizes").mapInArrow(run, "a long, b long").distinct()
+
+
+def _checked(candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs of ``candidates`` (a, b) whose ``texts`` (node, text) are that similar."""
+    pairs = candidates.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return _resembling(pairs.select("a", "text_a", "b", "text_b"), shingle, similarity)
+
+
+def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (doc_id, component_id) for every distinct id: documents whose sets of word shingles are that similar, or linked by such.
 
-    Candidates are texts whose fingerprints of distinct single words differ in at most ``radius`` bits: changing one word
-    changes ``shingle`` shingles but one word, so texts this similar lie much closer in words than in shingles.  Each
-    candidate link is then held against the exact similarity.  Fingerprints are grouped by a spanning tree of each of the
-    2**(radius + 1) - 1 tables; the union of the trees is checked.  Equal texts are one node.  Rows that share an id are
-    one node of the text that sorts first; null ids are left out.
+    Candidates share a shingle of their prefixes (Chaudhuri et al., 2006; Xiao et al., "PPJoin", 2008), which loses no pair
+    of that similarity but by a collision of 64-bit hashes; each candidate link is then held against the exact
+    similarity.  Equal texts are one node.  Rows that share an id are one node of the text that sorts first; null ids are
+    left out.
     """
     slim = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    marked = with_fingerprints(slim, shingle=1, distinct=True).select("doc_id", "fingerprint", F.md5(F.col("text").cast("binary")).alias("digest"))
-    marked = materialise(marked.groupBy("doc_id").agg(F.min_by(F.struct("fingerprint", "digest"), "digest").alias("m")).select("doc_id", "m.fingerprint", "m.digest"), "marks")
-    nodes = materialise(marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fingerprint").alias("fingerprint")), "nodes")
-    reps = materialise(nodes.groupBy("fingerprint").agg(F.min("node").alias("rep")), "reps")
-    found = links(reps.select(F.col("fingerprint").alias("mark")), radius).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    first = found.join(reps.select(F.col("fingerprint").alias("x"), F.col("rep").alias("a")), "x")
-    across = first.join(reps.select(F.col("fingerprint").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
-    within = nodes.join(reps, "fingerprint").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    candidates = materialise(across.unionByName(within), "candidates")
-    ends = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(slim.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")), "texts")
-    pairs = candidates.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    sure = materialise(_resembling(pairs.select("a", "text_a", "b", "text_b"), shingle, similarity), "links")
-    for t in (texts, candidates):
+    slim = slim.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    marked = materialise(slim.groupBy("doc_id").agg(F.min("digest").alias("digest")), "marks")
+    nodes = materialise(marked.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
+    own = slim.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    texts = materialise(own.select(F.col("doc_id").alias("node"), "text"), "texts")
+    buckets = materialise(_buckets(_prefixes(texts, shingle, similarity)), "buckets")
+    sure = materialise(_checked(_candidates(buckets, similarity), texts, shingle, similarity), "links")
+    for t in (texts, buckets):
         discard(t)
     grouped = components(sure).withColumnRenamed("node", "n").withColumnRenamed("component", "component_id")
     labels = materialise(nodes.join(grouped, F.col("node") == F.col("n"), "left").select("digest", F.coalesce("component_id", "node").alias("component_id")), "labels")
     return marked.join(labels, "digest").select("doc_id", "component_id")
 
 
-def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies, the one with the smallest id; rows without an id stay, repeated rows of an id become one."""
     mark = fresh(df, "component")
-    kept = near_groups(df, doc_id, text, shingle, similarity, radius).where("doc_id = component_id").select(F.col("doc_id").alias(mark))
+    kept = near_groups(df, doc_id, text, shingle, similarity).where("doc_id = component_id").select(F.col("doc_id").alias(mark))
     named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col(mark), "left_semi").dropDuplicates([doc_id])
     return named.unionByName(df.where(F.col(doc_id).isNull()))
 

@@ -394,6 +394,30 @@ def test_near_copies_stage(spark) -> None:
     assert simhash.keep_first(df.limit(0)).count() == 0
 
 
+def similar(a: str, b: str) -> float:
+    p, q = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(p & q) / len(p | q)
+
+
+def test_near_copies_with_changed_passages(spark) -> None:
+    rng = np.random.default_rng(9)
+    words = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(n)]
+    texts = {}
+    for k in range(60):
+        base = words(int(rng.integers(60, 400)))
+        n, share = len(base), float(rng.uniform(0.04, 0.24))
+        more = int(share * n)
+        spread = list(base)
+        for at in rng.choice(n, max(1, int(share * n / 10)), replace=False):
+            spread[int(at)] = words(1)[0]
+        copy = [base + words(more), words(more) + base, base[: n - more], spread][k % 4]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(copy)
+    links = [(a, a + 1) for a in range(0, 120, 2) if similar(texts[a], texts[a + 1]) >= 0.8]
+    assert 40 <= len(links) < 60
+    got = simhash.near_groups(docs(spark, [(i, t, "en", "s") for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == roots(links, texts)
+
+
 # ---- 10 language
 
 
