@@ -32,6 +32,8 @@ _SLICE = 1 << 16
 #: Shingles are counted in so many classes (16 MB) to order them by rarity.
 SKETCH, _PART = 1 << 22, 1 << 16
 _KNOWN = 200_000
+#: In buckets of more texts than this, pairs that other links already join are not tried.
+ALL_PAIRS = 16
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -278,17 +280,44 @@ def _buckets(prefixes: DataFrame) -> DataFrame:
 
 
 def _candidates(buckets: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of every bucket (nodes, sizes): its smallest node and each other of a size that allows the similarity."""
+    """Distinct pairs (a, b) of every bucket (nodes, sizes, roots) whose sizes allow the similarity.
+
+    Without roots: all pairs of at most ``ALL_PAIRS`` nodes, else the smallest node and each other.  With roots: all pairs
+    whose roots differ.
+    """
+
+    def of(v: np.ndarray, n: np.ndarray, roots: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(len(v) - 1 if roots is not None or len(v) <= ALL_PAIRS else 1):
+            fit = np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]) - 1e-9
+            if roots is not None:
+                fit &= roots[i + 1 :] != roots[i]
+            b = v[i + 1 :][fit]
+            yield np.minimum(b, v[i]), np.maximum(b, v[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for nodes, sizes in zip(batch.column("nodes"), batch.column("sizes")):
-                v, n = nodes.values.to_numpy(), sizes.values.to_numpy()
-                fit = np.minimum(n[1:], n[0]) >= similarity * np.maximum(n[1:], n[0]) - 1e-9
-                b = v[1:][fit]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), v[0])), pa.array(b)], names=["a", "b"])
+            for nodes, sizes, roots in zip(*(batch.column(c) for c in ("nodes", "sizes", "roots"))):
+                for pair in of(nodes.values.to_numpy(), sizes.values.to_numpy(), roots.values.to_numpy() if roots.is_valid else None):
+                    held.append(pair)
+                    n += len(pair[0])
+                    if n > _SLICE:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["a", "b"])
+                        held, n = [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["a", "b"])
+
+    return buckets.select("nodes", "sizes", "roots").mapInArrow(run, "a long, b long").distinct()
+
 
-    return buckets.select("nodes", "sizes").mapInArrow(run, "a long, b long").distinct()
+def _apart(buckets: DataFrame, sure: DataFrame) -> DataFrame:
+    """Buckets of more than ``ALL_PAIRS`` nodes that the links ``sure`` leave in several components, with each node's root."""
+    node = F.explode(F.arrays_zip("nodes", "sizes")).alias("x")
+    # buckets that share a hash only have more pairs tried
+    members = buckets.where(F.size("nodes") > ALL_PAIRS).select(F.xxhash64("nodes").alias("bucket"), node).select("bucket", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"))
+    rooted = members.join(components(sure), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("root"))
+    grouped = rooted.groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "root")).alias("x"), F.min("root").alias("least"), F.max("root").alias("most"))
+    return grouped.where("least != most").select(F.col("x.node").alias("nodes"), F.col("x.n").alias("sizes"), F.col("x.root").alias("roots"))
 
 
 def _checked(candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -302,7 +331,8 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
 
     Candidates share a shingle of their prefixes (Chaudhuri et al., 2006; Xiao et al., "PPJoin", 2008), which loses no pair
     of that similarity but by a collision of 64-bit hashes; each candidate link is then held against the exact
-    similarity.  Equal texts are one node.  Rows that share an id are one node of the text that sorts first; null ids are
+    similarity.  In a small bucket every pair is tried; in a larger one first its smallest node with each other, then
+    every pair that the links found so far leave in different components.  Equal texts are one node.  Rows that share an id are one node of the text that sorts first; null ids are
     left out.
     """
     slim = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -312,7 +342,11 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     own = slim.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     texts = materialise(own.select(F.col("doc_id").alias("node"), "text"), "texts")
     buckets = materialise(_buckets(_prefixes(texts, shingle, similarity)), "buckets")
-    sure = materialise(_checked(_candidates(buckets, similarity), texts, shingle, similarity), "links")
+    whole = buckets.withColumn("roots", F.lit(None).cast("array<long>"))
+    sure = materialise(_checked(_candidates(whole, similarity), texts, shingle, similarity), "links")
+    if not buckets.where(F.size("nodes") > ALL_PAIRS).isEmpty():
+        more = materialise(_checked(_candidates(_apart(buckets, sure), similarity), texts, shingle, similarity), "links")
+        sure = sure.unionByName(more)
     for t in (texts, buckets):
         discard(t)
     grouped = components(sure).withColumnRenamed("node", "n").withColumnRenamed("component", "component_id")

@@ -418,6 +418,29 @@ def test_near_copies_with_changed_passages(spark) -> None:
     assert {r["doc_id"]: r["component_id"] for r in got} == roots(links, texts)
 
 
+@pytest.mark.parametrize("most", [16, 2])
+def test_near_copies_beside_unlike_texts(spark, most, monkeypatch) -> None:
+    monkeypatch.setattr(simhash, "ALL_PAIRS", most)
+    rng = np.random.default_rng(10)
+    b = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(120)]
+    c = [*b[:60], "changed", *b[61:]]
+    # texts of the same words in another order, and a template with unlike fillings beside two like ones
+    rows = {0: " ".join(sorted(b)), 1: " ".join(b), 2: " ".join(c)}
+    fill = lambda: ["".join(rng.choice(list("qrstuvwxyz"), 7)) for _ in range(60)]
+    rows |= {10 + k: " ".join(b[:100] + fill()) for k in range(6)}
+    rows[20] = rows[15] + " tail"
+    links = [(x, y) for x in rows for y in rows if x < y and similar(rows[x], rows[y]) >= 0.8]
+    assert links == [(1, 2), (15, 20)]
+    got = simhash.near_groups(docs(spark, [(i, t, "en", "s") for i, t in rows.items()])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == roots(links, rows)
+    shared = spark.createDataFrame([([0, 1, 2], [116, 116, 116], None)], "nodes array<long>, sizes array<long>, roots array<long>")
+    first = {tuple(x) for x in simhash._candidates(shared, 0.8).collect()}
+    assert first == ({(0, 1), (0, 2), (1, 2)} if most == 16 else {(0, 1), (0, 2)})
+    if most == 2:
+        again = simhash._apart(shared, spark.createDataFrame([], "a long, b long"))
+        assert (1, 2) in {tuple(x) for x in simhash._candidates(again, 0.8).collect()}
+
+
 # ---- 10 language
 
 
