@@ -13,6 +13,7 @@ Defined results: null texts and texts without a letter are ``und`` with score 0;
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +36,14 @@ class Grams:
     """Hashed character n-grams of a text."""
 
     def __init__(self) -> None:
-        self.letter = np.array([chr(i).isalpha() for i in range(1 << 16)], dtype=bool)
+        self.letter = np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)], dtype=bool)
 
     def of(self, text: str | None) -> np.ndarray:
         """Column of every n-gram of the text, repeats included; empty without a letter."""
         if not text:
             return np.zeros(0, np.int64)
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        letters = np.where(codes < 1 << 16, self.letter[np.minimum(codes, 0xFFFF)], True)
+        letters = self.letter[codes]
         if not letters.any():
             return np.zeros(0, np.int64)
         codes = np.where(letters, codes, 32).astype(np.uint32)

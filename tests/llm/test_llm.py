@@ -456,6 +456,15 @@ def test_language(spark, real) -> None:
     assert {r["lang_pred"] for r in none.collect()} == {"und"} and langid.report(df.limit(0)).count() == 0
 
 
+def test_language_of_symbols_beyond_the_first_plane(spark, real) -> None:
+    grams = langid.Grams()
+    assert len(grams.of("\U0001f600 \U0001f600")) == len(grams.of("\U0001d7d8 12. \U0001f680")) == 0
+    assert len(grams.of("\U00010400\U00020000")) > 0 and (grams.of("ab \U0001f600 cd") == grams.of("ab 1 cd")).all()
+    df = real.unionByName(docs(spark, [(1001, "\U0001f600 \U0001f600 3.", "en", "s")]))
+    got = langid.report(df).where("doc_id = 1001").first()
+    assert got["lang_pred"] == "und" and got["score"] == 0
+
+
 # ---- pipeline
 
 
