@@ -34,6 +34,8 @@ SKETCH, _PART = 1 << 22, 1 << 16
 _KNOWN = 200_000
 #: In buckets of more texts than this, pairs that other links already join are not tried.
 ALL_PAIRS = 16
+#: Members of a bucket that one task compares at a time.
+SPLIT = 20_000
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -218,106 +220,142 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles sets of these sizes must share to be that similar."""
+    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+
+
 def _prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Rows (key, node, n) of the rarest of the ``n`` shingles of each text (node, text), one more than may differ.
+    """Rows (key, part, node, n, rest) of the rarest of the ``n`` shingles of each text (node, text), one more than may differ.
 
     In any fixed order of all shingles, two sets with a Jaccard similarity of t share one of the first n - ceil(t * n) + 1
-    shingles of either; here rare ones come first, by the counts of :func:`sketch`, so keys are shared by few.
+    shingles of either; here rare ones come first, by the counts of :func:`sketch`, so keys are shared by few.  ``rest``
+    counts the shingles from the key on, which bounds what two sets can share if the key is the first they share.  A key
+    that more than ``SPLIT`` texts may have is dealt out in parts.
     """
     counts = texts.sparkSession.sparkContext.broadcast(sketch(texts, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {}
         for batch in batches:
-            keys, sizes = [np.zeros(0, np.uint64)], []
+            keys, sizes, rests = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int32)]
             for text in batch.column("text"):
                 h = _hashed(text.as_py(), size, known)
                 order = np.argsort(counts.value[(h % np.uint64(SKETCH)).astype(np.int64)], kind="stable")
-                keys.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]])
+                first = order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+                keys.append(h[first])
                 sizes.append(len(h))
+                rests.append(np.arange(len(h), len(h) - len(first), -1, dtype=np.int32))
             many = np.array([len(k) for k in keys[1:]], np.int64)
-            columns = [np.concatenate(keys).view(np.int64), np.repeat(batch.column("node").to_numpy(), many), np.repeat(np.array(sizes, np.int32), many)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n"])
+            key, node = np.concatenate(keys), np.repeat(batch.column("node").to_numpy(), many)
+            blocks = counts.value[(key % np.uint64(SKETCH)).astype(np.int64)] // SPLIT + 1
+            part = ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+            columns = [key.view(np.int64), part.astype(np.int32), node, np.repeat(np.array(sizes, np.int32), many), np.concatenate(rests)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "part", "node", "n", "rest"])
 
-    return texts.select("node", "text").mapInArrow(run, "key long, node long, n int")
+    return texts.select("node", "text").mapInArrow(run, "key long, part int, node long, n int, rest int")
 
 
-def _buckets(prefixes: DataFrame) -> DataFrame:
-    """Distinct rows (nodes, sizes) of the texts that share a key, two at least."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of each run of rows that agree in the first ``keys`` columns, from batches sorted by these."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+        cut = np.flatnonzero((x[:keys, 1:] != x[:keys, :-1]).any(axis=0)) + 1
+        pieces = np.split(x, cut, axis=1)
+        if held and (held[-1][:keys, -1] != pieces[0][:keys, 0]).any():
+            yield list(np.concatenate(held, axis=1))
+            held = []
+        for piece in pieces[:-1]:
+            yield list(np.concatenate([*held, piece], axis=1) if held else piece)
+            held = []
+        held.append(pieces[-1])
+    if held:
+        yield list(np.concatenate(held, axis=1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, seen = np.zeros((3, 0), np.int64), set()
-
-        def rows(x: np.ndarray) -> pa.RecordBatch:
-            nodes, sizes = [], []
-            ends = np.flatnonzero(np.diff(x[0])) + 1 if x.shape[1] else np.zeros(0, np.int64)
-            starts, ends = np.append(0, ends), np.append(ends, x.shape[1])
-            for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                named, at = np.unique(x[1, a:b], return_index=True)
-                # most keys of near copies are shared by the same texts
-                if len(named) > 1 and (mark := xxhash.xxh64_intdigest(named.tobytes())) not in seen:
-                    if len(seen) > _KNOWN:
-                        seen.clear()
-                    seen.add(mark)
-                    nodes.append(named)
-                    sizes.append(x[2, a:b][at])
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], names=["nodes", "sizes"])
-
-        held = []
-        for batch in batches:
-            x = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
-            if not x.shape[1]:
-                continue
-            held.append(x)
-            if x[0, 0] != x[0, -1]:
-                x = np.concatenate([rest, *held], axis=1)
-                cut = int(np.flatnonzero(x[0] != x[0, -1])[-1]) + 1
-                rest, held = x[:, cut:], []
-                yield rows(x[:, :cut])
-        yield rows(np.concatenate([rest, *held], axis=1))
 
-    return prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "nodes array<long>, sizes array<long>").distinct()
+def _fits(n: np.ndarray, rest: np.ndarray, n1: int, rest1: int, similarity: float) -> np.ndarray:
+    """Which sets may be similar to one more set, if the key that they share is their first."""
+    return np.minimum(rest, rest1) >= _needed(n, n1, similarity)
 
 
-def _candidates(buckets: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of every bucket (nodes, sizes, roots) whose sizes allow the similarity.
+_PAIRS = "key long, a long, b long, nodes array<long>, sizes array<long>, rests array<long>"
+_PAIRS_TYPE = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("nodes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("rests", pa.list_(pa.int64()))])
 
-    Without roots: all pairs of at most ``ALL_PAIRS`` nodes, else the smallest node and each other.  With roots: all pairs
-    whose roots differ.
-    """
 
-    def of(v: np.ndarray, n: np.ndarray, roots: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(v) - 1 if roots is not None or len(v) <= ALL_PAIRS else 1):
-            fit = np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]) - 1e-9
-            if roots is not None:
-                fit &= roots[i + 1 :] != roots[i]
-            b = v[i + 1 :][fit]
-            yield np.minimum(b, v[i]), np.maximum(b, v[i])
+def _buckets(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Rows of texts that share a key: pairs (a, b) to try, or with a null ``a`` the members of a part of a large bucket.
+
+    Of at most ``ALL_PAIRS`` members every pair is listed that sizes and places allow, else the smallest node with each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for nodes, sizes, roots in zip(*(batch.column(c) for c in ("nodes", "sizes", "roots"))):
-                for pair in of(nodes.values.to_numpy(), sizes.values.to_numpy(), roots.values.to_numpy() if roots.is_valid else None):
-                    held.append(pair)
-                    n += len(pair[0])
-                    if n > _SLICE:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["a", "b"])
-                        held, n = [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["a", "b"])
+        out, seen, n_out = [], set(), 0
 
-    return buckets.select("nodes", "sizes", "roots").mapInArrow(run, "a long, b long").distinct()
+        def flush() -> pa.RecordBatch:
+            nonlocal out, n_out
+            table = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, _PAIRS_TYPE.types)], schema=_PAIRS_TYPE)
+            out, n_out = [], 0
+            return table
 
+        for key, part, node, n, rest in _grouped(batches, 2):
+            if len(node) < 2 and not part[0]:
+                continue
+            order = np.argsort(node)
+            node, n, rest = node[order], n[order], rest[order]
+            for i in range(len(node) - 1 if len(node) <= ALL_PAIRS else 1):
+                fit = _fits(n[i + 1 :], rest[i + 1 :], n[i], rest[i], similarity)
+                for b in node[i + 1 :][fit].tolist():
+                    pair = (int(node[i]), b)
+                    # most keys of near copies are shared by the same texts
+                    if pair not in seen:
+                        seen.add(pair)
+                        out.append((None, *pair, None, None, None))
+                        n_out += 1
+            if len(seen) > _KNOWN:
+                seen.clear()
+            if len(node) > ALL_PAIRS or part[0]:
+                out.append((int(key[0]), None, None, node, n, rest))
+                n_out += len(node)
+            if n_out > _SLICE:
+                yield flush()
+        yield flush()
+
+    return prefixes.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, _PAIRS)
+
+
+def _apart(large: DataFrame, sure: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that large buckets (key, nodes, sizes, rests) still have to try, given the links ``sure``.
+
+    A member is settled if links join it to its bucket's smallest node.  Every other one is tried with each member of
+    another component: members are dealt in blocks, the unsettled in chunks, and each block meets each chunk in a group of
+    its own, so a group is of at most about two ``SPLIT`` rows and settled members never meet.
+    """
+    members = large.select("key", F.explode(F.arrays_zip("nodes", "sizes", "rests")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"), F.col("x.rests").alias("rest"))
+    rooted = materialise(members.join(components(sure), "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("root")), "members")
+    main = rooted.groupBy("key").agg(F.min_by("root", "node").alias("main"), F.count("*").alias("all"))
+    loose = rooted.join(main, "key").where("root != main")
+    per_key = loose.groupBy("key").agg(F.first("main").alias("main"), F.ceil(F.first("all") / SPLIT).alias("blocks"), F.ceil(F.count("*") / SPLIT).alias("chunks"))
+    per_key = materialise(per_key, "open")
+    deal = lambda column: F.pmod(F.xxhash64("node"), F.col(column))
+    each = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
+    opened = rooted.join(per_key, "key")
+    fields = ["node", "n", "rest", "root"]
+    own = opened.withColumn("block", deal("blocks")).select("key", "block", each("chunks").alias("chunk"), F.lit(0).cast("long").alias("loose"), *fields)
+    free = opened.where("root != main").withColumn("chunk", deal("chunks")).select("key", each("blocks").alias("block"), "chunk", F.lit(1).cast("long").alias("loose"), *fields)
 
-def _apart(buckets: DataFrame, sure: DataFrame) -> DataFrame:
-    """Buckets of more than ``ALL_PAIRS`` nodes that the links ``sure`` leave in several components, with each node's root."""
-    node = F.explode(F.arrays_zip("nodes", "sizes")).alias("x")
-    # buckets that share a hash only have more pairs tried
-    members = buckets.where(F.size("nodes") > ALL_PAIRS).select(F.xxhash64("nodes").alias("bucket"), node).select("bucket", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"))
-    rooted = members.join(components(sure), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("root"))
-    grouped = rooted.groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "root")).alias("x"), F.min("root").alias("least"), F.max("root").alias("most"))
-    return grouped.where("least != most").select(F.col("x.node").alias("nodes"), F.col("x.n").alias("sizes"), F.col("x.root").alias("roots"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, is_loose, node, n, rest, root in _grouped(batches, 3):
+            here = np.flatnonzero(is_loose == 0)
+            for i in np.flatnonzero(is_loose):
+                fit = here[_fits(n[here], rest[here], n[i], rest[i], similarity) & (root[here] != root[i])]
+                if len(fit):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[fit], node[i])), pa.array(np.maximum(node[fit], node[i]))], names=["a", "b"])
+
+    dealt = own.unionByName(free).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _checked(candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -326,40 +364,60 @@ def _checked(candidates: DataFrame, texts: DataFrame, shingle: int, similarity:
     return _resembling(pairs.select("a", "text_a", "b", "text_b"), shingle, similarity)
 
 
-def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (doc_id, component_id) for every distinct id: documents whose sets of word shingles are that similar, or linked by such.
+def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) between ``texts`` (node long, text), all different, that join exactly those that similar pairs join.
 
-    Candidates share a shingle of their prefixes (Chaudhuri et al., 2006; Xiao et al., "PPJoin", 2008), which loses no pair
-    of that similarity but by a collision of 64-bit hashes; each candidate link is then held against the exact
-    similarity.  In a small bucket every pair is tried; in a larger one first its smallest node with each other, then
-    every pair that the links found so far leave in different components.  Equal texts are one node.  Rows that share an id are one node of the text that sorts first; null ids are
-    left out.
+    Candidates share a shingle of their prefixes (Chaudhuri et al., 2006) and pass the bound of its place (Xiao et al.,
+    "PPJoin", 2008), which loses no pair of that similarity but by a collision of 64-bit hashes; each candidate is then
+    held against the exact similarity.  In a small bucket every pair is tried; in a larger one first its smallest node with
+    each other, then the members that this leaves apart.
     """
-    slim = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    slim = slim.withColumn("digest", F.md5(F.col("text").cast("binary")))
-    marked = materialise(slim.groupBy("doc_id").agg(F.min("digest").alias("digest")), "marks")
-    nodes = materialise(marked.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    own = slim.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    texts = materialise(own.select(F.col("doc_id").alias("node"), "text"), "texts")
-    buckets = materialise(_buckets(_prefixes(texts, shingle, similarity)), "buckets")
-    whole = buckets.withColumn("roots", F.lit(None).cast("array<long>"))
-    sure = materialise(_checked(_candidates(whole, similarity), texts, shingle, similarity), "links")
-    if not buckets.where(F.size("nodes") > ALL_PAIRS).isEmpty():
-        more = materialise(_checked(_candidates(_apart(buckets, sure), similarity), texts, shingle, similarity), "links")
+    found = materialise(_buckets(_prefixes(texts, shingle, similarity), similarity), "buckets")
+    sure = materialise(_checked(found.where("a IS NOT NULL").select("a", "b").distinct(), texts, shingle, similarity), "links")
+    large = found.where("a IS NULL").select("key", "nodes", "sizes", "rests")
+    if not large.isEmpty():
+        more = materialise(_checked(_apart(large, sure, similarity), texts, shingle, similarity), "links")
         sure = sure.unionByName(more)
-    for t in (texts, buckets):
-        discard(t)
-    grouped = components(sure).withColumnRenamed("node", "n").withColumnRenamed("component", "component_id")
-    labels = materialise(nodes.join(grouped, F.col("node") == F.col("n"), "left").select("digest", F.coalesce("component_id", "node").alias("component_id")), "labels")
-    return marked.join(labels, "digest").select("doc_id", "component_id")
+    discard(found)
+    return sure
+
+
+def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (doc_id, digest, component_id, kept) for every distinct pair of an id and a text.
+
+    Texts whose sets of word shingles are that similar, or linked by such, share a component, named by its smallest id.
+    ``digest`` is the text's MD5.  Equal texts are one node; an id with several texts stands for each of them.  A null text
+    counts as the empty one.  ``kept`` marks one pair of each component: the smallest id, null ids last, then the smallest
+    digest.  An empty table gives an empty result.
+    """
+    slim = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    pairs = materialise(slim.select("doc_id", "digest").distinct(), "pairs")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    # a text's number is written once with the table, so every later read sees the same
+    nodes = materialise(pairs.groupBy("digest").agg(F.min(place).alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = nodes.select("digest", "node", F.col("least.doc_id").alias("least_id"))
+    # the id is part of the key, so the copies of a text don't meet in one task
+    texts = slim.join(own.withColumnRenamed("digest", "own_digest"), (F.col("digest") == F.col("own_digest")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).select("node", "text")
+    texts = materialise(texts.dropDuplicates(["node"]), "texts")
+    grouped = components(similar_links(texts, shingle, similarity))
+    labelled = nodes.join(grouped, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("root"))
+    first = labelled.groupBy("root").agg(F.min("least").alias("first"))
+    labels = materialise(labelled.join(first, "root").select("digest", "first"), "labels")
+    discard(texts)
+    return pairs.join(labels, "digest").select("doc_id", "digest", F.col("first.doc_id").alias("component_id"), (place == F.col("first")).alias("kept"))
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of near copies, the one with the smallest id; rows without an id stay, repeated rows of an id become one."""
-    mark = fresh(df, "component")
-    kept = near_groups(df, doc_id, text, shingle, similarity).where("doc_id = component_id").select(F.col("doc_id").alias(mark))
-    named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col(mark), "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(df.where(F.col(doc_id).isNull()))
+    """One row of each group of near copies: the one with the smallest id, null ids last, then with the smallest digest.
+
+    Rows that repeat the kept id and text become one, any of them.  Rows that share an id but whose texts are not alike all
+    stay.  Null texts count as empty and are copies of each other.  Other columns are left alone whatever their names.
+    """
+    a, b, c = (fresh(df, x) for x in ("near_digest", "near_id", "near_mark"))
+    kept = near_groups(df, doc_id, text, shingle, similarity).where("kept").select(F.col("digest").alias(c), F.col("doc_id").alias(b))
+    marked = df.withColumn(a, F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    same = (F.col(a) == F.col(c)) & F.col(doc_id).cast("long").eqNullSafe(F.col(b))
+    return marked.join(kept, same, "left_semi").dropDuplicates([a]).select(*df.columns)
 
 
 def report(df: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:

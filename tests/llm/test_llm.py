@@ -433,12 +433,32 @@ def test_near_copies_beside_unlike_texts(spark, most, monkeypatch) -> None:
     assert links == [(1, 2), (15, 20)]
     got = simhash.near_groups(docs(spark, [(i, t, "en", "s") for i, t in rows.items()])).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == roots(links, rows)
-    shared = spark.createDataFrame([([0, 1, 2], [116, 116, 116], None)], "nodes array<long>, sizes array<long>, roots array<long>")
-    first = {tuple(x) for x in simhash._candidates(shared, 0.8).collect()}
-    assert first == ({(0, 1), (0, 2), (1, 2)} if most == 16 else {(0, 1), (0, 2)})
-    if most == 2:
-        again = simhash._apart(shared, spark.createDataFrame([], "a long, b long"))
-        assert (1, 2) in {tuple(x) for x in simhash._candidates(again, 0.8).collect()}
+
+
+def test_large_buckets_are_tried_whole(spark, monkeypatch) -> None:
+    monkeypatch.setattr(simhash, "ALL_PAIRS", 2)
+    monkeypatch.setattr(simhash, "SPLIT", 7)
+    # one key that thirty sets share, in parts of seven, whose places forbid nothing
+    rows = [(5, i % 4, i, 100, 100) for i in range(30)] + [(6, 0, 40, 100, 100), (6, 0, 41, 100, 50), (7, 0, 50, 10, 10), (7, 0, 51, 100, 100)]
+    found = simhash._buckets(spark.createDataFrame(rows, "key long, part int, node long, n int, rest int"), 0.8).cache()
+    first = {(r["a"], r["b"]) for r in found.where("a IS NOT NULL").collect()}
+    assert first == {(i % 4, i) for i in range(4, 30)}
+    large = found.where("a IS NULL").select("key", "nodes", "sizes", "rests")
+    assert {(r["key"], n) for r in large.collect() for n in r["nodes"]} == {(5, i) for i in range(30)}
+    sure = spark.createDataFrame([(i % 4, i) for i in range(4, 28)], "a long, b long")
+    parts = {i: i % 4 if i < 28 else i for i in range(30)}
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if parts[i] != parts[j]}
+    assert {tuple(r) for r in simhash._apart(large, sure, 0.8).collect()} == want
+
+
+def test_ids_that_several_texts_share(spark) -> None:
+    a, b = " ".join(f"left{i}" for i in range(40)), " ".join(f"right{i}" for i in range(40))
+    rows = [(1, a, "en", "x"), (1, b, "en", "y"), (1, b, "en", "y"), (2, a + " more", "en", "z"), (None, b, "en", "z"), (None, None, "en", "z"), (None, "", "en", "z"), (3, "é " * 300_000, "fr", "z")]
+    df = docs(spark, rows).withColumn("near_digest", F.lit(1))
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert got == sorted([(1, a), (1, b), (0, ""), (3, "é " * 300_000)])
 
 
 # ---- 10 language
