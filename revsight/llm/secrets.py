@@ -1,15 +1,20 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under length-aware false-discovery control.
 
 Two passes over the texts.  The first gathers the byte histogram of the corpus and every candidate token (a run of 20 or
-more characters of ``[A-Za-z0-9+/_=-]``).  A token's encoding is the smallest known alphabet that holds it; a chi-squared
-test of alphabet uniformity, a runs test and a lag-1 serial-correlation test must all fail to reject randomness at
-``level``.  What passes gets an e-value: the likelihood ratio of uniform characters against characters drawn from the
-corpus.  The ratio grows with length, and the e-BH rule (Wang and Ramdas, 2022) over all candidates of the corpus bounds
-the share of false discoveries at ``fdr`` however tokens depend on each other.  Only a histogram of e-values and 256 byte
-counts reach the driver.  The second pass marks spans.
+more characters of ``[A-Za-z0-9+/_=-]``).  A token's inferred encoding is the smallest known alphabet that holds it; for
+that, a chi-squared test of alphabet uniformity, a runs test and a lag-1 serial-correlation test give p-values of
+randomness.  The token's e-value is a product: the mean over all encodings of the probability of the token as uniform
+characters of that encoding, over its largest probability, in any encoding, as characters that occur as often as in the
+corpus; times the Bonferroni combination of the three p-values, which is taken as nothing where they reject at ``LEVEL``.
+Weights of encodings are fixed before a token is seen and the second factor is at most one, so for ordinary tokens of any
+encoding, whose characters follow the corpus, the mean of an e-value is at most one.  Evidence grows with length, and the e-BH
+rule (Wang and Ramdas, 2022) over all candidates of the corpus then bounds the share of false discoveries at ``fdr`` for
+that null, however tokens depend on each other.  Only a histogram of e-values and 256 byte counts reach the driver.  The
+second pass marks spans.
 
 Defined results: null and empty texts have no spans; equal rows get equal spans; spans of patterns always stay, and a
-random token is added only where no pattern span overlaps it.  Offsets are code points, ends exclusive.
+random token is added only where no pattern span overlaps it.  Offsets are code points, ends exclusive.  Work is linear in
+a text's length.  A column of ``df`` that has the name of the result is replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +60,8 @@ ENCODINGS = tuple(
     )
 )
 _BIN, _BINS = 4, 4096
+#: Characters of texts that a task looks at together.
+CHARS = 4_000_000
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -62,6 +70,13 @@ def _table(chars: bytes) -> np.ndarray:
     return table
 
 
+def _places(alphabet: np.ndarray) -> np.ndarray:
+    place = np.full(256, -1, dtype=np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    return place
+
+
+_PLACED = tuple((name, alphabet, _places(alphabet)) for name, alphabet in ENCODINGS)
 _HEX = _table(_DIGITS + _LOWER[:6])
 _TOKEN = _table(_UPPER + _LOWER + _DIGITS + b"+/_=-")
 
@@ -78,6 +93,29 @@ def runs(data: np.ndarray, starts: np.ndarray, table: np.ndarray, least: int) ->
     return begin[keep], end[keep]
 
 
+def _leads(data: np.ndarray, first: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Code points between byte ``first`` and byte ``begin`` of UTF-8, for each pair; ``begin`` ascends."""
+    if not len(begin):
+        return begin
+    places = np.unique(np.concatenate([[0], first, begin]))
+    # bytes that are no continuation start a code point
+    sums = np.add.reduceat(((data & 0xC0) != 0x80).astype(np.int64), np.minimum(places, len(data) - 1))
+    before = np.concatenate([[0], np.cumsum(sums)])
+    return before[np.searchsorted(places, begin)] - before[np.searchsorted(places, first)]
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts, in the first column, have about ``CHARS`` characters together, one text at least."""
+    at, held = 0, 0
+    for i, n in enumerate(pa.compute.binary_length(batch.column(0)).to_pylist()):
+        held += n or 0
+        if held > CHARS:
+            yield batch.slice(at, i + 1 - at)
+            at, held = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def found_in(texts: list[str | None]) -> tuple[list[list[tuple[int, int, int, int]]], list[list[tuple[int, int, bytes]]], np.ndarray]:
     """For each text its pattern spans (start, kind, end, start of the value) and candidate tokens (start, end, bytes); the byte histogram."""
     texts = [t or "" for t in texts]
@@ -93,20 +131,15 @@ def found_in(texts: list[str | None]) -> tuple[list[list[tuple[int, int, int, in
             spans[i] += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(t) if len(m[0]) >= LEAST_ACCESS]
     for table, least in ((_HEX, LEAST_HEX), (_TOKEN, LEAST_TOKEN)):
         begin, end = runs(data, starts, table, least)
-        for i, a, b in zip(np.searchsorted(starts, begin, "right") - 1, begin, end):
-            own, lead = raw[i][a - starts[i] : b - starts[i]], len(raw[i][: a - starts[i]].decode("utf-8", "surrogatepass"))
+        at = np.searchsorted(starts, begin, "right") - 1
+        for i, a, b, lead in zip(at.tolist(), begin.tolist(), end.tolist(), _leads(data, starts[at], begin).tolist()):
             if table is _HEX:
-                spans[i].append((lead, 2, lead + len(own), lead))
+                spans[i].append((lead, 2, lead + b - a, lead))
             else:
-                tokens[i].append((lead, lead + len(own), own))
+                tokens[i].append((lead, lead + b - a, raw[i][a - starts[i] : b - starts[i]]))
     return [sorted(s) for s in spans], tokens, np.bincount(data, minlength=256)
 
 
-def encoding(token: bytes) -> tuple[str, np.ndarray] | None:
-    codes = np.frombuffer(token, np.uint8)
-    return next(((name, alphabet) for name, alphabet in ENCODINGS if np.isin(codes, alphabet).all()), None)
-
-
 def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -135,20 +168,30 @@ def battery(codes: np.ndarray, size: int) -> tuple[float, float, float]:
     return uniform, run_p, serial
 
 
+def ordinary(counts: np.ndarray) -> np.ndarray:
+    """log2 of each token byte's share among the corpus's token bytes, each counted once more than it occurs."""
+    n = np.where(_TOKEN, counts + 1.0, 1.0)
+    return np.log2(n / n[_TOKEN].sum())
+
+
 def evidence(token: bytes, log_share: np.ndarray) -> float:
-    """log2 of the token's e-value, minus infinity if it isn't random; log_share: log2 of each byte's count in the corpus, plus one."""
+    """log2 of the token's e-value, minus infinity if no encoding stands the tests; log_share: see :func:`ordinary`."""
     token = token.strip(b"=")
-    found = encoding(token) if len(token) >= LEAST_TOKEN else None
-    if found is None:
+    if len(token) < LEAST_TOKEN:
         return -math.inf
-    _, alphabet = found
-    place = np.zeros(256, dtype=np.int64)
-    place[alphabet] = np.arange(len(alphabet))
     raw = np.frombuffer(token, np.uint8)
-    if min(battery(place[raw], len(alphabet))) < LEVEL / 3:
+    held = [(alphabet, place) for _, alphabet, place in _PLACED if place[raw].min() >= 0]
+    if not held:
+        return -math.inf
+    alphabet, place = held[0]
+    p = min(battery(place[raw], len(alphabet)))
+    if p < LEVEL / 3:
         return -math.inf
-    total = math.log2(float(np.exp2(log_share[alphabet]).sum()))
-    return float((total - log_share[raw]).sum()) - len(token) * math.log2(len(alphabet))
+    uniform = [-len(token) * math.log2(len(a)) for a, _ in held]
+    mean = uniform[0] + math.log2(sum(2.0 ** (x - uniform[0]) for x in uniform) / len(ENCODINGS))
+    # of all encodings that hold the token, the smallest makes it likeliest as ordinary text
+    likeliest = float(log_share[raw].sum()) - len(token) * math.log2(float(np.exp2(log_share[alphabet]).sum()))
+    return mean + math.log2(min(1.0, 3 * p)) - likeliest
 
 
 def learn(df: DataFrame, text: str = "text", fdr: float = FDR) -> tuple[list[float], float]:
@@ -158,18 +201,20 @@ def learn(df: DataFrame, text: str = "text", fdr: float = FDR) -> tuple[list[flo
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, dtype=np.int64)
         for batch in batches:
-            _, tokens, counts = found_in(batch.column(0).to_pylist())
-            total += counts
-            flat = [b for own in tokens for _, _, b in own]
+            flat = []
+            for part in sliced(batch):
+                _, tokens, counts = found_in(part.column(0).to_pylist())
+                total += counts
+                flat += [b for own in tokens for _, _, b in own]
             yield pa.RecordBatch.from_arrays([pa.array([None] * len(flat), pa.list_(pa.int64())), pa.array(flat, pa.binary())], names=["counts", "token"])
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64())), pa.array([None], pa.binary())], names=["counts", "token"])
 
-    seen = materialise(df.select(text).mapInArrow(gather, schema), "tokens")
+    seen = materialise(df.select(F.col(text).cast("string")).mapInArrow(gather, schema), "tokens")
     sums = seen.where("counts IS NOT NULL").select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     counts = np.zeros(256)
     for row in sums:
         counts[row["pos"]] = row["n"]
-    share = np.log2(counts + 1).tolist()
+    share = ordinary(counts).tolist()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = np.array(share)
@@ -206,14 +251,18 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "spans", fdr: float
     """Every row of ``df`` with its spans in ``out``: kind, start, end, and where the secret value itself starts."""
     share, least = learn(df, text, fdr)
     typed = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64())]))
+    df = df.drop(out) if out != text else df
+    rest = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = spans_in(batch.column(text).to_pylist(), share, least)
-            column = pa.array([[{"kind": KINDS[k], "start": a, "end": b, "value": v} for a, k, b, v in own] for own in found], typed)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
+            for part in sliced(batch):
+                found = spans_in(part.column(0).to_pylist(), share, least)
+                column = pa.array([[{"kind": KINDS[k], "start": a, "end": b, "value": v} for a, k, b, v in own] for own in found], typed)
+                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, _SPANS)]))
+    first = df.select(F.col(text).cast("string"), *rest)
+    return first.mapInArrow(run, T.StructType([*first.schema.fields, T.StructField(out, _SPANS)])).select(*df.columns, out)
 
 
 def redact(text: str, spans: list[dict]) -> str:

@@ -119,6 +119,49 @@ def test_random_tokens(spark, real) -> None:
     assert sum(r["n_random"] for i, r in got.items() if i < 2000) == 0
 
 
+def test_secret_offsets_are_linear_in_the_text() -> None:
+    import time
+
+    text = "é token " + "x9" * 20 + " word " + "é"
+    t0 = time.perf_counter()
+    spans, tokens, _ = secrets.found_in([None, "é" + "ab12" * 10, text * 300_000, ""])
+    assert time.perf_counter() - t0 < 20
+    assert spans[1] == [(1, 2, 41, 1)] and tokens[1] == [(1, 41, b"ab12" * 10)]
+    assert len(tokens[2]) == 300_000 and tokens[2][-1][0] == 299_999 * len(text) + 8
+    batch = secrets.pa.RecordBatch.from_arrays([secrets.pa.array(["a" * 3_000_000, None, "b" * 3_000_000, "c"])], names=["t"])
+    assert [p.num_rows for p in secrets.sliced(batch)] == [3, 1]
+
+
+def test_evidence_against_a_plain_version_and_its_mean() -> None:
+    rng = np.random.default_rng(12)
+    counts = np.zeros(256)
+    counts[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = rng.integers(50, 5000, 26)
+    counts[[ord(c) for c in "0123456789ABCDEF"]] = 40
+    share = secrets.ordinary(counts)
+    token = b"".join(bytes([c]) for c in range(256) if secrets._TOKEN[c])
+    assert abs(sum(2 ** share[c] for c in token) - 1) < 1e-9
+    one = bytes(rng.choice(np.frombuffer(b"0123456789abcdef", np.uint8), 32))
+    held = [a for _, a in secrets.ENCODINGS if all(c in a for c in one)]
+    p = min(secrets.battery(np.array([list(held[0]).index(c) for c in one]), len(held[0])))
+    as_text = max(math.prod(2 ** share[c] / sum(2 ** share[x] for x in a) for c in one) for a in held)
+    assert p >= secrets.LEVEL / 3
+    want = min(1, 3 * p) * sum(len(a) ** -32.0 for a in held) / len(secrets.ENCODINGS) / as_text
+    assert math.isclose(2 ** secrets.evidence(one, share), want, rel_tol=1e-9)
+    # tokens drawn from the corpus, whole or in one encoding: the mean of the e-value is at most one
+    for alphabet in (np.flatnonzero(secrets._TOKEN), *[a for _, a in secrets.ENCODINGS[:5]]):
+        chance = 2.0 ** share[alphabet]
+        drawn = rng.choice(alphabet, (1500, 24), p=chance / chance.sum())
+        assert np.mean([2 ** secrets.evidence(bytes(r.astype(np.uint8)), share) for r in drawn]) < 1
+
+
+def test_secret_edges(spark) -> None:
+    df = docs(spark, [*ODD, (10, None, None, None), (10, None, None, None), (11, "password=abcdefgh1", "en", "s"), (11, "password=abcdefgh1", "en", "s")]).withColumn("spans", F.lit("mine"))
+    got = secrets.report(df).collect()
+    assert len(got) == df.count() and sum(r["n_assign"] for r in got if r["doc_id"] == 11) == 2
+    assert secrets.report(df.limit(0)).count() == 0
+    assert dict(secrets.with_spans(df).dtypes)["spans"].startswith("array") and len(secrets.with_spans(df).columns) == len(df.columns)
+
+
 def test_redaction(spark) -> None:
     df = docs(spark, [*ODD, (9, "x token = abcdefgh12 y", "en", "s")]).withColumn("spans", F.lit(1))
     got = {r["doc_id"]: r for r in secrets.redacted(df).collect()}
