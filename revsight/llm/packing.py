@@ -5,12 +5,17 @@ pool of waiting examples, the one whose sizes have the largest weighted dot prod
 dimension, until none fits.  The pool is bounded, so a task holds a few hundred examples at a time, and packing needs no
 shuffle: each Spark partition packs its own rows and only its last sequence can stay part empty.
 
-Documents may be cut.  Whole sequences are cut off a long one first; its tail waits in the pool.  When nothing fits and
-more than ``tolerance`` tokens are left, the longest waiting piece is cut to fill them.  What is left when a partition
-ends is cut to sequences whose lengths are powers of two, which need no padding.
+Documents may be cut.  One longer than a sequence waits in the pool in pieces as long as the limits allow.  When nothing
+fits and more than ``tolerance`` tokens could still be placed, the longest waiting piece is cut to fill them.  What is left
+when a partition ends is cut to sequences whose lengths are powers of two, which need no padding.
 
-Defined results: null and empty texts are one token, the end mark; rows that repeat are packed like any other; an empty
-table gives an empty result.  Sequence ids are unique over the table: partition number, then a counter.
+A token bears loss if another of its piece stands before it: the first of a piece is predicted from nothing.  The limit on
+those tokens is below that on tokens, so a sequence of few long pieces ends at it, and one of many short pieces at the
+limit on segments.
+
+Defined results: null and empty texts are one token, the end mark; rows that repeat are packed like any other; other
+columns are ignored whatever their names; an empty table gives an empty result.  Sequence ids are unique over the table:
+partition number, then a counter.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 1024, 4096
+MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 48, 4080
 POOL, TOLERANCE, END_ID = 512, 8, 2
 CACHE = 250_000
 
@@ -68,6 +73,11 @@ class Pool:
         self.keys.pop()
         return key, size
 
+    def most(self) -> int:
+        """Tokens of the largest examples that one sequence may hold by their number."""
+        sizes = self.sizes[: self.n, 0]
+        return int(sizes.sum() if self.n <= self.limits.segments else np.partition(sizes, -self.limits.segments)[-self.limits.segments :].sum())
+
     def place(self, tokens: int | None = None) -> list[object]:
         """The examples of one sequence, taken out of the pool; ``tokens``: a shorter sequence than the limit."""
         full = self.limits.array()
@@ -81,9 +91,10 @@ class Pool:
             if fits.any():
                 score = np.where(fits, sizes @ (left / (full * full)), -1.0)
                 key, size = self._take(int(score.argmax()))
-            elif self.cut is not None and left[0] > (self.limits.tolerance if tokens is None else 0) and left[1] >= 1 and left[2] >= 1:
+            elif self.cut is not None and left[1] >= 1 and (room := int(min(left[0], left[2] + 1))) > (self.limits.tolerance if tokens is None else 0):
                 i = int(sizes[:, 0].argmax())
-                room = int(min(left[0], left[2]))
+                if sizes[i, 0] <= room:  # the limit on loss keeps out what tokens would let in
+                    break
                 key, size = self._take(i)
                 key, rest, size, after = self.cut(key, room)
                 self.add(rest, after)
@@ -97,13 +108,15 @@ class Pool:
 class Encoder(dict):
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space, ignores the case of A-Z and never joins what white space separates, nor a letter and
-    a full stop or comma after it.  So ids are looked up word by word: frequent words from a bounded cache, the others
-    encoded together once a block.  Texts that hold the opening of a special token are encoded whole.
+    A tokenizer that drops white space, ignores the case of A-Z and never joins what white space separates, nor a letter and
+    a full stop or comma after it, has its ids looked up word by word: frequent words from a bounded cache, the others
+    encoded together once a block.  Texts that hold the opening of a special token are encoded whole.  Whether a tokenizer
+    is of that kind is read from its file and tried on ``_TRIALS``; any other encodes every text whole.
     """
 
     BETWEEN, SPECIAL = "<|startoftext|>", b"<|"
     _TAILS = (b".", b",")
+    _TRIALS = ("Some words, AND a few more.", "it's 3.14 x.y (a) \u00e9\u00df\u0130 na\u00efve", "a\tb\n\nc  d\x0b\x0ce", "\u4e2d\u6587 word \U0001f600!!", "#tag @me http://x.org/a?b=1", "don't can't we'll I'M", "...,,, ,. 10,000.50")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -115,6 +128,12 @@ class Encoder(dict):
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.tails = {t: self.plain(t.decode()) for t in self._TAILS}
+        self.by_word = self.mark is not None and '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str() and '"type":"Lowercase"' in self.tokenizer.to_str()
+        if self.by_word:
+            self.by_word = [*self.batch(list(self._TRIALS))] == [self.plain(t) + self._END for t in self._TRIALS]
+            self.clear()
+
+    _END = np.array([END_ID], dtype="<u4").tobytes()
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -154,8 +173,10 @@ class Encoder(dict):
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn, with the end mark; words the cache has no room for are kept for one block only."""
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        at = 0
+        end, at = self._END, 0
+        if not self.by_word:
+            yield from (self.plain(t or "") + end for t in texts)
+            return
         while at < len(texts):
             block, chars, new = [], 0, {}
             while at < len(texts) and (not block or chars < 2_000_000):
@@ -199,14 +220,11 @@ def _cut(piece: Piece, room: int) -> tuple[Piece, Piece, tuple[int, int, int], t
 
 def sequences(documents: Iterator[tuple[int | None, bytes]], limits: Limits) -> Iterator[list[Piece]]:
     """Packed sequences of (doc_id, ids as bytes), each a list of pieces in order."""
-    pool, whole, held = Pool(limits, _cut), 4 * limits.tokens, 0
+    pool, whole, held = Pool(limits, _cut), 4 * min(limits.tokens, limits.loss + 1), 0
     for doc_id, ids in documents:
         total, at = len(ids) // 4, 0
-        while len(ids) - at >= whole and limits.loss >= limits.tokens - 1:
-            yield [Piece(doc_id, total, at // 4, ids[at : at + whole])]
-            at += whole
         while at < len(ids):
-            piece = Piece(doc_id, total, at // 4, ids[at : at + 4 * min(limits.tokens, limits.loss)])
+            piece = Piece(doc_id, total, at // 4, ids[at : at + whole])
             pool.add(piece, piece.size())
             at += len(piece.data)
             held += len(piece.data) // 4
@@ -215,7 +233,8 @@ def sequences(documents: Iterator[tuple[int | None, bytes]], limits: Limits) ->
             held -= sum(len(p.data) // 4 for p in packed)
             yield packed
     while pool.n:
-        packed = pool.place(None if held >= limits.tokens else 1 << (held.bit_length() - 1))
+        most = pool.most()
+        packed = pool.place(None if most >= limits.tokens else 1 << (most.bit_length() - 1))
         held -= sum(len(p.data) // 4 for p in packed)
         yield packed
 

@@ -203,13 +203,45 @@ def test_packing(spark, real, texts) -> None:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    odd = {1001: None, 1002: "", 1003: "İstanbul ǅ ﬁ Σας. it's 3.14, x.y ź é ß!!. <|ENDOFTEXT|>", 1004: "<|endoftext|> a<|startoftext|>b", 1005: "word " * 9000, 1006: "﻿a​b ...,. #hash @x"}
+    odd = {1007: "again", 1001: None, 1002: "", 1003: "İstanbul ǅ ﬁ Σας. it's 3.14, x.y ź é ß!!. <|ENDOFTEXT|>", 1004: "<|endoftext|> a<|startoftext|>b", 1005: "word " * 9000, 1006: "﻿a​b ...,. #hash @x"}
     df = real.unionByName(docs(spark, [(i, t, "en", "s") for i, t in odd.items()])).withColumn("start", F.lit(1))
     want = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in (texts | odd).items()}
     check_pieces(packing.report(df).collect(), want)
     assert packing.report(df.limit(0)).count() == 0
 
 
+def test_every_limit_binds(spark) -> None:
+    rng = np.random.default_rng(7)
+    limits = packing.Limits()
+    ids = lambda n: rng.integers(5, 900, n).astype("<u4").tobytes()
+    mixed = [(i, ids(int(n))) for i, n in enumerate([*rng.integers(100, 900, 900), *[20_000] * 5])]
+    short = [(i, ids(int(rng.integers(1, 60)))) for i in range(3000)]
+    seen = set()
+    for documents in (mixed, short, [(1, ids(1))], []):
+        got = defaultdict(list)
+        for packed in packing.sequences(iter(documents), limits):
+            sizes = np.array([p.size() for p in packed]).sum(axis=0)
+            assert (sizes <= limits.array()).all()
+            full = [sizes[0] > limits.tokens - limits.tolerance - 1, sizes[1] == limits.segments, sizes[2] > limits.loss - limits.tolerance - 1 and sizes[0] < limits.tokens - limits.tolerance]
+            seen |= {k for k, x in enumerate(full) if x and sum(full) == 1}
+            for p in packed:
+                got[p.doc_id].append((p.start, p.data))
+        assert {i: b"".join(d for _, d in sorted(own)) for i, own in got.items()} == dict(documents)
+    assert seen == {0, 1, 2}
+
+
+def test_other_tokenizers_encode_whole_texts() -> None:
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    for name, by_word in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encoder, plain = packing.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        assert encoder.by_word == by_word
+        texts = ["Some  words, and MORE.", "a\tb\n\nc", None, "x.y " * 50]
+        want = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.batch(texts)] == want
+
+
 def test_packing_examples(spark) -> None:
     rng = np.random.default_rng(1)
     rows = [(i, int(rng.integers(1, 1500)), int(rng.integers(1, 5)), int(rng.integers(0, 600))) for i in range(800)] + [(900, 9000, 1, 1), (901, None, None, None)]
@@ -311,7 +343,7 @@ def test_toxicity(spark) -> None:
 
 
 def test_language_model(spark, real, texts) -> None:
-    odd = {1001: None, 1002: "", 1003: "never-seen-word ÉÉ", 1004: "The THE the"}
+    odd = {1007: "again", 1001: None, 1002: "", 1003: "never-seen-word ÉÉ", 1004: "The THE the"}
     df = real.unionByName(docs(spark, [(i, t, "en", "s") for i, t in odd.items()])).withColumn("score", F.lit(0))
     words = {i: [w.decode() for w in (t or "").encode().lower().split()] + [None] for i, t in (texts | odd).items()}
     learn = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
