@@ -1,19 +1,25 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped to score.
-
-A word is its XXH64, a bigram the leading 32 bits of both words' hashes, one after the other.  Counting tasks sum the
-sorted hashes of a block of text before anything is shuffled, so a frequent word or pair costs one entry per block, and
-send them to shards that are ranges of the first word's hash: all followers of a context meet in its shard.  A shard task
-writes its sorted arrays into ``folder``, which driver and workers must share and be able to map (a mounted file system;
-by default the session's checkpoint folder).  Files are written beside their place and renamed, and hold the same bytes
-whenever a task runs again.  Only token counts and counts of counts reach the driver.
-
-With c(a, b) the count of a bigram, c(a) of its context, and D1, D2, D3+ the discounts of Chen and Goodman (1999):
-p(b | a) = max(0, c(a, b) - D) / c(a) + (D1 N1(a) + D2 N2(a) + D3 N3+(a)) / c(a) * p(b), where p(b) is the same formula
-over the number of distinct words before b, interpolated with 1 / (V + 1), which also is what an unknown word keeps.
-Contexts run from a text's start mark to its last word; the end mark is a token.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, memory-mapped to score.
+
+Words first: tasks count the XXH64 of a block's words, shards (ranges of the hash) sum them up and write sorted arrays; a
+word's number is its place in them.  Grams next: tasks turn texts into word numbers by these arrays, count the n-grams of a
+block and send each once, with its words, to the shard of its own 64-bit hash, so neither a frequent word nor a frequent
+context makes a large shard.  A shard writes its grams' sorted hashes and counts, and hands on what lower orders need: the
+sums of each context, and each gram without its first word, counted once (the distinct words before it).  Lower levels
+repeat this.  Counts are of any size: arrays take as many bytes as their largest number needs.
+
+Files lie in ``folder``, which driver and workers must share and be able to map (a mounted file system; by default the
+session's checkpoint folder).  They are written beside their place and renamed, and hold the same bytes whenever a task runs
+again.  Only counts of counts and the number of words of each shard reach the driver; the number of shards follows the
+bytes of text.
+
+With c the count of a gram, for the highest order and for grams from a text's start as they occur, else the number of
+distinct words before it, T the sum of c over a context, N1, N2, N3+ the context's grams with such counts and D1, D2, D3+
+the discounts of Chen and Goodman (1999): p(w | context) = max(0, c - D) / T + (D1 N1 + D2 N2 + D3 N3+) / T * p(w | context
+without its first word), down to 1 / (V + 1), which also is what an unknown word keeps.  A context that never occurred is
+left out.  Contexts run from a text's start mark to its last word; the end mark is a token.
 
 Defined results: null and empty texts are the end mark alone; equal rows get equal scores; with no training text every
-token gets probability 1; an empty table gives an empty result.
+token gets probability 1; an empty table gives an empty result; other columns of the scored table are kept.
 """
 
 from __future__ import annotations
@@ -31,9 +37,11 @@ from pyspark.sql import functions as F
 
 from ._common import discard, materialise, partitions, residue, scratch_root, words_of
 
-START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-BLOCK, CACHE = 2_000_000, 200_000
-_LOW = np.uint64(0xFFFFFFFF)
+ORDER = 3
+END = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Numbers that stand for no word, for a text's start, for the first word, and for a word that was never seen.
+NONE, START, FIRST, UNSEEN = (np.uint64(x) for x in (0, 1, 2, 2**64 - 1))
+BLOCK, CACHE, SHARD_BYTES = 2_000_000, 200_000, 128 << 20
 _TOP = np.uint64(32)
 
 
@@ -55,52 +63,57 @@ class Hashes(dict):
         return out
 
 
-def pairs_of(tokens: np.ndarray) -> np.ndarray:
-    """Bigram key of every token of a text."""
-    before = np.concatenate([[START], tokens[:-1]])
-    return (before >> _TOP << _TOP) | (tokens >> _TOP)
+def key_of(columns: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of word numbers."""
+    h = np.full(len(columns[0]), len(columns), np.uint64)
+    for c in columns:
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+    return h
 
 
-def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sum of their counts."""
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def grams_of(numbers: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For every token of texts laid end to end: the ``order - 1`` words before it in its text, then itself."""
+    at = np.arange(len(numbers)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = [numbers]
+    for k in range(1, order):
+        before = np.full(len(numbers), NONE, np.uint64)
+        before[k:] = numbers[:-k] if k < len(numbers) else numbers[:0]
+        out.insert(0, np.where(at >= k, before, np.where(at == k - 1, START, NONE)))
+    return out
 
 
-def shard_of(hash32: np.ndarray, shards: int) -> np.ndarray:
-    return (hash32.astype(np.uint64) * np.uint64(shards)) >> _TOP
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers, bytes of like weight together, compressed."""
+    import zstandard
 
+    raw = np.stack([np.asarray(c).astype("<u8") for c in columns])
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes())
 
-def split(keys: np.ndarray, counts: np.ndarray, shards: int, shift: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Sorted keys by shard: ranges of the leading 32 bits (of the key itself without ``shift``)."""
-    place = shard_of(keys >> _TOP if shift else keys, shards)
-    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(keys) else np.zeros(1, int)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        yield int(place[a]), keys[a:b], counts[a:b]
 
+def unpack(blob: bytes, columns: int) -> np.ndarray:
+    import zstandard
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Differences of sorted keys and counts, bytes of like weight together, which the shuffle's compression makes small."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes() + np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(raw.transpose(0, 2, 1)).view("<u8")[..., 0]
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(blob, np.uint8)
-    n = len(raw) // 12
-    keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
-    return keys, np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+def merged(keys: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys, where each first stands, and the sums of each column over equal keys."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], order[first], [np.add.reduceat(c[order], first) if len(first) else c for c in sums]
 
 
-def merged(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack(b) for b in blobs]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+def split(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Which of the sorted keys belong to which shard: shards are ranges."""
+    place = ((keys >> _TOP) * np.uint64(shards)) >> _TOP
+    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(keys) else np.zeros(1, int)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(place[a]), slice(a, b)
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:
@@ -110,37 +123,52 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(part, path)
 
 
-def mapped(folder: str, name: str, kind: str) -> np.ndarray:
-    path = f"{folder}/{name}"
-    return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
-
-
-class Sharded:
-    """Look-up in sorted arrays that lie in one file per shard."""
-
-    def __init__(self, folder: str, keys: str, kind: str, values: dict[str, str], shards: int):
-        self.shift = kind == "<u8"
-        self.parts = {}
-        self.open = lambda s: (mapped(folder, f"{keys}-{s}", kind), {v: mapped(folder, f"{v}-{s}", t) for v, t in values.items()})
-        self.values, self.shards = values, shards
-
-    def get(self, sought: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """For sorted keys: whether each is there, and its values (0 where not)."""
-        hit = np.zeros(len(sought), bool)
-        out = {v: np.zeros(len(sought), t) for v, t in self.values.items()}
-        at = 0
-        for s, own, _ in split(sought, sought, self.shards, self.shift):
-            if s not in self.parts:
-                self.parts[s] = self.open(s)
-            keys, values = self.parts[s]
+class Table:
+    """Sorted keys and columns of whole numbers, in one file each per shard."""
+
+    def __init__(self, folder: str, name: str, columns: tuple[str, ...], shards: int):
+        self.folder, self.name, self.columns, self.shards = folder, name, columns, shards
+        self.parts: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+
+    def write(self, shard: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+        save(self.folder, f"{self.name}-{shard}", keys.astype("<u8"))
+        for name, c in zip(self.columns, columns):
+            save(self.folder, f"{self.name}-{name}-{shard}", c.astype(np.min_scalar_type(int(c.max())) if len(c) else "<u1"))
+
+    def _mapped(self, name: str, n: int | None = None) -> np.ndarray:
+        path = f"{self.folder}/{name}"
+        size = os.path.getsize(path) if os.path.exists(path) else 0
+        return np.memmap(path, f"<u{size // n if n else 8}", "r") if size else np.zeros(0, "<u8")
+
+    def part(self, shard: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        if shard not in self.parts:
+            keys = self._mapped(f"{self.name}-{shard}")
+            self.parts[shard] = keys, [self._mapped(f"{self.name}-{c}-{shard}", len(keys)) for c in self.columns]
+        return self.parts[shard]
+
+    def get(self, sought: np.ndarray, base: list[int] | None = None) -> list[np.ndarray]:
+        """Columns of each key, 0 where it is not there; with ``base`` first the place of each key in all shards, else -1."""
+        sought, back = np.unique(sought, return_inverse=True)
+        out = [np.zeros(len(sought), np.int64) for _ in self.columns]
+        place = np.full(len(sought), -1, np.int64)
+        for s, own in split(sought, self.shards):
+            keys, values = self.part(s)
             if len(keys):
-                place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                same = keys[place] == own
-                hit[at : at + len(own)] = same
-                for v, column in values.items():
-                    out[v][at : at + len(own)] = np.where(same, column[place], 0)
-            at += len(own)
-        return hit, out
+                at = np.minimum(np.searchsorted(keys, sought[own]), len(keys) - 1)
+                same = keys[at] == sought[own]
+                for column, value in zip(out, values):
+                    column[own] = np.where(same, value[at], 0)
+                if base is not None:
+                    place[own] = np.where(same, at + base[s], -1)
+        return [c[back] for c in ([place, *out] if base is not None else out)]
+
+
+def _tables(model: dict) -> tuple[Table, list[Table], list[Table]]:
+    """Words, grams by length, contexts by the length of their grams."""
+    at = model["folder"], model["shards"]
+    own = lambda name, *columns: Table(at[0], name, columns, at[1])
+    lengths = range(1, model["order"] + 1)
+    return own("word", "count"), [own(f"gram{k}", "count") for k in lengths], [own(f"context{k}", "total", "one", "two", "more") for k in lengths]
 
 
 def _folder(spark: SparkSession, given: str | None) -> str:
@@ -160,155 +188,161 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw))  # type: ignore[return-value]
 
 
-def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-    return c - np.array([0.0, *d])[np.minimum(c, 3)]
+def _numbered(words: Table, base: list[int], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's number and count."""
+    place, count = words.get(hashes, base)
+    return np.where(place < 0, UNSEEN, place.astype(np.uint64) + FIRST), count
 
 
-def train(docs: DataFrame, folder: str | None = None, shards: int | None = None) -> dict:
-    """Count ``docs`` (one column, text) and store the model; returns what :func:`scored` needs."""
-    spark = docs.sparkSession
-    path, shards = _folder(spark, folder), shards or partitions(spark)
-    os.makedirs(path, exist_ok=True)
+def _blocks(batches: Iterator[pa.RecordBatch], hashes: Hashes) -> Iterator[list[np.ndarray]]:
+    """Token hashes of texts, in the first column, about ``BLOCK`` tokens at a time."""
+    parts, held = [], 0
+    for batch in batches:
+        for text in batch.column(0):
+            parts.append(hashes.of(text.as_py()))
+            held += len(parts[-1])
+            if held >= BLOCK:
+                yield parts
+                parts, held = [], 0
+    if parts:
+        yield parts
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, words, pairs, held = Hashes(), [], [], 0
 
-        def out() -> pa.RecordBatch:
-            rows = [(kind, s, pack(k, c)) for kind, keys in (("w", words), ("b", pairs)) if keys for s, k, c in split(*summed(np.concatenate(keys)), shards)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "shard", "blob"])
+_BLOBS = "kind string, length int, shard int, blob binary"
 
-        for batch in batches:
-            for text in batch.column(0):
-                tokens = hashes.of(text.as_py())
-                words.append(tokens)
-                pairs.append(pairs_of(tokens))
-                held += len(tokens)
-                if held >= BLOCK:
-                    yield out()
-                    words, pairs, held = [], [], 0
-        yield out()
-
-    def keep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        s = int(key[0])
-        w, c = merged(rows.blob[rows.kind == "w"])
-        save(path, f"word-{s}", w.astype("<u8"))
-        save(path, f"count-{s}", c.astype("<u4"))
-        b, n = merged(rows.blob[rows.kind == "b"])
-        save(path, f"pair-{s}", b.astype("<u8"))
-        save(path, f"paircount-{s}", n.astype("<u4"))
-        ends, kinds = np.unique(b & _LOW, return_counts=True)
-        facts = np.array([c.sum(), len(w), *[(n == k).sum() for k in (1, 2, 3, 4)]], "<i8")
-        out = [("e", t, pack(k, m)) for t, k, m in split(ends, kinds, shards, False)] + [("f", -1, facts.tobytes())]
-        return pd.DataFrame(out, columns=["kind", "shard", "blob"])
-
-    def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        s = int(key[0])
-        h, n = merged(rows.blob)
-        save(path, f"end-{s}", h.astype("<u4"))
-        save(path, f"endcount-{s}", n.astype("<u4"))
-        return pd.DataFrame([np.array([n.sum(), *[(n == k).sum() for k in (1, 2, 3)], (n == 4).sum(), (n > 2).sum()], np.int64)], columns=list("abcdef"))
-
-    blobs = "kind string, shard int, blob binary"
-    counted = materialise(docs.mapInArrow(count, blobs).groupBy("shard").applyInPandas(keep, blobs), "ngram")
-    facts = np.sum([np.zeros(6, np.int64), *[np.frombuffer(r["blob"], "<i8") for r in counted.where("kind = 'f'").select("blob").collect()]], axis=0)
-    after = counted.where("kind = 'e'").select("shard", "blob").groupBy("shard").applyInPandas(ends, ", ".join(f"{x} long" for x in "abcdef"))
-    sums = after.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "abcdef"]).first()
-    discard(counted)
-    low = _discounts(list(sums[1:5]))
-    model = {"folder": path, "shards": shards, "tokens": int(facts[0]), "types": int(facts[1]), "high": _discounts(list(facts[2:6])), "low": low, "kinds": int(sums[0])}
-    # what the lower level sets aside, spread evenly over the V + 1 words
-    model["aside"] = (low[0] * sums[1] + low[1] * sums[2] + low[2] * sums[5]) / max(1, model["kinds"]) / (model["types"] + 1)
-    if model["tokens"]:
-        _finish(spark, model)
-    return model
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "length", "shard", "blob"])
 
-def _lower(model: dict, counts: np.ndarray) -> np.ndarray:
-    """p(b) from the number of distinct words before b."""
-    return _discounted(counts, model["low"]) / model["kinds"] + model["aside"]
 
+def _sent(kind: str, length: int, keys: np.ndarray, columns: list[np.ndarray], shards: int) -> list[tuple]:
+    return [(kind, length, s, pack([c[own] for c in columns])) for s, own in split(keys, shards)]
 
-def _finish(spark: SparkSession, model: dict) -> None:
-    """Turn counts into log10 probabilities, shard by shard."""
-    path, shards, high = model["folder"], model["shards"], model["high"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower = Sharded(path, "end", "<u4", {"endcount": "<u4"}, shards)
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                b, n = mapped(path, f"pair-{s}", "<u8"), np.asarray(mapped(path, f"paircount-{s}", "<u4")).astype(np.int64)
-                heads = np.asarray(b) >> _TOP
-                first = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])) if len(b) else np.zeros(0, int)
-                total = np.add.reduceat(n, first) if len(first) else n
-                aside = np.add.reduceat(np.array([0.0, *high])[np.minimum(n, 3)], first) / total if len(first) else total.astype(float)
-                sought, back = np.unique((np.asarray(b) & _LOW).astype("<u4"), return_inverse=True)
-                _, found = lower.get(sought)
-                below = _lower(model, found["endcount"].astype(np.int64))[back]
-                run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b))))
-                p = _discounted(n, high) / total[run_of] + aside[run_of] * below
-                save(path, f"logp-{s}", np.log10(p).astype("<f4"))
-                save(path, f"head-{s}", heads[first].astype("<u4"))
-                save(path, f"back-{s}", np.log10(aside).astype("<f4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["shard"])
-
-    spark.range(0, shards, 1, shards).select(F.col("id").cast("int").alias("shard")).mapInArrow(run, "shard int").count()
+def train(docs: DataFrame, folder: str | None = None, shards: int | None = None, order: int = ORDER) -> dict:
+    """Count ``docs`` (one column, text) and store the model of that order, 2 at least; returns what :func:`scored` needs."""
+    spark = docs.sparkSession
+    text = docs.columns[0]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    model = {"folder": _folder(spark, folder), "shards": shards or max(partitions(spark), size // SHARD_BYTES + 1), "order": order}
+    os.makedirs(model["folder"], exist_ok=True)
+    shards = model["shards"]
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _blocks(batches, Hashes()):
+            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+            yield _batch(_sent("word", 0, keys, [keys, counts], shards))
+
+    def keep_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = np.concatenate([unpack(b, 2) for b in rows.blob], axis=1)
+        keys, _, (counts,) = merged(keys, [counts.astype(np.int64)])
+        _tables(model)[0].write(int(key[0]), keys, [counts])
+        return pd.DataFrame({"shard": [int(key[0])], "words": [len(keys)], "tokens": [int(counts.sum())]})
+
+    found = docs.mapInArrow(count_words, _BLOBS).groupBy("shard").applyInPandas(keep_words, "shard int, words long, tokens long").collect()
+    held = {r["shard"]: r["words"] for r in found}
+    base = np.concatenate([[0], np.cumsum([held.get(s, 0) for s in range(shards)])]).tolist()
+    model |= {"tokens": sum(r["tokens"] for r in found), "types": base[-1], "base": base[:-1], "discounts": [(0.5, 0.5, 0.5)] * order, "total": 0, "aside": 0.0}
+    if not model["tokens"]:
+        return model
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _tables(model)[0]
+        for parts in _blocks(batches, Hashes()):
+            grams = grams_of(_numbered(words, model["base"], np.concatenate(parts))[0], np.array([len(p) for p in parts]), order)
+            keys, first, counts = np.unique(key_of(grams), return_index=True, return_counts=True)
+            yield _batch(_sent("gram", order, keys, [*[g[first] for g in grams], counts], shards))
+
+    def keep_grams(length: int):  # noqa: ANN202
+        def keep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            got = np.concatenate([unpack(b, length + 1) for b in rows.blob], axis=1)
+            keys, first, (counts,) = merged(key_of(got[:length]), [got[length].astype(np.int64)])
+            words = got[:length, first]
+            whole = words[0] != NONE
+            c = counts[whole]
+            _tables(model)[1][length - 1].write(int(key[0]), keys[whole], [c])
+            facts = [c.sum(), *[(c == k).sum() for k in (1, 2, 3, 4)], (c > 2).sum()]
+            out = [("fact", length, -1, pack([np.array([x]) for x in facts]))]
+            if length > 1:
+                at, _, sums = merged(key_of(words[:-1, whole]), [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)])
+                out += _sent("context", length, at, [at, *sums], shards)
+                # grams from a text's start keep their count, others count once for the word before
+                at, first, (sums,) = merged(key_of(words[1:]), [np.where(whole, 1, counts)])
+                out += _sent("gram", length - 1, at, [*words[1:, first], sums], shards)
+            return pd.DataFrame(out, columns=["kind", "length", "shard", "blob"])
+
+        return keep
+
+    def keep_contexts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        length, s = int(key[0]), int(key[1])
+        got = np.concatenate([unpack(b, 5) for b in rows.blob], axis=1)
+        keys, _, sums = merged(got[0], [c.astype(np.int64) for c in got[1:]])
+        _tables(model)[2][length - 1].write(s, keys, sums)
+        return pd.DataFrame({"n": [len(keys)]})
+
+    grams, steps = docs.mapInArrow(count_grams, _BLOBS), []
+    for length in range(order, 0, -1):
+        steps.append(materialise(grams.groupBy("shard").applyInPandas(keep_grams(length), _BLOBS), "ngram"))
+        grams = steps[-1].where("kind = 'gram'")
+        facts = sum(unpack(bytes(r["blob"]), 6)[:, 0].astype(np.int64) for r in steps[-1].where("kind = 'fact'").select("blob").toLocalIterator())
+        model["discounts"][length - 1] = _discounts(facts[1:5].tolist())
+    # what the lowest level sets aside, spread evenly over the V + 1 words
+    d = model["discounts"][0]
+    model["total"] = int(facts[0])
+    model["aside"] = float(d[0] * facts[1] + d[1] * facts[2] + d[2] * facts[5]) / model["total"] / (model["types"] + 1)
+    contexts = steps[0].where("kind = 'context'")
+    for step in steps[1:]:
+        contexts = contexts.unionByName(step.where("kind = 'context'"))
+    contexts.groupBy("length", "shard").applyInPandas(keep_contexts, "n long").agg(F.sum("n")).collect()
+    for step in steps:
+        discard(step)
+    return model
+
+
+def _less(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """Counts after their discount."""
+    return counts - np.array([0.0, *d])[np.minimum(counts, 3)]
 
 
 def scored(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``df`` without ``text`` but with n_tokens, n_known, train_tokens, base_score and score."""
-    path, shards, seen, types = model["folder"], model["shards"], model["tokens"], model["types"]
-    ids = [c for c in df.columns if c != text]
-    names = [*ids, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    seen, types, order = model["tokens"], model["types"], model["order"]
+    kept = [c for c in df.columns if c != text]
+    slim = df.select(F.col(text).cast("string"), *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        words = Sharded(path, "word", "<u8", {"count": "<u4"}, shards)
-        lower = Sharded(path, "end", "<u4", {"endcount": "<u4"}, shards)
-        heads = Sharded(path, "head", "<u4", {"back": "<f4"}, shards)
-        pairs = Sharded(path, "pair", "<u8", {"logp": "<f4"}, shards)
+        words, grams, contexts = _tables(model)
 
         def block(parts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
             sizes = np.array([len(p) for p in parts])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            tokens = np.concatenate(parts)
-            before = np.concatenate([[START], tokens[:-1]])
-            before[starts] = START
-            w, at = np.unique(tokens, return_inverse=True)
-            _, got = words.get(w)
-            count = got["count"].astype(np.int64)
-            base = np.log10((count + 1) / (seen + types + 1))[at]
+            add = lambda x: np.add.reduceat(x, np.cumsum(sizes) - sizes)
+            numbers, count = _numbered(words, model["base"], np.concatenate(parts))
+            known, base = add((count > 0).astype(np.int64)), add(np.log10((count + 1) / (seen + types + 1)))
             if not seen:
-                return sizes, np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(len(sizes))
-            w32, at32 = np.unique((tokens >> _TOP).astype("<u4"), return_inverse=True)
-            _, got = lower.get(w32)
-            below = np.log10(_lower(model, got["endcount"].astype(np.int64)))[at32]
-            c32, atc = np.unique((before >> _TOP).astype("<u4"), return_inverse=True)
-            _, got = heads.get(c32)
-            back = got["back"].astype(np.float64)[atc]
-            keys, atk = np.unique((before >> _TOP << _TOP) | (tokens >> _TOP), return_inverse=True)
-            hit, got = pairs.get(keys)
-            value = np.where(hit[atk], got["logp"].astype(np.float64)[atk], back + below)
-            add = lambda x: np.add.reduceat(x, starts)
-            return sizes, add((count > 0)[at].astype(np.int64)), add(base), add(value)
+                return sizes, known, np.zeros(len(sizes)), np.zeros(len(sizes))
+            columns = grams_of(numbers, sizes, order)
+            p = _less(grams[0].get(key_of(columns[-1:]))[0], model["discounts"][0]) / model["total"] + model["aside"]
+            for k in range(2, order + 1):
+                d, own = model["discounts"][k - 1], columns[order - k :]
+                total, one, two, more = contexts[k - 1].get(key_of(own[:-1]))
+                count = grams[k - 1].get(key_of(own))[0]
+                aside = d[0] * one + d[1] * two + d[2] * more
+                p = np.where((total > 0) & (own[0] != NONE), (_less(count, d) + aside * p) / np.maximum(total, 1), p)
+            return sizes, known, base, add(np.log10(p))
 
         for batch in batches:
-            parts, sums, held = [], [], 0
-            for value in batch.column(text):
-                parts.append(hashes.of(value.as_py()))
-                held += len(parts[-1])
-                if held >= BLOCK:
-                    sums.append(block(parts))
-                    parts, held = [], 0
-            if parts:
-                sums.append(block(parts))
+            sums = [block(parts) for parts in _blocks(iter([batch]), hashes)]
             if not sums:
                 continue
             n, known, base, value = (np.concatenate(x) for x in zip(*sums))
-            own = [c for c, name in zip(batch.columns, batch.schema.names) if name != text]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), seen, np.int64)), pa.array(base), pa.array(value)], names=names)
+            made = [n.astype(np.int64), known.astype(np.int64), np.full(len(n), seen, np.int64), base.astype(float), value.astype(float)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, made)], names=[*kept, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    ddl = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes if c != text], "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    return df.mapInArrow(run, ddl)
+    ddl = ", ".join([*[f"`{c}` {t}" for c, t in slim.dtypes[1:]], "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
+    return slim.mapInArrow(run, ddl)
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -342,39 +342,85 @@ def test_toxicity(spark) -> None:
 # ---- 7 language model
 
 
-def test_language_model(spark, real, texts) -> None:
-    odd = {1007: "again", 1001: None, 1002: "", 1003: "never-seen-word ÉÉ", 1004: "The THE the"}
+class PlainModel:
+    """Interpolated modified Kneser-Ney of any order, word by word."""
+
+    def __init__(self, texts: list[list], order: int):
+        self.order, levels = order, [Counter() for _ in range(order + 1)]
+        self.words = Counter(w for t in texts for w in t)
+        for t in texts:
+            run = [0, *t]
+            for i in range(1, len(run)):
+                levels[order][tuple(run[max(0, i - order + 1) : i + 1])] += 1
+        # a gram from the start keeps its count on every level it fits in, any other counts the words before it
+        for k in range(order, 1, -1):
+            for g, c in list(levels[k].items()):
+                if len(g) == k:
+                    levels[k - 1][g[1:]] += 1
+                else:
+                    levels[k - 1][g] += c
+            levels[k] = Counter({g: c for g, c in levels[k].items() if len(g) == k})
+        self.levels, self.after, self.d = levels, [defaultdict(list) for _ in levels], [None] * (order + 1)
+        for k in range(1, order + 1):
+            for g, c in levels[k].items():
+                self.after[k][g[:-1]].append(c)
+            n = [sum(c == j for c in levels[k].values()) for j in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+            self.d[k] = d = [0, *[min(max(x, 0.05), j - 0.05) for j, x in zip((1, 2, 3), raw)]]
+            self.after[k] = {context: (sum(own), sum(d[min(c, 3)] for c in own)) for context, own in self.after[k].items()}
+
+    def p(self, context: tuple, word, k: int | None = None) -> float:  # noqa: ANN001
+        k = self.order if k is None else k
+        if k == 0:
+            return 1 / (len(self.words) + 1)
+        own = context[-(k - 1) :] if k > 1 else ()
+        found = self.after[k].get(own) if len(own) == k - 1 else None
+        below = self.p(context, word, k - 1)
+        if not found:
+            return below
+        c = self.levels[k].get((*own, word), 0)
+        return (c - self.d[k][min(c, 3)] + found[1] * below) / found[0]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, real, texts, order) -> None:
+    odd = {1001: None, 1002: "", 1003: "never-seen-word ÉÉ", 1004: "The THE the", 1005: "a long text \n" * 20_000}
     df = real.unionByName(docs(spark, [(i, t, "en", "s") for i, t in odd.items()])).withColumn("score", F.lit(0))
     words = {i: [w.decode() for w in (t or "").encode().lower().split()] + [None] for i, t in (texts | odd).items()}
-    learn = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
-    one = Counter(w for i in learn for w in words[i])
-    two = Counter(p for i in learn for p in zip([0, *words[i][:-1]], words[i]))
-    total, types, before, after = sum(one.values()), len(one), Counter(b for _, b in two), defaultdict(list)
-    for (a, _), c in two.items():
-        after[a].append(c)
-
-    def discounts(counts):  # noqa: ANN001, ANN202
-        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        return [0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-
-    high, low, kinds = discounts(two.values()), discounts(before.values()), sum(before.values())
-    aside = sum(low[min(c, 3)] for c in before.values()) / kinds / (types + 1)
-    unigram = lambda b: max(0.0, before[b] - low[min(before[b], 3)]) / kinds + aside
-
-    def p(a, b):  # noqa: ANN001, ANN202
-        if a not in after:
-            return unigram(b)
-        n = sum(after[a])
-        return max(0.0, two[a, b] - high[min(two[a, b], 3)]) / n + sum(high[min(c, 3)] for c in after[a]) / n * unigram(b)
-
-    for r in ngram.report(df).collect():
+    plain = PlainModel([words[i] for i in words if zlib.crc32(str(i).encode()) % 7 != 2], order)
+    one, total, types = plain.words, sum(plain.words.values()), len(plain.words)
+    slim = df.select("doc_id", "text")
+    model = ngram.train(slim.where(ngram.residue("doc_id", 7) != 2).select("text"), order=order)
+    rows = ngram.report(df).collect() if order == ngram.ORDER else ngram.scored(slim, model).collect()
+    assert len(rows) == len(words)
+    for r in rows:
         w = words[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(one[x] > 0 for x in w), total)
         assert math.isclose(r["base_score"], sum(math.log10((one[x] + 1) / (total + types + 1)) for x in w), rel_tol=1e-9)
-        assert abs(r["score"] - sum(math.log10(p(a, b)) for a, b in zip([0, *w[:-1]], w))) < 1e-4 * len(w) + 0.5 * (len(w) > 5)
-    assert abs(sum(p("the", b) for b in one) + p("the", "never") - 1) < 1e-9
-    assert ngram.report(df.limit(0)).count() == 0
+        run = (0, *w)
+        want = sum(math.log10(plain.p(run[max(0, i - order + 1) : i], run[i])) for i in range(1, len(run)))
+        assert abs(r["score"] - want) < 1e-6 * len(w)
+    assert abs(sum(plain.p((0, "the"), b) for b in one) + plain.p((0, "the"), "never") - 1) < 1e-9
+
+
+def test_language_model_edges(spark) -> None:
+    rows = [(i, t, "en", "s") for i, t in enumerate(["same words here", "same words here", None, "", "a b a b a b a b"])]
+    got = {r["doc_id"]: r for r in ngram.report(docs(spark, rows)).collect()}
+    assert got[0]["score"] == got[1]["score"] and got[2]["score"] == got[3]["score"] <= 0 and got[2]["n_tokens"] == 1
+    none = ngram.scored(docs(spark, rows).select("doc_id", "text"), ngram.train(docs(spark, rows).limit(0).select("text"))).collect()
+    assert {r["score"] for r in none} == {0.0} and {r["n_known"] for r in none} == {0}
+    assert ngram.report(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_language_model_files_hold_counts_of_any_size(tmp_path) -> None:
+    table = ngram.Table(str(tmp_path), "t", ("count",), 2)
+    keys, counts = np.array([3, 1 << 40, 5 << 40], np.uint64), np.array([1, 1 << 34, 70_000])
+    table.write(0, keys, [counts])
+    place, found = table.get(np.array([5 << 40, 4, 1 << 40, 3], np.uint64), [10, 20])
+    assert found.tolist() == [70_000, 0, 1 << 34, 1] and place.tolist() == [12, -1, 11, 10]
+    columns = [np.array([0, 1, 2**64 - 1], np.uint64), np.array([5, 6, 7], np.uint64)]
+    assert (ngram.unpack(ngram.pack(columns), 2) == np.stack(columns)).all()
 
 
 # ---- 8 mixing
