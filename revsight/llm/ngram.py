@@ -1,11 +1,12 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, memory-mapped to score.
 
-Words first: tasks count the XXH64 of a block's words, shards (ranges of the hash) sum them up and write sorted arrays; a
-word's number is its place in them.  Grams next: tasks turn texts into word numbers by these arrays, count the n-grams of a
-block and send each once, with its words, to the shard of its own 64-bit hash, so neither a frequent word nor a frequent
-context makes a large shard.  A shard writes its grams' sorted hashes and counts, and hands on what lower orders need: the
-sums of each context, and each gram without its first word, counted once (the distinct words before it).  Lower levels
-repeat this.  Counts are of any size: arrays take as many bytes as their largest number needs.
+Words first: tasks count the XXH64 of a block's words, shards (ranges of the hash) sum them up and write sorted arrays.
+Words are numbered by them, those of like frequency together, frequent ones first.  Grams next: tasks turn texts into word
+numbers by these arrays, count the n-grams of a block and send each once, with its words, to the shard of its context's
+64-bit hash.  A shard writes its grams' sorted hashes and counts and the sums of each context, and hands on each gram
+without its first word, counted once (the distinct words before it).  Lower levels repeat this.  A context seen once is not
+stored: that it was seen at all shows in the grams of the level below.  Counts are of any size: arrays take as many bytes
+as their largest number needs.
 
 Files lie in ``folder``, which driver and workers must share and be able to map (a mounted file system; by default the
 session's checkpoint folder).  They are written beside their place and renamed, and hold the same bytes whenever a task runs
@@ -35,13 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, materialise, partitions, residue, scratch_root, words_of
+from ._common import discard, materialise, partitions, residue, scratch_root, shuffles_freed, words_of
 
 ORDER = 3
 END = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Numbers that stand for no word, for a text's start, for the first word, and for a word that was never seen.
 NONE, START, FIRST, UNSEEN = (np.uint64(x) for x in (0, 1, 2, 2**64 - 1))
-BLOCK, CACHE, SHARD_BYTES = 2_000_000, 200_000, 128 << 20
+BLOCK, CACHE, SHARD_BYTES = 1_000_000, 200_000, 128 << 20
+_CLASSES = 64
 _TOP = np.uint64(32)
 
 
@@ -90,14 +92,20 @@ def pack(columns: list[np.ndarray]) -> bytes:
     import zstandard
 
     raw = np.stack([np.asarray(c).astype("<u8") for c in columns])
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes())
+    return len(raw[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes())
 
 
-def unpack(blob: bytes, columns: int) -> np.ndarray:
+def unpack(blobs: list[bytes], columns: int) -> np.ndarray:
+    """The columns of all blobs, one after another."""
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, 8, -1)
-    return np.ascontiguousarray(raw.transpose(0, 2, 1)).view("<u8")[..., 0]
+    sizes = [int.from_bytes(b[:8], "little") for b in blobs]
+    out, at = np.empty((columns, sum(sizes)), "<u8"), 0
+    for blob, n in zip(blobs, sizes):
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[8:]), np.uint8).reshape(columns, 8, n)
+        out[:, at : at + n] = np.ascontiguousarray(raw.transpose(0, 2, 1)).view("<u8")[..., 0]
+        at += n
+    return out
 
 
 def merged(keys: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -108,10 +116,14 @@ def merged(keys: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return keys[first], order[first], [np.add.reduceat(c[order], first) if len(first) else c for c in sums]
 
 
-def split(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
-    """Which of the sorted keys belong to which shard: shards are ranges."""
-    place = ((keys >> _TOP) * np.uint64(shards)) >> _TOP
-    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(keys) else np.zeros(1, int)
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of keys."""
+    return (((keys >> _TOP) * np.uint64(shards)) >> _TOP).astype(np.int64)
+
+
+def split(place: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The slice of each value of a sorted array."""
+    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(place) else np.zeros(1, int)
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield int(place[a]), slice(a, b)
 
@@ -146,21 +158,21 @@ class Table:
             self.parts[shard] = keys, [self._mapped(f"{self.name}-{c}-{shard}", len(keys)) for c in self.columns]
         return self.parts[shard]
 
-    def get(self, sought: np.ndarray, base: list[int] | None = None) -> list[np.ndarray]:
-        """Columns of each key, 0 where it is not there; with ``base`` first the place of each key in all shards, else -1."""
-        sought, back = np.unique(sought, return_inverse=True)
+    def get(self, sought: np.ndarray, by: np.ndarray | None = None) -> list[np.ndarray]:
+        """Columns of each key, 0 where it is not there; ``by``: the keys that shards are told from, if not the same."""
+        sought, first, back = np.unique(sought, return_index=True, return_inverse=True)
+        place = shard_of(sought if by is None else by[first], self.shards)
+        order = np.argsort(place, kind="stable")
         out = [np.zeros(len(sought), np.int64) for _ in self.columns]
-        place = np.full(len(sought), -1, np.int64)
-        for s, own in split(sought, self.shards):
+        for s, own in split(place[order]):
             keys, values = self.part(s)
             if len(keys):
-                at = np.minimum(np.searchsorted(keys, sought[own]), len(keys) - 1)
-                same = keys[at] == sought[own]
+                rows = order[own]
+                at = np.minimum(np.searchsorted(keys, sought[rows]), len(keys) - 1)
+                same = keys[at] == sought[rows]
                 for column, value in zip(out, values):
-                    column[own] = np.where(same, value[at], 0)
-                if base is not None:
-                    place[own] = np.where(same, at + base[s], -1)
-        return [c[back] for c in ([place, *out] if base is not None else out)]
+                    column[rows] = np.where(same, value[at], 0)
+        return [c[back] for c in out]
 
 
 def _tables(model: dict) -> tuple[Table, list[Table], list[Table]]:
@@ -168,7 +180,7 @@ def _tables(model: dict) -> tuple[Table, list[Table], list[Table]]:
     at = model["folder"], model["shards"]
     own = lambda name, *columns: Table(at[0], name, columns, at[1])
     lengths = range(1, model["order"] + 1)
-    return own("word", "count"), [own(f"gram{k}", "count") for k in lengths], [own(f"context{k}", "total", "one", "two", "more") for k in lengths]
+    return own("word", "count", "place"), [own(f"gram{k}", "count") for k in lengths], [own(f"context{k}", "total", "one", "two", "more") for k in lengths]
 
 
 def _folder(spark: SparkSession, given: str | None) -> str:
@@ -188,10 +200,17 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw))  # type: ignore[return-value]
 
 
-def _numbered(words: Table, base: list[int], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's number and count."""
-    place, count = words.get(hashes, base)
-    return np.where(place < 0, UNSEEN, place.astype(np.uint64) + FIRST), count
+def _class(counts: np.ndarray) -> np.ndarray:
+    """Frequency classes, the most frequent words first."""
+    return _CLASSES - np.frexp(counts.astype(float))[1]
+
+
+def _numbered(words: Table, base: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's number and count; ``base``: the number of each class's first word in each shard."""
+    count, place = words.get(hashes)
+    known = count > 0
+    number = base[_class(np.maximum(count, 1)), shard_of(hashes, words.shards)] + place
+    return np.where(known, number.astype(np.uint64) + FIRST, UNSEEN), count
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], hashes: Hashes) -> Iterator[list[np.ndarray]]:
@@ -217,8 +236,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "length", "shard", "blob"])
 
 
-def _sent(kind: str, length: int, keys: np.ndarray, columns: list[np.ndarray], shards: int) -> list[tuple]:
-    return [(kind, length, s, pack([c[own] for c in columns])) for s, own in split(keys, shards)]
+def _sent(kind: str, length: int, by: np.ndarray, columns: list[np.ndarray], shards: int) -> list[tuple]:
+    """A blob of rows for each shard; rows of like first columns lie together, which makes blobs small."""
+    place = shard_of(by, shards)
+    order = np.lexsort((columns[0], place))
+    return [(kind, length, s, pack([c[order[own]] for c in columns])) for s, own in split(place[order])]
+
+
+def _grams_sent(length: int, columns: list[np.ndarray], counts: np.ndarray, shards: int) -> list[tuple]:
+    """Grams go to the shard of their context, single words to their own."""
+    return _sent("gram", length, key_of(columns[:-1] if length > 1 else columns), [*columns, counts], shards)
 
 
 def train(docs: DataFrame, folder: str | None = None, shards: int | None = None, order: int = ORDER) -> dict:
@@ -236,15 +263,22 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None,
             yield _batch(_sent("word", 0, keys, [keys, counts], shards))
 
     def keep_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = np.concatenate([unpack(b, 2) for b in rows.blob], axis=1)
+        keys, counts = unpack(list(rows.blob), 2)
         keys, _, (counts,) = merged(keys, [counts.astype(np.int64)])
-        _tables(model)[0].write(int(key[0]), keys, [counts])
-        return pd.DataFrame({"shard": [int(key[0])], "words": [len(keys)], "tokens": [int(counts.sum())]})
-
-    found = docs.mapInArrow(count_words, _BLOBS).groupBy("shard").applyInPandas(keep_words, "shard int, words long, tokens long").collect()
-    held = {r["shard"]: r["words"] for r in found}
-    base = np.concatenate([[0], np.cumsum([held.get(s, 0) for s in range(shards)])]).tolist()
-    model |= {"tokens": sum(r["tokens"] for r in found), "types": base[-1], "base": base[:-1], "discounts": [(0.5, 0.5, 0.5)] * order, "total": 0, "aside": 0.0}
+        own = _class(counts)
+        order = np.argsort(own, kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys)) - np.searchsorted(own[order], own[order])
+        _tables(model)[0].write(int(key[0]), keys, [counts, place])
+        return pd.DataFrame({"shard": [int(key[0])], "words": [np.bincount(own, minlength=_CLASSES)], "tokens": [int(counts.sum())]})
+
+    with shuffles_freed(spark):
+        found = docs.mapInArrow(count_words, _BLOBS).groupBy("shard").applyInPandas(keep_words, "shard int, words array<long>, tokens long").collect()
+    held = np.zeros((_CLASSES, shards), np.int64)
+    for r in found:
+        held[:, r["shard"]] = r["words"]
+    base = (np.cumsum(held) - held.ravel()).reshape(held.shape)
+    model |= {"tokens": sum(r["tokens"] for r in found), "types": int(held.sum()), "base": base, "discounts": [(0.5, 0.5, 0.5)] * order, "total": 0, "aside": 0.0}
     if not model["tokens"]:
         return model
 
@@ -252,52 +286,45 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None,
         words = _tables(model)[0]
         for parts in _blocks(batches, Hashes()):
             grams = grams_of(_numbered(words, model["base"], np.concatenate(parts))[0], np.array([len(p) for p in parts]), order)
-            keys, first, counts = np.unique(key_of(grams), return_index=True, return_counts=True)
-            yield _batch(_sent("gram", order, keys, [*[g[first] for g in grams], counts], shards))
+            _, first, counts = np.unique(key_of(grams), return_index=True, return_counts=True)
+            yield _batch(_grams_sent(order, [g[first] for g in grams], counts, shards))
 
     def keep_grams(length: int):  # noqa: ANN202
         def keep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            got = np.concatenate([unpack(b, length + 1) for b in rows.blob], axis=1)
+            got = unpack(list(rows.blob), length + 1)
             keys, first, (counts,) = merged(key_of(got[:length]), [got[length].astype(np.int64)])
             words = got[:length, first]
+            del got
             whole = words[0] != NONE
-            c = counts[whole]
-            _tables(model)[1][length - 1].write(int(key[0]), keys[whole], [c])
+            c, shard = counts[whole], int(key[0])
+            _, grams, contexts = _tables(model)
+            grams[length - 1].write(shard, keys[whole], [c])
             facts = [c.sum(), *[(c == k).sum() for k in (1, 2, 3, 4)], (c > 2).sum()]
             out = [("fact", length, -1, pack([np.array([x]) for x in facts]))]
             if length > 1:
-                at, _, sums = merged(key_of(words[:-1, whole]), [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)])
-                out += _sent("context", length, at, [at, *sums], shards)
+                at, _, sums = merged(key_of(words[:-1, whole]), [c, *[x.astype(np.int64) for x in (c == 1, c == 2, c > 2)]])
+                often = sums[0] > 1
+                contexts[length - 1].write(shard, at[often], [x[often] for x in sums])
                 # grams from a text's start keep their count, others count once for the word before
-                at, first, (sums,) = merged(key_of(words[1:]), [np.where(whole, 1, counts)])
-                out += _sent("gram", length - 1, at, [*words[1:, first], sums], shards)
+                _, first, (sums,) = merged(key_of(words[1:]), [np.where(whole, 1, counts)])
+                out += _grams_sent(length - 1, [*words[1:, first]], sums, shards)
             return pd.DataFrame(out, columns=["kind", "length", "shard", "blob"])
 
         return keep
 
-    def keep_contexts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        length, s = int(key[0]), int(key[1])
-        got = np.concatenate([unpack(b, 5) for b in rows.blob], axis=1)
-        keys, _, sums = merged(got[0], [c.astype(np.int64) for c in got[1:]])
-        _tables(model)[2][length - 1].write(s, keys, sums)
-        return pd.DataFrame({"n": [len(keys)]})
-
-    grams, steps = docs.mapInArrow(count_grams, _BLOBS), []
+    grams = docs.mapInArrow(count_grams, _BLOBS)
     for length in range(order, 0, -1):
-        steps.append(materialise(grams.groupBy("shard").applyInPandas(keep_grams(length), _BLOBS), "ngram"))
-        grams = steps[-1].where("kind = 'gram'")
-        facts = sum(unpack(bytes(r["blob"]), 6)[:, 0].astype(np.int64) for r in steps[-1].where("kind = 'fact'").select("blob").toLocalIterator())
+        step = materialise(grams.groupBy("shard").applyInPandas(keep_grams(length), _BLOBS), "ngram")
+        if length < order:
+            discard(last)
+        last, grams = step, step.where("kind = 'gram'")
+        facts = sum(unpack([bytes(r["blob"])], 6)[:, 0].astype(np.int64) for r in step.where("kind = 'fact'").select("blob").toLocalIterator())
         model["discounts"][length - 1] = _discounts(facts[1:5].tolist())
+    discard(last)
     # what the lowest level sets aside, spread evenly over the V + 1 words
     d = model["discounts"][0]
     model["total"] = int(facts[0])
     model["aside"] = float(d[0] * facts[1] + d[1] * facts[2] + d[2] * facts[5]) / model["total"] / (model["types"] + 1)
-    contexts = steps[0].where("kind = 'context'")
-    for step in steps[1:]:
-        contexts = contexts.unionByName(step.where("kind = 'context'"))
-    contexts.groupBy("length", "shard").applyInPandas(keep_contexts, "n long").agg(F.sum("n")).collect()
-    for step in steps:
-        discard(step)
     return model
 
 
@@ -325,12 +352,20 @@ def scored(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 return sizes, known, np.zeros(len(sizes)), np.zeros(len(sizes))
             columns = grams_of(numbers, sizes, order)
             p = _less(grams[0].get(key_of(columns[-1:]))[0], model["discounts"][0]) / model["total"] + model["aside"]
+            first = np.zeros(len(numbers), bool)
+            first[np.cumsum(sizes) - sizes] = True
+            # a gram's context was seen if the gram of the level below that ends one word before was
+            seen_before = np.where(first, True, np.roll(count > 0, 1))
             for k in range(2, order + 1):
                 d, own = model["discounts"][k - 1], columns[order - k :]
-                total, one, two, more = contexts[k - 1].get(key_of(own[:-1]))
-                count = grams[k - 1].get(key_of(own))[0]
+                context = key_of(own[:-1])
+                total, one, two, more = contexts[k - 1].get(context)
+                count = grams[k - 1].get(key_of(own), context)[0]
+                once = (total == 0) & seen_before
+                total, one = total + once, one + once
                 aside = d[0] * one + d[1] * two + d[2] * more
                 p = np.where((total > 0) & (own[0] != NONE), (_less(count, d) + aside * p) / np.maximum(total, 1), p)
+                seen_before = ~first & np.roll(count > 0, 1)
             return sizes, known, base, add(np.log10(p))
 
         for batch in batches:
