@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,23 +47,39 @@ _CLASSES = 64
 _TOP = np.uint64(32)
 
 
-class Hashes(dict):
-    """XXH64 of words; frequent ones from a bounded cache."""
+class Words(dict):
+    """Places of words in the order in which they come, the end mark first; forgotten when they get too many."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        #: Hashes of the words, and what a caller found for those it has looked up.
+        self.hashes: list[int] = [int(END)]
+        self.found: list[np.ndarray] = []
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHE:
-            self[word] = h
-        return h
+        at = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return at
 
     def of(self, text: str | None) -> np.ndarray:
-        """Hashes of a text's tokens with the end mark."""
+        """Places of a text's tokens with the end mark."""
         words = words_of(text)
-        out = np.empty(len(words) + 1, np.uint64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        out[-1] = END
+        out = np.zeros(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return out
 
+    def look_up(self, find: Callable[[np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
+        """What ``find`` gives for the hash of each word; only new ones are sought."""
+        new = np.array(self.hashes[len(self.found[0]) if self.found else 0 :], np.uint64)
+        if len(new):
+            got = find(new)
+            self.found = [np.concatenate(x) for x in zip(self.found, got)] if self.found else got
+        return self.found
+
 
 def key_of(columns: list[np.ndarray] | np.ndarray) -> np.ndarray:
     """64-bit hash of each row of word numbers."""
@@ -110,7 +126,7 @@ def unpack(blobs: list[bytes], columns: int) -> np.ndarray:
 
 def merged(keys: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Sorted distinct keys, where each first stands, and the sums of each column over equal keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
     return keys[first], order[first], [np.add.reduceat(c[order], first) if len(first) else c for c in sums]
@@ -160,19 +176,23 @@ class Table:
 
     def get(self, sought: np.ndarray, by: np.ndarray | None = None) -> list[np.ndarray]:
         """Columns of each key, 0 where it is not there; ``by``: the keys that shards are told from, if not the same."""
-        sought, first, back = np.unique(sought, return_index=True, return_inverse=True)
-        place = shard_of(sought if by is None else by[first], self.shards)
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(sought)
+        place = shard_of(sought if by is None else by, self.shards).astype(np.min_scalar_type(self.shards))[order]
+        if by is not None:
+            again = np.argsort(place, kind="stable")
+            order, place = order[again], place[again]
         out = [np.zeros(len(sought), np.int64) for _ in self.columns]
-        for s, own in split(place[order]):
+        for s, own in split(place):
             keys, values = self.part(s)
             if len(keys):
                 rows = order[own]
-                at = np.minimum(np.searchsorted(keys, sought[rows]), len(keys) - 1)
-                same = keys[at] == sought[rows]
+                mine = sought[rows]
+                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                same = keys[at] == mine
+                rows, at = rows[same], at[same]
                 for column, value in zip(out, values):
-                    column[rows] = np.where(same, value[at], 0)
-        return [c[back] for c in out]
+                    column[rows] = value[at]
+        return out
 
 
 def _tables(model: dict) -> tuple[Table, list[Table], list[Table]]:
@@ -213,16 +233,18 @@ def _numbered(words: Table, base: np.ndarray, hashes: np.ndarray) -> tuple[np.nd
     return np.where(known, number.astype(np.uint64) + FIRST, UNSEEN), count
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], hashes: Hashes) -> Iterator[list[np.ndarray]]:
-    """Token hashes of texts, in the first column, about ``BLOCK`` tokens at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[list[np.ndarray]]:
+    """Tokens of texts, in the first column, as places in ``words``, about ``BLOCK`` tokens at a time."""
     parts, held = [], 0
     for batch in batches:
         for text in batch.column(0):
-            parts.append(hashes.of(text.as_py()))
+            parts.append(words.of(text.as_py()))
             held += len(parts[-1])
             if held >= BLOCK:
                 yield parts
                 parts, held = [], 0
+                if len(words) > CACHE:
+                    words.clear()
     if parts:
         yield parts
 
@@ -258,9 +280,22 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None,
     shards = model["shards"]
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _blocks(batches, Hashes()):
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            yield _batch(_sent("word", 0, keys, [keys, counts], shards))
+        words, sums = Words(), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            keys = np.array(words.hashes, np.uint64)
+            return _batch(_sent("word", 0, keys, [keys, sums], shards))
+
+        for parts in _blocks(batches, words):
+            counts = np.bincount(np.concatenate(parts), minlength=len(words.hashes))
+            counts[: len(sums)] += sums
+            sums = counts
+            if len(words) > CACHE:
+                yield out()
+                sums = np.zeros(0, np.int64)
+                words.clear()
+        if len(sums):
+            yield out()
 
     def keep_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = unpack(list(rows.blob), 2)
@@ -283,10 +318,11 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None,
         return model
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tables(model)[0]
-        for parts in _blocks(batches, Hashes()):
-            grams = grams_of(_numbered(words, model["base"], np.concatenate(parts))[0], np.array([len(p) for p in parts]), order)
-            _, first, counts = np.unique(key_of(grams), return_index=True, return_counts=True)
+        table, words = _tables(model)[0], Words()
+        for parts in _blocks(batches, words):
+            (numbers,) = words.look_up(lambda hashes: [_numbered(table, model["base"], hashes)[0]])
+            grams = grams_of(numbers[np.concatenate(parts)], np.array([len(p) for p in parts]), order)
+            _, first, (counts,) = merged(key_of(grams), [np.ones(len(grams[0]), np.int64)])
             yield _batch(_grams_sent(order, [g[first] for g in grams], counts, shards))
 
     def keep_grams(length: int):  # noqa: ANN202
@@ -340,36 +376,46 @@ def scored(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     slim = df.select(F.col(text).cast("string"), *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        words, grams, contexts = _tables(model)
+        words = Words()
+        table, grams, contexts = _tables(model)
+        at_start = [c[0] for c in contexts[1].get(key_of([np.array([START])]))] if seen else []
+
+        def find(hashes: np.ndarray) -> list[np.ndarray]:
+            numbers, count = _numbered(table, model["base"], hashes)
+            if not seen:
+                return [numbers, count]
+            key = key_of([numbers])
+            return [numbers, count, grams[0].get(key)[0], *contexts[1].get(key)]
 
         def block(parts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-            sizes = np.array([len(p) for p in parts])
-            add = lambda x: np.add.reduceat(x, np.cumsum(sizes) - sizes)
-            numbers, count = _numbered(words, model["base"], np.concatenate(parts))
-            known, base = add((count > 0).astype(np.int64)), add(np.log10((count + 1) / (seen + types + 1)))
+            sizes, at = np.array([len(p) for p in parts]), np.concatenate(parts)
+            starts = np.cumsum(sizes) - sizes
+            add = lambda x: np.add.reduceat(x, starts)
+            numbers, count, *found = words.look_up(find)
+            known, base = add((count > 0).astype(np.int64)[at]), add(np.log10((count + 1) / (seen + types + 1))[at])
             if not seen:
                 return sizes, known, np.zeros(len(sizes)), np.zeros(len(sizes))
-            columns = grams_of(numbers, sizes, order)
-            p = _less(grams[0].get(key_of(columns[-1:]))[0], model["discounts"][0]) / model["total"] + model["aside"]
-            first = np.zeros(len(numbers), bool)
-            first[np.cumsum(sizes) - sizes] = True
+            columns = grams_of(numbers[at], sizes, order)
+            p = (_less(found[0], model["discounts"][0]) / model["total"] + model["aside"])[at]
+            before = np.roll(at, 1)
+            first = np.zeros(len(at), bool)
+            first[starts] = True
             # a gram's context was seen if the gram of the level below that ends one word before was
-            seen_before = np.where(first, True, np.roll(count > 0, 1))
+            seen_before = first | (count > 0)[before]
             for k in range(2, order + 1):
                 d, own = model["discounts"][k - 1], columns[order - k :]
                 context = key_of(own[:-1])
-                total, one, two, more = contexts[k - 1].get(context)
-                count = grams[k - 1].get(key_of(own), context)[0]
-                once = (total == 0) & seen_before
-                total, one = total + once, one + once
-                aside = d[0] * one + d[1] * two + d[2] * more
-                p = np.where((total > 0) & (own[0] != NONE), (_less(count, d) + aside * p) / np.maximum(total, 1), p)
-                seen_before = ~first & np.roll(count > 0, 1)
+                sums = [np.where(first, x, c[before]) for x, c in zip(at_start, found[1:])] if k == 2 else contexts[k - 1].get(context)
+                hits = grams[k - 1].get(key_of(own), context)[0]
+                once = (sums[0] == 0) & seen_before
+                total = sums[0] + once
+                aside = d[0] * (sums[1] + once) + d[1] * sums[2] + d[2] * sums[3]
+                p = np.where((total > 0) & (own[0] != NONE), (_less(hits, d) + aside * p) / np.maximum(total, 1), p)
+                seen_before = ~first & np.roll(hits > 0, 1)
             return sizes, known, base, add(np.log10(p))
 
         for batch in batches:
-            sums = [block(parts) for parts in _blocks(iter([batch]), hashes)]
+            sums = [block(parts) for parts in _blocks(iter([batch]), words)]
             if not sums:
                 continue
             n, known, base, value = (np.concatenate(x) for x in zip(*sums))

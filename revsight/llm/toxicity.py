@@ -1,21 +1,25 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels.
 
-1. Mining.  Words and word beginnings of four to six letters, and two or three words that share one, are hashed; over the
-   learning sample each hash is counted in marked and unmarked documents, and what the likelihood-ratio test finds for the mark becomes a feature (at most
-   ``FEATURES``, a table whose size does not depend on the input).
-2. Voters.  The strongest features, a fixed lexicon and text patterns each fire or not on a document.
-3. Label model.  A two-class latent-variable model holds each voter's firing rate in either class; expectation
-   maximisation runs over marked and unmarked documents together, marked ones keeping their mark.  Correlations between
-   voters within a class are then estimated from residuals, and a voter counts the less the more others repeat it.
-4. Classifier.  Logistic regression over the features is trained on the posterior labels, by proximal gradient steps with
-   an elastic net, scaled once to the sample's marks, and scores every whole text by the set of features in it.
-
-The sample holds at most about ``MARKED`` marked and ``UNMARKED`` unmarked documents, chosen by a hash of the id; every
-statistic of it is counted on the executors, and only rows of feature numbers reach the driver.
+1. Mining.  Words and word beginnings of four to six letters, and two or three words that share one, are hashed; over all
+   marked learning documents each hash is counted with and without the mark, and what the likelihood-ratio test finds for
+   the mark becomes a feature (at most ``FEATURES``, a table whose size does not depend on the input).
+2. Voters.  The strongest features, every word of a fixed lexicon and every text pattern fire or not on a document, each a
+   voter of its own; a mark is one more voter, which is silent on unmarked documents.
+3. Label model.  Two latent classes; within a class a voter's firing depends on one other voter, its parent in the tree of
+   strongest class-conditional mutual information (Chow and Liu, 1968), and a mark is right at a rate of its own.  All
+   rates, with them the voters' accuracies and correlations, are estimated by expectation maximisation over all learning
+   documents: these are counted by votes and mark once, and every round sums a fixed number of moments over that table.
+   The rate of the mark has a prior of ``MARK_RIGHT``, as heavy as the marks themselves, so the classes keep their meaning.
+4. Classifier.  Logistic regression over the features is trained on the posterior labels of a sample, marked documents
+   like others, by proximal gradient steps with an elastic net, and scores every whole text by its set of features.
+
+The sample of step 4 holds at most about ``MARKED`` marked and ``UNMARKED`` unmarked documents, chosen by a hash of the id;
+all other statistics cover all learning documents.  Only sums, features and the sample's rows of feature numbers reach the
+driver.
 
 Defined results: null and empty texts have no feature and get the score of the bias; several marks of one document count
-as the largest; with no marks at all the lexicon alone votes; equal rows get equal scores; an empty table gives an empty
-result.
+as the largest; with no marks at all the lexicon alone votes; equal rows get equal scores whatever their ids; texts are
+read whole, at any length; other columns are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, residue
+from ._common import discard, materialise, residue
 
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6)
 LEVELS = 3
 MARKED, UNMARKED = 16_000, 8_000
-FEATURES, VOTERS, LEAST_G = 4096, 48, 11.0
+FEATURES, VOTERS, LEAST_G = 4096, 40, 11.0
+MARK_RIGHT, ROUNDS = 0.97, 20
 CACHE = 300_000
 _MODULUS = 1 << 31
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_"
@@ -93,86 +98,158 @@ class Known(Words):
         return {self.table[h] for h in super().of(text) if h in self.table}
 
 
-def sampled(docs: DataFrame, labels: DataFrame, marked: int = MARKED, unmarked: int = UNMARKED) -> DataFrame:
-    """Learning sample (doc_id, text, toxic or null) of documents that are not held out, about so many with and without a mark."""
-    marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    open_docs = docs.where(residue("doc_id", 5) != 0)
-    ids = open_docs.select("doc_id").join(marks, "doc_id", "left").agg(F.count("toxic").alias("m"), F.count("*").alias("n")).first()
+def sampled(learning: DataFrame, marks: DataFrame, marked: int = MARKED, unmarked: int = UNMARKED) -> DataFrame:
+    """About so many rows (doc_id, text, toxic or null) of the learning documents with and without a mark."""
+    ids = learning.select("doc_id").join(marks, "doc_id", "left").agg(F.count("toxic").alias("m"), F.count("*").alias("n")).first()
     rate = lambda most, n: int(min(1.0, most / max(1, n)) * _MODULUS)
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(_MODULUS))
     most = F.when(F.col("toxic").isNull(), rate(unmarked, ids["n"] - ids["m"])).otherwise(rate(marked, ids["m"]))
     # ids outside both rates are dropped before their texts are joined
-    near = open_docs.where(draw < max(rate(unmarked, ids["n"] - ids["m"]), rate(marked, ids["m"])))
+    near = learning.where(draw < max(rate(unmarked, ids["n"] - ids["m"]), rate(marked, ids["m"])))
     return near.join(marks, "doc_id", "left").where(draw < most).select("doc_id", "text", "toxic")
 
 
-def mined(sample: DataFrame, most: int = FEATURES) -> list[int]:
-    """Hashes that the mark makes likelier, strongest first."""
-    sizes = sample.where("toxic IS NOT NULL").agg(F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0)).alias("a"), F.count("*").alias("n")).first()
-    n1, n0 = sizes["a"], sizes["n"] - sizes["a"]
-    if not n1 or not n0:
-        return []
+def marks_of(labels: DataFrame) -> DataFrame:
+    """One row (doc_id, toxic 0 or 1) for each marked document."""
+    return labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+
+
+def mined(marked: DataFrame, most: int = FEATURES) -> list[int]:
+    """Hashes that the mark makes likelier, strongest first, over all rows (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = Words(), np.zeros((2, BUCKETS), np.int32)
+        words, sums, rows = Words(), np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[int(mark > 0)][np.fromiter(words.of(text), np.int64)] += 1
+                sums[mark][np.fromiter(words.of(text), np.int64)] += 1
+                rows[mark] += 1
         at = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[1][at], pa.int64()), pa.array(sums[0][at], pa.int64())], names=["h", "a", "b"])
+        # the last row counts documents
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[1][at], rows[1])), pa.array(np.append(sums[0][at], rows[0]))], names=["h", "a", "b"])
 
-    counts = sample.where("toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = marked.select("text", "toxic").mapInArrow(run, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = materialise(found.where("h < 0 OR a > 1"), "toxicity-features")
+    sizes = counts.where("h < 0").first()
+    if sizes is None or not sizes["a"] or not sizes["b"]:
+        return []
+    n1, n0 = sizes["a"], sizes["b"]
     part = lambda k, n, other, m: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * (n + m) / (n * (F.col(k) + F.col(other))))).otherwise(F.lit(0.0))
     rest = lambda k, n, other, m: F.when(F.col(k) < n, (n - F.col(k)) * F.log((n - F.col(k)) * (n + m) / (n * (n + m - F.col(k) - F.col(other))))).otherwise(F.lit(0.0))
     g = 2 * (part("a", n1, "b", n0) + part("b", n0, "a", n1) + rest("a", n1, "b", n0) + rest("b", n0, "a", n1))
-    strong = counts.where((F.col("a") >= 2) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("g", g).where(F.col("g") >= LEAST_G)
-    return [r["h"] for r in strong.orderBy(F.col("g").desc(), "h").limit(most).collect()]
+    strong = counts.where((F.col("h") >= 0) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("g", g).where(F.col("g") >= LEAST_G)
+    out = [r["h"] for r in strong.orderBy(F.col("g").desc(), "h").limit(most).collect()]
+    discard(counts)
+    return out
 
 
-def votes_of(text: str | None, active: set[int], lexicon: set[int], voters: int) -> int:
-    """Bits of the voters that fire: the first ``voters`` features, the lexicon's words, the patterns."""
-    out = sum(1 << i for i in active if i < voters)
-    for i, pattern in enumerate(PATTERNS):
-        if text and lexicon and pattern.search(text):
-            out |= 1 << (VOTERS + i)
-    return out | (1 << (VOTERS + len(PATTERNS))) * bool(lexicon) | (1 << (VOTERS + len(PATTERNS) + 1)) * (len(lexicon) > 1)
+def lexicon_table() -> list[int]:
+    return [zlib.crc32(f"={w}".encode()) % BUCKETS for w in LEXICON]
 
 
-N_VOTERS = VOTERS + len(PATTERNS) + 2
+N_VOTERS = VOTERS + len(LEXICON) + len(PATTERNS)
 
 
-def lexicon_table() -> list[int]:
-    return [zlib.crc32(f"={w}".encode()) % BUCKETS for w in LEXICON]
+def votes_of(text: str | None, active: set[int], lexicon: list[int], voters: int) -> int:
+    """Bits of the voters that fire: the first ``voters`` features, the lexicon's words, given as features, the patterns."""
+    out = sum(1 << i for i in active if i < voters)
+    out |= sum(1 << VOTERS + i for i, at in enumerate(lexicon) if at in active)
+    if text:
+        out |= sum(1 << VOTERS + len(LEXICON) + i for i, pattern in enumerate(PATTERNS) if pattern.search(text))
+    return out
 
 
-def label_model(v: np.ndarray, marks: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Posterior of class 1 for each row of ``v`` (rows x voters, 0 or 1); ``marks``: 0, 1 or -1 for none."""
-    n, m = v.shape
-    if not n:
-        return np.zeros(0)
-    known = marks >= 0
-    lexical = v[:, VOTERS:].any(axis=1)
-    q = np.where(known, marks, np.where(lexical, 0.9, 0.1)).astype(float)
-    for _ in range(rounds):
-        w1, w0 = q.sum(), n - q.sum()
+def bits(votes: np.ndarray) -> np.ndarray:
+    return (votes[:, None] >> np.arange(N_VOTERS) & 1).astype(float)
+
+
+class LabelModel:
+    """Latent class, voters in a tree within each class, and the mark."""
+
+    def __init__(self, sums: np.ndarray):
+        """``sums``: see :func:`moments`."""
+        m = N_VOTERS
+        both, (n, marked) = sums[: 2 * m * m].reshape(2, m, m), np.split(sums[2 * m * m :].reshape(2, 3), [1], axis=1)
+        n, hits = n[:, 0], np.diagonal(both, axis1=1, axis2=2)
+        self.prior = float(np.log((n[1] + 1) / (n[0] + 1)))
         # voters are taken to be right more often than not: pseudo-counts lean that way
-        hit1, hit0 = (q @ v + 1.0) / (w1 + 2.0), ((1 - q) @ v + 0.05) / (w0 + 2.0)
-        prior = np.log((w1 + 1) / (w0 + 1))
-        on, off = np.log(hit1 / hit0), np.log((1 - hit1) / (1 - hit0))
-        discount = np.ones(m)
-        if m > 1:
-            # correlation of residuals within the classes; near copies of a voter share one voter's weight
-            r = (v - q[:, None] * hit1 - (1 - q)[:, None] * hit0) / np.sqrt(q[:, None] * hit1 * (1 - hit1) + (1 - q)[:, None] * hit0 * (1 - hit0) + 1e-9)
-            c = np.abs(r.T @ r) / n
-            c = np.clip(c / np.sqrt(np.outer(np.diag(c), np.diag(c)) + 1e-12), 0, 1)
-            discount = 1 / np.maximum(1, np.where(c > 0.2, c, 0).sum(axis=1))
-        s = prior + v @ (discount * on) + (1 - v) @ (discount * off)
-        new = np.where(known, marks, 1 / (1 + np.exp(-np.clip(s, -30, 30))))
-        if np.abs(new - q).max() < 1e-6:
+        single = (hits + np.array([[0.05], [1.0]])) / (n[:, None] + 2.0)
+        self.parent = self._tree(both, n)
+        at, rows = np.maximum(self.parent, 0), np.arange(m)
+        root = self.parent < 0
+        joint, above = np.where(root, 0.0, both[:, rows, at]), np.where(root, 0.0, hits[:, at])
+        #: Rate of firing by class, by whether the parent fires.
+        self.rate = np.stack([(hits - joint + 2 * single) / (n[:, None] - above + 2), (joint + 2 * single) / (above + 2)], axis=1).clip(1e-9, 1 - 1e-9)
+        held = marked.sum()
+        right = np.array([1 - MARK_RIGHT, MARK_RIGHT])
+        #: Chance of the mark 1 by class.
+        self.mark = (marked[:, 1] + held / 2 * right + 1e-9) / (marked.sum(axis=1) + held / 2 + 2e-9) if held else right
+
+    @staticmethod
+    def _tree(both: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Parents in the spanning tree of largest mutual information within the classes; -1 for its root."""
+        total, m = np.zeros(both.shape[1:]), both.shape[1]
+        for s, k in zip(both, n):
+            if k <= 0:
+                continue
+            p = np.diag(s) / k
+            for x in (0, 1):
+                for y in (0, 1):
+                    q = {(1, 1): s, (1, 0): np.diag(s)[:, None] - s, (0, 1): np.diag(s)[None] - s, (0, 0): k - np.diag(s)[:, None] - np.diag(s)[None] + s}[x, y] / k
+                    alone = np.outer(p if x else 1 - p, p if y else 1 - p)
+                    total += k * np.where((q > 1e-12) & (alone > 1e-300), q * np.log(np.maximum(q, 1e-300) / np.maximum(alone, 1e-300)), 0.0)
+        parent, best, open_ = np.full(m, -1), total[0].copy(), np.ones(m, bool)
+        source, open_[0] = np.zeros(m, int), False
+        while open_.any():
+            i = int(np.where(open_, best, -np.inf).argmax())
+            parent[i], open_[i] = source[i], False
+            nearer = open_ & (total[i] > best)
+            best[nearer], source[nearer] = total[i][nearer], i
+        return parent
+
+    def posterior(self, v: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Chance of class 1 of each row of ``v`` (rows x voters, 0 or 1); ``marks``: 0, 1 or -1 for none."""
+        above = np.where(self.parent < 0, 0.0, v[:, np.maximum(self.parent, 0)])
+        on, off = np.log(self.rate[1] / self.rate[0]), np.log((1 - self.rate[1]) / (1 - self.rate[0]))
+        fired = v * on[0] + (1 - v) * off[0]
+        s = self.prior + (fired + above * (v * on[1] + (1 - v) * off[1] - fired)).sum(axis=1)
+        told = np.where(marks == 1, np.log(self.mark[1] / self.mark[0]), np.log((1 - self.mark[1]) / (1 - self.mark[0])))
+        return 1 / (1 + np.exp(-np.clip(s + np.where(marks < 0, 0.0, told), -40, 40)))
+
+
+def guessed(v: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Where the estimation starts: marks as they are mostly right, else whether the lexicon or a pattern fires."""
+    return np.where(marks >= 0, np.where(marks > 0, MARK_RIGHT, 1 - MARK_RIGHT), np.where(v[:, VOTERS:].any(axis=1), 0.9, 0.02))
+
+
+def moments(v: np.ndarray, marks: np.ndarray, n: np.ndarray, model: LabelModel | None) -> np.ndarray:
+    """Sums over rows that stand for ``n`` documents each, by class: products of voters, documents, those marked 0 and 1."""
+    q = guessed(v, marks) if model is None else model.posterior(v, marks)
+    both, rest = [], []
+    for w in ((1 - q) * n, q * n):
+        both.append(((v * w[:, None]).T @ v).ravel())
+        rest.append([w.sum(), w[marks == 0].sum(), w[marks == 1].sum()])
+    return np.concatenate([*both, *map(np.array, rest)])
+
+
+def label_model(counted: DataFrame, rounds: int = ROUNDS) -> LabelModel:
+    """The model of all rows (votes long, mark int, n long) by expectation maximisation."""
+    model, size = None, 2 * N_VOTERS * N_VOTERS + 6
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], model: LabelModel | None = model) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                votes, marks, n = (c.to_numpy() for c in batch.columns)
+                total += moments(bits(votes), marks, n, model)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["at", "x"])
+
+        sums = np.zeros(size)
+        for r in counted.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            sums[r["at"]] = r["x"]
+        last, model = model, LabelModel(sums)
+        if last is not None and (last.parent == model.parent).all() and abs(last.rate - model.rate).max() < 1e-4:
             break
-        q = new
-    # a mark is one more voter, not a certainty
-    return np.where(known, 0.97 * marks + 0.015 + 0.015 * q, q)
+    return model
 
 
 def classifier(rows: list[np.ndarray], q: np.ndarray, dims: int, l1: float = 2e-5, l2: float = 1e-5, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -200,45 +277,45 @@ def classifier(rows: list[np.ndarray], q: np.ndarray, dims: int, l1: float = 2e-
     return w, bias
 
 
-def calibrated(w: np.ndarray, bias: float, rows: list, marks: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias on the scale that fits the sample's marks best: two parameters, by Newton steps with a weak prior."""
-    if not len(marks) or marks.min() == marks.max():
-        return w, bias
-    s = np.array([sum(w[i] for i in at) for at in rows]) + bias
-    a, b = 1.0, 0.0
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
-        g = np.array([((p - marks) * s).sum() + (a - 1), (p - marks).sum() + b * 0.01])
-        v = p * (1 - p)
-        h = np.array([[(v * s * s).sum() + 1, (v * s).sum()], [(v * s).sum(), v.sum() + 0.01]])
-        step = np.linalg.solve(h, g)
-        a, b = max(0.05, a - float(np.clip(step[0], -1, 1))), b - float(np.clip(step[1], -2, 2))
-    return a * w, a * bias + b
-
-
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[list[int], np.ndarray, float]:
     """(feature hashes, weights, bias) from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    sample = materialise(sampled(docs, labels), "toxicity-sample")
-    mined_table = mined(sample)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    marks = materialise(marks_of(labels), "toxicity-marks")
+    learning = docs.where(residue("doc_id", 5) != 0)
+    mined_table = mined(learning.join(marks, "doc_id"))
     lex = lexicon_table()
     table = [*mined_table, *[h for h in dict.fromkeys(lex) if h not in set(mined_table)]]
-    voters, lex_at = min(VOTERS, len(mined_table)), {table.index(h) for h in lex}
+    voters, lex_at = min(VOTERS, len(mined_table)), [table.index(h) for h in lex]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Known(table)
         for batch in batches:
-            active = [words.of(t) for t in batch.column(0).to_pylist()]
-            votes = [votes_of(t, a, a & lex_at, voters) for t, a in zip(batch.column(0).to_pylist(), active)]
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(a) for a in active], pa.list_(pa.int32())), pa.array(votes, pa.int64()), batch.column(1)], names=["at", "votes", "mark"])
+            texts = batch.column("text").to_pylist()
+            active = [words.of(t) for t in texts]
+            votes = [votes_of(t, a, lex_at, voters) for t, a in zip(texts, active)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted(a) for a in active] if "toxic" in batch.schema.names else [None] * len(votes), pa.list_(pa.int32())), pa.array(votes, pa.int64())], names=["doc_id", "at", "votes"])
+
+    # every learning document's votes; texts are not moved for their marks
+    kind = dict(docs.dtypes)["doc_id"]
+    voted = learning.mapInArrow(run, f"doc_id {kind}, at array<int>, votes long").select("doc_id", "votes")
+    told = F.coalesce(F.col("toxic"), F.lit(-1)).alias("mark")
+    counted = materialise(voted.join(marks, "doc_id", "left").groupBy("votes", told).agg(F.count("*").alias("n")), "toxicity-votes")
+    model = label_model(counted)
+    discard(counted)
+    chosen = sampled(learning, marks).withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in run(iter([batch])):
+                yield pa.RecordBatch.from_arrays([*out.columns[1:], batch.column("toxic")], names=["at", "votes", "mark"])
 
-    rows = sample.select("text", F.coalesce(F.col("toxic").cast("int"), F.lit(-1)).alias("mark")).mapInArrow(run, "at array<int>, votes long, mark int").collect()
+    rows = chosen.mapInArrow(featured, "at array<int>, votes long, mark int").collect()
+    discard(marks)
     rows = sorted(rows, key=lambda r: (r["at"], r["votes"], r["mark"]))
-    v = np.array([[r["votes"] >> i & 1 for i in range(N_VOTERS)] for r in rows], dtype=float).reshape(-1, N_VOTERS)
-    q = label_model(v, np.array([min(1, r["mark"]) for r in rows]))
+    q = model.posterior(bits(np.array([r["votes"] for r in rows], np.int64)), np.array([r["mark"] for r in rows], np.int64))
     w, bias = classifier([np.array(r["at"], dtype=np.int64) for r in rows], q, len(table))
-    w, bias = calibrated(w, bias, [r["at"] for r in rows if r["mark"] >= 0], np.array([min(1, r["mark"]) for r in rows if r["mark"] >= 0]))
     if not mined_table:
-        w = np.where(np.isin(np.arange(len(table)), list(lex_at)), np.maximum(w, 6.0), w)
+        w = np.where(np.isin(np.arange(len(table)), lex_at), np.maximum(w, 6.0), w)
         bias = min(bias, -2.0)
     return table, w, bias
 

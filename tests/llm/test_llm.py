@@ -339,6 +339,56 @@ def test_toxicity(spark) -> None:
     assert toxicity.report(docs(spark, rows).limit(0), labels).count() == 0
 
 
+def test_label_model_estimates_accuracies_and_correlations(spark) -> None:
+    rng = np.random.default_rng(21)
+    n, m = 6000, toxicity.N_VOTERS
+    y = rng.random(n) < 0.15
+    v = np.zeros((n, m))
+    hit, false = [0.7, 0.5, 0.6, 0.4], [0.02, 0.05, 0.01, 0.03]
+    for i in range(4):
+        v[:, i] = rng.random(n) < np.where(y, hit[i], false[i])
+    # three voters repeat one that is no better than chance
+    v[:, 4] = rng.random(n) < 0.3
+    for i in (5, 6, 7):
+        v[:, i] = np.where(rng.random(n) < 0.97, v[:, 4], rng.random(n) < 0.3)
+    marks = np.where(rng.random(n) < 0.5, np.where(rng.random(n) < 0.06, ~y, y), -1).astype(int)
+    votes = (v.astype(np.int64) << np.arange(m)).sum(axis=1)
+    rows = [(int(a), int(b), c) for (a, b), c in Counter(zip(votes.tolist(), marks.tolist())).items()]
+    model = toxicity.label_model(spark.createDataFrame(rows, "votes long, mark int, n long"))
+    # the same rounds over all rows at once, one row a document
+    plain = None
+    for _ in range(toxicity.ROUNDS):
+        plain = toxicity.LabelModel(toxicity.moments(v, marks, np.ones(n), plain))
+    q = model.posterior(v, marks)
+    assert np.abs(q - plain.posterior(v, marks)).max() < 0.02
+    # accuracies of voters and of the mark, and the tree that joins the repeating ones
+    fires = [(q[:, None] * v)[:, :4].sum(axis=0) / q.sum(), ((1 - q)[:, None] * v)[:, :4].sum(axis=0) / (1 - q).sum()]
+    assert np.abs(fires[0] - hit).max() < 0.08 and np.abs(fires[1] - false).max() < 0.04
+    assert 0.88 < model.mark[1] < 0.99 and 0.01 < model.mark[0] < 0.1
+    pairs = {frozenset((i, int(model.parent[i]))) for i in range(m)}
+    assert sum(p <= {4, 5, 6, 7} for p in pairs) == 3
+    known = marks >= 0
+    assert ((q > 0.5) == y)[known].mean() > (marks == y)[known].mean() + 0.02
+    # a posterior is the ratio of the two classes' probabilities, multiplied out
+    for row in (0, 17, 4321):
+        chance = []
+        for c in (0, 1):
+            p = [model.rate[c][int(v[row, max(model.parent[i], 0)]) if model.parent[i] >= 0 else 0][i] for i in range(m)]
+            of_mark = 1.0 if marks[row] < 0 else model.mark[c] if marks[row] == 1 else 1 - model.mark[c]
+            chance.append(math.prod(x if f else 1 - x for x, f in zip(p, v[row])) * of_mark)
+        odds = math.exp(model.prior) * chance[1] / chance[0]
+        assert math.isclose(q[row], odds / (1 + odds), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_toxicity_edges(spark) -> None:
+    long = "calm words " * 400_000
+    rows = [(1, long, "en", "s"), (2, long + "you pathetic idiot", "en", "s"), (3, "you pathetic idiot", "en", "s"), (3, "you pathetic idiot", "en", "s"), (4, "you pathetic idiot", "en", "s"), (None, "x", None, None)]
+    df = docs(spark, rows).withColumn("toxic", F.lit("mine")).withColumn("votes", F.lit(0))
+    got = toxicity.report(df, spark.createDataFrame([(3, 1), (1, 0)], "doc_id long, toxic int")).collect()
+    assert len(got) == 6 and len({r["score"] for r in got if r["doc_id"] in (3, 4)}) == 1
+    assert {r["predicted"] for r in got if r["doc_id"] in (2, 3, 4)} == {1} and [r["predicted"] for r in got if r["doc_id"] == 1] == [0]
+
+
 # ---- 7 language model
 
 
