@@ -7,8 +7,11 @@ elastic-net penalty on a sample of at most about ``PER_LANGUAGE`` documents a la
 fifth of that sample fits the temperature that calibrates scores (Guo et al., 2017).  Every document is then scored over
 its whole text by one table of weights, of DIMS x languages numbers whatever the input.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; a table without learned languages gives
-``und`` throughout; equal rows get equal results; an empty table gives an empty result.
+Defined results: null texts and texts without a letter, which any alphabet's letters of any plane are, are ``und`` with
+score 0; a table without learned languages gives ``und`` throughout; equal rows get equal results, ties go to the first
+language in code-point order; texts are read whole, at any length; other columns are ignored whatever their names; an empty
+table gives an empty result.  More than ``MOST_LANGUAGES`` different values of ``lang`` are an error, not a model that
+outgrows the driver: such a column holds something else.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from ._common import materialise, residue
 DIMS = 1 << 16
 ORDERS = (2, 3)
 PER_LANGUAGE = 1024
+MOST_LANGUAGES = 1000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.02, 0.01
 UNKNOWN = "und"
 _MODULUS = 1 << 31
@@ -85,7 +89,9 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], DataFrame]:
     """The languages of ``docs`` (doc_id, text, lang), in order, and about ``per_language`` rows of each, by a hash of the id."""
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"the language column has more than {MOST_LANGUAGES} values")
     names = sorted(counts)
     if not names:
         return [], docs

@@ -3,8 +3,9 @@
 1. Mining.  Words and word beginnings of four to six letters, and two or three words that share one, are hashed; over all
    marked learning documents each hash is counted with and without the mark, and what the likelihood-ratio test finds for
    the mark becomes a feature (at most ``FEATURES``, a table whose size does not depend on the input).
-2. Voters.  The strongest features, every word of a fixed lexicon and every text pattern fire or not on a document, each a
-   voter of its own; a mark is one more voter, which is silent on unmarked documents.
+2. Voters.  The mined features are a lexicon in ``VOTERS`` bands, by strength: a band fires on a document that has one of
+   its features.  Every word of a fixed lexicon and every text pattern is a voter of its own, and a mark is one more, which
+   is silent on unmarked documents.
 3. Label model.  Two latent classes; within a class a voter's firing depends on one other voter, its parent in the tree of
    strongest class-conditional mutual information (Chow and Liu, 1968), and a mark is right at a rate of its own.  All
    rates, with them the voters' accuracies and correlations, are estimated by expectation maximisation over all learning
@@ -149,9 +150,14 @@ def lexicon_table() -> list[int]:
 N_VOTERS = VOTERS + len(LEXICON) + len(PATTERNS)
 
 
-def votes_of(text: str | None, active: set[int], lexicon: list[int], voters: int) -> int:
-    """Bits of the voters that fire: the first ``voters`` features, the lexicon's words, given as features, the patterns."""
-    out = sum(1 << i for i in active if i < voters)
+def bands(n: int) -> list[int]:
+    """The band of each of ``n`` features, strongest first: narrow bands, then ever wider ones."""
+    return [min(VOTERS - 1, int(4 * np.log2(1 + i / 4))) for i in range(n)]
+
+
+def votes_of(text: str | None, active: set[int], lexicon: list[int], band: list[int]) -> int:
+    """Bits of the voters that fire: bands of features, the lexicon's words, given as features, the patterns."""
+    out = sum(1 << b for b in {band[i] for i in active if i < len(band)})
     out |= sum(1 << VOTERS + i for i, at in enumerate(lexicon) if at in active)
     if text:
         out |= sum(1 << VOTERS + len(LEXICON) + i for i, pattern in enumerate(PATTERNS) if pattern.search(text))
@@ -285,14 +291,14 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[list[int], np.ndarray,
     mined_table = mined(learning.join(marks, "doc_id"))
     lex = lexicon_table()
     table = [*mined_table, *[h for h in dict.fromkeys(lex) if h not in set(mined_table)]]
-    voters, lex_at = min(VOTERS, len(mined_table)), [table.index(h) for h in lex]
+    band, lex_at = bands(len(mined_table)), [table.index(h) for h in lex]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Known(table)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             active = [words.of(t) for t in texts]
-            votes = [votes_of(t, a, lex_at, voters) for t, a in zip(texts, active)]
+            votes = [votes_of(t, a, lex_at, band) for t, a in zip(texts, active)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted(a) for a in active] if "toxic" in batch.schema.names else [None] * len(votes), pa.list_(pa.int32())), pa.array(votes, pa.int64())], names=["doc_id", "at", "votes"])
 
     # every learning document's votes; texts are not moved for their marks

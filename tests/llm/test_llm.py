@@ -286,6 +286,26 @@ def test_caps(spark) -> None:
     assert caps.report(df.limit(0)).count() == 0
 
 
+def test_caps_find_links_that_are_no_copies(spark) -> None:
+    rng = np.random.default_rng(14)
+    n, dims = 20_000, 64
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    # every second vector lies at a cosine between 0.95 and 0.96 of the one before
+    other = rng.standard_normal((n // 2, dims))
+    other -= (other * x[::2]).sum(axis=1)[:, None] * x[::2]
+    cosine = rng.uniform(0.95005, 0.96, n // 2)[:, None]
+    x[1::2] = cosine * x[::2] + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = np.array([r["n_links"] for r in caps.report(df).orderBy("vec_id").collect()])
+    x = np.array([v / math.sqrt(v @ v) for v in x])
+    want = np.zeros(n, int)
+    for at in range(0, n, 2000):
+        want[at : at + 2000] = (x[at : at + 2000] @ x.T >= 0.95).sum(axis=1) - 1
+    assert want.sum() >= n and (found <= want).all()
+    assert found.sum() >= 0.99 * want.sum()
+
+
 def test_components(spark) -> None:
     rng = np.random.default_rng(2)
     links = [(i, i + 1) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(100, 300, (150, 2))] + [(500, 500), (7, 3), (7, 3)]
@@ -658,6 +678,37 @@ def test_language_of_symbols_beyond_the_first_plane(spark, real) -> None:
     assert got["lang_pred"] == "und" and got["score"] == 0
 
 
+def test_language_edges(spark, real, monkeypatch) -> None:
+    long = "the house and the garden of " * 200_000
+    df = real.unionByName(docs(spark, [(1001, long, None, "s"), (1001, long, None, "s"), (None, "\U00010400\U00010401", None, None), (1003, "\U0001d7d8\U0001f600", "fr", "s")]))
+    got = [r for r in langid.report(df.withColumn("lang_pred", F.lit(1))).collect() if r["doc_id"] in (None, 1001, 1003)]
+    assert len(got) == 4 and len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 1001}) == 1
+    assert [r["lang_pred"] == "und" for r in sorted(got, key=lambda r: r["doc_id"] or 0)] == [False, False, False, True]
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.report(real)
+
+
+def test_language_scores_against_a_plain_version(spark, real, texts) -> None:
+    slim = real.where("lang IS NOT NULL").select("doc_id", "text", "lang")
+    names, table, bias = model = langid.train(slim)
+    assert (table == 0).mean() > 0.5
+    for r in langid.predicted(slim.select("doc_id", "text"), model).limit(40).collect():
+        text = "".join(c if c.isalpha() else " " for c in (texts[r["doc_id"]] or "").lower())
+        text = " " + " ".join(text.split()) + " "
+        s, n = np.zeros(len(names)), 0
+        for k in langid.ORDERS:
+            for i in range(len(text) - k + 1):
+                h = k
+                for c in text[i : i + k]:
+                    h = (h ^ ord(c)) * 2654435761 % 2**32
+                    h ^= h >> 15
+                s += table[h % langid.DIMS]
+                n += 1
+        e = np.exp(s / n + bias - (s / n + bias).max())
+        assert r["lang_pred"] == names[int(e.argmax())] and math.isclose(r["score"], e.max() / e.sum(), rel_tol=1e-6)
+
+
 # ---- pipeline
 
 
