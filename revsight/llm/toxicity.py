@@ -50,10 +50,11 @@ _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_"
 # Common insults that vote whatever the marks.
 LEXICON = "idiot idiots moron morons loser losers stupid scum trash worthless pathetic disgusting clown dumb filthy vermin imbecile cretin scumbag".split()
 
+# Text patterns, each tried on texts that have one of its words.
 PATTERNS = (
-    re.compile(r"\b(you|they|those|these) (are|re) (all )?(a |an |such )?(%s)" % "|".join(LEXICON), re.I),
-    re.compile(r"\b(hate|kill|despise) (you|them|him|her|all)\b", re.I),
-    re.compile(r"\b(shut up|go away|get lost)\b", re.I),
+    (LEXICON, re.compile(r"\b(you|they|those|these) (are|re) (all )?(a |an |such )?(%s)" % "|".join(LEXICON), re.I)),
+    (["hate", "kill", "despise"], re.compile(r"\b(hate|kill|despise) (you|them|him|her|all)\b", re.I)),
+    (["shut", "go", "get"], re.compile(r"\b(shut up|go away|get lost)\b", re.I)),
 )
 
 
@@ -65,12 +66,13 @@ def level(h: int, n: int) -> int:
 class Words(dict):
     """Hashes of a word: itself and its beginnings; frequent words are cached."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, given: str) -> tuple[int, ...]:
+        word = given.strip(_STRIP)
         raw = word.encode("utf-8", "surrogatepass")
         out = {zlib.crc32(b"=" + raw) % BUCKETS, *(zlib.crc32(b"^" + word[:n].encode("utf-8", "surrogatepass")) % BUCKETS for n in BEGINNINGS if len(word) >= n)}
         found = self.keep(tuple(out)) if word else ()
         if len(self) < CACHE:
-            self[word] = found
+            self[given] = found
         return found
 
     def keep(self, found: tuple[int, ...]) -> tuple[int, ...]:
@@ -80,7 +82,9 @@ class Words(dict):
         """Features of a text: hashes of its distinct words, and how many words share one, up to ``LEVELS``."""
         if not text:
             return set()
-        n = Counter(h for word in {w.strip(_STRIP) for w in set(text.lower().split())} for h in self[word])
+        # most words have no feature that counts; their lookups stay in C
+        told = {w.strip(_STRIP) for w in filter(self.__getitem__, set(text.lower().split()))}
+        n = Counter(h for word in told for h in self[word])
         return {level(h, k) for h, c in n.items() for k in range(min(c, LEVELS))}
 
 
@@ -143,8 +147,8 @@ def mined(marked: DataFrame, most: int = FEATURES) -> list[int]:
     return out
 
 
-def lexicon_table() -> list[int]:
-    return [zlib.crc32(f"={w}".encode()) % BUCKETS for w in LEXICON]
+def table_of(words: list[str]) -> list[int]:
+    return [zlib.crc32(f"={w}".encode()) % BUCKETS for w in words]
 
 
 N_VOTERS = VOTERS + len(LEXICON) + len(PATTERNS)
@@ -155,12 +159,11 @@ def bands(n: int) -> list[int]:
     return [min(VOTERS - 1, int(4 * np.log2(1 + i / 4))) for i in range(n)]
 
 
-def votes_of(text: str | None, active: set[int], lexicon: list[int], band: list[int]) -> int:
-    """Bits of the voters that fire: bands of features, the lexicon's words, given as features, the patterns."""
+def votes_of(text: str | None, active: set[int], lexicon: list[int], band: list[int], triggers: list[set[int]]) -> int:
+    """Bits of the voters that fire: bands of features, the lexicon's words and the patterns, whose words are given as features."""
     out = sum(1 << b for b in {band[i] for i in active if i < len(band)})
     out |= sum(1 << VOTERS + i for i, at in enumerate(lexicon) if at in active)
-    if text:
-        out |= sum(1 << VOTERS + len(LEXICON) + i for i, pattern in enumerate(PATTERNS) if pattern.search(text))
+    out |= sum(1 << VOTERS + len(LEXICON) + i for i, (at, (_, pattern)) in enumerate(zip(triggers, PATTERNS)) if text and not at.isdisjoint(active) and pattern.search(text))
     return out
 
 
@@ -288,18 +291,21 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[list[int], np.ndarray,
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marks = materialise(marks_of(labels), "toxicity-marks")
     learning = docs.where(residue("doc_id", 5) != 0)
-    mined_table = mined(learning.join(marks, "doc_id"))
-    lex = lexicon_table()
+    # always the same join: marks may be many, and texts move once
+    mined_table = mined(learning.join(marks.hint("merge"), "doc_id"))
+    lex = table_of(LEXICON)
     table = [*mined_table, *[h for h in dict.fromkeys(lex) if h not in set(mined_table)]]
-    band, lex_at = bands(len(mined_table)), [table.index(h) for h in lex]
+    asked = [table_of(words) for words, _ in PATTERNS]
+    sought = [*table, *[h for h in dict.fromkeys(x for own in asked for x in own) if h not in set(table)]]
+    band, lex_at, triggers, width = bands(len(mined_table)), [sought.index(h) for h in lex], [{sought.index(h) for h in own} for own in asked], len(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Known(table)
+        words = Known(sought)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             active = [words.of(t) for t in texts]
-            votes = [votes_of(t, a, lex_at, band) for t, a in zip(texts, active)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted(a) for a in active] if "toxic" in batch.schema.names else [None] * len(votes), pa.list_(pa.int32())), pa.array(votes, pa.int64())], names=["doc_id", "at", "votes"])
+            votes = [votes_of(t, a, lex_at, band, triggers) for t, a in zip(texts, active)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted(x for x in a if x < width) for a in active] if "toxic" in batch.schema.names else [None] * len(votes), pa.list_(pa.int32())), pa.array(votes, pa.int64())], names=["doc_id", "at", "votes"])
 
     # every learning document's votes; texts are not moved for their marks
     kind = dict(docs.dtypes)["doc_id"]
