@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, materialise, partitions, residue, scratch_root, shuffles_freed, words_of
+from ._common import discard, materialise, partitions, residue, scratch_root, tidy, words_of
 
 ORDER = 3
 END = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -307,7 +307,7 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None,
         _tables(model)[0].write(int(key[0]), keys, [counts, place])
         return pd.DataFrame({"shard": [int(key[0])], "words": [np.bincount(own, minlength=_CLASSES)], "tokens": [int(counts.sum())]})
 
-    with shuffles_freed(spark):
+    with tidy(spark):
         found = docs.mapInArrow(count_words, _BLOBS).groupBy("shard").applyInPandas(keep_words, "shard int, words array<long>, tokens long").collect()
     held = np.zeros((_CLASSES, shards), np.int64)
     for r in found:

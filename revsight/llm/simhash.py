@@ -36,6 +36,10 @@ _KNOWN = 200_000
 ALL_PAIRS = 16
 #: Members of a bucket that one task compares at a time.
 SPLIT = 20_000
+#: Unsettled members of a large bucket that are tried with all before the others are.
+HUBS = 8
+#: Classes of shingles whose parities rule out pairs of a large bucket.
+PARITY = 1024
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -326,60 +330,122 @@ def _buckets(prefixes: DataFrame, similarity: float) -> DataFrame:
     return prefixes.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, _PAIRS)
 
 
-def _apart(large: DataFrame, sure: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that large buckets (key, nodes, sizes, rests) still have to try, given the links ``sure``.
+def _parities(texts: DataFrame, size: int) -> DataFrame:
+    """Rows (node, parity) of ``texts`` (node, text): for each of ``PARITY`` classes of shingles whether an odd number is in it.
 
-    A member is settled if links join it to its bucket's smallest node.  Every other one is tried with each member of
-    another component: members are dealt in blocks, the unsettled in chunks, and each block meets each chunk in a group of
-    its own, so a group is of at most about two ``SPLIT`` rows and settled members never meet.
+    Parities of two sets differ in at most as many places as the sets differ in shingles (Sandes et al., "Bitmap filter",
+    2017), so they rule pairs out and never a similar one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}
+        for batch in batches:
+            odd = [np.packbits(np.bincount((_hashed(t.as_py(), size, known) >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) % 2 == 1).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(odd, pa.binary())], names=["node", "parity"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, parity binary")
+
+
+def _apart(large: DataFrame, grouped: DataFrame, texts: DataFrame, size: int, similarity: float, hubs: int | None = None) -> DataFrame:
+    """Pairs (a, b) that large buckets (key, nodes, sizes, rests) still have to try, given groups (node, component) found so far.
+
+    A member is settled if it is in the group of its bucket's smallest node.  Every other one is tried with each member of
+    another component, unless places or parities of their shingles rule the pair out: members are dealt in blocks, the
+    unsettled in chunks, and each block meets each chunk in a group of its own, so a group is of at most about two
+    ``SPLIT`` rows and settled members never meet.  With ``hubs`` only about so many unsettled members of each bucket, the
+    same in all buckets by their hash, are tried with the others: that joins most of what a later call without would find.
     """
     members = large.select("key", F.explode(F.arrays_zip("nodes", "sizes", "rests")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"), F.col("x.rests").alias("rest"))
-    rooted = materialise(members.join(components(sure), "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("root")), "members")
+    rooted = materialise(members.join(grouped, "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("root")), "members")
     main = rooted.groupBy("key").agg(F.min_by("root", "node").alias("main"), F.count("*").alias("all"))
     loose = rooted.join(main, "key").where("root != main")
-    per_key = loose.groupBy("key").agg(F.first("main").alias("main"), F.ceil(F.first("all") / SPLIT).alias("blocks"), F.ceil(F.count("*") / SPLIT).alias("chunks"))
-    per_key = materialise(per_key, "open")
+    per_key = materialise(loose.groupBy("key").agg(F.first("main").alias("main"), F.ceil(F.first("all") / SPLIT).alias("blocks"), F.count("*").alias("open")), "open").withColumn("chunks", F.ceil(F.least("open", F.lit(hubs or (1 << 62))) / SPLIT))
     deal = lambda column: F.pmod(F.xxhash64("node"), F.col(column))
     each = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
     opened = rooted.join(per_key, "key")
-    fields = ["node", "n", "rest", "root"]
+    parities = _parities(texts.join(opened.select("node").distinct(), "node", "left_semi"), size)
+    opened = materialise(opened.join(parities, "node"), "opened")
+    fields = ["node", "n", "rest", "root", "parity"]
     own = opened.withColumn("block", deal("blocks")).select("key", "block", each("chunks").alias("chunk"), F.lit(0).cast("long").alias("loose"), *fields)
-    free = opened.where("root != main").withColumn("chunk", deal("chunks")).select("key", each("blocks").alias("block"), "chunk", F.lit(1).cast("long").alias("loose"), *fields)
+    loose = opened.where("root != main")
+    if hubs:
+        loose = loose.where(F.pmod(F.xxhash64(F.lit("hub"), "node"), F.lit(1 << 31)) * F.col("open") < F.lit(hubs << 31))
+    free = loose.withColumn("chunk", deal("chunks")).select("key", each("blocks").alias("block"), "chunk", F.lit(1).cast("long").alias("loose"), *fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, is_loose, node, n, rest, root in _grouped(batches, 3):
+        held: list[np.ndarray] = []  # parities in the order of the rows, as far as no group has used them
+
+        def numbers() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held.extend(np.frombuffer(x.as_py(), "<u8") for x in batch.column("parity"))
+                yield batch.select(batch.schema.names[:-1])
+
+        seen: set[tuple[int, int]] = set()
+        for _, _, _, is_loose, node, n, rest, root in _grouped(numbers(), 3):
+            parity = np.stack(held[: len(node)])
+            del held[: len(node)]
             here = np.flatnonzero(is_loose == 0)
+            out = []
             for i in np.flatnonzero(is_loose):
                 fit = here[_fits(n[here], rest[here], n[i], rest[i], similarity) & (root[here] != root[i])]
-                if len(fit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[fit], node[i])), pa.array(np.maximum(node[fit], node[i]))], names=["a", "b"])
+                apart = np.bitwise_count(parity[fit] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                fit = fit[apart <= n[fit] + n[i] - 2 * _needed(n[fit], n[i], similarity)]
+                out += zip(np.minimum(node[fit], node[i]).tolist(), np.maximum(node[fit], node[i]).tolist())
+            # near copies share many buckets
+            new = set(out) - seen
+            if len(seen) > _KNOWN:
+                seen.clear()
+            seen |= new
+            if new:
+                a, b = zip(*sorted(new))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = own.unionByName(free).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _checked(candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of ``candidates`` (a, b) whose ``texts`` (node, text) are that similar."""
-    pairs = candidates.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return _resembling(pairs.select("a", "text_a", "b", "text_b"), shingle, similarity)
+    """The pairs of ``candidates`` (a, b) whose ``texts`` (node, text) are that similar; only texts of some pair are moved."""
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = materialise(texts.join(ids, "node", "left_semi"), "needed")
+    pairs = candidates.join(needed.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(needed.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    found = materialise(_resembling(pairs.select("a", "text_a", "b", "text_b"), shingle, similarity), "links")
+    discard(needed)
+    return found
 
 
-def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) between ``texts`` (node long, text), all different, that join exactly those that similar pairs join.
+def similar_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (node, component) of those of ``texts`` (node long, text), all different, that similar pairs join to others.
 
     Candidates share a shingle of their prefixes (Chaudhuri et al., 2006) and pass the bound of its place (Xiao et al.,
     "PPJoin", 2008), which loses no pair of that similarity but by a collision of 64-bit hashes; each candidate is then
     held against the exact similarity.  In a small bucket every pair is tried; in a larger one first its smallest node with
-    each other, then the members that this leaves apart.
+    each other, then some of the members that this leaves apart with all, then every pair that is still apart.
     """
     found = materialise(_buckets(_prefixes(texts, shingle, similarity), similarity), "buckets")
-    sure = materialise(_checked(found.where("a IS NOT NULL").select("a", "b").distinct(), texts, shingle, similarity), "links")
+    candidates = materialise(found.where("a IS NOT NULL").select("a", "b").distinct(), "candidates")
+    first = materialise(components(_checked(candidates, texts, shingle, similarity)), "groups")
+    discard(candidates)
     large = found.where("a IS NULL").select("key", "nodes", "sizes", "rests")
-    if not large.isEmpty():
-        more = materialise(_checked(_apart(large, sure, similarity), texts, shingle, similarity), "links")
-        sure = sure.unionByName(more)
+    if large.isEmpty():
+        return first
+    for hubs in (HUBS, None):
+        candidates = materialise(_apart(large, first, texts, shingle, similarity, hubs), "candidates")
+        first = _regrouped(first, _checked(candidates, texts, shingle, similarity))
+        discard(candidates)
     discard(found)
-    return sure
+    return first
+
+
+def _regrouped(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """Groups (node, component) after further links (a, b): these join whole components, so most need no edge of their own."""
+    root = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
+    rooted = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = materialise(components(rooted.where("a != b").distinct()).withColumnRenamed("component", "last"), "joined")
+    moved = groups.join(joined.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    # nodes that only further links reach
+    fresh_nodes = joined.join(groups, "node", "left_anti").select("node", F.col("last").alias("component"))
+    return materialise(moved.unionByName(fresh_nodes), "groups")
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -399,7 +465,7 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     # the id is part of the key, so the copies of a text don't meet in one task
     texts = slim.join(own.withColumnRenamed("digest", "own_digest"), (F.col("digest") == F.col("own_digest")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).select("node", "text")
     texts = materialise(texts.dropDuplicates(["node"]), "texts")
-    grouped = components(similar_links(texts, shingle, similarity))
+    grouped = similar_groups(texts, shingle, similarity)
     labelled = nodes.join(grouped, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("root"))
     first = labelled.groupBy("root").agg(F.min("least").alias("first"))
     labels = materialise(labelled.join(first, "root").select("digest", "first"), "labels")

@@ -638,10 +638,28 @@ def test_large_buckets_are_tried_whole(spark, monkeypatch) -> None:
     assert first == {(i % 4, i) for i in range(4, 30)}
     large = found.where("a IS NULL").select("key", "nodes", "sizes", "rests")
     assert {(r["key"], n) for r in large.collect() for n in r["nodes"]} == {(5, i) for i in range(30)}
-    sure = spark.createDataFrame([(i % 4, i) for i in range(4, 28)], "a long, b long")
+    sure = spark.createDataFrame([(i, i % 4) for i in range(28)], "node long, component long")
     parts = {i: i % 4 if i < 28 else i for i in range(30)}
     want = {(i, j) for i in range(30) for j in range(i + 1, 30) if parts[i] != parts[j]}
-    assert {tuple(r) for r in simhash._apart(large, sure, 0.8).collect()} == want
+    same = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(104))) for i in range(30)], "node long, text string")
+    assert {tuple(r) for r in simhash._apart(large, sure, same, 5, 0.8).collect()} == want
+    # unlike texts are ruled out by their parities
+    other = same.withColumn("text", F.concat(F.col("text"), F.repeat(F.concat(F.lit(" v"), "node"), 3))).withColumn("text", F.when(F.col("node") == 28, F.reverse("text")).otherwise(F.col("text")))
+    assert {tuple(r) for r in simhash._apart(large, sure, other, 5, 0.8).collect()} == {p for p in want if 28 not in p}
+
+
+def test_parities_bound_the_difference(spark) -> None:
+    rng = np.random.default_rng(15)
+    texts = {}
+    for i in range(0, 60, 2):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(1, 400)))]
+        more = list(base)
+        for at in rng.integers(0, len(base), len(base) // 12):
+            more[at] = "new"
+        texts[i], texts[i + 1] = " ".join(base), " ".join(more)
+    sets = {i: set(simhash.shingles(t, 5)) for i, t in texts.items()}
+    got = {r["node"]: int.from_bytes(r["parity"], "big") for r in simhash._parities(spark.createDataFrame(list(texts.items()), "node long, text string"), 5).collect()}
+    assert all((got[a] ^ got[b]).bit_count() <= len(sets[a] ^ sets[b]) for a in texts for b in texts)
 
 
 def test_ids_that_several_texts_share(spark) -> None:
