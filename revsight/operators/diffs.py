@@ -1,8 +1,8 @@
-"""Unified diffs as lines: files, hunks and changes by running counts over numbered lines, without a user function."""
+"""Unified diffs: files by cutting texts at their headers, hunks and changes by running counts, without a user function."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import after_dot
@@ -45,28 +45,50 @@ def changes(all_lines: DataFrame) -> DataFrame:
     return joined.select("diff_id", "file", "hunk", "at", "kind", number.cast("int").alias("line_number"), true.cast("int").alias("true_line"), F.substring("text", 2, 1 << 30).alias("content"))
 
 
-def files(all_lines: DataFrame) -> DataFrame:
-    """One row per file: paths, kind of change, mode, binary flag, hashes and counts; the first ten lines tell."""
-    head = all_lines.where(F.col("place") <= HEADER_LINES)
-    text = F.col("text")
-    last = lambda test, value: F.max_by(F.when(test, value), F.when(test, F.col("at")))
-    is_old, is_new = text.startswith("---") & (F.trim(F.substring("text", 5, 1 << 30)) != "/dev/null"), text.startswith("+++") & (F.trim(F.substring("text", 5, 1 << 30)) != "/dev/null")
-    first = text.rlike(HEADER)
-    added, removed = text.startswith("new file mode"), text.startswith("deleted file mode")
-    # the leading characters a, b and / are taken off as a set
-    bare = lambda chars: F.ltrim(F.trim(F.substring("text", 5, 1 << 30)), F.lit(chars))
-    facts = head.groupBy("diff_id", "file").agg(
-        last(first, F.regexp_extract(text, HEADER, 2)).alias("file_path"),
-        F.coalesce(last(is_old, bare("a/")), last(first, F.regexp_extract(text, HEADER, 1))).alias("old_file"),
-        F.coalesce(last(is_new, bare("b/")), last(first, F.regexp_extract(text, HEADER, 2))).alias("new_file"),
-        F.coalesce(last(added | removed, F.when(added, "added").otherwise("removed")), F.lit("modified")).alias("change_type"),
-        last(added | removed, F.element_at(F.split(text, " "), -1)).alias("mode_change"),
-        F.bool_or(text.contains("Binary files") & text.contains("differ")).alias("is_binary"),
-        last(text.startswith("index"), F.regexp_extract(text, r"^index ([a-f0-9]+)\.\.([a-f0-9]+)", 2)).alias("new_hash"),
+#: Java line ends and multi-line anchors that know \n only.
+_SECTION, _HUNK_START = r"(?md)(?=^diff --git a/.*? b/)", r"(?md)(?=^@@)"
+_GOOD_HUNK = "(?d)" + HUNK
+
+
+def sections(diffs: DataFrame) -> DataFrame:
+    """One row (diff_id, file, text) for each file of each diff: its part of the text, from its header on."""
+    parts = F.filter(F.split("diff_text", _SECTION), lambda p: p.rlike("(?d)" + HEADER))
+    return diffs.select("diff_id", F.posexplode(parts).alias("file", "text")).withColumn("file", F.col("file") + 1)
+
+
+def _good_hunks(text: Column) -> Column:
+    return F.filter(F.split(text, _HUNK_START), lambda h: h.rlike(_GOOD_HUNK))
+
+
+def files(diffs: DataFrame) -> DataFrame:
+    """One row per file: paths, kind of change, mode, binary flag, hashes and counts; the first ten lines tell.
+
+    Everything is read off a file's own part of the text, so nothing is shuffled.
+    """
+    head = F.slice(F.split("text", "\n", HEADER_LINES + 1), 1, HEADER_LINES)
+    last = lambda test, value: value(F.element_at(F.filter(head, test), -1))
+    any_line = lambda test: F.exists(head, test)
+    name = lambda x: F.trim(F.substring(x, 5, 1 << 30))
+    is_old, is_new = (lambda x: x.startswith("---") & (name(x) != "/dev/null")), (lambda x: x.startswith("+++") & (name(x) != "/dev/null"))
+    first = lambda x: x.rlike(HEADER)
+    mode = lambda x: x.startswith("new file mode") | x.startswith("deleted file mode")
+    pick = lambda test, value: F.when(any_line(test), last(test, value))
+    path = lambda i: pick(first, lambda x: F.regexp_extract(x, HEADER, i))
+    total = lambda pattern: F.aggregate(_good_hunks(F.col("text")), F.lit(0).cast("long"), lambda n, h: n + F.regexp_count(h, F.lit(pattern)))
+    out = sections(diffs).select(
+        "diff_id",
+        "file",
+        path(2).alias("file_path"),
+        # the leading characters a, b and / are taken off as a set
+        F.coalesce(pick(is_old, lambda x: F.ltrim(name(x), F.lit("a/"))), path(1)).alias("old_file"),
+        F.coalesce(pick(is_new, lambda x: F.ltrim(name(x), F.lit("b/"))), path(2)).alias("new_file"),
+        F.coalesce(pick(mode, lambda x: F.when(x.startswith("new file mode"), "added").otherwise("removed")), F.lit("modified")).alias("change_type"),
+        pick(mode, lambda x: F.element_at(F.split(x, " "), -1)).alias("mode_change"),
+        any_line(lambda x: x.contains("Binary files") & x.contains("differ")).alias("is_binary"),
+        pick(lambda x: x.startswith("index"), lambda x: F.regexp_extract(x, r"^index ([a-f0-9]+)\.\.([a-f0-9]+)", 2)).alias("new_hash"),
+        total(r"(?md)^\+(?!\+\+)").alias("additions"),
+        total(r"(?md)^-(?!--)").alias("deletions"),
     )
-    good = all_lines.where("kind = 'hunk'").select("diff_id", "file", "hunk")
-    counts = all_lines.join(good, ["diff_id", "file", "hunk"], "left_semi").groupBy("diff_id", "file").agg(count_if(F.col("kind") == "added").alias("additions"), count_if(F.col("kind") == "removed").alias("deletions"))
-    out = facts.join(counts, ["diff_id", "file"], "left").na.fill(0, ["additions", "deletions"])
     return out.withColumn("changes", F.col("additions") + F.col("deletions"))
 
 
@@ -101,23 +123,31 @@ def risks(per_file: DataFrame) -> DataFrame:
     return per_file.select("diff_id", "file_path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("r")).select("diff_id", "file_path", "r.*")
 
 
-def patterns(all_lines: DataFrame, per_file: DataFrame) -> DataFrame:
+def patterns(diffs: DataFrame) -> DataFrame:
     """Per diff: changes to tests and documentation by path, and changed imports, functions and comments by line.
 
     A removed definition that has the number and text of an added one in its hunk counts as an addition.
     """
     path = F.lower("file_path")
     docs = F.col("file_path").isNotNull() & (path.contains(".md") | path.contains(".rst") | path.contains(".txt") | path.contains("readme") | path.contains("doc"))
-    by_path = per_file.groupBy("diff_id").agg(F.sum(F.when(path.contains("test"), F.col("changes")).otherwise(0)).alias("test_changes"), F.sum(F.when(docs, F.col("changes")).otherwise(0)).alias("documentation_changes"))
-    changed = changes(all_lines).where(F.col("kind").isin("added", "removed"))
-    twin = changed.where("kind = 'added'").select("diff_id", "file", "hunk", "line_number", "content", F.lit(True).alias("twin")).distinct()
-    marked = changed.join(twin, ["diff_id", "file", "hunk", "line_number", "content"], "left")
-    body = F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
-    imports = body.rlike(r"^(import |from |#include|require\()")
-    defines = ~imports & body.rlike(r"^(def |function |class )")
-    comments = ~imports & ~defines & body.rlike(r"^(#|//|/\*|\*)")
-    as_added = (F.col("kind") == "added") | F.col("twin").isNotNull()
-    by_line = marked.groupBy("diff_id").agg(count_if(imports).alias("import_changes"), count_if(defines & as_added).alias("function_additions"), count_if(defines & ~as_added).alias("function_deletions"), count_if(comments).alias("comment_changes"))
+    by_path = files(diffs).groupBy("diff_id").agg(F.sum(F.when(path.contains("test"), F.col("changes")).otherwise(0)).alias("test_changes"), F.sum(F.when(docs, F.col("changes")).otherwise(0)).alias("documentation_changes"))
+
+    def changed(h: Column) -> Column:
+        """(body, as_added) of the changed lines of a hunk: a line's number is the hunk's start and the lines of its kind before."""
+        rows = F.split(h, "\n")
+        added = F.filter(rows, lambda x: x.startswith("+") & ~x.startswith("+++"))
+        removed = F.filter(rows, lambda x: x.startswith("-") & ~x.startswith("---"))
+        body = lambda x: F.substring(x, 2, 1 << 30)
+        ahead = F.regexp_extract(h, _GOOD_HUNK, 1).cast("int") - F.regexp_extract(h, _GOOD_HUNK, 3).cast("int")
+        twin = lambda x, i: F.coalesce((i + ahead >= 0) & (body(F.get(added, i + ahead)) == body(x)), F.lit(False))
+        return F.concat(F.transform(added, lambda x: F.struct(body(x).alias("body"), F.lit(True).alias("as_added"))), F.transform(removed, lambda x, i: F.struct(body(x).alias("body"), twin(x, i).alias("as_added"))))
+
+    lines_of = sections(diffs).select("diff_id", F.explode_outer(F.flatten(F.transform(_good_hunks(F.col("text")), changed))).alias("c"))
+    told = lines_of.select("diff_id", F.trim(F.regexp_replace("c.body", r"^\s+|\s+$", "")).alias("body"), "c.as_added")
+    imports = F.col("body").rlike(r"^(import |from |#include|require\()")
+    defines = ~imports & F.col("body").rlike(r"^(def |function |class )")
+    comments = ~imports & ~defines & F.col("body").rlike(r"^(#|//|/\*|\*)")
+    by_line = told.groupBy("diff_id").agg(count_if(imports).alias("import_changes"), count_if(defines & F.col("as_added")).alias("function_additions"), count_if(defines & ~F.col("as_added")).alias("function_deletions"), count_if(comments).alias("comment_changes"))
     return by_path.join(by_line, "diff_id", "left").na.fill(0)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ _COLUMNS = ("review_id", "path", "title", "category", "severity", "rule_id", "li
 def findings(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """Issues of the code files among ``files`` (review_id, path, content), each kind of finding at most once per place."""
     code = scan.code_files(files.select("review_id", "path", "content"))
-    tree = syntax.nodes(code)
+    # every rule reads the nodes: files are parsed once, and nodes that don't fit memory go to disk
+    tree = syntax.nodes(code).persist(StorageLevel.MEMORY_AND_DISK)
     plain, security = syntax.issues(tree, ["review_id", "path"]), F.col("rule_id").isin(*syntax.SECURITY_RULES)
     parts = {
         "syntax": plain.where(~security),

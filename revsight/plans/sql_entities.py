@@ -221,12 +221,12 @@ def threads_of_type(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @register(
     "issues_on_lines",
-    with_sql("issues") + f""", l AS (SELECT DISTINCT review_id, file_path, line_start AS line FROM issues WHERE review_id % 10 = 0)
+    with_sql("issues") + f""", l AS (SELECT DISTINCT review_id, file_path, line_start AS line FROM issues)
 SELECT l.review_id, l.file_path, l.line, i.id AS issue_id, i.severity FROM l JOIN issues i ON i.review_id = l.review_id AND i.file_path = l.file_path AND l.line BETWEEN i.line_start AND {_LAST}""",
 )
 def issues_on_lines(spark, sf_dir):  # noqa: ANN001, ANN201
     issues = tables(spark, sf_dir, "issues")[0]
-    lines = issues.where("review_id % 10 = 0").select("review_id", "file_path", F.col("line_start").alias("line")).distinct()
+    lines = issues.select("review_id", "file_path", F.col("line_start").alias("line")).distinct()
     return relations.issues_on_lines(issues, lines, "review_id", "file_path")
 
 

@@ -10,7 +10,7 @@ from ..streaming import limiter
 from . import review
 from .registry import register, tables
 
-#: Python, JavaScript, Java and C sources that break rules, one file each; the driver's texts are prose.
+#: Python, JavaScript, Java and C sources that break rules, one file each, beside the stored files, whose texts are prose.
 SOURCES = (
     ("app/a.py", 'password = "hunter2hunter2"\ncur.execute("select 1")\nx = 5 % 2\ndebug = True\n'),
     ("app/b.py", "def Work(a, b, c, d, e, f=[]):\n    y = 7\n    for i in range(3):\n        z.append(i)\n    return 1\n    eval('2')\n"),
@@ -22,8 +22,11 @@ SOURCES = (
 )
 
 
-def source_files(spark):  # noqa: ANN001, ANN201
-    return spark.createDataFrame([(i % 2, p, c) for i, (p, c) in enumerate(SOURCES)], "review_id long, path string, content string")
+def source_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    """All stored files, each under a path of its own, and the planted sources."""
+    own = F.when(F.col("path") == "deps/setup.py", F.concat(F.lit("deps/"), "doc_id", F.lit("/setup.py"))).otherwise(F.col("path"))
+    stored = tables(spark, sf_dir, "files")[0].select("review_id", own.alias("path"), "content")
+    return stored.unionByName(spark.createDataFrame([(i % 2, p, c) for i, (p, c) in enumerate(SOURCES)], "review_id long, path string, content string"))
 
 
 def _secret_sql(pattern: str) -> str:
@@ -80,31 +83,31 @@ def code_chunks(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @register("review_findings")
 def review_findings(spark, sf_dir):  # noqa: ANN001, ANN201
-    return review.ranked(review.findings(source_files(spark), ["no_todo_comments"])).select("review_id", "place", "path", "rule_id", "severity", "category", "line_start")
+    return review.ranked(review.findings(source_files(spark, sf_dir), ["no_todo_comments"])).select("review_id", "place", "path", "rule_id", "severity", "category", "line_start")
 
 
 @register("review_scores")
 def review_scores(spark, sf_dir):  # noqa: ANN001, ANN201
-    return review.reviewed(source_files(spark))
+    return review.reviewed(source_files(spark, sf_dir))
 
 
 @register("code_structure")
 def code_structure(spark, sf_dir):  # noqa: ANN001, ANN201
-    files = source_files(spark)
+    files = source_files(spark, sf_dir)
     python = syntax.definitions(syntax.nodes(files.select("path", "content")))
     return python.select("path", F.lit("python").alias("language"), "kind", "name", "line").unionByName(scan.structure(files).select("path", "language", "kind", "name", "line"))
 
 
 def change_diffs(spark, sf_dir):  # noqa: ANN001, ANN201
     """A unified diff of each review, made from its line items: one file each, with as many added and removed lines as the item says."""
-    items = tables(spark, sf_dir, "issues")[0].where("review_id % 20 = 0").select("review_id", "id", "file_path", "line_start", F.when(F.col("severity") == "low", 1).otherwise(0).alias("gone"))
+    items = tables(spark, sf_dir, "issues")[0].select("review_id", "id", "file_path", "line_start", F.when(F.col("severity") == "low", 1).otherwise(0).alias("gone"))
     body = F.concat(F.repeat(F.lit("+import x\n"), F.col("line_start")), F.repeat(F.lit("-def y(a):\n"), F.col("gone") * 3), F.lit(" same\n"))
     name = F.concat(F.lit("a/"), "file_path", F.lit(" b/"), "file_path")
     one = F.concat(F.lit("diff --git "), name, F.lit("\nindex 1a2b3c4..5d6e7f8 100644\n--- a/"), "file_path", F.lit("\n+++ b/"), "file_path", F.lit("\n@@ -1,1 +1,1 @@ here\n"), body)
     return items.groupBy(F.col("review_id").alias("diff_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", one.alias("d")))), lambda x: x["d"]), "").alias("diff_text"))
 
 
-_ITEMS = """, i AS (SELECT review_id AS diff_id, id, file_path, CAST(line_start AS BIGINT) AS additions, CAST(CASE WHEN severity = 'low' THEN 3 ELSE 0 END AS BIGINT) AS deletions FROM issues WHERE review_id % 20 = 0)"""
+_ITEMS = """, i AS (SELECT review_id AS diff_id, id, file_path, CAST(line_start AS BIGINT) AS additions, CAST(CASE WHEN severity = 'low' THEN 3 ELSE 0 END AS BIGINT) AS deletions FROM issues)"""
 
 
 @register(
@@ -114,23 +117,22 @@ _ITEMS = """, i AS (SELECT review_id AS diff_id, id, file_path, CAST(line_start
 )
 def diff_totals(spark, sf_dir):  # noqa: ANN001, ANN201
     made = change_diffs(spark, sf_dir)
-    return diffs.totals(made, diffs.files(diffs.lines(made)))
+    return diffs.totals(made, diffs.files(made))
 
 
 @register("diff_types", with_sql("issues") + _ITEMS + " SELECT diff_id, string_split(file_path, '.')[-1] AS extension, count(*) AS files, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions FROM i GROUP BY ALL")
 def diff_types(spark, sf_dir):  # noqa: ANN001, ANN201
-    return diffs.by_type(diffs.files(diffs.lines(change_diffs(spark, sf_dir))))
+    return diffs.by_type(diffs.files(change_diffs(spark, sf_dir)))
 
 
 @register("diff_patterns", with_sql("issues") + _ITEMS + " SELECT diff_id, 0::BIGINT AS test_changes, 0::BIGINT AS documentation_changes, CAST(sum(additions) AS BIGINT) AS import_changes, 0::BIGINT AS function_additions, CAST(sum(deletions) AS BIGINT) AS function_deletions, 0::BIGINT AS comment_changes FROM i GROUP BY diff_id")
 def diff_patterns(spark, sf_dir):  # noqa: ANN001, ANN201
-    all_lines = diffs.lines(change_diffs(spark, sf_dir))
-    return diffs.patterns(all_lines, diffs.files(all_lines))
+    return diffs.patterns(change_diffs(spark, sf_dir))
 
 
 @register("diff_largest", with_sql("issues") + _ITEMS + ", r AS (SELECT *, additions + deletions AS changes, CAST(row_number() OVER (PARTITION BY diff_id ORDER BY additions + deletions DESC, id) AS INTEGER) AS place FROM i) SELECT diff_id, place, file_path, changes, additions, deletions FROM r WHERE place <= 5")
 def diff_largest(spark, sf_dir):  # noqa: ANN001, ANN201
-    return diffs.largest(diffs.files(diffs.lines(change_diffs(spark, sf_dir))))
+    return diffs.largest(diffs.files(change_diffs(spark, sf_dir)))
 
 
 @register("request_counts", with_sql("requests") + " SELECT client, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS requests FROM requests GROUP BY ALL")

@@ -122,15 +122,66 @@ DIFF = "diff --git a/app/auth.py b/app/auth.py\nindex 1a2b3c4..5d6e7f8 100644\n-
 def test_diff(spark) -> None:
     df = spark.createDataFrame([(1, DIFF), (2, " "), (3, None)], "diff_id long, diff_text string")
     lines = diffs.lines(df)
-    files = diffs.files(lines)
+    files = diffs.files(df)
     assert one(files.select("file_path", "old_file", "new_file", "change_type", "additions", "deletions", "changes")) == ("app/auth.py", "pp/auth.py", "app/auth.py", "modified", 2, 1, 3)
     assert [(r["kind"], r["line_number"], r["true_line"]) for r in diffs.changes(lines).orderBy("at").collect()] == [("context", 10, 10), ("removed", 10, 11), ("added", 10, 11), ("added", 11, 12)]
     assert {r["diff_id"]: r["complexity_score"] for r in diffs.totals(df, files).collect()} == {1: 0.53, 2: 0.0, 3: 0.0}
     assert [tuple(r) for r in diffs.risks(files).collect()] == [(1, "app/auth.py", "critical_file", "high", ".*auth.*")]
-    assert one(diffs.patterns(lines, files)) == (1, 0, 0, 0, 1, 1, 1)
+    assert one(diffs.patterns(df)) == (1, 0, 0, 0, 1, 1, 1)
     assert {r["name"] for r in diffs.changed_functions(lines).collect()} == {"new", "old"}
 
 
+ODD_DIFF = """Subject: a note
+diff --git a/docs/READ.md b/docs/READ.md
+new file mode 100644
+index 0000000..abc1234
+--- /dev/null
++++ b/docs/READ.md
+@@ -0,0 +1,2 @@
++# title
++import x
+diff --git a/b/old.bin b/b/new.bin
+index 1111111..2222222 100644
+Binary files a/b/old.bin and b/b/new.bin differ
+diff --git a/test/gone.py b/test/gone.py
+deleted file mode 100755
+--- a/test/gone.py
++++ /dev/null
+@@ -3,4 +3,4 @@ def f():
+ kept
+-def same(a):
+---- not a removed line
+-class Old:
++def same(a):
++++ neither
+\\ No newline at end of file
+@@ broken hunk @@
++never counted
+-nor this
+"""
+
+
+def test_diffs_with_new_binary_and_deleted_files(spark) -> None:
+    df = spark.createDataFrame([(7, ODD_DIFF)], "diff_id long, diff_text string")
+    got = {r["file_path"]: r for r in diffs.files(df).collect()}
+    assert [(r["file"], r["change_type"], r["mode_change"], r["is_binary"], r["additions"], r["deletions"]) for r in sorted(got.values(), key=lambda r: r["file"])] == [
+        (1, "added", "100644", False, 2, 0),
+        (2, "modified", None, True, 0, 0),
+        (3, "removed", "100755", False, 1, 2),
+    ]
+    assert (got["docs/READ.md"]["old_file"], got["docs/READ.md"]["new_hash"]) == ("docs/READ.md", "abc1234")
+    assert got["b/new.bin"]["old_file"] == "b/old.bin" and got["test/gone.py"]["new_file"] == "test/gone.py"
+    # counts agree with those of numbered lines
+    lines = diffs.lines(df)
+    kinds = {(r["file"], r["kind"]): r["n"] for r in diffs.changes(lines).groupBy("file", "kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {(1, "added"): 2, (3, "added"): 1, (3, "removed"): 2, (3, "context"): 1}
+    # the removed twin of an added definition counts as added
+    assert diffs.patterns(df).collect()[0].asDict() == {"diff_id": 7, "test_changes": 3, "documentation_changes": 2, "import_changes": 1, "function_additions": 2, "function_deletions": 1, "comment_changes": 1}
+    assert {(r["type"], r["file_path"]) for r in diffs.risks(diffs.files(df)).collect()} == {("new_file", "docs/READ.md"), ("binary_change", "b/new.bin"), ("file_deletion", "test/gone.py")}
+    assert df.select(diffs.commit_message(F.col("diff_text"))).first()[0] == "a note"
+
+
+
 def test_rate_limit(spark) -> None:
     rows = [(i, "c", 0) for i in range(100)] + [(100, "c", 1), (101, "c", 59), (102, "c", 60)]
     df = spark.createDataFrame(rows, "request_id long, client string, s int").select("request_id", "client", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("s"))).alias("ts"))
