@@ -28,9 +28,11 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share; a local session that names none gets one of its own, a cluster an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark, "_revsight_scratch", None)
         if root is None:
             root = spark._revsight_scratch = "file://" + tempfile.mkdtemp(prefix="revsight-")
