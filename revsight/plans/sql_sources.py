@@ -149,6 +149,15 @@ def trailing_requests(spark, sf_dir):  # noqa: ANN001, ANN201
     return limiter.trailing_counts(tables(spark, sf_dir, "requests")[0], 3600).select("request_id", "client", "in_window")
 
 
-@register("rate_limit")
+_HELD = "list_filter(s.held, lambda h: h > n.u - 3600000000)"
+
+
+@register(
+    "rate_limit",
+    with_sql("requests").replace("WITH ", "WITH RECURSIVE ", 1) + f""", n AS (SELECT request_id, client, epoch_us(ts) AS u, row_number() OVER (PARTITION BY client ORDER BY ts, request_id) AS k FROM requests),
+s AS (SELECT client, k, request_id, TRUE AS accepted, [u] AS held FROM n WHERE k = 1
+  UNION ALL SELECT n.client, n.k, n.request_id, len({_HELD}) < 3, CASE WHEN len({_HELD}) < 3 THEN list_append({_HELD}, n.u) ELSE {_HELD} END FROM s JOIN n ON n.client = s.client AND n.k = s.k + 1)
+SELECT request_id, client, accepted FROM s""",
+)
 def rate_limit(spark, sf_dir):  # noqa: ANN001, ANN201
     return limiter.limited(tables(spark, sf_dir, "requests")[0], 3, 3600).select("request_id", "client", "accepted")

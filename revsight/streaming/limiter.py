@@ -15,10 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LIMIT, WINDOW = 100, 60
+MICROS = 1_000_000
 
 
-def decided(times: list[float], held: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
-    """Whether each request, in order of time, is accepted; and the accepted times that stay in the window."""
+def _micros(ts: pd.Series) -> list[int]:
+    return [t.value // 1000 for t in ts]
+
+
+def decided(times: list[int], held: list[int], limit: int, window: int) -> tuple[list[bool], list[int]]:
+    """Whether each request, in order of time, is accepted; and the accepted times that stay in the window.
+
+    Times are whole numbers, so that one exactly a window ago is out of it whatever its fraction of a second.
+    """
     out = []
     for t in times:
         held = [h for h in held if h > t - window]
@@ -40,7 +48,8 @@ def limited(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> Da
 
     A client's requests are cut where it pauses for a whole window: nothing before such a pause can count after it, so the
     stretches are independent groups and a busy client is spread over many tasks unless it never pauses.  In a stretch of
-    no more than ``limit`` requests all are accepted; only longer ones need their order replayed.
+    no more than ``limit`` requests all are accepted; only longer ones need their order replayed, which streams through sorted
+    rows: a stretch of any length takes the memory of one batch and ``limit`` times.
     """
     from pyspark.sql import Window
 
@@ -48,14 +57,22 @@ def limited(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> Da
     gap = (F.col("ts") - F.lag("ts").over(order)).cast("interval second").cast("decimal(20,6)")
     cut = requests.withColumn("stretch", F.sum(F.coalesce((gap >= window).cast("int"), F.lit(1))).over(order))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"])
-        pdf["accepted"] = decided([t.value / 1e9 for t in pdf["ts"]], [], limit, window)[0]
-        return pdf[["request_id", "client", "ts", "accepted"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted by client, stretch and time; what is held is one stretch's accepted times of one window
+        at, held = None, []
+        for pdf in batches:
+            accepted = []
+            for key, part in pdf.groupby(["client", "stretch"], sort=False, dropna=False):
+                known = at is not None and all(x == y or (x != x and y != y) for x, y in zip(key, at))
+                yes, held = decided(_micros(part["ts"]), held if known else [], limit, window * MICROS)
+                at = key
+                accepted += yes
+            yield pdf.assign(accepted=accepted)[["request_id", "client", "ts", "accepted"]]
 
     sized = cut.withColumn("n", F.count("*").over(Window.partitionBy("client", "stretch")))
     free = sized.where(F.col("n") <= limit).select("request_id", "client", "ts", F.lit(True).alias("accepted"))
-    busy = sized.where(F.col("n") > limit).groupBy("client", "stretch").applyInPandas(run, "request_id long, client string, ts timestamp_ntz, accepted boolean")
+    dealt = sized.where(F.col("n") > limit).drop("n").repartition("client", "stretch").sortWithinPartitions("client", "stretch", "ts", "request_id")
+    busy = dealt.mapInPandas(run, "request_id long, client string, ts timestamp_ntz, accepted boolean")
     return free.unionByName(busy)
 
 
@@ -71,12 +88,12 @@ def limited_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW
             return
         held = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        pdf["accepted"], held = decided([t.value / 1e9 for t in pdf["ts"]], held, limit, window)
+        pdf["accepted"], held = decided(_micros(pdf["ts"]), held, limit, window * MICROS)
         state.update((held,))
-        state.setTimeoutTimestamp(max(int(max(held, default=0.0) * 1000) + 1000 * window, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(max(held, default=0) // 1000 + 1000 * window, state.getCurrentWatermarkMs() + 1))
         yield pdf[["request_id", "client", "ts", "accepted"]]
 
-    return requests.withWatermark("ts", f"{window} seconds").groupBy("client").applyInPandasWithState(run, "request_id long, client string, ts timestamp, accepted boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return requests.withWatermark("ts", f"{window} seconds").groupBy("client").applyInPandasWithState(run, "request_id long, client string, ts timestamp, accepted boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def trailing_counts(requests: DataFrame, window: int = WINDOW) -> DataFrame:
