@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a background review reports at the start of each stage, in percent.
+STAGES = {"starting": 0, "cloning": 10, "listing": 20, "scoring": 80, "saving": 90, "finished": 100}
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -55,3 +58,22 @@ def relative(seconds: Column | str) -> Column:
     s = _col(seconds)
     part = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(f"{unit} ago"))
     return F.when(s < 60, "just now").when(s < 3600, part(60, "m")).when(s < 86400, part(3600, "h")).otherwise(part(86400, "d"))
+
+
+def progress_percent(progress: Column | str) -> Column:
+    """A share as a whole number of percent, halves up."""
+    return F.floor(_col(progress) * 100 + 0.5).cast("long")
+
+
+def whole_minutes(seconds: Column | str) -> Column:
+    """Minutes, begun ones counted in full."""
+    return F.ceil(_col(seconds) / 60)
+
+
+def task_progress(stage: Column | str, done: Column | str, total: Column | str) -> Column:
+    """Percent that a background review reports: its stage's fixed value, and 20 to 80 over the files while they are analysed."""
+    s, n = _col(stage), F.greatest(_col(total), F.lit(1))
+    out = F.when(s == "analysing", 20 + F.floor(_col(done) * 60 / n))
+    for name, value in STAGES.items():
+        out = out.when(s == name, value)
+    return out.cast("long")

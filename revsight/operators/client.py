@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import prefixes
@@ -53,6 +53,28 @@ def total_issues(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("repository_id").agg(F.coalesce(F.sum("total_issues"), F.lit(0)).cast("long").alias("total_issues"))
 
 
+def shown_totals(stored: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Per repository of ``stored`` (repository_id, total): the stored total, or the sum over reviews where it is null or 0."""
+    summed = total_issues(reviews)
+    return stored.join(summed, "repository_id", "left").select("repository_id", F.coalesce(F.nullif("total", F.lit(0)), "total_issues", F.lit(0)).cast("long").alias("total"))
+
+
+def categories(issues: DataFrame) -> DataFrame:
+    """Categories that occur in each review, sorted."""
+    return issues.groupBy("review_id").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+
+
+def repository_counts(repositories: DataFrame) -> DataFrame:
+    """Per owner: repositories, active ones, and those with a provider's number."""
+    return repositories.groupBy("owner_id").agg(F.count("*").alias("total"), count_if(F.col("is_active")).alias("active"), count_if(F.col("external_id").isNotNull()).alias("connected"))
+
+
+def chart(series: DataFrame, key: str, at: str) -> DataFrame:
+    """Points of a chart: ``label``, the day in words, and ``place`` by the time itself (ties by id), not by the label."""
+    order = Window.partitionBy(key).orderBy(at, "id")
+    return series.withColumn("label", F.date_format(at, "MMMM d, yyyy")).withColumn("place", F.row_number().over(order))
+
+
 def activity(repositories: DataFrame, limit: int = 5) -> DataFrame:
     """The first repositories as feed entries; one stand-in entry where there are none."""
     rows = repositories.orderBy("id").limit(limit).select(F.col("id"), F.lit("repository").alias("kind"), F.concat(F.lit("Connected "), F.col("name")).alias("text"))

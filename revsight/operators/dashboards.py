@@ -21,6 +21,12 @@ def owned_reviews(reviews: DataFrame, repositories: DataFrame) -> DataFrame:
     return reviews.join(repositories.select(F.col("id").alias("repository_id"), "owner_id"), "repository_id")
 
 
+def quality_series(reviews: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """Scores of completed reviews of the last ``days`` days that have a quality score, oldest first per repository; zeros stay."""
+    recent = reviews.where(done() & (F.col("completed_at") >= days_before(as_of, days)) & F.col("code_quality_score").isNotNull())
+    return recent.select("repository_id", F.col("id").alias("review_id"), F.col("completed_at").alias("date"), F.col("code_quality_score").alias("quality_score"), "security_score", "total_issues", "critical_issues").orderBy("repository_id", "date", "review_id")
+
+
 def overview(users: DataFrame, repositories: DataFrame, reviews: DataFrame, as_of: str) -> DataFrame:
     """One row per user: review counts, issue sums and mean scores of completed reviews, repository counts; zeros without any."""
     per_repo = reviews.groupBy("repository_id").agg(

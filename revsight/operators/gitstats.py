@@ -53,6 +53,20 @@ def change_summary(changes: DataFrame) -> DataFrame:
     return changes.withColumn("change", change_type()).groupBy("repo_id", "change").agg(F.count("*").alias("files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
 
 
+def commit_info(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """One record per commit: short name, author, trimmed message, and files, added and removed lines of its changes."""
+    path = F.coalesce("b_path", "a_path")
+    stats = changes.groupBy("repo_id", "sha").agg(F.count_distinct(path).alias("total_files"), F.sum("additions").alias("insertions"), F.sum("deletions").alias("deletions"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return commits.join(stats, ["repo_id", "sha"], "left").select("repo_id", "sha", F.substring("sha", 1, 8).alias("short_sha"), "author_name", "author_email", "committed_at", F.trim("message").alias("message"), zero("total_files"), zero("insertions"), zero("deletions"))
+
+
+def branch_heads(refs: DataFrame, commits: DataFrame) -> DataFrame:
+    """Branches (repo_id, name, sha, is_current, tracking) with the date, author and first 100 characters of their head."""
+    heads = commits.select("repo_id", "sha", "committed_at", "author_name", F.substring(F.trim("message"), 1, 100).alias("message"))
+    return refs.join(heads, ["repo_id", "sha"], "left").select("repo_id", "name", "is_current", "sha", "committed_at", "author_name", "message", "tracking")
+
+
 def patch_counts(patch):  # noqa: ANN001, ANN201
     """(added, removed) lines of a patch: + but not +++, - but not ---."""
     lines = F.split(patch, "\n")

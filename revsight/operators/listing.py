@@ -97,6 +97,25 @@ def users(df: DataFrame, search: str | None = None, order_by: str = "id", descen
     return df
 
 
+def user_count(df: DataFrame, search: str | None = None, **flags: bool) -> DataFrame:
+    """One row: how many users the list has without paging."""
+    return users(df, search, "", **flags).agg(F.count("*").alias("users"))
+
+
+def client_reviews(df: DataFrame, search: str | None = None, status: str | None = None) -> DataFrame:
+    """The review list of the client: a status and plain text in the title."""
+    if search:
+        df = df.where(any_contains(search, "title"))
+    return df.where(F.col("status") == status) if status else df
+
+
+def sorted_issues(df: DataFrame, by: str = "severity", descending: bool = True) -> DataFrame:
+    """The client's issue order by severity, category, file or creation; equal ones by id."""
+    keys = {"severity": severity_rank("severity"), "category": F.col("category"), "file": F.col("file_path"), "created": F.col("created_at")}
+    key = keys.get(by, keys["severity"])
+    return df.orderBy(key.desc() if descending else key.asc(), "id")
+
+
 def between(df: DataFrame, start: str, end: str) -> DataFrame:
     """Created from ``start`` to ``end``, both included, newest first."""
     return df.where(F.col("created_at").between(moment(start), moment(end))).orderBy(F.col("created_at").desc(), F.col("id").desc())

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import after_dot
-from ..functions.scores import count_if, quality_metrics, round2, trend, truthy
-from ..functions.times import moment, week_key
+from ..functions.scores import count_if, quality_metrics, round2, severity_rank, trend, truthy
+from ..functions.texts import issue_lines
+from ..functions.times import moment, week_key, whole_days_between
+from ..schemas import SEVERITIES
 from .dashboards import done, owned_reviews
 
 
@@ -69,6 +71,71 @@ def recommendations(reviews: DataFrame, repositories: DataFrame) -> DataFrame:
     return facts.select("owner_id", F.explode(rows).alias("r")).select("owner_id", "r.area", "r.priority")
 
 
+def team_report(reviews: DataFrame, repositories: DataFrame, issues: DataFrame, start: str, end: str) -> DataFrame:
+    """Per owner with reviews in the period: totals, the trend of completed reviews, issues by category, and recommendations.
+
+    ``days`` is whole days.  Owners without a review have no row.  Issues are those of the period's reviews.  Only completed
+    reviews count in the issue sums, the mean quality, the trend and the recommendations.
+    """
+    held = in_period(owned_reviews(reviews, repositories), start, end)
+    plain = held.drop("owner_id")
+    facts = held.groupBy("owner_id").agg(
+        F.count("*").alias("total_reviews"),
+        count_if(done()).alias("completed_reviews"),
+        F.coalesce(F.avg(F.when(done() & truthy("code_quality_score"), F.col("code_quality_score"))), F.lit(0.0)).alias("q"),
+        F.coalesce(F.sum(F.when(done(), F.col("total_issues"))), F.lit(0)).cast("long").alias("total_issues_found"),
+        F.coalesce(F.sum(F.when(done(), F.col("critical_issues"))), F.lit(0)).cast("long").alias("critical_issues_found"),
+    )
+    trends = weekly_trends(plain.where(done()), repositories).select("owner_id", "trend", F.col("change").alias("trend_change"))
+    named = issues.join(held.select(F.col("id").alias("review_id"), "owner_id"), "review_id")
+    counts = named.groupBy("owner_id", "category").agg(F.count("*").alias("n")).groupBy("owner_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "n"))), lambda x: F.concat(x["category"], F.lit("="), x["n"].cast("string"))), ",").alias("issues_by_category"))
+    advised = recommendations(plain.where(done()), repositories).groupBy("owner_id").agg(F.array_join(F.array_sort(F.collect_list("area")), ",").alias("recommendations"))
+    out = facts.join(trends, "owner_id", "left").join(counts, "owner_id", "left").join(advised, "owner_id", "left")
+    return out.select(
+        "owner_id",
+        whole_days_between(moment(start), moment(end)).cast("long").alias("days"),
+        "total_reviews",
+        "completed_reviews",
+        round2(F.col("completed_reviews") / F.col("total_reviews") * 100.0).alias("completion_rate"),
+        round2(F.col("q")).alias("average_quality_score"),
+        "total_issues_found",
+        "critical_issues_found",
+        F.coalesce("trend", F.lit("insufficient_data")).alias("trend"),
+        F.coalesce("trend_change", F.lit(0.0)).alias("trend_change"),
+        F.coalesce("issues_by_category", F.lit("")).alias("issues_by_category"),
+        F.coalesce("recommendations", F.lit("")).alias("recommendations"),
+    )
+
+
+_REPLIED = "array<struct<title:string,description:string,category:string,severity:string,line_number:int,code_snippet:string,suggested_fix:string,explanation:string>>"
+# What a replied issue holds where the reply says nothing.
+REPLY_DEFAULTS = {"title": "AI Detected Issue", "description": "", "category": "general", "code_snippet": "", "suggested_fix": "", "explanation": ""}
+
+
+def replied_issues(replies: DataFrame) -> DataFrame:
+    """Issues written as a JSON array somewhere in ``reply``: from the first [ to the last ].  Rows keep the other columns.
+
+    No array, or one that can't be read: no rows.  Missing fields take defaults; an unknown severity is medium.
+    """
+    keys = [c for c in replies.columns if c != "reply"]
+    found = F.from_json(F.regexp_extract("reply", r"(?s)\[.*\]", 0), _REPLIED)
+    rows = replies.select(*keys, F.posexplode(found).alias("place", "i")).where("i IS NOT NULL")
+    text = {c: F.coalesce(F.col(f"i.{c}"), F.lit(v)) for c, v in REPLY_DEFAULTS.items()}
+    severity = F.when(F.col("i.severity").isin(*SEVERITIES), F.col("i.severity")).otherwise("medium")
+    return rows.select(
+        *keys, "place", text["title"].alias("title"), text["description"].alias("description"), text["category"].alias("category"), severity.alias("severity"), F.lit("ai_analysis").alias("rule_id"),
+        F.coalesce("i.line_number", F.lit(1)).alias("line_start"), text["code_snippet"].alias("code_snippet"), text["suggested_fix"].alias("suggested_fix"), text["explanation"].alias("ai_explanation"), F.lit(0.75).alias("confidence_score"),
+    )
+
+
+def top_issues(issues: DataFrame, limit: int = 10) -> DataFrame:
+    """Per review, the text that lists its worst issues (by severity, certainty, id)."""
+    order = Window.partitionBy("review_id").orderBy(severity_rank("severity").desc(), F.coalesce("confidence_score", F.lit(0.5)).desc(), "id")
+    best = issues.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit)
+    listed = best.groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("_place", "title", "severity", "file_path", "line_start"))).alias("rows"))
+    return listed.select("review_id", issue_lines(F.col("rows")).alias("top_issues"))
+
+
 def quality_of(issues: DataFrame, reviews: DataFrame) -> DataFrame:
     """Counts and the four scores of every review; a review without issues scores 10 throughout."""
     kinds = {s: count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")}

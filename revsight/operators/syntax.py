@@ -19,10 +19,16 @@ from .rules import FIXES
 
 NODES = (
     "node int, parent int, field string, idx int, kind string, line int, end_line int, name string, value string, value_type string, op string, names array<string>, size int, "
-    "doc string, functions array<int>, loops array<int>"
+    "doc string, functions array<int>, loops array<int>, depth int"
 )
 
 
+#: Nodes that make what is inside them one level deeper.
+CONTROL = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.TryStar, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp)
+#: Levels of control flow that are not too deep.
+DEPTH = 10
+
+
 def _facts(node: ast.AST) -> dict:
     """What rules may ask of one node."""
     name = next((getattr(node, a) for a in ("name", "id", "attr", "arg", "module") if isinstance(getattr(node, a, None), str)), None)
@@ -57,20 +63,23 @@ def listed(source: str) -> Iterator[dict]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        yield {"node": 0, "parent": -1, "field": "", "idx": 0, "kind": "SyntaxError", "line": getattr(e, "lineno", None) or 1, "end_line": None, "name": None, "value": getattr(e, "msg", None) or str(e), "value_type": None, "op": None, "names": [], "size": 0, "doc": None, "functions": [], "loops": []}
+        yield {"node": 0, "parent": -1, "field": "", "idx": 0, "kind": "SyntaxError", "line": getattr(e, "lineno", None) or 1, "end_line": None, "name": None, "value": getattr(e, "msg", None) or str(e), "value_type": None, "op": None, "names": [], "size": 0, "doc": None, "functions": [], "loops": [], "depth": 0}
         return
-    waiting, number = [(tree, -1, "", 0, (), (), None)], 0
+    waiting, number = [(tree, -1, "", 0, (), (), None, 0)], 0
     while waiting:
-        node, parent, field, idx, functions, loops, line = waiting.pop()
+        node, parent, field, idx, functions, loops, line, depth = waiting.pop()
         line = getattr(node, "lineno", line)
         here, number = number, number + 1
-        yield {"node": here, "parent": parent, "field": field, "idx": idx, "kind": type(node).__name__, "line": line, "end_line": getattr(node, "end_lineno", line), "functions": list(functions), "loops": list(loops)} | _facts(node)
+        yield {"node": here, "parent": parent, "field": field, "idx": idx, "kind": type(node).__name__, "line": line, "end_line": getattr(node, "end_lineno", line), "functions": list(functions), "loops": list(loops), "depth": depth} | _facts(node)
         if isinstance(node, ast.FunctionDef):
             functions = (*functions, here)
         if isinstance(node, ast.For):
             loops = (*loops, here)
+        inner = depth + isinstance(node, CONTROL)
         below = [(child, here, f, i) for f, v in ast.iter_fields(node) for i, child in enumerate(v if isinstance(v, list) else [v]) if isinstance(child, ast.AST) and not isinstance(child, (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop))]
-        waiting += [(*b, functions, loops, line) for b in reversed(below)]
+        # an elif starts in its if's column and is no deeper than that
+        same = lambda b: isinstance(node, ast.If) and b[2] == "orelse" and isinstance(b[0], ast.If) and b[0].col_offset == node.col_offset
+        waiting += [(*b, functions, loops, line, depth if same(b) else inner) for b in reversed(below)]
 
 
 def nodes(files: DataFrame) -> DataFrame:
@@ -218,6 +227,22 @@ def issues(all_nodes: DataFrame, keys: list[str] | None = None, helpers: bool =
     return reduce(DataFrame.unionByName, out)
 
 
+def deep_nesting(all_nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Control flow under more than ten levels of it: statements, conditional expressions, and each and/or of a chain.
+
+    An elif belongs to its if and is no statement of its own; an and/or stands on the line of the operand that follows it.
+    """
+    keys = keys or ["path"]
+    parent = all_nodes.where(_is("If", "BoolOp")).select(*keys, F.col("node").alias("parent"), F.col("kind").alias("above"), F.col("depth").alias("above_depth"))
+    deep = all_nodes.where(F.col("depth") > DEPTH).join(parent, [*keys, "parent"], "left")
+    joint = (F.col("above") == "BoolOp") & (F.col("field") == "values") & (F.col("idx") > 0)
+    no_elif = ~F.coalesce(_is("If") & (F.col("above") == "If") & (F.col("field") == "orelse") & (F.col("depth") == F.col("above_depth")), F.lit(False))
+    control = _is(*[k.__name__ for k in CONTROL]) & no_elif
+    times = F.flatten(F.array(F.when(control, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")), F.when(F.coalesce(joint, F.lit(False)), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))))
+    severity, title = RULES["high_complexity"]
+    return deep.select("*", F.explode(times)).select(*keys, F.lit(title).alias("title"), F.concat(F.lit("Complex control flow detected (depth: "), F.col("depth").cast("string"), F.lit(")")).alias("description"), F.lit("maintainability").alias("category"), F.lit(severity).alias("severity"), F.lit("high_complexity").alias("rule_id"), F.col("line").cast("int").alias("line_start"), F.col("end_line").cast("int").alias("line_end"), F.lit(0.9).alias("confidence_score"))
+
+
 def definitions(all_nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Functions, classes, imports and variables of Python files as rows: kind, name, line, end_line, detail, complexity."""
     keys = keys or ["path"]

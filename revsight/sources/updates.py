@@ -26,6 +26,68 @@ def updated(df: DataFrame, changes: DataFrame, key: str = "id", now: str | None
     return out.select(*columns)
 
 
+# What a new row of each entity holds where nothing is given, as SQL.
+DEFAULTS = {
+    "users": {"is_active": "true", "is_verified": "false", "is_superuser": "false", "preferences": "'{}'", "notification_settings": "'{}'"},
+    "repositories": {"default_branch": "'main'", "is_private": "false", "is_active": "true", "is_archived": "false", "analysis_enabled": "true", "auto_review": "true", "review_rules": "'{}'", "notification_settings": "'{}'", "size": "0", "total_reviews": "0", "total_issues": "0", "avg_review_time": "0"},
+    "reviews": {"status": "'pending'", "progress": "0.0D", "total_files": "0", "analyzed_files": "0", "total_issues": "0", "critical_issues": "0", "high_issues": "0", "medium_issues": "0", "low_issues": "0", "ai_recommendations": "'[]'", "analysis_metadata": "'{}'"},
+    "issues": {"confidence_score": "0.0D", "is_resolved": "false", "is_false_positive": "false"},
+    "comments": {"comment_type": "'general'", "is_resolved": "false"},
+}
+#: Columns that a new row takes from its entity whatever is given.
+FORCED = {"reviews": ("status", "progress", "ai_recommendations", "analysis_metadata")}
+
+
+def inserted(df: DataFrame, entity: str, new: DataFrame, now: str) -> DataFrame:
+    """The table with ``new`` rows, to be appended: absent or null columns take the entity's defaults, created_at is now.
+
+    Ids go on from the largest one held, in the order of the new rows' ``seq`` column; they are dealt out per partition of
+    a range, so no task sees all new rows.
+    """
+    from pyspark.sql.types import LongType
+
+    last = df.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_last"))
+    rows = numbered(new, "seq").join(F.broadcast(last)).withColumn("id", (F.col("_last") + F.col("_place")).cast(LongType()))
+    out = []
+    for f in df.schema.fields:
+        default = DEFAULTS[entity].get(f.name)
+        given = F.col(f.name) if f.name in rows.columns else F.lit(None)
+        if f.name == "created_at":
+            value = moment(now)
+        elif default is not None and f.name in FORCED.get(entity, ()):
+            value = F.expr(default)
+        else:
+            value = given if default is None else F.coalesce(given, F.expr(default))
+        out.append(value.cast(f.dataType).alias(f.name))
+    return df.unionByName(rows.select(*out))
+
+
+def numbered(df: DataFrame, order: str, block: int = 1 << 16) -> DataFrame:
+    """``df`` with ``_place``, the 1-based place of each row by ``order`` (distinct whole numbers): places within blocks of that
+    order, and sums of the blocks before, of which there is one row for ``block`` values."""
+    blocks = df.withColumn("_block", F.floor(F.col(order) / block))
+    sizes = blocks.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).drop("_n")
+    placed = blocks.withColumn("_at", F.row_number().over(Window.partitionBy("_block").orderBy(order)))
+    return placed.join(before, "_block").withColumn("_place", F.col("_at") + F.col("_before")).drop("_block", "_at", "_before")
+
+
+def reviews_allowed(new: DataFrame, repositories: DataFrame) -> DataFrame:
+    """New reviews (repository_id, author_id, ...) whose author owns the repository; others are refused."""
+    own = repositories.select(F.col("id").alias("repository_id"), F.col("owner_id").alias("author_id"))
+    return new.join(own, ["repository_id", "author_id"], "left_semi")
+
+
+def flagged(users: DataFrame, ids: DataFrame, now: str, **flags: bool) -> DataFrame:
+    """Users after ``ids`` (one column) were activated, deactivated or verified: each given flag is set on them."""
+    return updated(users, ids.select(F.col(ids.columns[0]).alias("id"), *[F.lit(v).alias(k) for k, v in flags.items()]), now=now)
+
+
+def repository_stats(repositories: DataFrame, stats: DataFrame, now: str) -> DataFrame:
+    """Repositories after a scan (id, total_files, language): size is the number of files; what is null stays as it was."""
+    return updated(repositories, stats.select("id", F.col("total_files").cast("int").alias("size"), "language", moment(now).alias("last_analysis")))
+
+
 def with_status(reviews: DataFrame, changes: DataFrame, now: str) -> DataFrame:
     """Reviews after ``changes`` (id, status): completed also sets the completion time and full progress."""
     done = changes.where(F.col("status") == "completed").select("id", "status", F.lit(1.0).alias("progress"), moment(now).alias("completed_at"))

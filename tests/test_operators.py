@@ -10,9 +10,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from revsight.functions import paths as P
+from revsight.functions import texts
 from revsight.functions import times as T
 from revsight.functions.scores import round2, truthy
-from revsight.operators import client, dashboards, diffs, listing, relations, rules, scan, syntax
+from revsight.operators import client, dashboards, diffs, gitstats, listing, relations, reports, rules, scan, syntax
 from revsight.plans import review
 from revsight.sources import readers, updates
 from revsight.streaming import limiter
@@ -230,3 +231,76 @@ def test_violations(spark) -> None:
     users = spark.createDataFrame([(5,)], "id long")
     got = {(r["rule"], r["column"]): r["rows"] for r in readers.violations(df, COMMENTS, ("id",), {"author_id": users}).collect()}
     assert got == {("required", "content"): 1, ("unique", "id"): 1, ("reference", "author_id"): 1}
+
+
+def test_texts(spark) -> None:
+    sizes = spark.createDataFrame([(0, "0 Bytes"), (1, "1 Bytes"), (100, "100 Bytes"), (1023, "1023 Bytes"), (1024, "1 KB"), (1536, "1.5 KB"), (1 << 20, "1 MB"), (10 << 30, "10 GB"), (5 << 40, "5120 GB"), (1234567, "1.18 MB")], "n long, want string")
+    assert all(r["got"] == r["want"] for r in sizes.select("want", texts.file_size("n").alias("got")).collect())
+    names = spark.createDataFrame([("HTTPServer", "http_server", "Httpserver"), ("getURL2Now", "get_url2_now", "Geturl2now"), ("a_bC", "a_b_c", "ABc"), ("", "", "")], "name string, snake string, pascal string")
+    assert all((r[1], r[3]) == (r[2], r[4]) for r in names.select("name", "snake", texts.to_snake_case("name"), "pascal", texts.to_pascal_case("name")).collect())
+    styles = spark.createDataFrame([("ab_c", True, False), ("Abc", False, True), ("A_b", False, False), ("_", False, False), ("9a", True, False)], "name string, snake boolean, pascal boolean")
+    assert all((r[0], r[1]) == (r[2], r[3]) for r in styles.select("snake", "pascal", texts.is_snake_case("name"), texts.is_pascal_case("name")).collect())
+    people = spark.createDataFrame([(" ann  b cole ", "AB"), ("x", "X"), ("  ", "AI"), (None, "AI")], "name string, want string")
+    assert all(r[0] == r[1] for r in people.select("want", texts.initials("name")).collect())
+    short = spark.range(1).select(texts.truncated(F.lit("abcd"), 3), texts.truncated(F.lit("abc"), 3), texts.truncated(F.lit(None).cast("string"), 3))
+    assert tuple(one(short)) == ("abc...", "abc", None)
+
+
+def test_account_faults(spark) -> None:
+    rows = [("a@b.c", "ann", None, "12345678", "12345678", []), ("a@b", "an", "x" * 101, "1234567", "12345678", ["email", "username", "full_name", "password", "repeated"]), (None, None, None, None, None, ["email", "username", "password", "repeated"])]
+    df = spark.createDataFrame(rows, "e string, u string, f string, p string, r string, want array<string>")
+    assert all(r[0] == r[1] for r in df.select("want", texts.account_faults("e", "u", "f", "p", "r")).collect())
+
+
+def test_rounding_of_halves(spark) -> None:
+    df = spark.createDataFrame([(0.125, 0.13), (2.675, 2.68), (-0.125, -0.13), (1.005, 1.01), (0.124999, 0.12)], "x double, want double")
+    assert all(r[0] == r[1] for r in df.select("want", round2(F.col("x"))).collect())
+
+
+def test_new_rows_are_numbered_across_blocks(spark) -> None:
+    held = spark.sql("SELECT 7L AS id, 'x' AS content, 'question' AS comment_type, true AS is_resolved, timestamp_ntz'2001-01-01 00:00:00' AS created_at, 'kept' AS extra")
+    new = spark.createDataFrame([(70_000, "b", None), (3, "a", "issue"), (200_000, "c", None)], "seq long, content string, comment_type string")
+    got = [tuple(r) for r in updates.inserted(held, "comments", new, "2002-01-01 00:00:00").orderBy("id").select("id", "content", "comment_type", "is_resolved", "extra").collect()]
+    assert got == [(7, "x", "question", True, "kept"), (8, "a", "issue", False, None), (9, "b", "general", False, None), (10, "c", "general", False, None)]
+    assert updates.inserted(held, "comments", new.limit(0), "2002-01-01 00:00:00").count() == 1
+    assert updates.inserted(held.limit(0), "comments", new, "2002-01-01 00:00:00").agg(F.min("id"), F.max("id")).first() == (1, 3)
+
+
+def test_deep_nesting_of_chains_and_elifs(spark) -> None:
+    deep = "".join(" " * i + "while a:\n" for i in range(11))
+    pad = " " * 11
+    text = deep + f"{pad}if b and c and d:\n{pad} pass\n{pad}elif e or g:\n{pad} x = 1 if h else 0\n{pad}else:\n{pad} if k:\n{pad}  pass\n"
+    df = spark.createDataFrame([("a.py", text)], "path string, content string")
+    got = sorted((r["line_start"], r["description"].split()[-1]) for r in syntax.deep_nesting(syntax.nodes(df)).collect())
+    # the if at depth 11, its condition's two ands and the elif's or below it, the conditional expression, the if in else
+    assert got == [(12, "11)"), (12, "12)"), (12, "12)"), (14, "12)"), (15, "12)"), (17, "12)")]
+
+
+def test_replies_that_cannot_be_read(spark) -> None:
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "no array"), (4, "[]"), (5, "[{'a"), (6, 'x [{"line_number": 4, "title": "t"}, {"severity": "low"}] y')], "id long, reply string")
+    assert [(r["id"], r["place"], r["title"], r["severity"], r["line_start"]) for r in reports.replied_issues(df).orderBy("id", "place").collect()] == [(6, 0, "t", "medium", 4), (6, 1, "AI Detected Issue", "low", 1)]
+
+
+def test_empty_tables_of_new_operators(spark) -> None:
+    repos = spark.createDataFrame([], "id long, owner_id long")
+    reviews = spark.createDataFrame([], REVIEW).withColumn("critical_issues", F.lit(0))
+    issues = spark.createDataFrame([], "id long, review_id long, category string, severity string, title string, file_path string, line_start int, confidence_score double")
+    assert reports.team_report(reviews, repos, issues, "2001-01-01 00:00:00", "2002-01-01 00:00:00").count() == 0
+    assert reports.top_issues(issues).count() == client.categories(issues).count() == 0
+
+
+def test_patch_counts_and_summary(spark) -> None:
+    assert tuple(one(spark.range(1).select(*gitstats.patch_counts(F.lit("+a\n+++ b\n-c\n--- d\n-e\n x"))))) == (1, 2)
+    df = spark.createDataFrame([(1, DIFF), (2, "")], "diff_id long, diff_text string")
+    said = {r["diff_id"]: r["summary"] for r in diffs.summary(df, diffs.files(df)).collect()}
+    assert said == {1: "Changed 1 file(s)\n2 additions\n1 deletions\nMost changed files:\n  - app/auth.py: 3 changes", 2: "No changes detected."}
+
+
+def test_requests_of_one_client_over_many_batches(spark) -> None:
+    df = spark.range(30_000).select(F.col("id").alias("request_id"), F.when(F.col("id") % 3 > 0, "busy").alias("client"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") / 50)).alias("ts"))
+    got: dict = {}
+    for r in limiter.limited(df, 100, 60).collect():
+        got.setdefault(r["client"], {})[r["request_id"]] = r["accepted"]
+    for client_rows in got.values():
+        ids = sorted(client_rows)
+        assert [client_rows[i] for i in ids] == limiter.decided([i * 20 for i in ids], [], 100, 60_000)[0]
