@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import after_dot
 from ..functions.scores import count_if, round2
-from .rules import CRITICAL_PATHS
+from .rules import CHANGED_DEFINITIONS, CRITICAL_PATHS
 
+# The headers of a file and of a hunk.
 HEADER = r"^diff --git a/(.*?) b/(.*)"
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
 HEADER_LINES = 10
@@ -154,11 +155,7 @@ def patterns(diffs: DataFrame) -> DataFrame:
 def changed_functions(all_lines: DataFrame, language: str = "python") -> DataFrame:
     """Definitions among changed lines: name, line number and text."""
     text = F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
-    found = {
-        "python": [r"^def\s+(\w+)\s*\("],
-        "javascript": [r"function\s+(\w+)\s*\(", r"(\w+)\s*:\s*function\s*\(", r"(\w+)\s*=\s*function\s*\(", r"(\w+)\s*=\s*\([^)]*\)\s*=>\s*\{"],
-        "java": [r"(?:public|private|protected).*?\s+\w+\s*\("],
-    }[{"typescript": "javascript"}.get(language, language)]
+    found = CHANGED_DEFINITIONS[{"typescript": "javascript"}.get(language, language)]
     pick = lambda p: F.when(text.rlike(p), F.regexp_extract(text, p if language != "java" else r"\s+(\w+)\s*\(", 1))
     named = changes(all_lines).where(F.col("kind").isin("added", "removed")).withColumn("name", F.coalesce(*[pick(p) for p in found]))
     return named.where("name IS NOT NULL").select("diff_id", "file", "kind", "name", "line_number", text.alias("definition"))

@@ -15,31 +15,30 @@ class Pattern:
     severity: str
     title: str
     description: str
-    cwe: str = ""
 
 
 # Patterns by language, tried without case and with ^ and $ at line ends.
 SECURITY: dict[str, tuple[Pattern, ...]] = {
     "python": (
-        Pattern("hardcoded_password", r"""password\s*=\s*["'][^"']{8,}["']""", "critical", "Hardcoded Password", "Hardcoded password found in source code", "CWE-798"),
-        Pattern("sql_injection", r"""\.execute\s*\(\s*["'].*%.*["'].*%""", "high", "Potential SQL Injection", "String formatting in SQL query may lead to injection", "CWE-89"),
-        Pattern("command_injection", r"""(subprocess|os\.system|os\.popen)\s*\([^)]*\+|%""", "high", "Command Injection Risk", "Dynamic command construction may allow injection", "CWE-78"),
-        Pattern("weak_crypto", r"""hashlib\.(md5|sha1)\(""", "medium", "Weak Cryptographic Hash", "MD5/SHA1 are cryptographically weak", "CWE-327"),
-        Pattern("insecure_random", r"""random\.(random|randint|choice)""", "medium", "Insecure Random Generator", "Use secrets module for security-sensitive random values", "CWE-330"),
-        Pattern("eval_usage", r"""\beval\s*\(""", "high", "Dangerous eval() Usage", "eval() can execute arbitrary code", "CWE-94"),
-        Pattern("pickle_usage", r"""pickle\.loads?\s*\(""", "high", "Unsafe Deserialization", "pickle.load can execute arbitrary code", "CWE-502"),
-        Pattern("debug_mode", r"""debug\s*=\s*True""", "medium", "Debug Mode Enabled", "Debug mode should not be enabled in production", "CWE-489"),
+        Pattern("hardcoded_password", r"""password\s*=\s*["'][^"']{8,}["']""", "critical", "Hardcoded Password", "Hardcoded password found in source code"),
+        Pattern("sql_injection", r"""\.execute\s*\(\s*["'].*%.*["'].*%""", "high", "Potential SQL Injection", "String formatting in SQL query may lead to injection"),
+        Pattern("command_injection", r"""(subprocess|os\.system|os\.popen)\s*\([^)]*\+|%""", "high", "Command Injection Risk", "Dynamic command construction may allow injection"),
+        Pattern("weak_crypto", r"""hashlib\.(md5|sha1)\(""", "medium", "Weak Cryptographic Hash", "MD5/SHA1 are cryptographically weak"),
+        Pattern("insecure_random", r"""random\.(random|randint|choice)""", "medium", "Insecure Random Generator", "Use secrets module for security-sensitive random values"),
+        Pattern("eval_usage", r"""\beval\s*\(""", "high", "Dangerous eval() Usage", "eval() can execute arbitrary code"),
+        Pattern("pickle_usage", r"""pickle\.loads?\s*\(""", "high", "Unsafe Deserialization", "pickle.load can execute arbitrary code"),
+        Pattern("debug_mode", r"""debug\s*=\s*True""", "medium", "Debug Mode Enabled", "Debug mode should not be enabled in production"),
     ),
     "javascript": (
-        Pattern("eval_usage", r"""\beval\s*\(""", "high", "Dangerous eval() Usage", "eval() can execute arbitrary code", "CWE-94"),
-        Pattern("innerHTML_xss", r"""\.innerHTML\s*=.*\+""", "high", "Potential XSS via innerHTML", "Dynamic content in innerHTML may allow XSS", "CWE-79"),
-        Pattern("document_write", r"""document\.write\s*\(""", "medium", "document.write Usage", "document.write can be exploited for XSS", "CWE-79"),
-        Pattern("insecure_random", r"""Math\.random\s*\(""", "medium", "Insecure Random Generator", "Math.random is not cryptographically secure", "CWE-330"),
+        Pattern("eval_usage", r"""\beval\s*\(""", "high", "Dangerous eval() Usage", "eval() can execute arbitrary code"),
+        Pattern("innerHTML_xss", r"""\.innerHTML\s*=.*\+""", "high", "Potential XSS via innerHTML", "Dynamic content in innerHTML may allow XSS"),
+        Pattern("document_write", r"""document\.write\s*\(""", "medium", "document.write Usage", "document.write can be exploited for XSS"),
+        Pattern("insecure_random", r"""Math\.random\s*\(""", "medium", "Insecure Random Generator", "Math.random is not cryptographically secure"),
     ),
     "java": (
-        Pattern("sql_injection", r"""Statement.*executeQuery\s*\([^?]*\+""", "high", "SQL Injection Vulnerability", "String concatenation in SQL query", "CWE-89"),
-        Pattern("path_traversal", r"""new\s+File\s*\([^)]*\+""", "high", "Path Traversal Risk", "Dynamic file path construction", "CWE-22"),
-        Pattern("weak_crypto", r"""MessageDigest\.getInstance\s*\(\s*["']MD5|SHA1["']""", "medium", "Weak Cryptographic Hash", "MD5/SHA1 are cryptographically weak", "CWE-327"),
+        Pattern("sql_injection", r"""Statement.*executeQuery\s*\([^?]*\+""", "high", "SQL Injection Vulnerability", "String concatenation in SQL query"),
+        Pattern("path_traversal", r"""new\s+File\s*\([^)]*\+""", "high", "Path Traversal Risk", "Dynamic file path construction"),
+        Pattern("weak_crypto", r"""MessageDigest\.getInstance\s*\(\s*["']MD5|SHA1["']""", "medium", "Weak Cryptographic Hash", "MD5/SHA1 are cryptographically weak"),
     ),
 }
 
@@ -109,3 +108,10 @@ STRUCTURE["typescript"] = (*STRUCTURE["javascript"], ("interface", r"interface\s
 
 # Paths whose change is critical, tried in order from the start of the path without case.
 CRITICAL_PATHS = (r".*config.*", r".*\.env.*", r".*security.*", r".*auth.*", r".*password.*", r".*secret.*", r".*key.*", r"requirements\.txt", r"package\.json", r"Dockerfile", r".*\.sql")
+
+# Definitions on changed lines, by language; the first group of each, if it has one, is the name.
+CHANGED_DEFINITIONS = {
+    "python": (r"^def\s+(\w+)\s*\(",),
+    "javascript": (r"function\s+(\w+)\s*\(", r"(\w+)\s*:\s*function\s*\(", r"(\w+)\s*=\s*function\s*\(", r"(\w+)\s*=\s*\([^)]*\)\s*=>\s*\{"),
+    "java": (r"(?:public|private|protected).*?\s+\w+\s*\(",),
+}
