@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, chat, langid, mixing, ngram, packing, quality, secrets, simhash, toxicity
+from . import audit, caps, chat, langid, lines, mixing, ngram, packing, periodic, quality, secrets, simhash, toxicity
 from ._common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,10 +52,28 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(load(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(load(spark, sf_dir, "documents"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.report_sql(), "op5_quality": quality.report_sql(), "op8_mixing": mixing.report_sql()}
+    return {
+        "op1_chat": chat.report_sql(),
+        "op5_quality": quality.report_sql(),
+        "op8_mixing": mixing.report_sql(),
+        "op11_audit": audit.report_sql(),
+        "op12_lines": lines.report_sql(),
+    }
