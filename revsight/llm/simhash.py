@@ -36,6 +36,9 @@ _KNOWN = 200_000
 ALL_PAIRS = 16
 #: Members of a bucket that one task compares at a time.
 SPLIT = 20_000
+#: Keys that many texts share are looked for among one text in so many, and at most so many of them are dealt in parts.
+#: This only spreads work: a key that it misses, or deals for nothing, has all its pairs tried all the same.
+SAMPLE, HEAVY = 1_000, 1_000_000
 #: Unsettled members of a large bucket that are tried with all before the others are.
 HUBS = 8
 #: Classes of shingles whose parities rule out pairs of a large bucket.
@@ -229,31 +232,60 @@ def _needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
 
 
+def _prefix(text: str | None, size: int, similarity: float, known: dict[bytes, int], counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a text, one more than may differ, and how many it has."""
+    h = _hashed(text, size, known)
+    order = np.argsort(counts[(h % np.uint64(len(counts))).astype(np.int64)], kind="stable")
+    return h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]], len(h)
+
+
+def _heavy(texts: DataFrame, size: int, similarity: float, counts) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Sorted keys that many of ``texts`` have in their prefixes, at most ``HEAVY``, and in how many parts to deal each."""
+    if texts.count() <= SPLIT:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}
+        for batch in batches:
+            keys = [_prefix(t.as_py(), size, similarity, known, counts.value)[0] for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))], names=["key"])
+
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "key long")
+    many = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, SPLIT // (4 * SAMPLE)))
+    found = many.orderBy(F.col("n").desc(), "key").limit(HEAVY).toPandas()
+    key, n = found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(key)
+    return key[order], 1 + n[order] * SAMPLE // SPLIT
+
+
 def _prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Rows (key, part, node, n, rest) of the rarest of the ``n`` shingles of each text (node, text), one more than may differ.
 
     In any fixed order of all shingles, two sets with a Jaccard similarity of t share one of the first n - ceil(t * n) + 1
     shingles of either; here rare ones come first, by the counts of :func:`sketch`, so keys are shared by few.  ``rest``
     counts the shingles from the key on, which bounds what two sets can share if the key is the first they share.  A key
-    that more than ``SPLIT`` texts may have is dealt out in parts.
+    that very many texts have is dealt out in parts from 0 on; any other has part -1, and all its members in that.
     """
     counts = texts.sparkSession.sparkContext.broadcast(sketch(texts, size))
+    heavy = texts.sparkSession.sparkContext.broadcast(_heavy(texts, size, similarity, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {}
+        split, parts = heavy.value
         for batch in batches:
             keys, sizes, rests = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int32)]
             for text in batch.column("text"):
-                h = _hashed(text.as_py(), size, known)
-                order = np.argsort(counts.value[(h % np.uint64(SKETCH)).astype(np.int64)], kind="stable")
-                first = order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
-                keys.append(h[first])
-                sizes.append(len(h))
-                rests.append(np.arange(len(h), len(h) - len(first), -1, dtype=np.int32))
+                first, n = _prefix(text.as_py(), size, similarity, known, counts.value)
+                keys.append(first)
+                sizes.append(n)
+                rests.append(np.arange(n, n - len(first), -1, dtype=np.int32))
             many = np.array([len(k) for k in keys[1:]], np.int64)
             key, node = np.concatenate(keys), np.repeat(batch.column("node").to_numpy(), many)
-            blocks = counts.value[(key % np.uint64(SKETCH)).astype(np.int64)] // SPLIT + 1
-            part = ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+            part = np.full(len(key), -1, np.int64)
+            if len(split):
+                at = np.minimum(np.searchsorted(split, key), len(split) - 1)
+                dealt = np.flatnonzero(split[at] == key)
+                part[dealt] = ((node[dealt].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts[at[dealt]]
             columns = [key.view(np.int64), part.astype(np.int32), node, np.repeat(np.array(sizes, np.int32), many), np.concatenate(rests)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "part", "node", "n", "rest"])
 
@@ -290,9 +322,10 @@ _PAIRS_TYPE = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64(
 
 
 def _buckets(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """Rows of texts that share a key: pairs (a, b) to try, or with a null ``a`` the members of a part of a large bucket.
+    """Rows of texts that share a key: pairs (a, b) to try, or with a null ``a`` up to ``SPLIT`` members of a large bucket.
 
     Of at most ``ALL_PAIRS`` members every pair is listed that sizes and places allow, else the smallest node with each other.
+    Buckets of more members are handed on whole, and so is every part of a key that is dealt out, of one member as of many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +338,8 @@ def _buckets(prefixes: DataFrame, similarity: float) -> DataFrame:
             return table
 
         for key, part, node, n, rest in _grouped(batches, 2):
-            if len(node) < 2 and not part[0]:
+            dealt = part[0] >= 0
+            if len(node) < 2 and not dealt:
                 continue
             order = np.argsort(node)
             node, n, rest = node[order], n[order], rest[order]
@@ -320,9 +354,11 @@ def _buckets(prefixes: DataFrame, similarity: float) -> DataFrame:
                         n_out += 1
             if len(seen) > _KNOWN:
                 seen.clear()
-            if len(node) > ALL_PAIRS or part[0]:
-                out.append((int(key[0]), None, None, node, n, rest))
-                n_out += len(node)
+            for at in range(0, len(node) if dealt or len(node) > ALL_PAIRS else 0, SPLIT):
+                out.append((int(key[0]), None, None, *(c[at : at + SPLIT] for c in (node, n, rest))))
+                n_out += len(node[at : at + SPLIT])
+                if n_out > _SLICE:
+                    yield flush()
             if n_out > _SLICE:
                 yield flush()
         yield flush()

@@ -632,7 +632,7 @@ def test_large_buckets_are_tried_whole(spark, monkeypatch) -> None:
     monkeypatch.setattr(simhash, "ALL_PAIRS", 2)
     monkeypatch.setattr(simhash, "SPLIT", 7)
     # one key that thirty sets share, in parts of seven, whose places forbid nothing
-    rows = [(5, i % 4, i, 100, 100) for i in range(30)] + [(6, 0, 40, 100, 100), (6, 0, 41, 100, 50), (7, 0, 50, 10, 10), (7, 0, 51, 100, 100)]
+    rows = [(5, i % 4, i, 100, 100) for i in range(30)] + [(6, -1, 40, 100, 100), (6, -1, 41, 100, 50), (7, -1, 50, 10, 10), (7, -1, 51, 100, 100)]
     found = simhash._buckets(spark.createDataFrame(rows, "key long, part int, node long, n int, rest int"), 0.8).cache()
     first = {(r["a"], r["b"]) for r in found.where("a IS NOT NULL").collect()}
     assert first == {(i % 4, i) for i in range(4, 30)}
@@ -648,6 +648,46 @@ def test_large_buckets_are_tried_whole(spark, monkeypatch) -> None:
     assert {tuple(r) for r in simhash._apart(large, sure, other, 5, 0.8).collect()} == {p for p in want if 28 not in p}
 
 
+@pytest.mark.parametrize(("sketch", "split", "all_pairs"), [(1 << 22, 20_000, 16), (256, 50, 16), (256, 10, 16), (64, 4, 2), (16, 2, 16)])
+def test_no_link_is_lost_however_keys_are_dealt(spark, monkeypatch, sketch, split, all_pairs) -> None:
+    monkeypatch.setattr(simhash, "SKETCH", sketch)
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    monkeypatch.setattr(simhash, "ALL_PAIRS", all_pairs)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(150):
+        base = [f"w{x}" for x in rng.integers(0, 900, 80)]
+        more = list(base)
+        more[int(rng.integers(0, 80))] = "new"
+        texts += [" ".join(base), " ".join(more)]
+    # passages that many texts share make keys of every number of members, lone ones of a part among them
+    for size in (3, 17, 60, 120):
+        shared = " ".join(f"s{size}x{x}" for x in range(60))
+        texts += [f"{shared} u{size}v{i} u{size}w{i}" for i in range(size)]
+    df = docs(spark, [(i, t, "en", "x") for i, t in enumerate(texts)])
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) > 5000
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()}
+    assert got == roots(links, range(len(texts)))
+
+
+def test_any_dealing_of_keys_keeps_every_pair(spark, monkeypatch) -> None:
+    """Parts of every size, members alone in part 0 among them, however wrong the sample's guess was."""
+    rng = np.random.default_rng(22)
+    texts = spark.createDataFrame([(i, " ".join(f"w{x}" for x in range(104)) + f" e{i}") for i in range(40)], "node long, text string")
+    monkeypatch.setattr(simhash, "ALL_PAIRS", 4)
+    for parts in (1, 2, 3, 50):
+        dealt = [(9, int(rng.integers(0, parts)), i, 101, 101) for i in range(40)] + [(8, -1, i, 101, 101) for i in range(40)]
+        for key in (8, 9):
+            found = simhash._buckets(spark.createDataFrame([r for r in dealt if r[0] == key], "key long, part int, node long, n int, rest int"), 0.8).cache()
+            large = found.where("a IS NULL").select("key", "nodes", "sizes", "rests")
+            none = spark.createDataFrame([], "node long, component long")
+            tried = {tuple(r) for r in simhash._apart(large, none, texts, 5, 0.8).collect()} | {(r["a"], r["b"]) for r in found.where("a IS NOT NULL").collect()}
+            assert tried == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+
+
 def test_parities_bound_the_difference(spark) -> None:
     rng = np.random.default_rng(15)
     texts = {}
