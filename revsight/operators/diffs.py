@@ -1,4 +1,8 @@
-"""Unified diffs: files by cutting texts at their headers, hunks and changes by running counts, without a user function."""
+"""Unified diffs: files, hunks and lines by cutting texts at their headers, without a user function, a window or a shuffle.
+
+A diff is cut into the parts of its files and those into hunks; what is asked of a line is its place among the lines of some
+kinds in its hunk, which an array of those lines tells.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import after_dot
-from ..functions.scores import count_if, round2
+from ..functions.scores import round2
 from .rules import CHANGED_DEFINITIONS, CRITICAL_PATHS
 
 # The headers of a file and of a hunk.
@@ -15,37 +19,6 @@ HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
 HEADER_LINES = 10
 
 
-def lines(diffs: DataFrame) -> DataFrame:
-    """Every line of every diff (diff_id, diff_text) with the number of its file, of its hunk, and its place in the file."""
-    raw = diffs.select("diff_id", F.posexplode(F.split("diff_text", "\n")).alias("at", "text"))
-    order = Window.partitionBy("diff_id").orderBy("at")
-    starts = raw.withColumn("file", F.sum(F.col("text").rlike(HEADER).cast("int")).over(order)).where("file > 0")
-    own = Window.partitionBy("diff_id", "file").orderBy("at")
-    numbered = starts.withColumn("place", F.row_number().over(own)).withColumn("hunk", F.sum(F.col("text").startswith("@@").cast("int")).over(own))
-    header = F.col("text").rlike(HUNK)
-    kind = F.when(F.col("hunk") == 0, "head").when(F.col("text").startswith("@@"), F.when(header, "hunk").otherwise("bad_hunk"))
-    kind = kind.when(F.col("text").startswith("+") & ~F.col("text").startswith("+++"), "added").when(F.col("text").startswith("-") & ~F.col("text").startswith("---"), "removed").when(F.col("text").startswith(" "), "context").when(F.col("text").startswith("\\"), "no_newline").otherwise("other")
-    return numbered.withColumn("kind", kind)
-
-
-def hunks(all_lines: DataFrame) -> DataFrame:
-    part = lambda i: F.regexp_extract("text", HUNK, i)
-    count = lambda i: F.when(part(i) == "", 1).otherwise(part(i).try_cast("int"))
-    return all_lines.where("kind = 'hunk'").select("diff_id", "file", "hunk", part(1).cast("int").alias("old_start"), count(2).alias("old_count"), part(3).cast("int").alias("new_start"), count(4).alias("new_count"), F.trim(part(5)).alias("context"))
-
-
-def changes(all_lines: DataFrame) -> DataFrame:
-    """Changed and context lines with their number: the hunk's start plus the lines of that kind before, and, in ``true_line``, the number in the file."""
-    own = Window.partitionBy("diff_id", "file", "hunk", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("diff_id", "file", "hunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    some = lambda *kinds: F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("int")).over(before), F.lit(0))
-    counted = all_lines.withColumn("same", F.coalesce(F.count("*").over(own), F.lit(0))).withColumn("new_before", some("added", "context")).withColumn("old_before", some("removed", "context"))
-    joined = counted.where(F.col("kind").isin("added", "removed", "context")).join(hunks(all_lines).select("diff_id", "file", "hunk", "old_start", "new_start"), ["diff_id", "file", "hunk"])
-    number = F.when(F.col("kind") == "added", F.col("new_start")).otherwise(F.col("old_start")) + F.col("same")
-    true = F.when(F.col("kind") == "added", F.col("new_start") + F.col("new_before")).otherwise(F.col("old_start") + F.col("old_before"))
-    return joined.select("diff_id", "file", "hunk", "at", "kind", number.cast("int").alias("line_number"), true.cast("int").alias("true_line"), F.substring("text", 2, 1 << 30).alias("content"))
-
-
 #: Java line ends and multi-line anchors that know \n only.
 _SECTION, _HUNK_START = r"(?md)(?=^diff --git a/.*? b/)", r"(?md)(?=^@@)"
 _GOOD_HUNK = "(?d)" + HUNK
@@ -61,10 +34,69 @@ def _good_hunks(text: Column) -> Column:
     return F.filter(F.split(text, _HUNK_START), lambda h: h.rlike(_GOOD_HUNK))
 
 
-def files(diffs: DataFrame) -> DataFrame:
+def pieces(diffs: DataFrame) -> DataFrame:
+    """One row (diff_id, file, hunk, text) for the head of each file, hunk 0, and for all that starts with @@, from 1 on."""
+    return sections(diffs).select("diff_id", "file", F.posexplode(F.split("text", _HUNK_START)).alias("hunk", "text"))
+
+
+def _rows(text: Column) -> Column:
+    """The lines of a piece; the line feed before the next piece ends the last."""
+    whole = F.when(text.endswith("\n"), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    return F.split(whole, "\n")
+
+
+def _kind(line: Column) -> Column:
+    marked = F.when(line.startswith("+") & ~line.startswith("+++"), "added").when(line.startswith("-") & ~line.startswith("---"), "removed")
+    return marked.when(line.startswith(" "), "context").when(line.startswith("\\"), "no_newline").otherwise("other")
+
+
+def lines(diffs: DataFrame) -> DataFrame:
+    """Every line of every file part: diff_id, file, hunk, its place in the hunk, text and kind; lines before the first file are none."""
+    rows = pieces(diffs).select("diff_id", "file", "hunk", F.posexplode(_rows(F.col("text"))).alias("at", "text"))
+    first = F.when(F.col("text").rlike("(?d)" + HUNK), "hunk").otherwise("bad_hunk")
+    return rows.withColumn("kind", F.when(F.col("hunk") == 0, "head").when(F.col("at") == 0, first).otherwise(_kind(F.col("text"))))
+
+
+def hunks(diffs: DataFrame) -> DataFrame:
+    """Hunks with a readable header: old_start, old_count, new_start, new_count, context, whether the last line has no line feed."""
+    part = lambda i: F.regexp_extract("text", _GOOD_HUNK, i)
+    count = lambda i: F.when(part(i) == "", 1).otherwise(part(i).try_cast("int"))
+    good = pieces(diffs).where(F.col("text").rlike(_GOOD_HUNK))
+    return good.select(
+        "diff_id",
+        "file",
+        "hunk",
+        part(1).cast("int").alias("old_start"),
+        count(2).alias("old_count"),
+        part(3).cast("int").alias("new_start"),
+        count(4).alias("new_count"),
+        F.trim(part(5)).alias("context"),
+        F.exists(_rows(F.col("text")), lambda x: x.startswith("\\")).alias("no_newline"),
+        "text",
+    )
+
+
+def changes(diffs: DataFrame) -> DataFrame:
+    """Changed and context lines with their number: the hunk's start plus the lines of that kind before, and, in ``true_line``, the number in the file."""
+    bound = lambda value, use: F.transform(F.array(value), use)[0]
+
+    def told(rows: Column) -> Column:
+        # places within the lines of the new file and within those of the old one
+        side = lambda gone: F.transform(F.filter(rows, lambda r: ~r["kind"].isin("no_newline", "other", gone)), lambda r, i: r.withField("place", i))
+        one = lambda rows, kind, start: F.transform(F.filter(rows, lambda r: r["kind"] == kind), lambda r, i: F.struct(r["at"].alias("at"), r["kind"].alias("kind"), (F.col(start) + i).alias("line_number"), (F.col(start) + r["place"]).alias("true_line"), r["content"].alias("content")))
+        old = bound(side("added"), lambda x: F.concat(one(x, "removed", "old_start"), one(x, "context", "old_start")))
+        return F.concat(one(side("removed"), "added", "new_start"), old)
+
+    row = lambda x, i: F.struct(i.alias("at"), _kind(x).alias("kind"), F.substring(x, 2, 1 << 30).alias("content"))
+    marked = F.transform(_rows(F.col("text")), row)
+    found = bound(F.filter(marked, lambda r: r["at"] > 0), told)
+    return hunks(diffs).select("diff_id", "file", "hunk", F.explode(found).alias("c")).select("diff_id", "file", "hunk", "c.*")
+
+
+def files(diffs: DataFrame, *more: Column) -> DataFrame:
     """One row per file: paths, kind of change, mode, binary flag, hashes and counts; the first ten lines tell.
 
-    Everything is read off a file's own part of the text, so nothing is shuffled.
+    Everything is read off a file's own part of the text, ``more`` columns too, so nothing is shuffled.
     """
     head = F.slice(F.split("text", "\n", HEADER_LINES + 1), 1, HEADER_LINES)
     last = lambda test, value: value(F.element_at(F.filter(head, test), -1))
@@ -89,6 +121,7 @@ def files(diffs: DataFrame) -> DataFrame:
         pick(lambda x: x.startswith("index"), lambda x: F.regexp_extract(x, r"^index ([a-f0-9]+)\.\.([a-f0-9]+)", 2)).alias("new_hash"),
         total(r"(?md)^\+(?!\+\+)").alias("additions"),
         total(r"(?md)^-(?!--)").alias("deletions"),
+        *more,
     )
     return out.withColumn("changes", F.col("additions") + F.col("deletions"))
 
@@ -131,7 +164,6 @@ def patterns(diffs: DataFrame) -> DataFrame:
     """
     path = F.lower("file_path")
     docs = F.col("file_path").isNotNull() & (path.contains(".md") | path.contains(".rst") | path.contains(".txt") | path.contains("readme") | path.contains("doc"))
-    by_path = files(diffs).groupBy("diff_id").agg(F.sum(F.when(path.contains("test"), F.col("changes")).otherwise(0)).alias("test_changes"), F.sum(F.when(docs, F.col("changes")).otherwise(0)).alias("documentation_changes"))
 
     def changed(h: Column) -> Column:
         """(body, as_added) of the changed lines of a hunk: a line's number is the hunk's start and the lines of its kind before."""
@@ -139,25 +171,28 @@ def patterns(diffs: DataFrame) -> DataFrame:
         added = F.filter(rows, lambda x: x.startswith("+") & ~x.startswith("+++"))
         removed = F.filter(rows, lambda x: x.startswith("-") & ~x.startswith("---"))
         body = lambda x: F.substring(x, 2, 1 << 30)
+        told = lambda x: F.trim(F.regexp_replace(body(x), r"^\s+|\s+$", ""))
         ahead = F.regexp_extract(h, _GOOD_HUNK, 1).cast("int") - F.regexp_extract(h, _GOOD_HUNK, 3).cast("int")
         twin = lambda x, i: F.coalesce((i + ahead >= 0) & (body(F.get(added, i + ahead)) == body(x)), F.lit(False))
-        return F.concat(F.transform(added, lambda x: F.struct(body(x).alias("body"), F.lit(True).alias("as_added"))), F.transform(removed, lambda x, i: F.struct(body(x).alias("body"), twin(x, i).alias("as_added"))))
+        return F.concat(F.transform(added, lambda x: F.struct(told(x).alias("body"), F.lit(True).alias("as_added"))), F.transform(removed, lambda x, i: F.struct(told(x).alias("body"), twin(x, i).alias("as_added"))))
 
-    lines_of = sections(diffs).select("diff_id", F.explode_outer(F.flatten(F.transform(_good_hunks(F.col("text")), changed))).alias("c"))
-    told = lines_of.select("diff_id", F.trim(F.regexp_replace("c.body", r"^\s+|\s+$", "")).alias("body"), "c.as_added")
-    imports = F.col("body").rlike(r"^(import |from |#include|require\()")
-    defines = ~imports & F.col("body").rlike(r"^(def |function |class )")
-    comments = ~imports & ~defines & F.col("body").rlike(r"^(#|//|/\*|\*)")
-    by_line = told.groupBy("diff_id").agg(count_if(imports).alias("import_changes"), count_if(defines & F.col("as_added")).alias("function_additions"), count_if(defines & ~F.col("as_added")).alias("function_deletions"), count_if(comments).alias("comment_changes"))
-    return by_path.join(by_line, "diff_id", "left").na.fill(0)
+    imports = lambda c: c["body"].rlike(r"^(import |from |#include|require\()")
+    defines = lambda c: ~imports(c) & c["body"].rlike(r"^(def |function |class )")
+    comments = lambda c: ~imports(c) & ~defines(c) & c["body"].rlike(r"^(#|//|/\*|\*)")
+    tests = {"import_changes": imports, "function_additions": lambda c: defines(c) & c["as_added"], "function_deletions": lambda c: defines(c) & ~c["as_added"], "comment_changes": comments}
+    counted = F.transform(F.array(F.flatten(F.transform(_good_hunks(F.col("text")), changed))), lambda c: F.struct(*[F.size(F.filter(c, t)).alias(n) for n, t in tests.items()]))[0]
+    per_file = files(diffs, counted.alias("counted"))
+    total = lambda c, name: F.sum(c).cast("long").alias(name)
+    by_path = [total(F.when(path.contains("test"), F.col("changes")).otherwise(0), "test_changes"), total(F.when(docs, F.col("changes")).otherwise(0), "documentation_changes")]
+    return per_file.groupBy("diff_id").agg(*by_path, *[total(F.col(f"counted.{n}"), n) for n in tests])
 
 
-def changed_functions(all_lines: DataFrame, language: str = "python") -> DataFrame:
+def changed_functions(diffs: DataFrame, language: str = "python") -> DataFrame:
     """Definitions among changed lines: name, line number and text."""
     text = F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
     found = CHANGED_DEFINITIONS[{"typescript": "javascript"}.get(language, language)]
     pick = lambda p: F.when(text.rlike(p), F.regexp_extract(text, p if language != "java" else r"\s+(\w+)\s*\(", 1))
-    named = changes(all_lines).where(F.col("kind").isin("added", "removed")).withColumn("name", F.coalesce(*[pick(p) for p in found]))
+    named = changes(diffs).where(F.col("kind").isin("added", "removed")).withColumn("name", F.coalesce(*[pick(p) for p in found]))
     return named.where("name IS NOT NULL").select("diff_id", "file", "kind", "name", "line_number", text.alias("definition"))
 
 

@@ -66,6 +66,11 @@ CONFIG_SECRETS = (
     (r"""secret[_-]?key\s*[=:]\s*["'][^"']{10,}["']""", "Secret key in config file"),
     (r"""token\s*[=:]\s*["'][^"']{10,}["']""", "Token in config file"),
 )
+# What findings by the kind of file say.
+CONFIG_TEXT, CONFIG_FIX = "Sensitive information should not be stored in config files", "Use environment variables or secure configuration management"
+TEST_TITLE, TEST_TEXT = "Hardcoded Credentials in Tests", "Test files should not contain real credentials"
+TEST_FIX = "Use mock credentials or environment variables for testing"
+PACKAGE_TITLE, PACKAGE_TEXT, PACKAGE_FIX = "Vulnerable Dependency: {}", "Package {} has known security vulnerabilities", "Update {} to a secure version"
 TEST_CREDENTIALS = r"""password.*=.*["'][^"']{8,}["']"""
 VULNERABLE = {"requests": ("2.25.0", "2.25.1"), "flask": ("1.0.0", "1.0.1"), "django": ("2.2.0", "2.2.1")}
 

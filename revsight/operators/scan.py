@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_code_file, is_config_file, is_dependency_file, is_test_file, language
 from ..functions.scores import severity_rank
-from .rules import CONFIG_SECRETS, CUSTOM, FIXES, SECURITY, STRUCTURE, TEST_CREDENTIALS, VULNERABLE
+from .rules import CONFIG_FIX, CONFIG_SECRETS, CONFIG_TEXT, CUSTOM, FIXES, PACKAGE_FIX, PACKAGE_TEXT, PACKAGE_TITLE, SECURITY, STRUCTURE, TEST_CREDENTIALS, TEST_FIX, TEST_TEXT, TEST_TITLE, VULNERABLE
 
 #: . stops at \n only and classes know all letters, as in the language the patterns are written for.
 MULTILINE, PLAIN, CASED, CASED_MULTILINE = "(?imdU)", "(?idU)", "(?dU)", "(?mdU)"
 MARK = "\ue000"
 _MATCHES = "array<struct<line:int,text:string,name:string>>"
+_FOUND = "array<struct<title:string,description:string,category:string,severity:string,rule_id:string,suggested_fix:string,confidence_score:double,line_start:int,line_end:int,code_snippet:string,seq:bigint>>"
 
 
 def matches(content: Column, pattern: str, flags: str = MULTILINE, group: int = 0) -> Column:
@@ -41,7 +42,7 @@ def context(content: Column, line: Column, before: int = 1, after: int = 1) -> C
 def _issue(m: Column, order: int, at: Column, **fixed: object) -> Column:
     values = {"title": None, "description": None, "category": "security", "severity": None, "rule_id": None, "suggested_fix": None, "confidence_score": 0.8} | fixed
     fields = [F.lit(v).cast("double" if k == "confidence_score" else "string").alias(k) for k, v in values.items()]
-    return F.struct(*fields, m["line"].alias("line_start"), m["line"].alias("line_end"), m["text"].alias("code_snippet"), (F.lit(order * 1_000_000).cast("long") + at).alias("seq"))
+    return F.struct(*fields, m["line"].alias("line_start"), m["line"].alias("line_end"), m["text"].alias("code_snippet"), (F.lit(order << 40).cast("long") + at).alias("seq"))
 
 
 def _rows(content: Column, order: int, pattern: str, flags: str, **fixed: object) -> Column:
@@ -50,42 +51,40 @@ def _rows(content: Column, order: int, pattern: str, flags: str, **fixed: object
 
 def _one(condition: Column, order: int, **fixed: object) -> Column:
     row = _issue(F.struct(F.lit(1).alias("line"), F.lit(None).cast("string").alias("text")), order, F.lit(0), **fixed)
-    return F.when(condition, F.array(row)).otherwise(F.array().cast("array<struct<title:string,description:string,category:string,severity:string,rule_id:string,suggested_fix:string,confidence_score:double,line_start:int,line_end:int,code_snippet:string,seq:bigint>>"))
+    return F.when(condition, F.array(row)).otherwise(F.array().cast(_FOUND))
 
 
-def _flat(df: DataFrame, found: Column) -> DataFrame:
+def _flat(df: DataFrame, found: Column, shown: bool = False) -> DataFrame:
+    """A row for each found issue; ``shown``: its snippet is its line with the neighbours."""
     keys = [c for c in df.columns if c != "content"]
-    return df.select(*keys, F.explode(found).alias("_i")).select(*keys, "_i.*")
+    if not shown:
+        return df.select(*keys, F.explode(found).alias("_i")).select(*keys, "_i.*")
+    rows = df.select(*keys, "content", F.explode(found).alias("_i")).select(*keys, "content", "_i.*")
+    return rows.withColumn("code_snippet", context(F.col("content"), F.col("line_start"))).drop("content")
 
 
 def pattern_issues(files: DataFrame) -> DataFrame:
     """One row for each match of a rule of the file's language; the snippet is the line with its neighbours."""
     content, lang = F.col("content"), language("path")
-    parts = []
+    found = None
     for name, rules in SECURITY.items():
-        rows = [_rows(content, i, r.pattern, MULTILINE, title=r.title, description=r.description, severity=r.severity, rule_id=r.rule_id, suggested_fix=FIXES.get(r.rule_id)) for i, r in enumerate(rules)]
-        own = files.where(lang == name)
-        parts.append(_flat_with_context(own, F.concat(*rows)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _flat_with_context(df: DataFrame, found: Column) -> DataFrame:
-    keys = [c for c in df.columns if c != "content"]
-    shown = F.transform(found, lambda i: i.withField("code_snippet", context(F.col("content"), i["line_start"])))
-    return df.select(*keys, F.explode(shown).alias("_i")).select(*keys, "_i.*")
+        rows = F.concat(*[_rows(content, i, r.pattern, MULTILINE, title=r.title, description=r.description, severity=r.severity, rule_id=r.rule_id, suggested_fix=FIXES.get(r.rule_id)) for i, r in enumerate(rules)])
+        found = F.when(lang == name, rows) if found is None else found.when(lang == name, rows)
+    return _flat(files, found, shown=True)
 
 
 def context_issues(files: DataFrame) -> DataFrame:
     """Secrets in configuration files, credentials in tests and packages with known faults, by the kind of file."""
     content = F.col("content")
-    config = F.concat(*[_rows(content, 20 + i, p, PLAIN, title=t, description="Sensitive information should not be stored in config files", severity="high", rule_id="config_secrets", suggested_fix="Use environment variables or secure configuration management", confidence_score=0.9) for i, (p, t) in enumerate(CONFIG_SECRETS)])
-    tests = _one(content.rlike(PLAIN + TEST_CREDENTIALS), 30, title="Hardcoded Credentials in Tests", description="Test files should not contain real credentials", severity="medium", rule_id="test_credentials", suggested_fix="Use mock credentials or environment variables for testing", confidence_score=0.7)
+    config = [_rows(content, 20 + i, p, PLAIN, title=t, description=CONFIG_TEXT, severity="high", rule_id="config_secrets", suggested_fix=CONFIG_FIX, confidence_score=0.9) for i, (p, t) in enumerate(CONFIG_SECRETS)]
+    tests = _one(content.rlike(PLAIN + TEST_CREDENTIALS), 30, title=TEST_TITLE, description=TEST_TEXT, severity="medium", rule_id="test_credentials", suggested_fix=TEST_FIX, confidence_score=0.7)
     packages = [
-        _one(content.rlike(rf"{CASED}{p}\s*[=><~!]+\s*({'|'.join(v.replace('.', chr(92) + '.') for v in versions)})"), 40 + i, title=f"Vulnerable Dependency: {p}", description=f"Package {p} has known security vulnerabilities", severity="high", rule_id="vulnerable_dependency", suggested_fix=f"Update {p} to a secure version")
+        _one(content.rlike(rf"{CASED}{p}\s*[=><~!]+\s*({'|'.join(v.replace('.', chr(92) + '.') for v in versions)})"), 40 + i, title=PACKAGE_TITLE.format(p), description=PACKAGE_TEXT.format(p), severity="high", rule_id="vulnerable_dependency", suggested_fix=PACKAGE_FIX.format(p))
         for i, (p, versions) in enumerate(VULNERABLE.items())
     ]
-    parts = [_flat(files.where(is_config_file("path")), config), _flat(files.where(is_test_file("path")), tests), _flat(files.where(is_dependency_file("path")), F.concat(*packages))]
-    return reduce(DataFrame.unionByName, parts)
+    nothing = F.array().cast(_FOUND)
+    kinds = ((is_config_file("path"), F.concat(*config)), (is_test_file("path"), tests), (is_dependency_file("path"), F.concat(*packages)))
+    return _flat(files, F.concat(*[F.when(kind, rows).otherwise(nothing) for kind, rows in kinds]))
 
 
 def custom_issues(files: DataFrame, names: list[str]) -> DataFrame:

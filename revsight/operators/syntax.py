@@ -1,7 +1,8 @@
-"""Python source as a table of syntax nodes, and rules over that table as joins, filters and group counts.
+"""Python source as a table of syntax nodes, and rules over that table as one projection.
 
-One small helper parses a file and lists its nodes in order with their place in the tree; everything else is Spark.  A
-node knows the functions and loops around it, so "anywhere inside" is an explode and a group, not a range join.
+One small helper parses each file once and lists its nodes in order.  A node carries what rules ask of its surroundings:
+facts of its parent, of the call it is an argument of, of the sibling before it, and counts of what lies inside it.  So
+every rule is a condition on one row, and all rules together are one pass without a join, a group or a shuffle.
 """
 
 from __future__ import annotations
@@ -18,86 +19,193 @@ from ..functions.paths import language
 from .rules import FIXES
 
 NODES = (
-    "node int, parent int, field string, idx int, kind string, line int, end_line int, name string, value string, value_type string, op string, names array<string>, size int, "
-    "doc string, functions array<int>, loops array<int>, depth int"
+    "node int, parent int, field string, idx int, kind string, line int, end_line int, name string, value string, value_type string, op string, names array<string>, size int, doc string, depth int, "
+    # the parent, its parent, the call whose argument this is, the sibling before
+    "above_kind string, above_op string, above_name string, above_line int, above_size int, above_depth int, owner_kind string, owner_line int, callee string, callee_kind string, callee_line int, before_kind string, "
+    # of an assignment's target: what is assigned
+    "given_kind string, given_type string, given_call string, given_chars int, "
+    # of a definition or a loop: what is inside
+    "parts array<string>, decisions int, plain_decisions int, methods int, appends int, grows int, unused array<string>, returns string, body string"
 )
-
+_FIELDS = [p.rsplit(" ", 1) for p in NODES.split(", ")]
+_AT = {name: i for i, (name, _) in enumerate(_FIELDS)}
+_KINDS = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+#: Nodes that one Arrow batch holds, of however many files.
+BATCH = 50_000
 
 #: Nodes that make what is inside them one level deeper.
 CONTROL = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.TryStar, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp)
+#: Nodes that add a way through a function.
+DECISIONS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.comprehension)
+_SKIPPED = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+_DEFINED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 #: Levels of control flow that are not too deep.
 DEPTH = 10
 
 
-def _facts(node: ast.AST) -> dict:
-    """What rules may ask of one node."""
-    name = next((getattr(node, a) for a in ("name", "id", "attr", "arg", "module") if isinstance(getattr(node, a, None), str)), None)
-    out = {"name": name, "value": None, "value_type": None, "op": None, "names": [], "size": 0, "doc": None}
+def _text(value: object) -> str:
+    """A constant as text that any table can hold."""
+    try:
+        out = str(value)
+    except ValueError:  # a number of very many digits
+        out = hex(value)  # type: ignore[arg-type]
+    return out.encode("utf-8", "replace").decode()
+
+
+def _own(node: ast.AST, row: list) -> None:
+    """What a node says about itself."""
+    row[_AT["name"]] = next((getattr(node, a) for a in ("name", "id", "attr", "arg", "module") if isinstance(getattr(node, a, None), str)), None)
     if isinstance(node, ast.Constant):
-        out |= {"value": str(node.value), "value_type": type(node.value).__name__}
-    if hasattr(node, "op"):
-        out["op"] = type(node.op).__name__
-    if isinstance(node, ast.Compare):
-        out["op"] = ",".join(type(o).__name__ for o in node.ops)
-    if isinstance(node, (ast.Global, ast.Nonlocal)):
-        out["names"] = list(node.names)
-    if isinstance(node, ast.BoolOp):
-        out["size"] = len(node.values)
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-        out["doc"] = ast.get_docstring(node)
-        out["names"] = [d.id if isinstance(d, ast.Name) else str(type(d).__name__) for d in node.decorator_list]
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-        out["size"] = len(node.args.args)
-    if isinstance(node, ast.alias):
-        out["value"] = node.asname
-    if isinstance(node, ast.Name):
-        out["op"] = type(node.ctx).__name__
-    if isinstance(node, ast.ExceptHandler):
-        out["size"] = len(node.body)
-        out["op"] = "bare" if node.type is None else "typed"
-    return out
+        row[_AT["value"]], row[_AT["value_type"]] = _text(node.value), type(node.value).__name__
+    elif isinstance(node, ast.Name):
+        row[_AT["op"]] = type(node.ctx).__name__
+    elif isinstance(node, ast.Compare):
+        row[_AT["op"]] = ",".join(type(o).__name__ for o in node.ops)
+    elif hasattr(node, "op"):
+        row[_AT["op"]] = type(node.op).__name__
+        if isinstance(node, ast.BoolOp):
+            row[_AT["size"]] = len(node.values)
+    elif isinstance(node, (ast.Global, ast.Nonlocal)):
+        row[_AT["names"]] = list(node.names)
+    elif isinstance(node, ast.alias):
+        row[_AT["value"]] = node.asname
+    elif isinstance(node, ast.ExceptHandler):
+        row[_AT["size"]], row[_AT["op"]] = len(node.body), "bare" if node.type is None else "typed"
+    elif isinstance(node, _DEFINED):
+        doc = ast.get_docstring(node)
+        row[_AT["doc"]] = None if doc is None else _text(doc)
+        if isinstance(node, ast.ClassDef):
+            own = [x for x in node.body if isinstance(x, ast.FunctionDef)]
+            row[_AT["parts"]], row[_AT["methods"]] = [x.name for x in own], len(own)
+        else:
+            row[_AT["size"]], row[_AT["parts"]] = len(node.args.args), [a.arg for a in node.args.args]
+            row[_AT["returns"]] = None if node.returns is None else _text(ast.unparse(node.returns))
+
+
+def _around(field: str, parent: ast.AST, above: list, grand: ast.AST | None, owner: list | None, call: tuple | None, row: list) -> None:
+    """What a node knows of what is around it: rows of its parent and of that one's parent, and the call it is passed to."""
+    for c, of in (("above_kind", "kind"), ("above_op", "op"), ("above_name", "name"), ("above_line", "line"), ("above_size", "size"), ("above_depth", "depth")):
+        row[_AT[c]] = above[_AT[of]]
+    if owner is not None:
+        row[_AT["owner_kind"]], row[_AT["owner_line"]] = owner[_AT["kind"]], owner[_AT["line"]]
+    if call is not None:
+        row[_AT["callee"]], row[_AT["callee_kind"]], row[_AT["callee_line"]] = call
+    if field == "targets" and isinstance(parent, ast.Assign):
+        given = parent.value
+        row[_AT["given_kind"]] = type(given).__name__
+        if isinstance(given, ast.Constant):
+            row[_AT["given_type"]] = type(given.value).__name__
+            row[_AT["given_chars"]] = len(given.value) if isinstance(given.value, str) else None
+        elif isinstance(given, ast.Call) and isinstance(given.func, ast.Name):
+            row[_AT["given_call"]] = given.func.id
+
 
+def _called(node: ast.AST, line: int | None) -> tuple | None:
+    """Name, kind and line of what a call calls."""
+    if not isinstance(node, ast.Call):
+        return None
+    f = node.func
+    return getattr(f, "id", getattr(f, "attr", None)), type(f).__name__, getattr(f, "lineno", line)
 
-def listed(source: str) -> Iterator[dict]:
+
+def listed(source: str, bodies: bool = False) -> list[list]:
     """The nodes of a source text, parents before children; one node of kind SyntaxError if it can't be parsed."""
+    width = len(_FIELDS)
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        yield {"node": 0, "parent": -1, "field": "", "idx": 0, "kind": "SyntaxError", "line": getattr(e, "lineno", None) or 1, "end_line": None, "name": None, "value": getattr(e, "msg", None) or str(e), "value_type": None, "op": None, "names": [], "size": 0, "doc": None, "functions": [], "loops": [], "depth": 0}
-        return
-    waiting, number = [(tree, -1, "", 0, (), (), None, 0)], 0
+        row = [None] * width
+        row[:11] = [0, -1, "", 0, "SyntaxError", getattr(e, "lineno", None) or 1, None, None, _text(e), None, None]
+        row[_AT["size"]] = row[_AT["depth"]] = 0
+        return [row]
+    lines = source.splitlines() if bodies else []
+    rows: list[list] = []
+    names: dict[int, tuple[dict[str, None], set[str]]] = {}  # names that a function assigns, and reads
+    # node, its parent and grandparent with their rows, field, place, sibling before, functions and loops around, line, depth
+    waiting: list[tuple] = [(tree, None, None, None, None, "", 0, None, (), (), None, 0)]
     while waiting:
-        node, parent, field, idx, functions, loops, line, depth = waiting.pop()
+        node, parent, above, grand, owner, field, idx, before, functions, loops, line, depth = waiting.pop()
         line = getattr(node, "lineno", line)
-        here, number = number, number + 1
-        yield {"node": here, "parent": parent, "field": field, "idx": idx, "kind": type(node).__name__, "line": line, "end_line": getattr(node, "end_lineno", line), "functions": list(functions), "loops": list(loops), "depth": depth} | _facts(node)
+        here, row = len(rows), [None] * width
+        rows.append(row)
+        kind = type(node).__name__
+        row[:7] = [here, -1 if above is None else above[0], field, idx, kind, line, getattr(node, "end_lineno", line)]
+        row[_AT["size"]] = 0
+        row[_AT["depth"]] = depth
+        row[_AT["before_kind"]] = before
+        _own(node, row)
+        if above is not None:
+            passed = _called(parent, above[_AT["line"]]) if field == "args" else _called(grand, line) if isinstance(parent, ast.keyword) else None
+            _around(field, parent, above, grand, owner, passed, row)
+        # counts of what lies inside, on the functions and loops around
+        plain = weight = int(isinstance(node, DECISIONS))
+        if isinstance(node, ast.BoolOp):
+            plain, weight = 1, len(node.values) - 1
+        elif isinstance(node, ast.Assert):
+            weight = 1
+        if weight or plain:
+            for f in functions:
+                rows[f][_AT["decisions"]] += weight
+                rows[f][_AT["plain_decisions"]] += plain
+        if isinstance(node, ast.Name):
+            for f in functions:
+                if isinstance(node.ctx, ast.Load):
+                    names[f][1].add(node.id)
+                elif field == "targets" and isinstance(parent, ast.Assign):
+                    names[f][0][node.id] = None
+        elif isinstance(node, ast.Attribute) and field == "func" and node.attr == "append":
+            for f in loops:
+                rows[f][_AT["appends"]] += 1
+        elif isinstance(node, ast.AugAssign) and isinstance(node.op, ast.Add) and isinstance(node.target, ast.Name):
+            for f in loops:
+                rows[f][_AT["grows"]] += 1
         if isinstance(node, ast.FunctionDef):
             functions = (*functions, here)
-        if isinstance(node, ast.For):
+            names[here] = ({}, set())
+            row[_AT["decisions"]] = row[_AT["plain_decisions"]] = 0
+            if bodies:
+                row[_AT["body"]] = _text("\n".join(lines[node.lineno - 1 : node.end_lineno]))
+        elif isinstance(node, ast.For):
             loops = (*loops, here)
+            row[_AT["appends"]] = row[_AT["grows"]] = 0
         inner = depth + isinstance(node, CONTROL)
-        below = [(child, here, f, i) for f, v in ast.iter_fields(node) for i, child in enumerate(v if isinstance(v, list) else [v]) if isinstance(child, ast.AST) and not isinstance(child, (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop))]
-        # an elif starts in its if's column and is no deeper than that
-        same = lambda b: isinstance(node, ast.If) and b[2] == "orelse" and isinstance(b[0], ast.If) and b[0].col_offset == node.col_offset
-        waiting += [(*b, functions, loops, line, depth if same(b) else inner) for b in reversed(below)]
+        below = []
+        for f, v in ast.iter_fields(node):
+            last = None
+            for i, child in enumerate(v if isinstance(v, list) else [v]):
+                if isinstance(child, ast.AST) and not isinstance(child, _SKIPPED):
+                    # an elif starts in its if's column and is no deeper than that
+                    elif_ = f == "orelse" and isinstance(node, ast.If) and isinstance(child, ast.If) and child.col_offset == node.col_offset
+                    below.append((child, node, row, parent, above, f, i, last, functions, loops, line, depth if elif_ else inner))
+                    last = type(child).__name__
+        waiting += reversed(below)
+    for f, (assigned, read) in names.items():
+        rows[f][_AT["unused"]] = [n for n in assigned if n not in read and not n.startswith("_") and n not in ("self", "cls")]
+    return rows
+
 
+def nodes(files: DataFrame, bodies: bool = False) -> DataFrame:
+    """Syntax nodes of the Python files among ``files`` (path, content, ...), with the other columns of each file.
 
-def nodes(files: DataFrame) -> DataFrame:
-    """Syntax nodes of the Python files among ``files`` (path, content, ...), with the other columns of each file."""
+    A null text is an empty file.  ``bodies``: functions carry their source lines.
+    """
     own = files.where(language("path") == "python")
     keys = [c for c in files.columns if c != "content"]
     ddl = ", ".join([*[f"`{c}` {t}" for c, t in files.dtypes if c != "content"], NODES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for batch in batches:
-            if schema is None:
-                fields = [batch.schema.field(k) for k in keys]
-                kinds = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
-                schema = pa.schema([*fields, *[pa.field(n, kinds[t]) for n, t in (p.split() for p in NODES.split(", "))]])
-            for row in batch.to_pylist():
-                kept = {k: row[k] for k in keys}
-                yield pa.RecordBatch.from_pylist([kept | n for n in listed(row["content"] or "")], schema=schema)
+            rows: list[list] = []
+            owners: list[int] = []
+            for k, text in enumerate(batch.column("content")):
+                new = listed(text.as_py() or "", bodies)
+                rows += new
+                owners += [k] * len(new)
+                if rows and (len(rows) > BATCH or k == batch.num_rows - 1):
+                    at = pa.array(owners, pa.int32())
+                    facts = [pa.array(c, _KINDS[t]) for c, (_, t) in zip(zip(*rows), _FIELDS)]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in keys], *facts], names=[*keys, *[n for n, _ in _FIELDS]])
+                    rows, owners = [], []
 
     return own.mapInArrow(run, ddl)
 
@@ -144,87 +252,99 @@ def _is(*kinds: str) -> Column:
     return F.col("kind").isin(*kinds)
 
 
-def complexity(all_nodes: DataFrame, keys: list[str], asserts: bool = True) -> DataFrame:
-    """Cyclomatic complexity of every function.  With ``asserts`` asserts count, and each operand of a boolean chain but one; else a chain counts once."""
-    one = _is("If", "While", "For", "AsyncFor", "ExceptHandler", "With", "AsyncWith", "comprehension")
-    chain = F.col("size") - 1 if asserts else F.lit(1)
-    weight = F.when(one | (F.lit(asserts) & _is("Assert")), 1).when(_is("BoolOp"), chain).otherwise(0)
-    inside = all_nodes.select(*keys, F.explode("functions").alias("node"), weight.alias("w")).where("w > 0").groupBy(*keys, "node").agg(F.sum("w").alias("w"))
-    own = all_nodes.where(_is("FunctionDef")).select(*keys, "node", "name", "line")
-    return own.join(inside, [*keys, "node"], "left").select(*keys, "node", "name", "line", (F.coalesce("w", F.lit(0)) + 1).cast("int").alias("complexity"))
+def complexity(asserts: bool = True) -> Column:
+    """Cyclomatic complexity of a function node.  With ``asserts`` asserts count, and each operand of a boolean chain but one; else a chain counts once."""
+    return F.col("decisions" if asserts else "plain_decisions") + 1
 
 
-def issues(all_nodes: DataFrame, keys: list[str] | None = None, helpers: bool = False) -> DataFrame:
-    """Issue rows of every rule.  ``keys``: columns that tell files apart.  ``helpers``: with the two stand-alone checks too."""
-    keys = keys or ["path"]
-    n = all_nodes
-    up = lambda kind, *more: n.where(kind).select(*keys, F.col("node").alias("parent"), *more)
-    func = n.where(_is("FunctionDef"))
-    out: list[DataFrame] = []
+def conditions(helpers: bool = False) -> list[tuple[str, Column, str, Column | int]]:
+    """The rules as a table (rule, condition on a node, whose line, findings of one node), in order of discovery.
 
-    def add(rule: str, rows: DataFrame, line: str | Column = "line") -> None:
-        severity, title = RULES[rule]
-        category = "security" if rule in SECURITY_RULES else "syntax" if rule == "syntax_error" else "code_quality"
-        sure = {"syntax_error": 1.0}.get(rule, 0.9 if rule in SECURITY_RULES else 0.8)
-        at = F.col(line) if isinstance(line, str) else line
-        out.append(rows.select(*keys, F.lit(title).alias("title"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule_id"), F.lit(FIXES.get(rule)).cast("string").alias("suggested_fix"), F.lit(sure).alias("confidence_score"), at.cast("int").alias("line_start"), (F.lit(len(out) * 1_000_000).cast("long") + F.col("node")).alias("seq")))
-
-    add("syntax_error", n.where(_is("SyntaxError")))
-    add("high_complexity", complexity(n, keys).where(F.col("complexity") > COMPLEXITY))
-    add("long_function", func.where(F.col("end_line") - F.col("line") > FUNCTION_LINES))
-    add("too_many_params", func.where(F.col("size") > PARAMS))
-    methods = func.where("field = 'body'").groupBy(*keys, F.col("parent").alias("node")).agg(F.count("*").alias("methods")).where(F.col("methods") > METHODS)
-    add("large_class", n.where(_is("ClassDef")).join(methods, [*keys, "node"]))
-    add("long_parameter_list", func.where(F.col("size") > MANY_PARAMS))
-    add("magic_number", n.where(_is("Constant") & F.col("value_type").isin("int", "float") & ~F.col("value").isin("0", "1", "-1", "0.0", "1.0", "-0.0")))
-    add("missing_docstring", func.where(F.col("doc").isNull() & ~F.col("name").startswith("_")))
-    add("missing_class_docstring", n.where(_is("ClassDef") & F.col("doc").isNull()))
-    lower = (F.col("name") == F.lower("name")) & (F.col("name") != F.upper("name"))
-    add("function_naming", func.where(~lower & ~F.col("name").startswith("__")))
+    ``helpers``: with the two stand-alone checks too.
+    """
+    c, field, above = F.col, lambda x: F.col("field") == x, lambda x: F.col("above_kind") == x
+    func, cls, name = _is("FunctionDef"), _is("ClassDef"), F.col("name")
     first = F.substring("name", 1, 1)
-    add("class_naming", n.where(_is("ClassDef") & (~((first == F.upper(first)) & (first != F.lower(first))) | F.col("name").contains("_"))))
-    arguments = n.where(_is("arguments")).select(*keys, F.col("node").alias("parent"), F.col("parent").alias("owner"))
-    defaults = n.where((F.col("field") == "defaults") & _is("List", "Dict", "Set")).join(arguments, [*keys, "parent"])
-    add("mutable_default", defaults.join(func.select(*keys, F.col("node").alias("owner"), F.col("line").alias("at")), [*keys, "owner"]), "at")
-    chain = up(_is("Compare"), F.col("op").alias("ops"), F.col("line").alias("at")).where(F.arrays_overlap(F.split("ops", ","), F.array(F.lit("Eq"), F.lit("NotEq"))))
-    add("none_comparison", n.where((F.col("field") == "comparators") & (F.col("value_type") == "NoneType")).join(chain, [*keys, "parent"]), "at")
-    add("bare_except", n.where(_is("ExceptHandler") & (F.col("op") == "bare")))
-    left = n.where((F.col("field") == "left") & (F.col("value_type") == "str") & F.col("value").contains("%"))
-    add("old_string_format", left.join(up(_is("BinOp") & (F.col("op") == "Mod"), F.col("line").alias("at")), [*keys, "parent"]), "at")
-    loops = n.where(_is("For")).select(*keys, "node", "line")
-    calls = n.where(_is("Attribute") & (F.col("field") == "func") & (F.col("name") == "append")).select(*keys, F.explode("loops").alias("node")).groupBy(*keys, "node").agg(F.count("*").alias("calls")).where("calls = 1")
-    add("inefficient_loop", loops.join(calls, [*keys, "node"]))
-    target = n.where((F.col("field") == "target") & _is("Name")).select(*keys, "parent")
-    grown = n.where(_is("AugAssign") & (F.col("op") == "Add")).withColumn("me", F.col("node")).join(target.withColumnRenamed("parent", "me"), [*keys, "me"], "left_semi")
-    add("string_concat_loop", loops.join(grown.select(*keys, F.explode("loops").alias("node")).distinct(), [*keys, "node"]))
-    add("global_usage", n.where(_is("Global")).withColumn("one", F.explode("names")))
-    for rule, called in (("eval_usage", "eval"), ("exec_usage", "exec")):
-        add(rule, n.where(_is("Name") & (F.col("field") == "func") & (F.col("name") == called)))
     hint = reduce(lambda a, b: a | b, [F.lower("name").contains(w) for w in CREDENTIAL_WORDS])
-    assigned = n.where((F.col("field") == "targets") & _is("Name")).join(up(_is("Assign"), F.col("line").alias("at")), [*keys, "parent"])
-    text = n.where((F.col("field") == "value") & (F.col("value_type") == "str") & (F.length("value") > CREDENTIAL_CHARS)).select(*keys, "parent")
-    add("hardcoded_credential", assigned.where(hint).join(text, [*keys, "parent"], "left_semi"), "at")
-    body = n.where(F.col("field") == "body")
-    inside = func.select(*keys, F.col("node").alias("parent"))
-    returned = body.where(_is("Return")).select(*keys, "parent", (F.col("idx") + 1).alias("idx")).join(inside, [*keys, "parent"], "left_semi")
-    add("unreachable_code", body.where(~_is("FunctionDef", "ClassDef", "If", "Try")).join(returned, [*keys, "parent", "idx"], "left_semi"))
-    named = assigned.select(*keys, F.explode("functions").alias("owner"), "name").distinct()
-    loaded = n.where(_is("Name") & (F.col("op") == "Load")).select(*keys, F.explode("functions").alias("owner"), "name").distinct()
-    unused = named.where(~F.col("name").startswith("_") & ~F.col("name").isin("self", "cls")).join(loaded, [*keys, "owner", "name"], "left_anti")
-    add("unused_variable", unused.join(func.select(*keys, F.col("node").alias("owner"), "node", "line"), [*keys, "owner"]))
-    add("assert_in_production", n.where(_is("Assert")))
-    add("except_pass", n.where(_is("Pass") & (F.col("field") == "body")).join(up(_is("ExceptHandler") & (F.col("size") == 1), F.col("line").alias("at")), [*keys, "parent"]), "at")
-    run = n.where(_is("Attribute") & (F.col("field") == "func") & F.col("name").isin("call", "run", "Popen")).select(*keys, F.col("parent").alias("call"), F.col("line").alias("at"))
-    shell = n.where(_is("keyword") & (F.col("name") == "shell")).select(*keys, F.col("node").alias("parent"), F.col("parent").alias("call"))
-    true = n.where((F.col("value_type") == "bool") & (F.col("value") == "True") & (F.col("field") == "value")).select(*keys, "parent", "node")
-    add("shell_true", true.join(shell, [*keys, "parent"]).join(run, [*keys, "call"]), "at")
+    passed = lambda kind, *names: (c("callee_kind") == kind) & c("callee").isin(*names)
+    out = [
+        ("syntax_error", _is("SyntaxError"), "line", 1),
+        ("high_complexity", func & (complexity() > COMPLEXITY), "line", 1),
+        ("long_function", func & (c("end_line") - c("line") > FUNCTION_LINES), "line", 1),
+        ("too_many_params", func & (c("size") > PARAMS), "line", 1),
+        ("large_class", cls & (c("methods") > METHODS), "line", 1),
+        ("long_parameter_list", func & (c("size") > MANY_PARAMS), "line", 1),
+        ("magic_number", _is("Constant") & c("value_type").isin("int", "float") & ~c("value").isin("0", "1", "-1", "0.0", "1.0", "-0.0"), "line", 1),
+        ("missing_docstring", func & c("doc").isNull() & ~name.startswith("_"), "line", 1),
+        ("missing_class_docstring", cls & c("doc").isNull(), "line", 1),
+        ("function_naming", func & ~((name == F.lower(name)) & (name != F.upper(name))) & ~name.startswith("__"), "line", 1),
+        ("class_naming", cls & (~((first == F.upper(first)) & (first != F.lower(first))) | name.contains("_")), "line", 1),
+        ("mutable_default", field("defaults") & _is("List", "Dict", "Set") & above("arguments") & (c("owner_kind") == "FunctionDef"), "owner_line", 1),
+        ("none_comparison", field("comparators") & (c("value_type") == "NoneType") & above("Compare") & F.concat(F.lit(","), "above_op", F.lit(",")).rlike(",(Eq|NotEq),"), "above_line", 1),
+        ("bare_except", _is("ExceptHandler") & (c("op") == "bare"), "line", 1),
+        ("old_string_format", field("left") & (c("value_type") == "str") & c("value").contains("%") & above("BinOp") & (c("above_op") == "Mod"), "above_line", 1),
+        ("inefficient_loop", _is("For") & (c("appends") == 1), "line", 1),
+        ("string_concat_loop", _is("For") & (c("grows") > 0), "line", 1),
+        ("global_usage", _is("Global"), "line", F.size("names")),
+        ("eval_usage", _is("Name") & field("func") & (name == "eval"), "line", 1),
+        ("exec_usage", _is("Name") & field("func") & (name == "exec"), "line", 1),
+        ("hardcoded_credential", field("targets") & _is("Name") & above("Assign") & hint & (c("given_type") == "str") & (c("given_chars") > CREDENTIAL_CHARS), "above_line", 1),
+        ("unreachable_code", field("body") & ~_is("FunctionDef", "ClassDef", "If", "Try") & (c("before_kind") == "Return") & above("FunctionDef"), "line", 1),
+        ("unused_variable", func, "line", F.size("unused")),
+        ("assert_in_production", _is("Assert"), "line", 1),
+        ("except_pass", _is("Pass") & field("body") & above("ExceptHandler") & (c("above_size") == 1), "above_line", 1),
+        ("shell_true", (c("value_type") == "bool") & (c("value") == "True") & field("value") & above("keyword") & (c("above_name") == "shell") & passed("Attribute", "call", "run", "Popen"), "callee_line", 1),
+    ]
     if helpers:
-        plus = n.where(_is("BinOp") & (F.col("op") == "Add") & (F.col("field") == "args")).select(*keys, "parent", "idx", "node", "line")
-        sent = n.where(_is("Attribute") & (F.col("field") == "func") & F.col("name").isin("execute", "executemany", "query")).select(*keys, "parent")
-        add("sql_injection", plus.join(sent, [*keys, "parent"], "left_semi"))
-        opened = n.where(_is("Name") & (F.col("field") == "func") & (F.col("name") == "open")).select(*keys, "parent")
-        add("path_traversal", plus.where("idx = 0").join(opened, [*keys, "parent"], "left_semi"))
-    return reduce(DataFrame.unionByName, out)
+        plus = _is("BinOp") & (c("op") == "Add") & field("args")
+        out.append(("sql_injection", plus & passed("Attribute", "execute", "executemany", "query"), "line", 1))
+        out.append(("path_traversal", plus & (c("idx") == 0) & passed("Name", "open"), "line", 1))
+    return out
+
+
+_PLACES = ("line", "above_line", "owner_line", "callee_line")
+
+
+def issues(all_nodes: DataFrame, keys: list[str] | None = None, helpers: bool = False, nesting: bool = False) -> DataFrame:
+    """Issue rows of every rule.  ``keys``: columns that tell files apart.  ``helpers``: with the two stand-alone checks too;
+    ``nesting``: with the findings of :func:`deep_nesting`, after all others."""
+    keys = keys or ["path"]
+    table = conditions(helpers)
+    nothing = F.array().cast("array<int>")
+    known, found = [], []
+    for i, (rule, test, place, times) in enumerate(table):
+        severity, title = RULES[rule]
+        category = "security" if rule in SECURITY_RULES else "syntax" if rule == "syntax_error" else "code_quality"
+        known.append((rule, title, category, severity, FIXES.get(rule), 1.0 if rule == "syntax_error" else 0.9 if rule in SECURITY_RULES else 0.8, _PLACES.index(place)))
+        found.append(F.when(test, F.lit(i)) if isinstance(times, int) else F.when(test, F.array_repeat(F.lit(i), times)))
+    single = F.array_compact(F.array(*[f for f, t in zip(found, table) if isinstance(t[3], int)]))
+    many = [F.coalesce(f, nothing) for f, t in zip(found, table) if not isinstance(t[3], int)]
+    if nesting:
+        severity, title = RULES["high_complexity"]
+        many.append(F.array_repeat(F.lit(len(known)), _deep()))
+        known.append(("high_complexity", title, "maintainability", severity, None, 0.9, 0))
+    facts = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(k, ("string",) * 5 + ("double", "int"), ("rule_id", "title", "category", "severity", "suggested_fix", "confidence_score", "place"))]) for k in known])
+    rows = all_nodes.select(*keys, "node", "depth", *_PLACES, "end_line", F.explode(F.concat(single, *many)).alias("_rule"))
+    shown = rows.withColumn("_r", F.element_at(facts, F.col("_rule") + 1))
+    at = F.element_at(F.array(*[F.col(p) for p in _PLACES]), F.col("_r.place") + 1)
+    deep = F.col("_rule") == (len(table) if nesting else -1)
+    return shown.select(
+        *keys,
+        *[F.col(f"_r.{c}").alias(c) for c in ("title", "category", "severity", "rule_id", "suggested_fix", "confidence_score")],
+        F.when(deep, F.concat(F.lit("Complex control flow detected (depth: "), F.col("depth").cast("string"), F.lit(")"))).alias("description"),
+        at.cast("int").alias("line_start"),
+        F.when(deep, F.col("end_line")).cast("int").alias("line_end"),
+        # by rule, then by place: a file has fewer nodes than that
+        (F.shiftleft(F.col("_rule").cast("long"), 40) + F.col("node")).alias("seq"),
+    )
+
+
+def _deep() -> Column:
+    """How many findings of deep nesting a node is: itself as control flow, and one and/or of a chain that stands before it."""
+    joint = (F.col("above_kind") == "BoolOp") & (F.col("field") == "values") & (F.col("idx") > 0)
+    is_elif = _is("If") & (F.col("above_kind") == "If") & (F.col("field") == "orelse") & (F.col("depth") == F.col("above_depth"))
+    control = _is(*[k.__name__ for k in CONTROL]) & ~F.coalesce(is_elif, F.lit(False))
+    return F.when(F.col("depth") > DEPTH, control.cast("int") + F.coalesce(joint, F.lit(False)).cast("int")).otherwise(0)
 
 
 def deep_nesting(all_nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -233,33 +353,36 @@ def deep_nesting(all_nodes: DataFrame, keys: list[str] | None = None) -> DataFra
     An elif belongs to its if and is no statement of its own; an and/or stands on the line of the operand that follows it.
     """
     keys = keys or ["path"]
-    parent = all_nodes.where(_is("If", "BoolOp")).select(*keys, F.col("node").alias("parent"), F.col("kind").alias("above"), F.col("depth").alias("above_depth"))
-    deep = all_nodes.where(F.col("depth") > DEPTH).join(parent, [*keys, "parent"], "left")
-    joint = (F.col("above") == "BoolOp") & (F.col("field") == "values") & (F.col("idx") > 0)
-    no_elif = ~F.coalesce(_is("If") & (F.col("above") == "If") & (F.col("field") == "orelse") & (F.col("depth") == F.col("above_depth")), F.lit(False))
-    control = _is(*[k.__name__ for k in CONTROL]) & no_elif
-    times = F.flatten(F.array(F.when(control, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")), F.when(F.coalesce(joint, F.lit(False)), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))))
-    severity, title = RULES["high_complexity"]
-    return deep.select("*", F.explode(times)).select(*keys, F.lit(title).alias("title"), F.concat(F.lit("Complex control flow detected (depth: "), F.col("depth").cast("string"), F.lit(")")).alias("description"), F.lit("maintainability").alias("category"), F.lit(severity).alias("severity"), F.lit("high_complexity").alias("rule_id"), F.col("line").cast("int").alias("line_start"), F.col("end_line").cast("int").alias("line_end"), F.lit(0.9).alias("confidence_score"))
+    found = issues(all_nodes.where(F.col("depth") > DEPTH), keys, nesting=True).where(F.col("description").isNotNull())
+    return found.select(*keys, "title", "description", "category", "severity", "rule_id", "line_start", "line_end", "confidence_score")
 
 
 def definitions(all_nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Functions, classes, imports and variables of Python files as rows: kind, name, line, end_line, detail, complexity."""
+    """Functions, classes, imports and variables of Python files as rows: kind, name, line, end_line, detail, complexity.
+
+    A file that can't be parsed gives one row of kind error, whose detail says why.
+    """
     keys = keys or ["path"]
-    n = all_nodes
-    scored = complexity(n, keys, asserts=False).select(*keys, "node", "complexity")
-    row = lambda kind, name, detail, c=None: [*keys, F.lit(kind).alias("kind"), name.alias("name"), F.col("line"), F.col("end_line"), detail.cast("string").alias("detail"), (c if c is not None else F.lit(None)).cast("int").alias("complexity")]
-    arguments = n.where(_is("arguments")).select(*keys, F.col("node").alias("parent"), F.col("parent").alias("owner"))
-    params = n.where(_is("arg") & (F.col("field") == "args")).join(arguments, [*keys, "parent"]).groupBy(*keys, F.col("owner").alias("node")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]), ",").alias("params"))
-    functions = n.where(_is("FunctionDef")).join(scored, [*keys, "node"]).join(params, [*keys, "node"], "left").select(*row("function", F.col("name"), F.coalesce("params", F.lit("")), F.col("complexity")))
-    methods = n.where(_is("FunctionDef") & (F.col("field") == "body")).groupBy(*keys, F.col("parent").alias("node")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]), ",").alias("methods"))
-    classes = n.where(_is("ClassDef")).join(methods, [*keys, "node"], "left").select(*row("class", F.col("name"), F.coalesce("methods", F.lit(""))))
-    owner = n.where(_is("Import", "ImportFrom")).select(*keys, F.col("node").alias("parent"), F.col("kind").alias("how"), F.col("name").alias("module"))
-    imported = n.where(_is("alias")).join(owner, [*keys, "parent"])
-    imports = imported.select(*row("import", F.when(F.col("how") == "Import", F.col("name")).otherwise(F.col("module")), F.when(F.col("how") == "ImportFrom", F.col("name"))))
-    kinds = F.when(F.col("k") == "Constant", F.col("t")).when(F.col("k").isin("List", "Dict", "Set", "Tuple"), F.lower("k")).when(F.col("k") == "Call", F.coalesce(F.concat(F.lit("call_"), "called"), F.lit("call"))).otherwise("unknown")
-    called = n.where(_is("Name") & (F.col("field") == "func")).select(*keys, F.col("parent").alias("v"), F.col("name").alias("called"))
-    values = n.where("field = 'value'").select(*keys, "parent", F.col("node").alias("v"), F.col("kind").alias("k"), F.col("value_type").alias("t")).join(called, [*keys, "v"], "left")
-    assigned = n.where((F.col("field") == "targets") & _is("Name")).join(n.where(_is("Assign")).select(*keys, F.col("node").alias("parent")), [*keys, "parent"]).join(values, [*keys, "parent"])
-    variables = assigned.select(*row("variable", F.col("name"), kinds))
-    return functions.unionByName(classes).unionByName(imports).unionByName(variables)
+    c, none = F.col, F.lit(None).cast("string")
+    row = lambda kind, name, detail, score=None: F.struct(F.lit(kind).alias("kind"), name.alias("name"), detail.cast("string").alias("detail"), (F.lit(None) if score is None else score).cast("int").alias("complexity"))
+    given = F.when(c("given_kind") == "Constant", c("given_type")).when(c("given_kind").isin("List", "Dict", "Set", "Tuple"), F.lower("given_kind")).when(c("given_kind") == "Call", F.coalesce(F.concat(F.lit("call_"), "given_call"), F.lit("call"))).otherwise("unknown")
+    found = (
+        F.when(_is("FunctionDef"), row("function", c("name"), F.array_join("parts", ","), complexity(asserts=False)))
+        .when(_is("ClassDef"), row("class", c("name"), F.array_join("parts", ",")))
+        .when(_is("alias") & (c("above_kind") == "Import"), row("import", c("name"), none))
+        .when(_is("alias") & (c("above_kind") == "ImportFrom"), row("import", c("above_name"), c("name")))
+        .when(_is("Name") & c("given_kind").isNotNull(), row("variable", c("name"), given))
+        .when(_is("SyntaxError"), row("error", none, c("value")))
+    )
+    return all_nodes.select(*keys, "line", "end_line", found.alias("_d")).where("_d IS NOT NULL").select(*keys, "_d.kind", "_d.name", "line", "end_line", "_d.detail", "_d.complexity")
+
+
+def bodies(files: DataFrame) -> DataFrame:
+    """Functions of Python files with their context: name, line_start, line_end, body, args, returns, docstring, complexity.
+
+    ``body`` is the function's source lines, ``returns`` its annotation written back as source.  One row for each function
+    that isn't async, nested ones too; other languages and files that can't be parsed give none.
+    """
+    keys = [k for k in files.columns if k != "content"]
+    own = nodes(files, bodies=True).where(_is("FunctionDef"))
+    return own.select(*keys, "name", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), "body", F.col("parts").alias("args"), "returns", F.col("doc").alias("docstring"), complexity(asserts=False).alias("complexity"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +17,16 @@ _COLUMNS = ("review_id", "path", "title", "category", "severity", "rule_id", "li
 def findings(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """Issues of the code files among ``files`` (review_id, path, content), each kind of finding at most once per place."""
     code = scan.code_files(files.select("review_id", "path", "content"))
-    # every rule reads the nodes: files are parsed once, and nodes that don't fit memory go to disk
-    tree = syntax.nodes(code).persist(StorageLevel.MEMORY_AND_DISK)
-    plain, security = syntax.issues(tree, ["review_id", "path"]), F.col("rule_id").isin(*syntax.SECURITY_RULES)
-    parts = {
-        "syntax": plain.where(~security),
-        "pattern": scan.pattern_issues(code),
-        "context": plain.where(security).unionByName(scan.context_issues(code), allowMissingColumns=True),
-        "custom": scan.custom_issues(code, rules or []),
-    }
-    numbered = [parts[s].withColumn("seq", F.col("seq") + F.lit(i * 1_000_000_000_000)).select(*_COLUMNS) for i, s in enumerate(STEPS)]
+    # one pass over the nodes gives the findings of two steps
+    parsed = syntax.issues(syntax.nodes(code), ["review_id", "path"], nesting=True)
+    parts = [
+        parsed.withColumn("step", F.when(F.col("rule_id").isin(*syntax.SECURITY_RULES), STEPS.index("context")).otherwise(STEPS.index("syntax"))),
+        scan.pattern_issues(code).withColumn("step", F.lit(STEPS.index("pattern"))),
+        scan.context_issues(code).withColumn("step", F.lit(STEPS.index("context"))),
+        scan.custom_issues(code, rules or []).withColumn("step", F.lit(STEPS.index("custom"))),
+    ]
+    # a step's own order takes less than 48 bits
+    numbered = [p.withColumn("seq", F.col("seq") + F.shiftleft(F.col("step").cast("long"), 48)).select(*_COLUMNS) for p in parts]
     return scan.deduplicated(reduce(DataFrame.unionByName, numbered), within=("review_id",))
 
 

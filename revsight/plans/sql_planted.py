@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules, scan, syntax
-from . import review
 from .registry import register
 
 _BODY = "".join("    if a:\n        a()\n" for _ in range(10))
@@ -88,7 +87,7 @@ def planted_patterns(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @register("planted_syntax", _expected([(k, r, line, 1) for k, p in enumerate(PLANTED) for r, line in p[3]]))
 def planted_syntax(spark, sf_dir):  # noqa: ANN001, ANN201
-    tree = syntax.nodes(planted_files(spark, sf_dir).select("file_id", "path", "content")).persist(review.StorageLevel.MEMORY_AND_DISK)
+    tree = syntax.nodes(planted_files(spark, sf_dir).select("file_id", "path", "content"))
     return _counted(syntax.issues(tree, ["file_id"], helpers=True))
 
 
@@ -118,3 +117,24 @@ def deep_nesting(spark, sf_dir):  # noqa: ANN001, ANN201
     made = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("file_id"), F.lit("deep.py").alias("path"), F.concat(F.array_join(steps, ""), F.repeat(F.lit(" "), n), F.lit("pass\n")).alias("content"))
     found = syntax.deep_nesting(syntax.nodes(made), ["file_id"])
     return found.select("file_id", "line_start", F.regexp_extract("description", r"(\d+)\)$", 1).cast("int").alias("depth"))
+
+
+_RETURNS = ("dict[str, list[int]] | None", "Callable[..., 'K']", "tuple[int, *Ts]", "Annotated[int, x > 1]", "None", "a.b[1:2, ::3]", "lambda: (yield)")
+
+
+@register(
+    "planted_bodies",
+    f"""WITH f AS (SELECT c_custkey AS file_id, CAST(c_custkey % 3 + 1 AS INTEGER) AS line_start, CAST(c_custkey % 5 AS INTEGER) AS n, ([{", ".join("'" + r.replace("'", "''") + "'" for r in _RETURNS)}])[c_custkey % {len(_RETURNS)} + 1] AS returns FROM customer)
+SELECT file_id, 'f' || file_id AS name, line_start, line_start + 2 * n + 2 AS line_end,
+  'def f' || file_id || '(a, b=2, *c) -> ' || returns || ':' || chr(10) || '    \"\"\"Doc ' || file_id || '.\"\"\"' || repeat(chr(10) || '    if a:' || chr(10) || '        b()', n) || chr(10) || '    return a' AS body,
+  'a,b' AS args, returns, 'Doc ' || file_id || '.' AS docstring, 1 + n AS complexity FROM f
+UNION ALL SELECT file_id, 'm', line_start + 2 * n + 6, line_start + 2 * n + 7, '    def m(self):' || chr(10) || '        return self', 'self', NULL, NULL, 1 FROM f""".replace('\\"', '"'),
+)
+def planted_bodies(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A file for each customer with a function of a size, place and return annotation of its own, and a method."""
+    k = F.col("c_custkey")
+    returns = F.element_at(F.array(*[F.lit(r) for r in _RETURNS]), (k % len(_RETURNS) + 1).cast("int"))
+    head = F.concat(F.repeat(F.lit("\n"), (k % 3).cast("int")), F.lit("def f"), k, F.lit("(a, b=2, *c) -> "), returns, F.lit(':\n    """Doc '), k, F.lit('."""\n'))
+    text = F.concat(head, F.repeat(F.lit("    if a:\n        b()\n"), (k % 5).cast("int")), F.lit("    return a\n\n\nclass K:\n    def m(self):\n        return self\n"))
+    made = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("file_id"), F.lit("b.py").alias("path"), text.alias("content"))
+    return syntax.bodies(made).drop("path").withColumn("args", F.array_join("args", ","))

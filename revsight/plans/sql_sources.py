@@ -125,11 +125,6 @@ def diff_types(spark, sf_dir):  # noqa: ANN001, ANN201
     return diffs.by_type(diffs.files(change_diffs(spark, sf_dir)))
 
 
-@register("diff_patterns", with_sql("issues") + _ITEMS + " SELECT diff_id, 0::BIGINT AS test_changes, 0::BIGINT AS documentation_changes, CAST(sum(additions) AS BIGINT) AS import_changes, 0::BIGINT AS function_additions, CAST(sum(deletions) AS BIGINT) AS function_deletions, 0::BIGINT AS comment_changes FROM i GROUP BY diff_id")
-def diff_patterns(spark, sf_dir):  # noqa: ANN001, ANN201
-    return diffs.patterns(change_diffs(spark, sf_dir))
-
-
 @register("diff_largest", with_sql("issues") + _ITEMS + ", r AS (SELECT *, additions + deletions AS changes, CAST(row_number() OVER (PARTITION BY diff_id ORDER BY additions + deletions DESC, id) AS INTEGER) AS place FROM i) SELECT diff_id, place, file_path, changes, additions, deletions FROM r WHERE place <= 5")
 def diff_largest(spark, sf_dir):  # noqa: ANN001, ANN201
     return diffs.largest(diffs.files(change_diffs(spark, sf_dir)))

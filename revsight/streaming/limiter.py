@@ -1,8 +1,8 @@
 """Request limits and request counts, over a table or a stream of requests (client, ts).
 
 A request is accepted if fewer than ``limit`` accepted requests of its client lie in the ``window`` seconds before it; a
-rejected one leaves no trace.  That rule depends on order, so it keeps state per client: the times of the accepted requests
-still in the window, ``limit`` at most.
+rejected one leaves no trace.  That rule depends on order: over a table requests are sorted, over a stream they wait for the
+watermark.  State per client is the times of the accepted requests still in the window, ``limit`` at most.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .ordered import InOrder, replayed
 
 LIMIT, WINDOW = 100, 60
 MICROS = 1_000_000
@@ -76,24 +77,34 @@ def limited(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> Da
     return free.unionByName(busy)
 
 
-def limited_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> DataFrame:
-    """The same over a stream: state is the client's accepted times, dropped when event time has left a silent client's window.
+class _Limiter(InOrder):
+    output = ("request_id", "client", "us", "accepted")
+    fields, waiting, held = ("us", "request_id", "client"), "us long, request_id long, client string", "times array<long>"
 
-    Requests more than a window late are dropped.
-    """
+    def __init__(self, limit: int, window: int) -> None:
+        self.limit, self.window = limit, window * MICROS
+
+    def replay(self, kept: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        (ok,), times = decided([row[0]], list(kept[0]) if kept else [], self.limit, self.window)
+        return (times,), (row[1], row[2], row[0], ok)
+
+    def wake(self, kept: tuple) -> int:
+        return max(kept[0], default=0) + self.window
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        pdf["accepted"], held = decided(_micros(pdf["ts"]), held, limit, window * MICROS)
-        state.update((held,))
-        state.setTimeoutTimestamp(max(max(held, default=0) // 1000 + 1000 * window, state.getCurrentWatermarkMs() + 1))
-        yield pdf[["request_id", "client", "ts", "accepted"]]
-
-    return requests.withWatermark("ts", f"{window} seconds").groupBy("client").applyInPandasWithState(run, "request_id long, client string, ts timestamp, accepted boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    def quiet(self, kept: tuple, now: int) -> tuple[tuple | None, None]:
+        times = [t for t in kept[0] if t > now - self.window]
+        return ((times,) if times else None), None
+
+
+def limited_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW, late: str = "60 seconds") -> DataFrame:
+    """The same over a stream whose requests come in any order, none over ``late`` behind the latest; those are dropped.
+
+    A request is decided once the watermark has passed it, in its turn by time and id, so stream and table agree.  A client's
+    state is the requests that wait, and ``limit`` accepted times at most; it goes when a silent client's window is empty.
+    """
+    micros = requests.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    out = replayed(micros, ["client"], _Limiter(limit, window), "request_id long, client string, us long, accepted boolean", late)
+    return out.select("request_id", "client", F.timestamp_micros("us").alias("ts"), "accepted")
 
 
 def trailing_counts(requests: DataFrame, window: int = WINDOW) -> DataFrame:

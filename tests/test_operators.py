@@ -122,14 +122,13 @@ DIFF = "diff --git a/app/auth.py b/app/auth.py\nindex 1a2b3c4..5d6e7f8 100644\n-
 
 def test_diff(spark) -> None:
     df = spark.createDataFrame([(1, DIFF), (2, " "), (3, None)], "diff_id long, diff_text string")
-    lines = diffs.lines(df)
     files = diffs.files(df)
     assert one(files.select("file_path", "old_file", "new_file", "change_type", "additions", "deletions", "changes")) == ("app/auth.py", "pp/auth.py", "app/auth.py", "modified", 2, 1, 3)
-    assert [(r["kind"], r["line_number"], r["true_line"]) for r in diffs.changes(lines).orderBy("at").collect()] == [("context", 10, 10), ("removed", 10, 11), ("added", 10, 11), ("added", 11, 12)]
+    assert [(r["kind"], r["line_number"], r["true_line"]) for r in diffs.changes(df).orderBy("at").collect()] == [("context", 10, 10), ("removed", 10, 11), ("added", 10, 11), ("added", 11, 12)]
     assert {r["diff_id"]: r["complexity_score"] for r in diffs.totals(df, files).collect()} == {1: 0.53, 2: 0.0, 3: 0.0}
     assert [tuple(r) for r in diffs.risks(files).collect()] == [(1, "app/auth.py", "critical_file", "high", ".*auth.*")]
     assert one(diffs.patterns(df)) == (1, 0, 0, 0, 1, 1, 1)
-    assert {r["name"] for r in diffs.changed_functions(lines).collect()} == {"new", "old"}
+    assert {r["name"] for r in diffs.changed_functions(df).collect()} == {"new", "old"}
 
 
 ODD_DIFF = """Subject: a note
@@ -173,8 +172,7 @@ def test_diffs_with_new_binary_and_deleted_files(spark) -> None:
     assert (got["docs/READ.md"]["old_file"], got["docs/READ.md"]["new_hash"]) == ("docs/READ.md", "abc1234")
     assert got["b/new.bin"]["old_file"] == "b/old.bin" and got["test/gone.py"]["new_file"] == "test/gone.py"
     # counts agree with those of numbered lines
-    lines = diffs.lines(df)
-    kinds = {(r["file"], r["kind"]): r["n"] for r in diffs.changes(lines).groupBy("file", "kind").agg(F.count("*").alias("n")).collect()}
+    kinds = {(r["file"], r["kind"]): r["n"] for r in diffs.changes(df).groupBy("file", "kind").agg(F.count("*").alias("n")).collect()}
     assert kinds == {(1, "added"): 2, (3, "added"): 1, (3, "removed"): 2, (3, "context"): 1}
     # the removed twin of an added definition counts as added
     assert diffs.patterns(df).collect()[0].asDict() == {"diff_id": 7, "test_changes": 3, "documentation_changes": 2, "import_changes": 1, "function_additions": 2, "function_deletions": 1, "comment_changes": 1}
@@ -196,6 +194,8 @@ def test_stream_equals_table(spark, tmp_path) -> None:
     df = spark.createDataFrame(base, "request_id long, client string, s int").select("request_id", "client", (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("s"))).alias("ts"))
     for k, (a, b) in enumerate([(0, 66), (66, 133), (133, 201)]):
         df.where((F.second("ts") + F.minute("ts") * 60 >= a) & (F.second("ts") + F.minute("ts") * 60 < b)).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    # a request is decided once event time has passed it: one more, far later, moves it on
+    spark.sql("SELECT -1L AS request_id, 'z' AS client, timestamp'2030-01-01 00:00:00' AS ts").coalesce(1).write.parquet(str(tmp_path / "in" / "last"))
     stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     query = limiter.limited_stream(stream, 5, 60).writeStream.format("memory").queryName("accepted").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(90)
