@@ -138,7 +138,27 @@ def client_issues(df: DataFrame, search: str | None = None, severity: str | None
     return df.where(states[status]) if status in states else df
 
 
-def client_repositories(df: DataFrame, by: str = "last_analysis") -> DataFrame:
-    """The repository list of the client: never analysed ones last, or by name."""
-    order = {"last_analysis": F.col("last_analysis").desc_nulls_last(), "name": F.lower(F.col("name")).asc(), "created_at": F.col("created_at").desc()}
+#: The order of names as readers of a language expect it, by Unicode's rules; ``UNICODE`` is that of English.
+LOCALE = "UNICODE"
+
+
+def by_name(column: str = "name", locale: str = LOCALE) -> Column:
+    """A sort and paging key: letters before accents before case, as the locale orders them; equal keys need a tie."""
+    return F.collate(F.col(column), locale)
+
+
+def client_repositories(df: DataFrame, by: str = "last_analysis", locale: str = LOCALE) -> DataFrame:
+    """The repository list of the client: never analysed ones last, or by name in the locale's order; ties by id."""
+    order = {"last_analysis": F.col("last_analysis").desc_nulls_last(), "name": by_name("name", locale).asc(), "created_at": F.col("created_at").desc()}
     return df.orderBy(order.get(by, order["last_analysis"]), "id")
+
+
+def client_search(df: DataFrame, search: str = "") -> DataFrame:
+    """Repositories whose name or description holds the text, without case; a null description holds nothing."""
+    return df.where(any_contains(search, "name", "description"))
+
+
+def repositories_after(df: DataFrame, name: str, last_id: int, limit: int = 100, locale: str = LOCALE) -> DataFrame:
+    """The next page by name: what follows the row of that name and id in the locale's order, by key and not by number."""
+    key, at = by_name("name", locale), F.collate(F.lit(name), locale)
+    return df.where((key > at) | ((key == at) & (F.col("id") > last_id))).orderBy(key.asc(), "id").limit(limit)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,11 +26,13 @@ NODES = (
     # of an assignment's target: what is assigned
     "given_kind string, given_type string, given_call string, given_chars int, "
     # of a definition or a loop: what is inside
-    "parts array<string>, decisions int, plain_decisions int, methods int, appends int, grows int, unused array<string>, returns string, body string"
+    "parts array<string>, decisions int, plain_decisions int, methods int, appends int, grows int, unused array<string>, returns string, body string, "
+    # of every node: how many nodes it is with all below, its shape and its parent's
+    "nodes int, shape long, above_shape long"
 )
 _FIELDS = [p.rsplit(" ", 1) for p in NODES.split(", ")]
 _AT = {name: i for i, (name, _) in enumerate(_FIELDS)}
-_KINDS = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 #: Nodes that one Arrow batch holds, of however many files.
 BATCH = 50_000
 
@@ -181,9 +184,27 @@ def listed(source: str, bodies: bool = False) -> list[list]:
         waiting += reversed(below)
     for f, (assigned, read) in names.items():
         rows[f][_AT["unused"]] = [n for n in assigned if n not in read and not n.startswith("_") and n not in ("self", "cls")]
+    _shaped(rows)
     return rows
 
 
+def _shaped(rows: list[list]) -> None:
+    """Counts and shapes of subtrees, from the last node to the first: children come after their parents, in order."""
+    below: list[list[bytes]] = [[] for _ in rows]
+    sizes = [1] * len(rows)
+    for row in reversed(rows):
+        here = row[0]
+        own = f"{row[_AT['kind']]}\0{row[_AT['op']]}\0{row[_AT['value_type']]}\0".encode()
+        inside = blake2b(b"".join([own, *reversed(below[here])]), digest_size=8).digest()
+        row[_AT["nodes"]], row[_AT["shape"]] = sizes[here], int.from_bytes(inside, "little", signed=True)
+        if row[1] >= 0:
+            sizes[row[1]] += sizes[here]
+            below[row[1]].append(row[_AT["field"]].encode() + b"\0" + inside)
+    for row in rows:
+        if row[1] >= 0:
+            row[_AT["above_shape"]] = rows[row[1]][_AT["shape"]]
+
+
 def nodes(files: DataFrame, bodies: bool = False) -> DataFrame:
     """Syntax nodes of the Python files among ``files`` (path, content, ...), with the other columns of each file.
 

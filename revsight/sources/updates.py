@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import clamp
 from ..functions.times import moment
+from ..session import shared_folder
 
 
 def updated(df: DataFrame, changes: DataFrame, key: str = "id", now: str | None = None) -> DataFrame:
@@ -132,21 +133,52 @@ def cascade(tables: dict[str, DataFrame], repositories: DataFrame) -> dict[str,
     }
 
 
+#: Fixed value: numbers that are tried behind a taken name; beyond them a name ends in a code.
+MOST_NUMBER = 9998
+
+
 def unique_usernames(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """A free name for each of ``wanted`` (id, username): itself if it is free and asked first, else with the least free number.
+    """A free name for each of ``wanted`` (id, username), all different; see :func:`offered_usernames`.
+
+    Different names can be given the same one (ann1 and 2, ann and 12); the smaller id then keeps it and the others ask again,
+    which few do.  Each round is written to the shared folder.
+    """
+    spark, given = wanted.sparkSession, None
+    while True:
+        path = shared_folder(spark, "usernames")
+        offered_usernames(wanted, taken).withColumn("_turn", F.row_number().over(Window.partitionBy("username").orderBy("id"))).write.parquet(path)
+        offered = spark.read.parquet(path)
+        won = offered.where("_turn = 1").drop("_turn")
+        given = won if given is None else given.unionByName(won)
+        lost = offered.where("_turn > 1")
+        if lost.isEmpty():
+            return given
+        wanted = wanted.join(lost.select("id"), "id", "left_semi")
+        taken = taken.select("username").unionByName(won.select("username"))
+
+
+def offered_usernames(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """For each of ``wanted`` (id, username) the name itself if it is free and asked first, else with the least free number.
 
     ``taken``: username.  Requests for one name are served by id.  Numbers in use are counted per name, not looped over:
-    the n-th request takes the n-th number that no taken name bears.
+    the n-th request takes the n-th number that no taken name bears, and where all numbers are taken an underscore and eight
+    hexadecimal digits that follow from the name and the id.
     """
     asked = wanted.withColumn("n", F.row_number().over(Window.partitionBy("username").orderBy("id")))
     bases = wanted.select("username").distinct()
     own = taken.select(F.col("username").alias("name")).distinct()
     exact = bases.join(own, F.col("username") == F.col("name"), "left").select("username", F.when(F.col("name").isNotNull(), 1).otherwise(0).alias("shift"))
-    numbered = own.select(F.regexp_extract("name", r"^(.*?)([1-9]\d{0,3})$", 1).alias("username"), F.regexp_extract("name", r"^(.*?)([1-9]\d{0,3})$", 2).alias("no")).where("no != ''").select("username", F.col("no").cast("int").alias("no"))
+    number = lambda i: F.regexp_extract("name", r"^(.*?)([1-9]\d{0,3})$", i)
+    # a name may end in several numbers: ann12 is ann and 12, and ann1 and 2
+    ends = F.transform(F.sequence(F.lit(1), F.length(number(2))), lambda i: F.struct(F.concat(number(1), F.substr(number(2), F.lit(1), F.length(number(2)) - i)).alias("username"), F.substr(number(2), F.length(number(2)) - i + 1).alias("no")))
+    numbered = own.where(number(2) != "").select(F.explode(ends).alias("e")).where(~F.col("e.no").startswith("0")).select("e.username", F.col("e.no").cast("int").alias("no"))
+    none = F.array().cast("array<int>")
     used = numbered.groupBy("username").agg(F.collect_set("no").alias("used"))
     placed = asked.join(exact, "username").join(used, "username", "left").withColumn("k", F.col("n") - 1 + F.col("shift"))
-    free = F.array_except(F.sequence(F.lit(1), F.least(F.lit(9999), F.col("k") + F.size(F.coalesce("used", F.array().cast("array<int>"))) + 1)), F.coalesce("used", F.array().cast("array<int>")))
-    return placed.select("id", F.when(F.col("k") == 0, F.col("username")).otherwise(F.concat("username", F.element_at(free, F.greatest(F.col("k"), F.lit(1)).cast("int")).cast("string"))).alias("username"))
+    free = F.array_except(F.sequence(F.lit(1), F.least(F.lit(MOST_NUMBER), F.col("k") + F.size(F.coalesce("used", none)) + 1)), F.coalesce("used", none))
+    code = F.concat(F.lit("_"), F.substring(F.md5(F.concat_ws("/", "username", F.col("id").cast("string")).cast("binary")), 1, 8))
+    end = F.coalesce(F.try_element_at(free, F.greatest(F.col("k"), F.lit(1)).cast("int")).cast("string"), code)
+    return placed.select("id", F.when(F.col("k") == 0, F.col("username")).otherwise(F.concat("username", end)).alias("username"))
 
 
 def upsert_accounts(users: DataFrame, logins: DataFrame, provider: str) -> DataFrame:
