@@ -1,8 +1,9 @@
 """Chat formatting: reply trees to training conversations, with DataFrame functions only.
 
-A tree's root-to-leaf paths are found by iterative self-joins over ancestors: join k doubles the reach of the one before,
-so a thread of n replies needs log2(n) joins, and a leaf's path is then read off by adding ancestors at every distance
-once.  Paths are ranked within their tree by the sum of their scores and each chosen one becomes one conversation.
+A tree's root-to-leaf paths are found by iterative self-joins over ancestors: join k doubles the reach of the one before
+and sums the scores on the way, so a thread of n replies needs log2(n) joins.  One climb over these steps gives every leaf
+its path's score; leaves are ranked within their tree, and only the chosen ones' paths are written out, by adding ancestors
+at every distance once.  Each becomes one conversation.
 
 Template: ``### role: text</turn>`` and a line feed for each turn.  Inside roles and texts ``\\`` is written ``\\b``, ``#``
 ``\\h`` and ``<`` ``\\l`` (and ``:`` in roles ``\\c``), so no text can hold a control string, and reading back is exact.
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import discard, materialise
 
 MARK, BETWEEN, END = "### ", ": ", "</turn>\n"
 LOSS_ROLE = "assistant"
@@ -44,26 +45,45 @@ def threads(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """Rows (key, leaf, node, up) for every node of every root-to-leaf path; ``up``: steps above the leaf.
+def jumps(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (key, node, above, score): table k leads from a node to the one 2**k steps above, past nodes of that score in sum.
 
-    ``nodes``: key (never null), node, parent.  Paths without a root, which hang on a cycle, still have rows here.
+    ``nodes``: key (never null), node, parent, score.  A step leads from a node whose parent is there; its own score counts.
     """
-    links = nodes.where(F.col("parent").isNotNull()).select("key", "node", F.col("parent").alias("above"))
-    jumps = [materialise(links.join(nodes.select("key", F.col("node").alias("above")), ["key", "above"], "left_semi").select("key", "node", "above"), "jump")]
+    links = nodes.where(F.col("parent").isNotNull()).select("key", "node", F.col("parent").alias("above"), "score")
+    out = [materialise(links.join(nodes.select("key", F.col("node").alias("above")), ["key", "above"], "left_semi").select("key", "node", "above", "score"), "jump")]
     largest = nodes.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     for _ in range(max(0, math.ceil(math.log2(max(1, largest))))):
-        last = jumps[-1]
-        onward = last.select("key", F.col("node").alias("above"), F.col("above").alias("next"))
-        further = materialise(last.join(onward, ["key", "above"]).select("key", "node", F.col("next").alias("above")), "jump")
+        last = out[-1]
+        onward = last.select("key", F.col("node").alias("above"), F.col("above").alias("next"), F.col("score").alias("more"))
+        further = materialise(last.join(onward, ["key", "above"]).select("key", "node", F.col("next").alias("above"), (F.col("score") + F.col("more")).alias("score")), "jump")
         if further.isEmpty():
+            discard(further)
             break
-        jumps.append(further)
-    answered = jumps[0].select("key", F.col("above").alias("node"))
-    out = nodes.select("key", "node").join(answered, ["key", "node"], "left_anti").select("key", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    for k in reversed(range(len(jumps))):
-        step = F.array(F.struct("node", "up"), F.struct(F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up")))
-        moved = out.join(jumps[k], ["key", "node"], "left").select("key", "leaf", F.explode(F.filter(step, lambda s: s["node"].isNotNull())).alias("s"))
+        out.append(further)
+    return out
+
+
+def leaves(nodes: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """Rows (key, leaf, score) of the leaves under a root: the sum of scores from leaf to root, by one climb of doubling steps.
+
+    A climb that ends on a cycle of replies has no root and no row.
+    """
+    answered = steps[0].select("key", F.col("above").alias("node"))
+    climb = nodes.select("key", "node").join(answered, ["key", "node"], "left_anti").select("key", F.col("node").alias("leaf"), "node", F.lit(0.0).alias("total"))
+    for step in reversed(steps):
+        moved = climb.join(step, ["key", "node"], "left")
+        climb = moved.select("key", "leaf", F.coalesce("above", "node").alias("node"), (F.col("total") + F.coalesce("score", F.lit(0.0))).alias("total"))
+    roots = nodes.select("key", "node", "score").join(steps[0].select("key", "node"), ["key", "node"], "left_anti")
+    return climb.join(roots, ["key", "node"]).select("key", "leaf", (F.col("total") + F.col("score")).alias("score"))
+
+
+def paths(chosen: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """Rows (key, leaf, node, up) for every node of the path of each of ``chosen`` (key, leaf) to its root; ``up``: steps above the leaf."""
+    out = chosen.select("key", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k in reversed(range(len(steps))):
+        both = F.array(F.struct("node", "up"), F.struct(F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up")))
+        moved = out.join(steps[k].drop("score"), ["key", "node"], "left").select("key", "leaf", F.explode(F.filter(both, lambda s: s["node"].isNotNull())).alias("s"))
         out = moved.select("key", "leaf", "s.node", "s.up")
     return out
 
@@ -71,28 +91,27 @@ def paths(nodes: DataFrame) -> DataFrame:
 def conversations(trees: DataFrame, branches: int | None = 1) -> DataFrame:
     """The ``branches`` best paths of each tree (None: all), each as one row: tree, leaf, rank, score, n_turns, formatted, loss.
 
-    ``trees``: tree, node (unique in its tree), parent, role, text, score.  ``loss``: array of (start, end) in code points
-    of ``formatted``, end exclusive, that bear loss: the texts of the assistant.
+    ``trees``: tree, node (unique in its tree), parent, role, text, score; other columns are ignored whatever their names.
+    ``loss``: array of (start, end) in code points of ``formatted``, end exclusive, that bear loss: the texts of the assistant.
+    Leaves are ranked by the scores of their paths before any path is written out.
     """
-    keyed = materialise(trees.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit(""))), "nodes")
-    rooted = keyed.join(keyed.select("key", F.col("node").alias("parent"), F.lit(True).alias("has")), ["key", "parent"], "left")
-    found = materialise(paths(keyed.select("key", "node", "parent")), "paths")
+    key = F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("")).alias("key")
+    keyed = materialise(trees.select(key, "tree", "node", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
+    steps = jumps(keyed.select("key", "node", "parent", "score"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("score").desc(), "leaf"))
+    ranked = leaves(keyed.select("key", "node", "score"), steps).withColumn("rank", rank)
+    best = materialise(ranked if branches is None else ranked.where(F.col("rank") <= branches), "leaves")
+    found = materialise(paths(best, steps), "paths")
+    for step in steps:
+        discard(step)
     role, text = escaped(F.coalesce("role", F.lit("")), role=True), escaped(F.coalesce("text", F.lit("")))
     piece = F.concat(F.lit(MARK), role, F.lit(BETWEEN), text, F.lit(END))
-    facts = rooted.select("key", "node", "tree", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("has").isNull().alias("root"), (F.coalesce("role", F.lit("")) == LOSS_ROLE).alias("loss"), piece.alias("piece"), F.length(text).alias("text_chars"))
-    on_path = found.join(facts, ["key", "node"])
-    if branches is not None:
-        totals = on_path.groupBy("key", "leaf").agg(F.sum("score").alias("total"), F.max("root").alias("whole")).where("whole")
-        best = totals.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.col("total").desc(), "leaf"))).where(F.col("rank") <= branches)
-        on_path = on_path.join(best.select("key", "leaf", "rank"), ["key", "leaf"])
+    facts = keyed.select("key", "node", "tree", (F.coalesce("role", F.lit("")) == LOSS_ROLE).alias("loss"), piece.alias("piece"), F.length(text).alias("text_chars"))
     before = Window.partitionBy("key", "leaf").orderBy(F.col("up").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = F.sum(F.length("piece")).over(before) - len(END)
-    laid = on_path.withColumn("end", ended).withColumn("start", F.col("end") - F.col("text_chars"))
+    laid = found.join(facts, ["key", "node"]).withColumn("end", ended).withColumn("start", F.col("end") - F.col("text_chars"))
     turn = F.struct((-F.col("up")).alias("at"), "piece", "loss", "start", "end")
-    rank = [F.first("rank").alias("rank")] if branches is not None else []
-    grouped = laid.groupBy("key", "leaf").agg(F.first("tree").alias("tree"), F.sum("score").alias("score"), F.max("root").alias("whole"), *rank, F.sort_array(F.collect_list(turn)).alias("turns")).where("whole")
-    if branches is None:
-        grouped = grouped.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.col("score").desc(), "leaf")))
+    grouped = laid.groupBy("key", "leaf").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(turn)).alias("turns")).join(best, ["key", "leaf"])
     spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     return grouped.select("tree", "leaf", "rank", "score", F.size("turns").cast("long").alias("n_turns"), F.array_join("turns.piece", "").alias("formatted"), spans.alias("loss"))
 

@@ -10,8 +10,8 @@ its whole text by one table of weights, of DIMS x languages numbers whatever the
 Defined results: null texts and texts without a letter, which any alphabet's letters of any plane are, are ``und`` with
 score 0; a table without learned languages gives ``und`` throughout; equal rows get equal results, ties go to the first
 language in code-point order; texts are read whole, at any length; other columns are ignored whatever their names; an empty
-table gives an empty result.  More than ``MOST_LANGUAGES`` different values of ``lang`` are an error, not a model that
-outgrows the driver: such a column holds something else.
+table gives an empty result.  Of more than ``MOST_LANGUAGES`` different values of ``lang`` the most frequent are learned, ties
+in code-point order, so that the model keeps its size; documents are predicted among those whatever their own value is.
 """
 
 from __future__ import annotations
@@ -89,15 +89,14 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], DataFrame]:
     """The languages of ``docs`` (doc_id, text, lang), in order, and about ``per_language`` rows of each, by a hash of the id."""
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"the language column has more than {MOST_LANGUAGES} values")
+    frequent = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     names = sorted(counts)
     if not names:
         return [], docs
     place = F.create_map(*[x for name in names for x in (F.lit(name), F.lit(int(min(1.0, per_language / counts[name]) * _MODULUS)))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(_MODULUS))
-    return names, docs.where(draw < F.element_at(place, F.col("lang"))).withColumn("fit", F.pmod(F.xxhash64(F.lit("split"), "doc_id"), F.lit(5)) > 0)
+    return names, docs.where(draw < F.try_element_at(place, F.col("lang"))).withColumn("fit", F.pmod(F.xxhash64(F.lit("split"), "doc_id"), F.lit(5)) > 0)
 
 
 class Ftrl:

@@ -11,7 +11,7 @@ as their largest number needs.
 Files lie in ``folder``, which driver and workers must share and be able to map (a mounted file system; by default the
 session's checkpoint folder).  They are written beside their place and renamed, and hold the same bytes whenever a task runs
 again.  Only counts of counts and the number of words of each shard reach the driver; the number of shards follows the
-bytes of text.
+bytes of text.  A shard of a table is one file, and a worker maps a bounded number of them.
 
 With c the count of a gram, for the highest order and for grams from a text's start as they occur, else the number of
 distinct words before it, T the sum of c over a context, N1, N2, N3+ the context's grams with such counts and D1, D2, D3+
@@ -151,28 +151,45 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(part, path)
 
 
+#: Shards of a table that a worker maps at a time; a process may hold some 65,000 maps in all.
+MAPS = 512
+
+
 class Table:
-    """Sorted keys and columns of whole numbers, in one file each per shard."""
+    """Sorted keys and columns of whole numbers, one file for each shard, of which ``maps`` are mapped at a time."""
 
-    def __init__(self, folder: str, name: str, columns: tuple[str, ...], shards: int):
-        self.folder, self.name, self.columns, self.shards = folder, name, columns, shards
+    def __init__(self, folder: str, name: str, columns: tuple[str, ...], shards: int, maps: int = MAPS):
+        self.folder, self.name, self.columns, self.shards, self.maps = folder, name, columns, shards, maps
         self.parts: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
 
     def write(self, shard: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
-        save(self.folder, f"{self.name}-{shard}", keys.astype("<u8"))
-        for name, c in zip(self.columns, columns):
-            save(self.folder, f"{self.name}-{name}-{shard}", c.astype(np.min_scalar_type(int(c.max())) if len(c) else "<u1"))
-
-    def _mapped(self, name: str, n: int | None = None) -> np.ndarray:
-        path = f"{self.folder}/{name}"
-        size = os.path.getsize(path) if os.path.exists(path) else 0
-        return np.memmap(path, f"<u{size // n if n else 8}", "r") if size else np.zeros(0, "<u8")
+        """Number of keys and bytes of each column's numbers, then the keys and the columns, each from a multiple of eight on."""
+        narrow = [c.astype(np.min_scalar_type(int(c.max())) if len(c) else "<u1") for c in columns]
+        head = np.array([len(keys), *[c.itemsize for c in narrow]], "<u8")
+        padded = lambda c: np.frombuffer(c.tobytes() + bytes(-c.nbytes % 8), np.uint8)
+        save(self.folder, f"{self.name}-{shard}", np.concatenate([padded(c) for c in (head, keys.astype("<u8"), *narrow)]))
+
+    def _mapped(self, shard: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        path = f"{self.folder}/{self.name}-{shard}"
+        if not os.path.exists(path):
+            return np.zeros(0, "<u8"), [np.zeros(0, "<u8") for _ in self.columns]
+        raw = np.memmap(path, np.uint8, "r")
+        at = 8 * (1 + len(self.columns))
+        n, *widths = raw[:at].view("<u8").tolist()
+        out = []
+        for width in (8, *widths):
+            out.append(raw[at : at + n * width].view(f"<u{width}"))
+            at += n * width + -n * width % 8
+        return out[0], out[1:]
 
     def part(self, shard: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        if shard not in self.parts:
-            keys = self._mapped(f"{self.name}-{shard}")
-            self.parts[shard] = keys, [self._mapped(f"{self.name}-{c}-{shard}", len(keys)) for c in self.columns]
-        return self.parts[shard]
+        held = self.parts.get(shard)
+        if held is None:
+            # look-ups come by shard, so what was mapped first is asked for again last
+            while len(self.parts) >= self.maps:
+                del self.parts[next(iter(self.parts))]
+            held = self.parts[shard] = self._mapped(shard)
+        return held
 
     def get(self, sought: np.ndarray, by: np.ndarray | None = None) -> list[np.ndarray]:
         """Columns of each key, 0 where it is not there; ``by``: the keys that shards are told from, if not the same."""
@@ -203,6 +220,11 @@ def _tables(model: dict) -> tuple[Table, list[Table], list[Table]]:
     return own("word", "count", "place"), [own(f"gram{k}", "count") for k in lengths], [own(f"context{k}", "total", "one", "two", "more") for k in lengths]
 
 
+def _base(model: dict) -> np.ndarray:
+    """The number of each class's first word in each shard."""
+    return np.memmap(f"{model['folder']}/base", "<i8", "r", shape=(_CLASSES, model["shards"]))
+
+
 def _folder(spark: SparkSession, given: str | None) -> str:
     root = given or scratch_root(spark)
     if "://" in root and not root.startswith("file://"):
@@ -312,15 +334,16 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None,
     held = np.zeros((_CLASSES, shards), np.int64)
     for r in found:
         held[:, r["shard"]] = r["words"]
-    base = (np.cumsum(held) - held.ravel()).reshape(held.shape)
-    model |= {"tokens": sum(r["tokens"] for r in found), "types": int(held.sum()), "base": base, "discounts": [(0.5, 0.5, 0.5)] * order, "total": 0, "aside": 0.0}
+    # numbers of each class's first word by shard: a table that grows with shards, so workers map it too
+    save(model["folder"], "base", (np.cumsum(held) - held.ravel()).reshape(held.shape))
+    model |= {"tokens": sum(r["tokens"] for r in found), "types": int(held.sum()), "discounts": [(0.5, 0.5, 0.5)] * order, "total": 0, "aside": 0.0}
     if not model["tokens"]:
         return model
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, words = _tables(model)[0], Words()
+        table, words, base = _tables(model)[0], Words(), _base(model)
         for parts in _blocks(batches, words):
-            (numbers,) = words.look_up(lambda hashes: [_numbered(table, model["base"], hashes)[0]])
+            (numbers,) = words.look_up(lambda hashes: [_numbered(table, base, hashes)[0]])
             grams = grams_of(numbers[np.concatenate(parts)], np.array([len(p) for p in parts]), order)
             _, first, (counts,) = merged(key_of(grams), [np.ones(len(grams[0]), np.int64)])
             yield _batch(_grams_sent(order, [g[first] for g in grams], counts, shards))
@@ -378,10 +401,11 @@ def scored(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         table, grams, contexts = _tables(model)
+        firsts = _base(model)
         at_start = [c[0] for c in contexts[1].get(key_of([np.array([START])]))] if seen else []
 
         def find(hashes: np.ndarray) -> list[np.ndarray]:
-            numbers, count = _numbered(table, model["base"], hashes)
+            numbers, count = _numbered(table, firsts, hashes)
             if not seen:
                 return [numbers, count]
             key = key_of([numbers])

@@ -742,9 +742,10 @@ def test_language_edges(spark, real, monkeypatch) -> None:
     got = [r for r in langid.report(df.withColumn("lang_pred", F.lit(1))).collect() if r["doc_id"] in (None, 1001, 1003)]
     assert len(got) == 4 and len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 1001}) == 1
     assert [r["lang_pred"] == "und" for r in sorted(got, key=lambda r: r["doc_id"] or 0)] == [False, False, False, True]
+    # of too many languages the most frequent are learned
     monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
-    with pytest.raises(ValueError):
-        langid.report(real)
+    learned = real.where((langid.residue("doc_id", 4) != 2) & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(2)
+    assert {r["lang_pred"] for r in langid.report(real).collect()} - {"und"} <= {r["lang"] for r in learned.collect()}
 
 
 def test_language_scores_against_a_plain_version(spark, real, texts) -> None:
