@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import registry, sql_analytics, sql_diffs, sql_entities, sql_planted, sql_records, sql_sources, sql_streams, sql_trees  # noqa: F401
+from .plans import registry, sql_accounts, sql_analytics, sql_diffs, sql_entities, sql_planted, sql_records, sql_sources, sql_streams, sql_trees  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
