@@ -155,7 +155,11 @@ def _compared(members: DataFrame, cosine: float) -> DataFrame:
         rep, n, block, vecs, lists = zip(*rows)
         x = np.stack(vecs)
         block = np.array(block)
-        near = x @ x.T >= cosine
+        cosines = x @ x.T
+        near = cosines >= cosine
+        # a product's last digits depend on its shape: what is that near is decided by one sum, the same in every block
+        p, q = np.nonzero(np.triu(np.abs(cosines - cosine) < 1e-9, 1))
+        near[p, q] = near[q, p] = (x[p] * x[q]).sum(axis=1) >= cosine
         np.fill_diagonal(near, False)
         if i != j:
             near &= block[:, None] != block
