@@ -44,19 +44,40 @@ def client_id(address: Column, forwarded: Column, real: Column) -> Column:
     return F.coalesce(address, first, real, F.lit("unknown"))
 
 
+#: Windows that one range of a client's time is long; ranges are what tasks order.
+RANGE = 64
+
+
+def stretches(requests: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Requests with ``stretch``, which grows by one wherever a client pauses for a whole window.
+
+    Rows are ordered within ranges of a client's time, each a group of its own; across ranges only the first and last time
+    and the number of pauses of each are ordered, so a client of any number of requests is spread over many tasks.
+    """
+    from pyspark.sql import Window
+
+    pause = window * MICROS
+    timed = requests.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_range", F.floor(F.col("_us") / (RANGE * pause)))
+    own = Window.partitionBy("client", "_range").orderBy("_us", "request_id")
+    cut = (F.col("_us") - F.lag("_us").over(own) >= pause).cast("int")
+    rows = timed.withColumn("_cut", F.coalesce(cut, F.lit(0))).withColumn("_cuts", F.sum("_cut").over(own))
+    ranges = timed.withColumn("_cut", F.coalesce(cut, F.lit(0))).groupBy("client", "_range").agg(F.min("_us").alias("first"), F.max("_us").alias("last"), F.sum("_cut").alias("cuts"))
+    along = Window.partitionBy("client").orderBy("_range")
+    opens = F.coalesce((F.col("first") - F.lag("last").over(along) >= pause).cast("int"), F.lit(1))
+    placed = ranges.withColumn("opens", opens).select(F.col("client").alias("_client"), F.col("_range").alias("_r"), (F.sum(F.col("opens") + F.col("cuts")).over(along) - F.col("cuts")).alias("_base"))
+    joined = rows.join(placed, F.col("client").eqNullSafe(F.col("_client")) & (F.col("_range") == F.col("_r")))
+    return joined.select(*requests.columns, (F.col("_base") + F.col("_cuts")).alias("stretch"))
+
+
 def limited(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> DataFrame:
     """Requests (request_id, client, ts) with ``accepted``.
 
     A client's requests are cut where it pauses for a whole window: nothing before such a pause can count after it, so the
-    stretches are independent groups and a busy client is spread over many tasks unless it never pauses.  In a stretch of
-    no more than ``limit`` requests all are accepted; only longer ones need their order replayed, which streams through sorted
-    rows: a stretch of any length takes the memory of one batch and ``limit`` times.
+    stretches are independent groups.  In a stretch of no more than ``limit`` requests all are accepted; only longer ones
+    need their order replayed, which streams through sorted rows: a stretch of any length takes the memory of one batch and
+    ``limit`` times.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("client").orderBy("ts", "request_id")
-    gap = (F.col("ts") - F.lag("ts").over(order)).cast("interval second").cast("decimal(20,6)")
-    cut = requests.withColumn("stretch", F.sum(F.coalesce((gap >= window).cast("int"), F.lit(1))).over(order))
+    cut = stretches(requests.select("request_id", "client", "ts"), window)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows come sorted by client, stretch and time; what is held is one stretch's accepted times of one window
@@ -70,9 +91,11 @@ def limited(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> Da
                 accepted += yes
             yield pdf.assign(accepted=accepted)[["request_id", "client", "ts", "accepted"]]
 
-    sized = cut.withColumn("n", F.count("*").over(Window.partitionBy("client", "stretch")))
-    free = sized.where(F.col("n") <= limit).select("request_id", "client", "ts", F.lit(True).alias("accepted"))
-    dealt = sized.where(F.col("n") > limit).drop("n").repartition("client", "stretch").sortWithinPartitions("client", "stretch", "ts", "request_id")
+    # counted before rows move, and only long stretches are looked up
+    long = cut.groupBy("client", "stretch").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col("client").alias("_client"), F.col("stretch").alias("_stretch"), F.lit(True).alias("_long"))
+    sized = cut.join(long, F.col("client").eqNullSafe(F.col("_client")) & (F.col("stretch") == F.col("_stretch")), "left")
+    free = sized.where("_long IS NULL").select("request_id", "client", "ts", F.lit(True).alias("accepted"))
+    dealt = sized.where("_long").select("request_id", "client", "ts", "stretch").repartition("client", "stretch").sortWithinPartitions("client", "stretch", "ts", "request_id")
     busy = dealt.mapInPandas(run, "request_id long, client string, ts timestamp_ntz, accepted boolean")
     return free.unionByName(busy)
 

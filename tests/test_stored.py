@@ -148,6 +148,21 @@ def test_limits_of_a_shuffled_stream_with_restarts(spark, tmp_path) -> None:
     assert got.where("NOT accepted").count() > 100
 
 
+def test_limits_across_ranges_of_time(spark, monkeypatch) -> None:
+    monkeypatch.setattr(limiter, "RANGE", 2)
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice(["a", "b", None]), round(rnd.choice([rnd.uniform(0, 400), rnd.uniform(3000, 3100)]), 1)) for i in range(400)] + [(900 + i, "c", 60.0 * i) for i in range(9)] + [(950 + i, "d", 59.9 * i) for i in range(9)]
+    df = spark.createDataFrame(rows, "request_id long, client string, s double").select("request_id", "client", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("s"))).alias("ts"))
+    want = {}
+    for client in ("a", "b", None, "c", "d"):
+        own = sorted((round(s * 1_000_000), i) for i, c, s in rows if c == client)
+        want |= dict(zip([i for _, i in own], limiter.decided([t for t, _ in own], [], 5, 60_000_000)[0]))
+    assert {r["request_id"]: r["accepted"] for r in limiter.limited(df, 5, 60).collect()} == want
+    cut = {(r["client"], r["stretch"]) for r in limiter.stretches(df, 60).where("client IN ('c', 'd')").collect()}
+    assert cut == {("c", i) for i in range(1, 10)} | {("d", 1)}
+    assert limiter.limited(df.limit(0)).count() == 0
+
+
 def plain_states(reports, as_of: int, timeout: int):  # noqa: ANN001, ANN201
     percent_of = {"starting": 0, "cloning": 10, "scoring": 80, "saving": 90, "finished": 100, "failed": 0}
     out = {}
