@@ -100,3 +100,41 @@ def test_branches_like_a_plain_walk(spark) -> None:
             assert [x[0] for x in sorted(found)] == list(range(1, len(plain) + 1))
             if found[0][4] is not None:
                 assert found[0][4] == [str(x) for x in plain[0][2]]
+
+
+def test_training_steps_like_the_written_formula() -> None:
+    """Follow-the-regularised-leader, coordinate by coordinate, and the temperature by trying many."""
+    rng = np.random.default_rng(4)
+    dims, classes = 30, 3
+    model = langid.Ftrl(dims, classes, alpha=0.3, beta=1.0, l1=0.05, l2=0.02)
+    z, n = [[0.0] * classes for _ in range(dims + 1)], [[0.0] * classes for _ in range(dims + 1)]
+
+    def weight(i: int, c: int) -> float:
+        if abs(z[i][c]) <= 0.05:
+            return 0.0
+        return -(z[i][c] - (0.05 if z[i][c] > 0 else -0.05)) / ((1.0 + n[i][c] ** 0.5) / 0.3 + 0.02)
+
+    for _ in range(150):
+        at = rng.choice(dims, rng.integers(1, 6), replace=False)
+        x, y = rng.random(len(at)), int(rng.integers(0, classes))
+        model.step(at, x, np.eye(classes)[y])
+        active = [*zip(at.tolist(), x.tolist()), (dims, 1.0)]
+        w = {(i, c): weight(i, c) for i, _ in active for c in range(classes)}
+        raw = [sum(v * w[i, c] for i, v in active) for c in range(classes)]
+        e = [np.exp(r - max(raw)) for r in raw]
+        for c in range(classes):
+            g = e[c] / sum(e) - (c == y)
+            for i, v in active:
+                before = n[i][c]
+                n[i][c] += (g * v) ** 2
+                z[i][c] += g * v - (n[i][c] ** 0.5 - before**0.5) / 0.3 * w[i, c]
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+    assert np.allclose(model.weights(), [[weight(i, c) for c in range(classes)] for i in range(dims + 1)])
+    assert (model.weights()[:-1] == 0).any()
+
+    truth = rng.integers(0, classes, 400)
+    scores = 3.0 * (np.eye(classes)[truth] + rng.normal(0, 0.8, (400, classes)))
+    loss = lambda t: -np.log(langid.softmax(scores / t)[np.arange(400), truth]).mean()
+    best = min(np.exp(np.linspace(np.log(0.05), np.log(20), 2000)), key=loss)
+    assert abs(langid.temperature(scores, truth) / best - 1) < 0.01
+    assert langid.temperature(scores[:0], truth[:0]) == 1.0
