@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from . import syntax
 
 #: Nodes of a subtree that is worth reporting.
@@ -24,7 +25,10 @@ def clones(files: DataFrame, least_nodes: int = LEAST_NODES) -> DataFrame:
     """
     keys = [c for c in files.columns if c != "content"]
     big = syntax.nodes(files).where((F.col("nodes") >= least_nodes) & ~F.col("kind").isin("Module", "SyntaxError"))
-    slim = big.select(*keys, "kind", "name", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), "nodes", "shape", "above_shape")
+    # stored, so that files are parsed once and a lost executor costs only its part
+    folder = shared_folder(files.sparkSession, "subtrees")
+    big.select(*keys, "kind", "name", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), "nodes", "shape", "above_shape").write.parquet(folder)
+    slim = files.sparkSession.read.parquet(folder)
     # counts are formed before they move, so a shape of very many copies is one row of each task
     many = slim.groupBy("shape").agg(F.count("*").alias("copies")).where("copies > 1")
     found = slim.join(many, "shape")

@@ -165,22 +165,25 @@ def patterns(diffs: DataFrame) -> DataFrame:
     path = F.lower("file_path")
     docs = F.col("file_path").isNotNull() & (path.contains(".md") | path.contains(".rst") | path.contains(".txt") | path.contains("readme") | path.contains("doc"))
 
-    def changed(h: Column) -> Column:
-        """(body, as_added) of the changed lines of a hunk: a line's number is the hunk's start and the lines of its kind before."""
+    blank, added, either = r"[^\S\n]*", r"(?md)^\+(?!\+\+)", r"(?md)^(?:\+(?!\+\+)|-(?!--))"
+    removed = either.replace(r"\+(?!\+\+)|", "")
+    imports, defines, comments = r"(?:import |from |#include|require\()", "(?:def |function |class )", r"(?:#(?!include)|//|/\*|\*)"
+    hunks_of = _good_hunks(F.col("text"))
+    count = lambda pattern: F.aggregate(hunks_of, F.lit(0), lambda n, h: n + F.regexp_count(h, F.lit(pattern)))
+
+    def twins(h: Column) -> Column:
+        """Removed definitions of a hunk that an added line repeats: a line's number is the hunk's start and the lines of its kind before."""
         rows = F.split(h, "\n")
-        added = F.filter(rows, lambda x: x.startswith("+") & ~x.startswith("+++"))
-        removed = F.filter(rows, lambda x: x.startswith("-") & ~x.startswith("---"))
-        body = lambda x: F.substring(x, 2, 1 << 30)
-        told = lambda x: F.trim(F.regexp_replace(body(x), r"^\s+|\s+$", ""))
+        plus = F.filter(rows, lambda x: x.startswith("+") & ~x.startswith("+++"))
+        minus = F.filter(rows, lambda x: x.startswith("-") & ~x.startswith("---"))
         ahead = F.regexp_extract(h, _GOOD_HUNK, 1).cast("int") - F.regexp_extract(h, _GOOD_HUNK, 3).cast("int")
-        twin = lambda x, i: F.coalesce((i + ahead >= 0) & (body(F.get(added, i + ahead)) == body(x)), F.lit(False))
-        return F.concat(F.transform(added, lambda x: F.struct(told(x).alias("body"), F.lit(True).alias("as_added"))), F.transform(removed, lambda x, i: F.struct(told(x).alias("body"), twin(x, i).alias("as_added"))))
-
-    imports = lambda c: c["body"].rlike(r"^(import |from |#include|require\()")
-    defines = lambda c: ~imports(c) & c["body"].rlike(r"^(def |function |class )")
-    comments = lambda c: ~imports(c) & ~defines(c) & c["body"].rlike(r"^(#|//|/\*|\*)")
-    tests = {"import_changes": imports, "function_additions": lambda c: defines(c) & c["as_added"], "function_deletions": lambda c: defines(c) & ~c["as_added"], "comment_changes": comments}
-    counted = F.transform(F.array(F.flatten(F.transform(_good_hunks(F.col("text")), changed))), lambda c: F.struct(*[F.size(F.filter(c, t)).alias(n) for n, t in tests.items()]))[0]
+        same = lambda x, i: (i + ahead >= 0) & (F.substring(F.get(plus, i + ahead), 2, 1 << 30) == F.substring(x, 2, 1 << 30)) & x.rlike(removed + blank + defines)
+        return F.size(F.filter(minus, lambda x, i: F.coalesce(same(x, i), F.lit(False))))
+
+    # only hunks that take definitions away are read line by line
+    again = F.aggregate(hunks_of, F.lit(0), lambda n, h: n + F.when(h.rlike(removed + blank + defines), twins(h)).otherwise(0))
+    tests = {"import_changes": count(either + blank + imports), "function_additions": count(added + blank + defines) + again, "function_deletions": count(removed + blank + defines) - again, "comment_changes": count(either + blank + comments)}
+    counted = F.struct(*[c.alias(n) for n, c in tests.items()])
     per_file = files(diffs, counted.alias("counted"))
     total = lambda c, name: F.sum(c).cast("long").alias(name)
     by_path = [total(F.when(path.contains("test"), F.col("changes")).otherwise(0), "test_changes"), total(F.when(docs, F.col("changes")).otherwise(0), "documentation_changes")]

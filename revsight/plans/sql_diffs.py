@@ -10,12 +10,14 @@ from .registry import register, tables
 
 # what an item's file is: 0 a test, 1 a document, 2 renamed, 3 new, 4 deleted, 5 binary
 _PATH = "CASE id % 6 WHEN 0 THEN 'test/auth' || id || '.py' WHEN 1 THEN 'docs/d' || id || '.md' ELSE file_path END"
+#: Every eighth file changes by up to 150 lines, the others by up to 50.
+_ADDED = "line_start * CASE WHEN id % 8 = 0 THEN 3 ELSE 1 END"
 _OLD = f"CASE id % 6 WHEN 2 THEN 'old/o' || id || '.py' ELSE {_PATH} END"
 
 
 def varied_diffs(spark, sf_dir):  # noqa: ANN001, ANN201
     """A unified diff of each review, two thirds of them under a line that says what they do: a file for each line item."""
-    items = tables(spark, sf_dir, "issues")[0].select("review_id", "id", F.expr(_PATH).alias("path"), F.expr(_OLD).alias("old"), (F.col("line_start") * 3).alias("a"), F.when(F.col("severity") == "low", 3).otherwise(0).alias("g"))
+    items = tables(spark, sf_dir, "issues")[0].select("review_id", "id", F.expr(_PATH).alias("path"), F.expr(_OLD).alias("old"), F.expr(_ADDED).alias("a"), F.when(F.col("severity") == "low", 3).otherwise(0).alias("g"))
     k = F.col("id") % 6
     lit = F.lit
     mode = F.when(k == 3, "new file mode 100644\n").when(k == 4, "deleted file mode 100644\n").otherwise("")
@@ -29,7 +31,7 @@ def varied_diffs(spark, sf_dir):  # noqa: ANN001, ANN201
     return items.groupBy(F.col("review_id").alias("diff_id")).agg(parts.alias("text")).select("diff_id", F.concat(said, "text").alias("diff_text"))
 
 
-_FILES = with_sql("issues") + f""", i AS (SELECT review_id AS diff_id, id, row_number() OVER (PARTITION BY review_id ORDER BY id) AS file, id % 6 AS k, {_PATH} AS path, line_start * 3 AS a, CASE WHEN severity = 'low' THEN 3 ELSE 0 END AS g, id % 3 AS n, id % 2 = 0 AS two FROM issues),
+_FILES = with_sql("issues") + f""", i AS (SELECT review_id AS diff_id, id, row_number() OVER (PARTITION BY review_id ORDER BY id) AS file, id % 6 AS k, {_PATH} AS path, {_ADDED} AS a, CASE WHEN severity = 'low' THEN 3 ELSE 0 END AS g, id % 3 AS n, id % 2 = 0 AS two FROM issues),
 f AS (SELECT *, CASE WHEN k = 5 THEN 0 ELSE a + 1 + n + CASE WHEN two THEN 1 ELSE 0 END END AS additions, CASE WHEN k = 5 THEN 0 ELSE g + 1 END AS deletions FROM i) """
 _SUM = lambda count, first: f"({count}) * {first} + ({count}) * (({count}) - 1) // 2"
 

@@ -62,10 +62,15 @@ CUSTOM = ((0, "no_hardcoded_secrets", 1), (25, "no_hardcoded_secrets", 1), (30,
 _N = len(PLANTED)
 
 
+def customers(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The keys of customers, dealt over all cores before texts are made of them: a small table is read as one part."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").repartition(spark.sparkContext.defaultParallelism)
+
+
 def planted_files(spark, sf_dir):  # noqa: ANN001, ANN201
     """A file for each customer: one of the planted texts below none to four empty lines."""
     texts = F.broadcast(spark.createDataFrame([(i, n, c) for i, (n, c, _, _) in enumerate(PLANTED)], "k long, name string, text string"))
-    held = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("file_id"), (F.col("c_custkey") % _N).alias("k"))
+    held = customers(spark, sf_dir).select(F.col("c_custkey").alias("file_id"), (F.col("c_custkey") % _N).alias("k"))
     path = F.concat(F.lit("src/p"), "file_id", F.lit("/"), "name")
     return held.join(texts, "k").select("file_id", path.alias("path"), F.concat(F.repeat(F.lit("\n"), (F.col("file_id") % 5).cast("int")), "text").alias("content"))
 
@@ -114,7 +119,7 @@ def deep_nesting(spark, sf_dir):  # noqa: ANN001, ANN201
     """Files of up to 16 conditions, each in the one before; one at line n stands below n - 1 others."""
     n = (F.col("c_custkey") % 17).cast("int")
     steps = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.repeat(F.lit(" "), i - 1), F.lit("if a:\n")))
-    made = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("file_id"), F.lit("deep.py").alias("path"), F.concat(F.array_join(steps, ""), F.repeat(F.lit(" "), n), F.lit("pass\n")).alias("content"))
+    made = customers(spark, sf_dir).select(F.col("c_custkey").alias("file_id"), F.lit("deep.py").alias("path"), F.concat(F.array_join(steps, ""), F.repeat(F.lit(" "), n), F.lit("pass\n")).alias("content"))
     found = syntax.deep_nesting(syntax.nodes(made), ["file_id"])
     return found.select("file_id", "line_start", F.regexp_extract("description", r"(\d+)\)$", 1).cast("int").alias("depth"))
 
@@ -136,5 +141,5 @@ def planted_bodies(spark, sf_dir):  # noqa: ANN001, ANN201
     returns = F.element_at(F.array(*[F.lit(r) for r in _RETURNS]), (k % len(_RETURNS) + 1).cast("int"))
     head = F.concat(F.repeat(F.lit("\n"), (k % 3).cast("int")), F.lit("def f"), k, F.lit("(a, b=2, *c) -> "), returns, F.lit(':\n    """Doc '), k, F.lit('."""\n'))
     text = F.concat(head, F.repeat(F.lit("    if a:\n        b()\n"), (k % 5).cast("int")), F.lit("    return a\n\n\nclass K:\n    def m(self):\n        return self\n"))
-    made = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("file_id"), F.lit("b.py").alias("path"), text.alias("content"))
+    made = customers(spark, sf_dir).select(k.alias("file_id"), F.lit("b.py").alias("path"), text.alias("content"))
     return syntax.bodies(made).drop("path").withColumn("args", F.array_join("args", ","))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..entities import with_sql
 from ..operators import clones, listing, scan
+from ..session import shared_folder
 from ..sources import snapshots, updates
 from ..streaming import limiter
 from .registry import register, tables
-from .sql_planted import _N, PLANTED, planted_files
+from .sql_planted import _N, PLANTED, customers, planted_files
 
 _FOUND = [(k, r, line) for k, p in enumerate(PLANTED) for r, line in p[2]]
 _LATER = f"CASE WHEN c_custkey % 4 = 0 THEN (c_custkey + 1) % {_N} ELSE c_custkey % {_N} END"
@@ -19,7 +20,7 @@ _LATER = f"CASE WHEN c_custkey % 4 = 0 THEN (c_custkey + 1) % {_N} ELSE c_custke
 def later_files(spark, sf_dir, moved: bool):  # noqa: ANN001, ANN201
     """The planted tree after some files changed and others went, and, if ``moved``, after more were renamed too."""
     texts = F.broadcast(spark.createDataFrame([(i, n, c) for i, (n, c, _, _) in enumerate(PLANTED)], "k long, name string, text string"))
-    held = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("file_id"), (F.col("c_custkey") % _N).alias("was"), F.expr(_LATER).alias("k"))
+    held = customers(spark, sf_dir).where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("file_id"), (F.col("c_custkey") % _N).alias("was"), F.expr(_LATER).alias("k"))
     names = F.broadcast(spark.createDataFrame([(i, n) for i, (n, *_) in enumerate(PLANTED)], "was long, old string"))
     top = F.when(F.lit(moved) & (F.col("file_id") % 3 == 0), "moved/p").otherwise("src/p")
     name = F.when(F.col("file_id") % 4 == 0, F.col("name")).otherwise(F.col("old"))
@@ -31,14 +32,21 @@ def later_files(spark, sf_dir, moved: bool):  # noqa: ANN001, ANN201
     f"SELECT CASE WHEN c_custkey % 3 = 0 THEN 'moved/p' ELSE 'src/p' END || c_custkey || '/' || n.name AS path, rule_id, CAST(line + c_custkey % 5 AS INTEGER) AS line_start, count(*) AS issues FROM customer JOIN (VALUES {', '.join(str(f) for f in _FOUND)}) AS e(k, rule_id, line) ON {_LATER} = e.k JOIN (VALUES {', '.join(str((i, p[0])) for i, p in enumerate(PLANTED))}) AS n(k, name) ON n.k = e.k WHERE c_custkey % 5 <> 0 GROUP BY ALL",
 )
 def rescanned_findings(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Pattern findings of a tree after two changes, each from the findings before and the files that changed."""
-    tree = planted_files(spark, sf_dir).select("path", "content")
+    """Pattern findings of a tree after two changes, each from the stored findings before and the files that changed."""
     analyse = lambda files: scan.pattern_issues(files).select("path", "rule_id", "line_start")
-    found = analyse(tree)
+
+    def stored(df):  # noqa: ANN001, ANN202
+        folder = shared_folder(spark, "rescan")
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    tree = planted_files(spark, sf_dir).select("path", "content")
+    found, shot = stored(analyse(tree)), stored(snapshots.snapshot(tree))
     for moved in (False, True):
         now = later_files(spark, sf_dir, moved).select("path", "content")
-        changes = snapshots.difference(snapshots.snapshot(tree), snapshots.snapshot(now))
-        found, tree = snapshots.rescanned(found, changes, now, analyse), now
+        after = stored(snapshots.snapshot(now))
+        changes = stored(snapshots.difference(shot, after))
+        found, shot = stored(snapshots.rescanned(found, changes, now, analyse)), after
     return found.groupBy("path", "rule_id", "line_start").agg(F.count("*").alias("issues"))
 
 
@@ -60,7 +68,7 @@ def planted_clones(spark, sf_dir):  # noqa: ANN001, ANN201
     k = F.col("c_custkey")
     step = F.concat(F.lit("    b"), k, F.lit(" = a"), k, F.lit(".x("), k, F.lit(")\n"))
     text = F.concat(F.repeat(F.lit("\n"), (k % 3).cast("int")), F.lit("def f"), k, F.lit("(a"), k, F.lit("):\n"), F.repeat(step, (3 + k % 7).cast("int")), F.lit("    return b\n"))
-    made = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("file_id"), F.lit("c.py").alias("path"), text.alias("content"))
+    made = customers(spark, sf_dir).select(k.alias("file_id"), F.lit("c.py").alias("path"), text.alias("content"))
     return clones.clones(made).select("file_id", "name", "line_start", "line_end", "nodes", "copies")
 
 
@@ -99,7 +107,7 @@ _LANGUAGES = {"s.js": "javascript", "S.java": "java", "s.c": "c", "s.cpp": "cpp"
 def planted_definitions(spark, sf_dir):  # noqa: ANN001, ANN201
     """Structure of JavaScript, Java, C and C++: one file for each customer, below some empty lines."""
     texts = F.broadcast(spark.createDataFrame([(i, n, t) for i, (n, t, _) in enumerate(STRUCTURED)], "k long, name string, text string"))
-    held = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("file_id"), (F.col("c_custkey") % len(STRUCTURED)).alias("k"))
+    held = customers(spark, sf_dir).select(F.col("c_custkey").alias("file_id"), (F.col("c_custkey") % len(STRUCTURED)).alias("k"))
     files = held.join(texts, "k").select(F.concat("file_id", F.lit("/"), "name").alias("path"), F.concat(F.repeat(F.lit("\n"), (F.col("file_id") % 4).cast("int")), "text").alias("content"))
     return scan.structure(files).select(F.substring_index("path", "/", 1).cast("long").alias("file_id"), "language", "kind", "name", "line")
 

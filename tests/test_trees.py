@@ -10,7 +10,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from revsight.operators import clones, listing, relations, scan
+from revsight.operators import accounts, clones, listing, relations, scan
 from revsight.sources import paged, readers, snapshots, updates
 
 FILE = "path string, content string"
@@ -229,3 +229,16 @@ def test_names_in_the_order_of_a_locale(spark) -> None:
 def test_numbered_lines(spark) -> None:
     df = spark.createDataFrame([("a", "x\n\ny"), ("b", ""), ("c", None)], FILE)
     assert sorted(map(tuple, relations.numbered_lines(df).collect())) == [("a", 1, "x"), ("a", 2, ""), ("a", 3, "y"), ("b", 1, "")]
+
+
+def test_sign_ins_and_addresses(spark) -> None:
+    users = spark.createDataFrame([(1, "a@x.org", "ann", True), (2, "b@x.org", "a@x.org", True), (3, "c@x.org", "cid", False), (4, None, None, True), (5, "e@x.org", "eve", None)], "id long, email string, username string, is_active boolean")
+    logins = spark.createDataFrame(list(enumerate(["A@X.org", "ann", "a@x.org", "CID", "cid", None, "", "eve"])), "attempt long, name string")
+    got = {r["attempt"]: (r["user_id"], r["outcome"]) for r in accounts.sign_ins(users, logins).collect()}
+    # an address that is also someone's name is the address
+    assert got == {0: (1, "found"), 1: (1, "found"), 2: (1, "found"), 3: (None, "unknown"), 4: (None, "inactive"), 5: (None, "unknown"), 6: (None, "unknown"), 7: (None, "inactive")}
+    assert accounts.sign_ins(users.limit(0), logins).where("outcome = 'unknown'").count() == 8
+
+    urls = ["https://github.com/o/r.git", "https://github.com/o/r/", "https://github.com/o", "https://bitbucket.org/w/r/src", "https://git.gitlab.io/a/b/c.git/", "ssh://x@gitlab.com/a", "https://example.org/a/b", "", None]
+    found = [r["p"] for r in spark.createDataFrame(list(enumerate(urls)), "n int, u string").orderBy("n").select(accounts.project_of("u").alias("p")).collect()]
+    assert [p and tuple(p) for p in found] == [("github", "o", "r", "o/r"), ("github", "o", "r", "o/r"), None, ("bitbucket", "w", "r", "w/r"), ("gitlab", None, None, "a%2Fb%2Fc"), ("gitlab", None, None, "a"), None, None, None]
