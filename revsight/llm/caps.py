@@ -148,16 +148,39 @@ def _shared_before(f: int, lists: list[np.ndarray], p: np.ndarray, q: np.ndarray
     return out[p, q]
 
 
+#: Groups of at most so many members are screened together before any is looked at on its own.
+_FEW, _PAIRS = 16, 50_000
+
+
+def _near(x: np.ndarray, p: np.ndarray, q: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs of rows of ``x`` reach the cosine; what is close to it is decided by one sum, the same in every group."""
+    c = np.einsum("ij,ij->i", x[p], x[q])
+    near = c >= cosine
+    close = np.flatnonzero(np.abs(c - cosine) < 1e-9)
+    near[close] = (x[p[close]] * x[q[close]]).sum(axis=1) >= cosine
+    return near
+
+
+def _promising(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: float) -> np.ndarray:
+    """Which groups of rows may hold a near pair: those of many members, and those of few in which one is near."""
+    out = sizes > _FEW
+    for size in range(2, _FEW + 1):
+        own = np.flatnonzero(sizes == size)
+        i, j = np.triu_indices(size, 1)
+        for at in range(0, len(own), max(1, _PAIRS // len(i))):
+            some = own[at : at + max(1, _PAIRS // len(i))]
+            near = _near(x, (starts[some, None] + i).ravel(), (starts[some, None] + j).ravel(), cosine)
+            out[some] = near.reshape(len(some), -1).any(axis=1)
+    return out
+
+
 def _compared(members: DataFrame, cosine: float) -> DataFrame:
     """Rows (a, b, w): with b null, w more links of a; else a link of the spanning forest."""
 
-    def one(f: int, i: int, j: int, rows: list[tuple]) -> Iterator[tuple]:
-        rep, n, block, vecs, lists = zip(*rows)
-        x = np.stack(vecs)
-        block = np.array(block)
+    def one(f: int, i: int, j: int, rep: np.ndarray, n: np.ndarray, block: np.ndarray, x: np.ndarray, lists: list[np.ndarray]) -> Iterator[tuple]:
         cosines = x @ x.T
         near = cosines >= cosine
-        # a product's last digits depend on its shape: what is that near is decided by one sum, the same in every block
+        # a product's last digits depend on its shape
         p, q = np.nonzero(np.triu(np.abs(cosines - cosine) < 1e-9, 1))
         near[p, q] = near[q, p] = (x[p] * x[q]).sum(axis=1) >= cosine
         np.fill_diagonal(near, False)
@@ -167,38 +190,58 @@ def _compared(members: DataFrame, cosine: float) -> DataFrame:
         if not len(p):
             return
         first = ~_shared_before(f, lists, p, q)
-        n, w = np.array(n), np.zeros(len(n), np.int64)
+        w = np.zeros(len(n), np.int64)
         np.add.at(w, p[first], n[q[first]])
         np.add.at(w, q[first], n[p[first]])
-        yield from ((rep[k], None, int(w[k])) for k in np.flatnonzero(w))
-        yield from ((rep[a], rep[b], 0) for a, b in _forest(near))
+        yield from ((int(rep[k]), None, int(w[k])) for k in np.flatnonzero(w))
+        yield from ((int(rep[a]), int(rep[b]), 0) for a, b in _forest(near))
+
+    def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("f", "i", "j")])
+
+    def work(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Whole groups: rows of one filter and pair of blocks lie together."""
+        keys = keys_of(batch)
+        starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+        sizes = np.diff(np.append(starts, batch.num_rows))
+        rep, n, block = (batch.column(c).to_numpy() for c in ("rep", "n", "block"))
+        vec, lists = batch.column("vec"), batch.column("filters")
+        flat, offsets = vec.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.append(0, vec.value_lengths().to_numpy()))
+        told, ends = lists.flatten().to_numpy(), np.cumsum(np.append(0, lists.value_lengths().to_numpy()))
+        dims = np.diff(offsets)
+        # a filter holds vectors of one length
+        for d in np.unique(dims[starts]):
+            groups = np.flatnonzero((dims[starts] == d) & (sizes > 1))
+            if not len(groups):
+                continue
+            rows = np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in groups])
+            x = flat[offsets[rows, None] + np.arange(d)].astype(np.float64)
+            x /= np.abs(x).max(axis=1, keepdims=True)
+            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+            at = np.cumsum(sizes[groups]) - sizes[groups]
+            for k in np.flatnonzero(_promising(x, at, sizes[groups], cosine)):
+                own = rows[at[k] : at[k] + sizes[groups[k]]]
+                f, i, j = keys[:, own[0]].tolist()
+                yield from one(f, i, j, rep[own], n[own], block[own], x[at[k] : at[k] + len(own)], [told[ends[r] : ends[r + 1]] for r in own])
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [(), (), ()])], names=["a", "b", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
-        empty = [(None, None, None)][:0]
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [(), (), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "w"])
-
+        held = None
         for batch in batches:
-            f, i, j, rep, n, block = (batch.column(c).to_pylist() for c in ("f", "i", "j", "rep", "n", "block"))
-            vecs = [np.asarray(v.values, dtype=np.float64) for v in batch.column("vec")]
-            lists = [np.asarray(v.values) for v in batch.column("filters")]
-            for at in zip(f, i, j, rep, n, block, vecs, lists):
-                if at[:3] != key:
-                    if len(held) > 1:
-                        out += one(*key, held)
-                    key, held = at[:3], []
-                v = at[6] / np.abs(at[6]).max()
-                held.append((*at[3:6], v / math.sqrt(float(v @ v)), at[7]))
-            if len(out) > 20_000:
-                yield flush()
-        if len(held) > 1:
-            out += one(*key, held)
-        out += empty
-        yield flush()
+            if not batch.num_rows:
+                continue
+            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = keys_of(whole)
+            same = (keys == keys[:, -1:]).all(axis=0)
+            # the last group may go on in the next batch
+            cut = whole.num_rows - int(same.sum())
+            if cut:
+                yield made(list(work(whole.slice(0, cut))))
+            held = whole.slice(cut)
+        if held is not None:
+            yield made(list(work(held)))
 
     return members.mapInArrow(run, "a long, b long, w long")
 
@@ -218,9 +261,12 @@ def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     coded = materialise(_coded(reps.select("rep", "n", "vec"), words), "coded")
     owned = coded.select("rep", F.explode("filters").alias("f"))
     sizes = owned.groupBy("f").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = owned.join(sizes, "f").withColumn("blocks", F.ceil(F.col("size") / SPLIT).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # only filters that some other vector shares matter, and only vectors in one move
+    shared = materialise(owned.join(sizes, "f"), "shared")
+    lists = shared.groupBy("rep").agg(F.sort_array(F.collect_list("f")).alias("filters"))
+    dealt = shared.withColumn("blocks", F.ceil(F.col("size") / SPLIT).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "f", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    members = dealt.join(coded, "rep").select("f", "i", "j", "rep", "n", "block", "vec", "filters")
+    members = dealt.join(coded.select("rep", "n", "vec").join(lists, "rep"), "rep").select("f", "i", "j", "rep", "n", "block", "vec", "filters")
     compared = materialise(_compared(members.repartition("f", "i", "j").sortWithinPartitions("f", "i", "j"), cosine), "compared")
     counts = compared.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     comp = components(compared.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
