@@ -135,9 +135,11 @@ def cascade(tables: dict[str, DataFrame], repositories: DataFrame) -> dict[str,
 
 #: Fixed value: numbers that are tried behind a taken name; beyond them a name ends in a code.
 MOST_NUMBER = 9998
+#: Digits of a number at a name's end that are looked at where numbers have no end; a long holds them.
+MOST_DIGITS = 18
 
 
-def unique_usernames(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+def unique_usernames(wanted: DataFrame, taken: DataFrame, most: int | None = MOST_NUMBER) -> DataFrame:
     """A free name for each of ``wanted`` (id, username), all different; see :func:`offered_usernames`.
 
     Different names can be given the same one (ann1 and 2, ann and 12); the smaller id then keeps it and the others ask again,
@@ -146,7 +148,7 @@ def unique_usernames(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     spark, given = wanted.sparkSession, None
     while True:
         path = shared_folder(spark, "usernames")
-        offered_usernames(wanted, taken).withColumn("_turn", F.row_number().over(Window.partitionBy("username").orderBy("id"))).write.parquet(path)
+        offered_usernames(wanted, taken, most).withColumn("_turn", F.row_number().over(Window.partitionBy("username").orderBy("id"))).write.parquet(path)
         offered = spark.read.parquet(path)
         won = offered.where("_turn = 1").drop("_turn")
         given = won if given is None else given.unionByName(won)
@@ -157,28 +159,32 @@ def unique_usernames(wanted: DataFrame, taken: DataFrame) -> DataFrame:
         taken = taken.select("username").unionByName(won.select("username"))
 
 
-def offered_usernames(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+def offered_usernames(wanted: DataFrame, taken: DataFrame, most: int | None = MOST_NUMBER) -> DataFrame:
     """For each of ``wanted`` (id, username) the name itself if it is free and asked first, else with the least free number.
 
     ``taken``: username.  Requests for one name are served by id.  Numbers in use are counted per name, not looped over:
-    the n-th request takes the n-th number that no taken name bears, and where all numbers are taken an underscore and eight
-    hexadecimal digits that follow from the name and the id.
+    the n-th request takes the n-th number that no taken name bears, and where all numbers up to ``most`` are taken an
+    underscore and eight hexadecimal digits that follow from the name and the id; with ``most`` None numbers have no end.
     """
-    asked = wanted.withColumn("n", F.row_number().over(Window.partitionBy("username").orderBy("id")))
-    bases = wanted.select("username").distinct()
     own = taken.select(F.col("username").alias("name")).distinct()
-    exact = bases.join(own, F.col("username") == F.col("name"), "left").select("username", F.when(F.col("name").isNotNull(), 1).otherwise(0).alias("shift"))
-    number = lambda i: F.regexp_extract("name", r"^(.*?)([1-9]\d{0,3})$", i)
+    digits = len(str(most)) - 1 if most else MOST_DIGITS - 1
+    number = lambda i: F.regexp_extract("name", rf"^(.*?)([1-9]\d{{0,{digits}}})$", i)
     # a name may end in several numbers: ann12 is ann and 12, and ann1 and 2
     ends = F.transform(F.sequence(F.lit(1), F.length(number(2))), lambda i: F.struct(F.concat(number(1), F.substr(number(2), F.lit(1), F.length(number(2)) - i)).alias("username"), F.substr(number(2), F.length(number(2)) - i + 1).alias("no")))
-    numbered = own.where(number(2) != "").select(F.explode(ends).alias("e")).where(~F.col("e.no").startswith("0")).select("e.username", F.col("e.no").cast("int").alias("no"))
-    none = F.array().cast("array<int>")
-    used = numbered.groupBy("username").agg(F.collect_set("no").alias("used"))
-    placed = asked.join(exact, "username").join(used, "username", "left").withColumn("k", F.col("n") - 1 + F.col("shift"))
-    free = F.array_except(F.sequence(F.lit(1), F.least(F.lit(MOST_NUMBER), F.col("k") + F.size(F.coalesce("used", none)) + 1)), F.coalesce("used", none))
+    numbered = own.where(number(2) != "").select(F.explode(ends).alias("e")).where(~F.col("e.no").startswith("0")).select("e.username", F.col("e.no").cast("long").alias("no"))
+    exact = own.select(F.col("name").alias("username"), F.lit(0).cast("long").alias("no"))
+    # the j-th taken number has no - j free ones before it, so the k-th free number is k and as many as have less than k
+    before = F.row_number().over(Window.partitionBy("username").orderBy("no"))
+    used = numbered.distinct().select("username", (F.col("no") - before).alias("free"), F.lit(None).cast("long").alias("id"))
+    asked = wanted.join(exact, "username", "left").withColumn("n", F.row_number().over(Window.partitionBy("username").orderBy("id")))
+    placed = asked.select("username", (F.col("n") - 1 + F.when(F.col("no").isNotNull(), 1).otherwise(0)).cast("long").alias("free"), "id", F.lit(True).alias("asks"))
+    both = placed.unionByName(used.withColumn("asks", F.lit(False)))
+    # at one count of free numbers the request comes first
+    passed = F.count(F.when(~F.col("asks"), 1)).over(Window.partitionBy("username").orderBy("free", F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     code = F.concat(F.lit("_"), F.substring(F.md5(F.concat_ws("/", "username", F.col("id").cast("string")).cast("binary")), 1, 8))
-    end = F.coalesce(F.try_element_at(free, F.greatest(F.col("k"), F.lit(1)).cast("int")).cast("string"), code)
-    return placed.select("id", F.when(F.col("k") == 0, F.col("username")).otherwise(F.concat("username", end)).alias("username"))
+    told = both.withColumn("number", F.col("free") + passed).where("asks")
+    end = F.col("number").cast("string") if most is None else F.when(F.col("number") <= most, F.col("number").cast("string")).otherwise(code)
+    return told.select("id", F.when(F.col("free") == 0, F.col("username")).otherwise(F.concat("username", end)).alias("username"))
 
 
 def upsert_accounts(users: DataFrame, logins: DataFrame, provider: str) -> DataFrame:

@@ -209,6 +209,13 @@ def test_names_of_many_requests(spark) -> None:
     assert len(coded) >= 10_050 - 9_998 and all(len(n) == 12 for n in coded)
 
 
+def test_names_past_the_largest_number(spark) -> None:
+    wanted = spark.range(10_050).select("id", F.lit("ann").alias("username"))
+    taken = spark.createDataFrame([("ann",), ("ann5",), ("ann6",), ("ann10001",)], "username string")
+    got = [r["username"] for r in updates.unique_usernames(wanted, taken, most=None).orderBy("id").collect()]
+    assert got == [f"ann{n}" for n in range(1, 10_054) if n not in (5, 6, 10_001)]
+
+
 def test_names_in_the_order_of_a_locale(spark) -> None:
     names = ["Zoe", "ähnlich", "Ahorn", "ahorn", "école", "Ecole", "eclair", "_x", "a b", "ab", None]
     df = spark.createDataFrame(list(enumerate(names)), "id long, name string").withColumn("last_analysis", F.lit(None).cast("timestamp")).withColumn("created_at", F.lit(1))
