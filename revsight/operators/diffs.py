@@ -1,7 +1,6 @@
-"""Unified diffs: files, hunks and lines by cutting texts at their headers, without a user function, a window or a shuffle.
+"""Unified diffs: files, hunks and lines by cutting texts at their headers, without a window or a shuffle.
 
-A diff is cut into the parts of its files and those into hunks; what is asked of a line is its place among the lines of some
-kinds in its hunk, which an array of those lines tells.
+Texts are cut by :mod:`.difflines`, a batch at a time; what the headers and lines say is asked of its rows by expressions.
 """
 
 from __future__ import annotations
@@ -11,12 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import after_dot
 from ..functions.scores import round2
-from .rules import CHANGED_DEFINITIONS, CRITICAL_PATHS
+from .difflines import HUNK, change_rows, file_rows, hunk_rows
+from .rules import CHANGED_DEFINITIONS, CRITICAL_PATHS, DEFINITIONS_HOLD
 
-# The headers of a file and of a hunk.
+# Fixed value: the header of a file.
 HEADER = r"^diff --git a/(.*?) b/(.*)"
-HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
-HEADER_LINES = 10
 
 
 #: Java line ends and multi-line anchors that know \n only.
@@ -30,10 +28,6 @@ def sections(diffs: DataFrame) -> DataFrame:
     return diffs.select("diff_id", F.posexplode(parts).alias("file", "text")).withColumn("file", F.col("file") + 1)
 
 
-def _good_hunks(text: Column) -> Column:
-    return F.filter(F.split(text, _HUNK_START), lambda h: h.rlike(_GOOD_HUNK))
-
-
 def pieces(diffs: DataFrame) -> DataFrame:
     """One row (diff_id, file, hunk, text) for the head of each file, hunk 0, and for all that starts with @@, from 1 on."""
     return sections(diffs).select("diff_id", "file", F.posexplode(F.split("text", _HUNK_START)).alias("hunk", "text"))
@@ -59,10 +53,9 @@ def lines(diffs: DataFrame) -> DataFrame:
 
 def hunks(diffs: DataFrame) -> DataFrame:
     """Hunks with a readable header: old_start, old_count, new_start, new_count, context, whether the last line has no line feed."""
-    part = lambda i: F.regexp_extract("text", _GOOD_HUNK, i)
+    part = lambda i: F.regexp_extract("header", _GOOD_HUNK, i)
     count = lambda i: F.when(part(i) == "", 1).otherwise(part(i).try_cast("int"))
-    good = pieces(diffs).where(F.col("text").rlike(_GOOD_HUNK))
-    return good.select(
+    return hunk_rows(diffs).select(
         "diff_id",
         "file",
         "hunk",
@@ -71,65 +64,58 @@ def hunks(diffs: DataFrame) -> DataFrame:
         part(3).cast("int").alias("new_start"),
         count(4).alias("new_count"),
         F.trim(part(5)).alias("context"),
-        F.exists(_rows(F.col("text")), lambda x: x.startswith("\\")).alias("no_newline"),
+        "no_newline",
         "text",
     )
 
 
-def changes(diffs: DataFrame) -> DataFrame:
-    """Changed and context lines with their number: the hunk's start plus the lines of that kind before, and, in ``true_line``, the number in the file."""
-    bound = lambda value, use: F.transform(F.array(value), use)[0]
+def changes(diffs: DataFrame, holding: tuple[str, ...] = ()) -> DataFrame:
+    """Changed and context lines with their number: the hunk's start plus the lines of that kind before, and, in ``true_line``, the number in the file.
 
-    def told(rows: Column) -> Column:
-        # places within the lines of the new file and within those of the old one
-        side = lambda gone: F.transform(F.filter(rows, lambda r: ~r["kind"].isin("no_newline", "other", gone)), lambda r, i: r.withField("place", i))
-        one = lambda rows, kind, start: F.transform(F.filter(rows, lambda r: r["kind"] == kind), lambda r, i: F.struct(r["at"].alias("at"), r["kind"].alias("kind"), (F.col(start) + i).alias("line_number"), (F.col(start) + r["place"]).alias("true_line"), r["content"].alias("content")))
-        old = bound(side("added"), lambda x: F.concat(one(x, "removed", "old_start"), one(x, "context", "old_start")))
-        return F.concat(one(side("removed"), "added", "new_start"), old)
-
-    row = lambda x, i: F.struct(i.alias("at"), _kind(x).alias("kind"), F.substring(x, 2, 1 << 30).alias("content"))
-    marked = F.transform(_rows(F.col("text")), row)
-    found = bound(F.filter(marked, lambda r: r["at"] > 0), told)
-    return hunks(diffs).select("diff_id", "file", "hunk", F.explode(found).alias("c")).select("diff_id", "file", "hunk", "c.*")
+    With ``holding`` only lines that hold one of these texts are handed on; their numbers are the same.
+    """
+    return change_rows(diffs, holding)
 
 
-def files(diffs: DataFrame, *more: Column) -> DataFrame:
+def files(diffs: DataFrame, counted: bool = False) -> DataFrame:
     """One row per file: paths, kind of change, mode, binary flag, hashes and counts; the first ten lines tell.
 
-    Everything is read off a file's own part of the text, ``more`` columns too, so nothing is shuffled.
+    Everything is read off a file's own part of the text, so nothing is shuffled.  ``counted``: kinds of changed lines as well.
     """
-    head = F.slice(F.split("text", "\n", HEADER_LINES + 1), 1, HEADER_LINES)
-    last = lambda test, value: value(F.element_at(F.filter(head, test), -1))
-    any_line = lambda test: F.exists(head, test)
+    last = lambda test, value: value(F.try_element_at(F.filter("head", test), F.lit(-1)))
+    any_line = lambda test: F.exists("head", test)
     name = lambda x: F.trim(F.substring(x, 5, 1 << 30))
     is_old, is_new = (lambda x: x.startswith("---") & (name(x) != "/dev/null")), (lambda x: x.startswith("+++") & (name(x) != "/dev/null"))
-    first = lambda x: x.rlike(HEADER)
+    # only the first of a file's lines can be its header
+    first = F.get("head", F.lit(0))
     mode = lambda x: x.startswith("new file mode") | x.startswith("deleted file mode")
-    pick = lambda test, value: F.when(any_line(test), last(test, value))
-    path = lambda i: pick(first, lambda x: F.regexp_extract(x, HEADER, i))
-    total = lambda pattern: F.aggregate(_good_hunks(F.col("text")), F.lit(0).cast("long"), lambda n, h: n + F.regexp_count(h, F.lit(pattern)))
-    out = sections(diffs).select(
+    path = lambda i: F.when(first.rlike(HEADER), F.regexp_extract(first, HEADER, i))
+    cut = file_rows(diffs, counted)
+    out = cut.select(
         "diff_id",
         "file",
         path(2).alias("file_path"),
         # the leading characters a, b and / are taken off as a set
-        F.coalesce(pick(is_old, lambda x: F.ltrim(name(x), F.lit("a/"))), path(1)).alias("old_file"),
-        F.coalesce(pick(is_new, lambda x: F.ltrim(name(x), F.lit("b/"))), path(2)).alias("new_file"),
-        F.coalesce(pick(mode, lambda x: F.when(x.startswith("new file mode"), "added").otherwise("removed")), F.lit("modified")).alias("change_type"),
-        pick(mode, lambda x: F.element_at(F.split(x, " "), -1)).alias("mode_change"),
+        F.coalesce(last(is_old, lambda x: F.ltrim(name(x), F.lit("a/"))), path(1)).alias("old_file"),
+        F.coalesce(last(is_new, lambda x: F.ltrim(name(x), F.lit("b/"))), path(2)).alias("new_file"),
+        F.coalesce(last(mode, lambda x: F.when(x.startswith("new file mode"), "added").when(x.isNotNull(), "removed")), F.lit("modified")).alias("change_type"),
+        last(mode, lambda x: F.element_at(F.split(x, " "), -1)).alias("mode_change"),
         any_line(lambda x: x.contains("Binary files") & x.contains("differ")).alias("is_binary"),
-        pick(lambda x: x.startswith("index"), lambda x: F.regexp_extract(x, r"^index ([a-f0-9]+)\.\.([a-f0-9]+)", 2)).alias("new_hash"),
-        total(r"(?md)^\+(?!\+\+)").alias("additions"),
-        total(r"(?md)^-(?!--)").alias("deletions"),
-        *more,
+        last(lambda x: x.startswith("index"), lambda x: F.regexp_extract(x, r"^index ([a-f0-9]+)\.\.([a-f0-9]+)", 2)).alias("new_hash"),
+        *cut.columns[3:],
     )
     return out.withColumn("changes", F.col("additions") + F.col("deletions"))
 
 
+def _sums(diffs: DataFrame, per_file: DataFrame, *more: Column) -> DataFrame:
+    """Per diff: files, additions, deletions, changes, zeros for a blank diff, and ``more`` of its files."""
+    sums = per_file.groupBy("diff_id").agg(F.count("*").alias("total_files"), *[F.sum(c).cast("long").alias(f"total_{c}") for c in ("additions", "deletions", "changes")], *more)
+    return diffs.select("diff_id").join(sums, "diff_id", "left").na.fill(0)
+
+
 def totals(diffs: DataFrame, per_file: DataFrame) -> DataFrame:
     """Per diff: files, additions, deletions, changes and the complexity score from 0 to 10; zeros for a blank diff."""
-    sums = per_file.groupBy("diff_id").agg(F.count("*").alias("total_files"), *[F.sum(c).cast("long").alias(f"total_{c}") for c in ("additions", "deletions", "changes")])
-    out = diffs.select("diff_id").join(sums, "diff_id", "left").na.fill(0)
+    out = _sums(diffs, per_file)
     part = lambda c, n: F.least(F.col(c) / float(n), F.lit(1.0))
     return out.withColumn("complexity_score", round2((part("total_files", 10) + part("total_changes", 500)) * 5.0))
 
@@ -138,9 +124,12 @@ def by_type(per_file: DataFrame) -> DataFrame:
     return per_file.groupBy("diff_id", after_dot("file_path", "no_extension").alias("extension")).agg(F.count("*").alias("files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
 
 
+def _placed(per_file: DataFrame) -> DataFrame:
+    return per_file.withColumn("place", F.row_number().over(Window.partitionBy("diff_id").orderBy(F.col("changes").desc(), "file")))
+
+
 def largest(per_file: DataFrame, limit: int = 5) -> DataFrame:
-    order = Window.partitionBy("diff_id").orderBy(F.col("changes").desc(), "file")
-    return per_file.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("diff_id", "place", "file_path", "changes", "additions", "deletions")
+    return _placed(per_file).where(F.col("place") <= limit).select("diff_id", "place", "file_path", "changes", "additions", "deletions")
 
 
 def risks(per_file: DataFrame) -> DataFrame:
@@ -165,29 +154,11 @@ def patterns(diffs: DataFrame) -> DataFrame:
     path = F.lower("file_path")
     docs = F.col("file_path").isNotNull() & (path.contains(".md") | path.contains(".rst") | path.contains(".txt") | path.contains("readme") | path.contains("doc"))
 
-    blank, added, either = r"[^\S\n]*", r"(?md)^\+(?!\+\+)", r"(?md)^(?:\+(?!\+\+)|-(?!--))"
-    removed = either.replace(r"\+(?!\+\+)|", "")
-    imports, defines, comments = r"(?:import |from |#include|require\()", "(?:def |function |class )", r"(?:#(?!include)|//|/\*|\*)"
-    hunks_of = _good_hunks(F.col("text"))
-    count = lambda pattern: F.aggregate(hunks_of, F.lit(0), lambda n, h: n + F.regexp_count(h, F.lit(pattern)))
-
-    def twins(h: Column) -> Column:
-        """Removed definitions of a hunk that an added line repeats: a line's number is the hunk's start and the lines of its kind before."""
-        rows = F.split(h, "\n")
-        plus = F.filter(rows, lambda x: x.startswith("+") & ~x.startswith("+++"))
-        minus = F.filter(rows, lambda x: x.startswith("-") & ~x.startswith("---"))
-        ahead = F.regexp_extract(h, _GOOD_HUNK, 1).cast("int") - F.regexp_extract(h, _GOOD_HUNK, 3).cast("int")
-        same = lambda x, i: (i + ahead >= 0) & (F.substring(F.get(plus, i + ahead), 2, 1 << 30) == F.substring(x, 2, 1 << 30)) & x.rlike(removed + blank + defines)
-        return F.size(F.filter(minus, lambda x, i: F.coalesce(same(x, i), F.lit(False))))
-
-    # only hunks that take definitions away are read line by line
-    again = F.aggregate(hunks_of, F.lit(0), lambda n, h: n + F.when(h.rlike(removed + blank + defines), twins(h)).otherwise(0))
-    tests = {"import_changes": count(either + blank + imports), "function_additions": count(added + blank + defines) + again, "function_deletions": count(removed + blank + defines) - again, "comment_changes": count(either + blank + comments)}
-    counted = F.struct(*[c.alias(n) for n, c in tests.items()])
-    per_file = files(diffs, counted.alias("counted"))
+    kinds = ("import_changes", "function_additions", "function_deletions", "comment_changes")
+    per_file = files(diffs, counted=True)
     total = lambda c, name: F.sum(c).cast("long").alias(name)
     by_path = [total(F.when(path.contains("test"), F.col("changes")).otherwise(0), "test_changes"), total(F.when(docs, F.col("changes")).otherwise(0), "documentation_changes")]
-    return per_file.groupBy("diff_id").agg(*by_path, *[total(F.col(f"counted.{n}"), n) for n in tests])
+    return per_file.groupBy("diff_id").agg(*by_path, *[total(F.col(n), n) for n in kinds])
 
 
 def changed_functions(diffs: DataFrame, language: str = "python") -> DataFrame:
@@ -195,15 +166,17 @@ def changed_functions(diffs: DataFrame, language: str = "python") -> DataFrame:
     text = F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
     found = CHANGED_DEFINITIONS[{"typescript": "javascript"}.get(language, language)]
     pick = lambda p: F.when(text.rlike(p), F.regexp_extract(text, p if language != "java" else r"\s+(\w+)\s*\(", 1))
-    named = changes(diffs).where(F.col("kind").isin("added", "removed")).withColumn("name", F.coalesce(*[pick(p) for p in found]))
+    named = changes(diffs, DEFINITIONS_HOLD[{"typescript": "javascript"}.get(language, language)]).where(F.col("kind").isin("added", "removed")).withColumn("name", F.coalesce(*[pick(p) for p in found]))
     return named.where("name IS NOT NULL").select("diff_id", "file", "kind", "name", "line_number", text.alias("definition"))
 
 
 def summary(diffs: DataFrame, per_file: DataFrame) -> DataFrame:
     """The text that sums up a diff: counts and the three most changed files."""
-    top = largest(per_file, 3).groupBy("diff_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "file_path", "changes"))), lambda x: F.format_string("  - %s: %d changes", x["file_path"], x["changes"])), "\n").alias("top"))
+    # sums and places are taken in one pass over the files
+    line = F.format_string("  - %s: %d changes", "file_path", "changes")
+    top = F.concat_ws("\n", *[F.max(F.when(F.col("place") == k, line)) for k in (1, 2, 3)]).alias("top")
     said = F.concat(F.format_string("Changed %d file(s)\n%d additions\n%d deletions\nMost changed files:\n", "total_files", "total_additions", "total_deletions"), F.coalesce("top", F.lit("")))
-    return totals(diffs, per_file).join(top, "diff_id", "left").select("diff_id", F.when(F.col("total_files") == 0, "No changes detected.").otherwise(said).alias("summary"))
+    return _sums(diffs, _placed(per_file), top).select("diff_id", F.when(F.col("total_files") == 0, "No changes detected.").otherwise(said).alias("summary"))
 
 
 def commit_message(diff_text):  # noqa: ANN001, ANN201

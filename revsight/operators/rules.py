@@ -120,3 +120,5 @@ CHANGED_DEFINITIONS = {
     "javascript": (r"function\s+(\w+)\s*\(", r"(\w+)\s*:\s*function\s*\(", r"(\w+)\s*=\s*function\s*\(", r"(\w+)\s*=\s*\([^)]*\)\s*=>\s*\{"),
     "java": (r"(?:public|private|protected).*?\s+\w+\s*\(",),
 }
+#: What every such line holds, one of these at least.
+DEFINITIONS_HOLD = {"python": ("def",), "javascript": ("function", "=>"), "java": ("public", "private", "protected")}

@@ -8,8 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from revsight.operators import diffs, syntax
-from revsight.plans import sql_streams
+from revsight.operators import difflines, diffs, syntax
+from revsight.plans import sql_diffs, sql_sources, sql_streams
 from revsight.sources.keyed import Conflict, KeyedTable
 from revsight.streaming import limiter, progress
 
@@ -261,6 +261,24 @@ def test_changes_like_a_plain_reader(spark) -> None:
     assert {k: sorted(v) for k, v in got.items()} == {i: sorted(w) for i, t in enumerate(texts) if (w := plain_changes(t))}
 
 
+def test_changes_that_hold_a_text_keep_their_numbers(spark, monkeypatch) -> None:
+    monkeypatch.setattr(difflines, "PART", 40)
+    rnd = random.Random(9)
+    parts = ["diff --git a/x b/x", "diff --git none", "@@ -1,2 +3 @@ f", "@@ -7 +9,9 @@", "@@ bad", "+def é(", "-  def b(", " def", "+++ d", "- x", "\\ No newline", "+"]
+    texts = ["\n".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) + rnd.choice(["", "\n"]) for _ in range(80)] + [""]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "diff_id long, diff_text string").coalesce(1)
+    got = sorted((r["diff_id"], r["file"], r["hunk"], r["kind"], r["line_number"], r["true_line"], r["content"]) for r in diffs.changes(df, ("def",)).collect())
+    assert got == sorted((i, *r) for i, t in enumerate(texts) for r in plain_changes(t) if "def" in r[-1])
+    # a change is handed on by its number, not gathered into lists that hold every line of a hunk
+    assert "explode" not in diffs.changed_functions(df)._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_texts_of_diffs_are_not_gathered(spark, sf) -> None:
+    for made in (sql_diffs.varied_diffs(spark, sf), sql_sources.change_diffs(spark, sf)):
+        lists = [x for x in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "collect_list(" in x]
+        assert lists and all("repeat(" not in x.split("collect_list(")[1].split(")")[0] for x in lists)
+
+
 def test_syntax_rules_take_one_parse_and_no_join(spark) -> None:
     tree = syntax.nodes(spark.createDataFrame([("a.py", "x = 1\n")], "path string, content string"))
     for made in (syntax.issues(tree, helpers=True, nesting=True), syntax.definitions(tree), syntax.deep_nesting(tree)):
