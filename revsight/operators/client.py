@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import prefixes
 from ..functions.scores import count_if, round2
 
 
+#: Rows that one task groups by file; parts of a given number are not joined to larger ones.
+PART_ROWS = 250_000
+
+
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def issue_stats(issues: DataFrame) -> DataFrame:
     """Per review: totals; open is total less resolved less false positives, so an issue that is both is taken off twice."""
     resolved, false = count_if(F.col("is_resolved")), count_if(F.col("is_false_positive"))
@@ -21,8 +29,14 @@ def comment_counts(comments: DataFrame, kinds: tuple[str, ...] = ("general", "su
 
 
 def file_tree(issues: DataFrame) -> DataFrame:
-    """Per review and folder: issues beneath, distinct files beneath, and ``compat``, the product that the client shows."""
-    per_file = issues.groupBy("review_id", "file_path").agg(F.count("*").alias("n"))
+    """Per review and folder: issues beneath, distinct files beneath, and ``compat``, the product that the client shows.
+
+    Nearly every file has a row of its own, so rows are dealt once by review, in as many parts as keep the groups of a task few
+    whatever the input; both counts then need no further shuffle.
+    """
+    slim, rows = issues.select("review_id", "file_path"), issues.count()
+    dealt = slim.repartition(max(partitions(issues.sparkSession), -(-rows // PART_ROWS)), "review_id") if rows > PART_ROWS else slim.repartition("review_id")
+    per_file = dealt.groupBy("review_id", "file_path").agg(F.count("*").alias("n"))
     spread = per_file.select("review_id", F.explode(prefixes("file_path")).alias("folder"), "n")
     return spread.groupBy("review_id", "folder").agg(F.sum("n").alias("issues"), F.count("*").alias("files")).withColumn("compat", F.col("issues") * F.col("files"))
 

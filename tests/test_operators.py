@@ -63,6 +63,19 @@ def test_file_tree(spark) -> None:
     assert [tuple(r) for r in client.file_tree(df).collect()] == [(1, "src", 3, 2, 6)]
 
 
+def test_file_tree_deals_rows_once_in_parts_of_a_size(spark, monkeypatch) -> None:
+    monkeypatch.setattr(client, "PART_ROWS", 100)
+    df = spark.range(1_000).select((F.col("id") % 90).alias("review_id"), F.concat(F.lit("a/b"), (F.col("id") % 4).cast("string"), F.lit("/f"), "id").alias("file_path"))
+    made = client.file_tree(df)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and made.rdd.getNumPartitions() == 10
+    want: dict = {}
+    for i in range(1_000):
+        for folder in ("a", f"a/b{i % 4}"):
+            want[i % 90, folder] = want.get((i % 90, folder), 0) + 1
+    assert {(r["review_id"], r["folder"]): (r["issues"], r["files"], r["compat"]) for r in made.collect()} == {k: (n, n, n * n) for k, n in want.items()}
+
+
 def test_paths(spark) -> None:
     df = spark.createDataFrame([("a/.env",), ("A/B.Py",), ("x.tar.gz",), ("setup.py",), ("settings.py",), ("test/y.go",), ("node_modules/a.js",)], "path string")
     got = {r[0]: tuple(r[1:]) for r in df.select("path", P.suffix("path"), P.language("path"), P.is_config_file("path"), P.is_test_file("path"), P.is_dependency_file("path"), P.is_scanned("path")).collect()}
