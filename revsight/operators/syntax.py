@@ -33,8 +33,8 @@ NODES = (
 _FIELDS = [p.rsplit(" ", 1) for p in NODES.split(", ")]
 _AT = {name: i for i, (name, _) in enumerate(_FIELDS)}
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
-#: Nodes that one Arrow batch holds, of however many files.
-BATCH = 50_000
+#: Nodes that one Arrow batch holds, of however many files; a worker keeps no more of them as Python objects.
+BATCH = 5_000
 
 #: Nodes that make what is inside them one level deeper.
 CONTROL = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.TryStar, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp)

@@ -286,6 +286,12 @@ def test_syntax_rules_take_one_parse_and_no_join(spark) -> None:
         assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
 
 
+def test_a_worker_holds_few_nodes(spark) -> None:
+    assert syntax.BATCH * len(syntax._FIELDS) <= 1 << 18
+    df = spark.range(4_000).coalesce(1).select("id", F.lit("a.py").alias("path"), F.lit("x = 1\n").alias("content"))
+    assert syntax.nodes(df).where("kind = 'Constant'").select("id").distinct().count() == 4_000
+
+
 def test_files_that_are_hard_to_hold(spark) -> None:
     texts = ["x = '\\ud800 %s' % 1\n", "y = 0x" + "f" * 9000 + "\n", "(" * 150 + ")" * 150, "def f():\n  '''\\udfff'''\n", "\x00", "z = 1\n" * 30_000, "", None]
     df = spark.createDataFrame([(i, "a.py", t) for i, t in enumerate(texts)], "n int, path string, content string").repartition(2)
