@@ -450,16 +450,28 @@ def _checked(candidates: DataFrame, texts: DataFrame, shingle: int, similarity:
     return found
 
 
-def similar_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _marked_pairs(texts: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """Pairs (a < b) of nodes whose fingerprints, of distinct shingles, link: each node with the smallest of its own, and these."""
+    marks = materialise(with_fingerprints(texts.select("node", "text"), out="mark", shingle=shingle, distinct=True).select("node", "mark"), "marks")
+    reps = materialise(marks.groupBy("mark").agg(F.min("node").alias("rep")), "reps")
+    same = marks.join(reps, "mark").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    end = lambda name: reps.select(F.col("mark").alias(name), F.col("rep").alias(f"rep_{name}"))
+    near = links(reps.select("mark"), radius).toDF("x", "y").join(end("x"), "x").join(end("y"), "y").select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+    return same.unionByName(near)
+
+
+def similar_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """Rows (node, component) of those of ``texts`` (node long, text), all different, that similar pairs join to others.
 
-    Candidates share a shingle of their prefixes (Chaudhuri et al., 2006) and pass the bound of its place (Xiao et al.,
+    Candidates are links of fingerprints first, as :func:`links` gives them; texts of one fingerprint are tried with its smallest
+    node.  At this similarity fingerprints alone lose links, so candidates are also texts that share a shingle of their prefixes (Chaudhuri et al., 2006) and pass the bound of its place (Xiao et al.,
     "PPJoin", 2008), which loses no pair of that similarity but by a collision of 64-bit hashes; each candidate is then
     held against the exact similarity.  In a small bucket every pair is tried; in a larger one first its smallest node with
     each other, then some of the members that this leaves apart with all, then every pair that is still apart.
     """
     found = materialise(_buckets(_prefixes(texts, shingle, similarity), similarity), "buckets")
-    candidates = materialise(found.where("a IS NOT NULL").select("a", "b").distinct(), "candidates")
+    marked = _marked_pairs(texts, shingle, radius)
+    candidates = materialise(found.where("a IS NOT NULL").select("a", "b").unionByName(marked).distinct(), "candidates")
     first = materialise(components(_checked(candidates, texts, shingle, similarity)), "groups")
     discard(candidates)
     large = found.where("a IS NULL").select("key", "nodes", "sizes", "rests")

@@ -537,6 +537,18 @@ def plain_mark(t: str | None, size: int) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_near_groups_take_candidates_from_fingerprints(spark, monkeypatch) -> None:
+    base = " ".join(f"w{i}" for i in range(400))
+    texts = [base, base + " end", " ".join(f"v{i}" for i in range(400))]
+    got = {tuple(r) for r in simhash._marked_pairs(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5, 3).collect()}
+    assert got == {(0, 1)}
+    tried = []
+    real = simhash._marked_pairs
+    monkeypatch.setattr(simhash, "_marked_pairs", lambda *a: tried.append(a) or real(*a))
+    rows = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert tried and rows == {0: 0, 1: 0, 2: 2}
+
+
 def test_simhash(spark, real, texts) -> None:
     got = {r["doc_id"]: r for r in simhash.report(real.unionByName(docs(spark, [(1001, None, "", ""), (1002, " ", "", "")])).withColumn("fingerprint", F.lit(1))).collect()}
     marks = {i: plain_mark(t, 3) for i, t in (texts | {1001: None, 1002: " "}).items()}
