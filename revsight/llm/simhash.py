@@ -41,6 +41,8 @@ SPLIT = 20_000
 SAMPLE, HEAVY = 1_000, 1_000_000
 #: Unsettled members of a large bucket that are tried with all before the others are.
 HUBS = 8
+#: Other components with whose likeliest member a member of a large bucket is tried at a time, and how often before all are.
+LIKELY, ROUNDS = 8, 3
 #: Classes of shingles whose parities rule out pairs of a large bucket.
 PARITY = 1024
 
@@ -382,7 +384,7 @@ def _parities(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, parity binary")
 
 
-def _apart(large: DataFrame, grouped: DataFrame, texts: DataFrame, size: int, similarity: float, hubs: int | None = None) -> DataFrame:
+def _apart(large: DataFrame, grouped: DataFrame, texts: DataFrame, size: int, similarity: float, hubs: int | None = None, likely: int | None = None) -> DataFrame:
     """Pairs (a, b) that large buckets (key, nodes, sizes, rests) still have to try, given groups (node, component) found so far.
 
     A member is settled if it is in the group of its bucket's smallest node.  Every other one is tried with each member of
@@ -390,6 +392,8 @@ def _apart(large: DataFrame, grouped: DataFrame, texts: DataFrame, size: int, si
     unsettled in chunks, and each block meets each chunk in a group of its own, so a group is of at most about two
     ``SPLIT`` rows and settled members never meet.  With ``hubs`` only about so many unsettled members of each bucket, the
     same in all buckets by their hash, are tried with the others: that joins most of what a later call without would find.
+    With ``likely`` each is tried with so many other components, the likeliest by their parities, and with one member of each:
+    what lies in one component afterwards has no pair left, so a call without lists no square of groups that belong together.
     """
     members = large.select("key", F.explode(F.arrays_zip("nodes", "sizes", "rests")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"), F.col("x.rests").alias("rest"))
     rooted = materialise(members.join(grouped, "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("root")), "members")
@@ -417,29 +421,50 @@ def _apart(large: DataFrame, grouped: DataFrame, texts: DataFrame, size: int, si
                 yield batch.select(batch.schema.names[:-1])
 
         seen: set[tuple[int, int]] = set()
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        n_out = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Pairs since the last call; near copies share many buckets."""
+            nonlocal n_out
+            new = {x for a, b in out for x in zip(a.tolist(), b.tolist())} - seen
+            out.clear()
+            n_out = 0
+            if len(seen) > _KNOWN:
+                seen.clear()
+            seen.update(new)
+            if new:
+                a, b = zip(*sorted(new))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for _, _, _, is_loose, node, n, rest, root in _grouped(numbers(), 3):
             parity = np.stack(held[: len(node)])
             del held[: len(node)]
             here = np.flatnonzero(is_loose == 0)
-            out = []
             for i in np.flatnonzero(is_loose):
                 fit = here[_fits(n[here], rest[here], n[i], rest[i], similarity) & (root[here] != root[i])]
-                apart = np.bitwise_count(parity[fit] ^ parity[i]).sum(axis=1, dtype=np.int64)
-                fit = fit[apart <= n[fit] + n[i] - 2 * _needed(n[fit], n[i], similarity)]
-                out += zip(np.minimum(node[fit], node[i]).tolist(), np.maximum(node[fit], node[i]).tolist())
-            # near copies share many buckets
-            new = set(out) - seen
-            if len(seen) > _KNOWN:
-                seen.clear()
-            seen |= new
-            if new:
-                a, b = zip(*sorted(new))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                # how many more shingles might differ
+                spare = n[fit] + n[i] - 2 * _needed(n[fit], n[i], similarity) - np.bitwise_count(parity[fit] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                fit, spare = fit[spare >= 0], spare[spare >= 0]
+                if likely is not None:
+                    fit = fit[_likeliest(root[fit], node[fit], spare, likely)]
+                out.append((np.minimum(node[fit], node[i]), np.maximum(node[fit], node[i])))
+                n_out += len(fit)
+                if n_out > _SLICE:
+                    yield from flush()
+            yield from flush()
 
     dealt = own.unionByName(free).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _likeliest(root: np.ndarray, node: np.ndarray, spare: np.ndarray, most: int) -> np.ndarray:
+    """Places of the member with the most to spare of each root, of ``most`` roots with the most; the smallest node of equals."""
+    order = np.lexsort((node, -spare, root))
+    first = order[np.append(True, root[order][1:] != root[order][:-1])] if len(order) else order
+    return first[np.lexsort((node[first], -spare[first]))[:most]]
+
+
 def _checked(candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs of ``candidates`` (a, b) whose ``texts`` (node, text) are that similar; only texts of some pair are moved."""
     ids = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -467,7 +492,8 @@ def similar_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8,
     node.  At this similarity fingerprints alone lose links, so candidates are also texts that share a shingle of their prefixes (Chaudhuri et al., 2006) and pass the bound of its place (Xiao et al.,
     "PPJoin", 2008), which loses no pair of that similarity but by a collision of 64-bit hashes; each candidate is then
     held against the exact similarity.  In a small bucket every pair is tried; in a larger one first its smallest node with
-    each other, then some of the members that this leaves apart with all, then every pair that is still apart.
+    each other, then some of the members that this leaves apart with all, then each of them with the likeliest of the other
+    components, a few times, then every pair that is still apart.
     """
     found = materialise(_buckets(_prefixes(texts, shingle, similarity), similarity), "buckets")
     marked = _marked_pairs(texts, shingle, radius)
@@ -477,10 +503,17 @@ def similar_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8,
     large = found.where("a IS NULL").select("key", "nodes", "sizes", "rests")
     if large.isEmpty():
         return first
-    for hubs in (HUBS, None):
-        candidates = materialise(_apart(large, first, texts, shingle, similarity, hubs), "candidates")
-        first = _regrouped(first, _checked(candidates, texts, shingle, similarity))
+    # the last call leaves nothing out; those before it only leave it less to list
+    calls = [(HUBS, LIKELY), *[(None, LIKELY)] * ROUNDS, (None, None)]
+    while calls:
+        hubs, likely = calls.pop(0)
+        candidates = materialise(_apart(large, first, texts, shingle, similarity, hubs, likely), "candidates")
+        more = _checked(candidates, texts, shingle, similarity)
         discard(candidates)
+        if not more.isEmpty():
+            first = _regrouped(first, more)
+        elif hubs is None:
+            calls = calls[-1:] if likely else []
     discard(found)
     return first
 

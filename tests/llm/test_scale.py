@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from revsight.llm import chat, langid, ngram
+from revsight.llm import chat, langid, ngram, simhash
 
 
 def test_scores_do_not_depend_on_the_number_of_shards(spark) -> None:
@@ -138,3 +138,36 @@ def test_training_steps_like_the_written_formula() -> None:
     best = min(np.exp(np.linspace(np.log(0.05), np.log(20), 2000)), key=loss)
     assert abs(langid.temperature(scores, truth) / best - 1) < 0.01
     assert langid.temperature(scores[:0], truth[:0]) == 1.0
+
+
+def test_a_group_of_near_copies_lists_no_square_of_its_members(spark, monkeypatch) -> None:
+    """Texts of a large bucket whose smallest node and hubs resemble few: members that belong together are joined by few pairs."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(340):
+        words = [f"w{k}" for k in range(200)]
+        # two changes leave texts alike, six don't
+        for k in rnd.sample(range(5, 195), 2 if i >= 200 else 6):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    sets = [set(simhash.shingles(t, 5)) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    assert len(want) >= 140
+    listed, checked = [], simhash._checked
+
+    def counted(candidates, *rest):  # noqa: ANN001, ANN002, ANN202
+        listed.append(candidates.count())
+        return checked(candidates, *rest)
+
+    monkeypatch.setattr(simhash, "_checked", counted)
+    monkeypatch.setattr(simhash, "HUBS", 1)
+    monkeypatch.setattr(simhash, "_marked_pairs", lambda texts, *_: texts.sparkSession.createDataFrame([], "a long, b long"))
+    got = {r["node"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "node long, text string")).collect()}
+    assert got == want
+    assert sum(listed[1:]) < 10 * len(rows)
