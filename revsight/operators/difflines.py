@@ -20,6 +20,8 @@ KINDS = ("added", "removed", "context")
 _ADDED, _REMOVED, _CONTEXT = 1, 2, 3
 _GOOD = re.compile(HUNK.encode())
 _BLANK = " \t\x0b\f\r"
+#: So many blanks at the start of lines are passed by vector, more line by line.
+_SHORT = 64
 #: Bytes of text that are cut up at a time, or one text.
 PART = 1 << 18
 
@@ -87,17 +89,26 @@ class Cut:
         """Changed and context lines, each one's number as its kind counts, and its number in the file."""
         at = np.flatnonzero(self.kind)
         hunk, kind = self.hunk[at], self.kind[at]
-        begin = np.searchsorted(hunk, hunk)
+        first = np.flatnonzero(np.append(True, hunk[1:] != hunk[:-1])[: len(hunk)])
+        begin = np.repeat(first, np.diff(np.append(first, len(hunk))))
 
         def before(mine: np.ndarray) -> np.ndarray:
             n = np.cumsum(mine) - mine
             return n - n[begin]
 
-        start = np.where(kind == _ADDED, self.new[hunk], self.old[hunk])
-        own = np.choose(kind - 1, [before(kind == k) for k in (_ADDED, _REMOVED, _CONTEXT)])
-        place = np.where(kind == _ADDED, before(kind != _REMOVED), before(kind != _ADDED))
+        is_added, is_removed = kind == _ADDED, kind == _REMOVED
+        start = np.where(is_added, self.new[hunk], self.old[hunk])
+        added, removed = before(is_added), before(is_removed)
+        # lines of the hunk before without removed ones, or without added ones
+        place = np.arange(len(at)) - begin - np.where(is_added, removed, added)
+        own = np.where(is_added, added, np.where(is_removed, removed, place - removed))
         return at, start + own, start + place
 
+    def rank(self, lines: np.ndarray) -> np.ndarray:
+        """How many lines of its own kind stand before each of ``lines``, all of one kind, in its hunk."""
+        own = np.flatnonzero(self.kind == self.kind[lines[0]]) if len(lines) else lines
+        return np.searchsorted(own, lines) - np.searchsorted(own, self.hunk_at[self.hunk[lines]])
+
     def per_file(self, lines: np.ndarray) -> pa.Array:
         return pa.array(np.bincount(self.file[lines], minlength=len(self.file_at)).astype(np.int64))
 
@@ -124,19 +135,22 @@ def _int(x: np.ndarray) -> pa.Array:
     return pa.array(x).cast(pa.int32())
 
 
-def hunk_rows(diffs: DataFrame) -> DataFrame:
-    """One row (diff_id, file, hunk, header, no_newline, text) for each hunk with a readable header."""
+def hunk_rows(diffs: DataFrame, text: bool = True) -> DataFrame:
+    """One row (diff_id, file, hunk, header, no_newline, and its ``text`` if asked) for each hunk with a readable header."""
 
     def made(cut: Cut, ids: pa.Array) -> list[pa.Array]:
         at = cut.hunk_at[cut.good]
         marked = np.bincount(cut.hunk[(cut.first == ord("\\")) & (cut.hunk >= 0)], minlength=len(cut.hunk_at)) > 0
+        out = [ids.take(pa.array(cut.row[at])), _int(cut.file_no[cut.file[at]]), _int(cut.hunk_no[cut.good]), cut.strings(cut.start[at], cut.end[at]), pa.array(marked[cut.good])]
+        if not text:
+            return out
         # a hunk ends where the next begins, or its file, or its text
         last = np.append(np.flatnonzero(np.diff(cut.hunk)), len(cut.hunk) - 1) if len(cut.hunk) else np.zeros(0, np.int64)
         last = last[cut.hunk[last] >= 0][cut.good]
         stop = np.minimum(cut.end[last] + 1, np.append(cut.start, len(cut.raw))[last + 1])
-        return [ids.take(pa.array(cut.row[at])), _int(cut.file_no[cut.file[at]]), _int(cut.hunk_no[cut.good]), cut.strings(cut.start[at], cut.end[at]), pa.array(marked[cut.good]), cut.strings(cut.start[at], stop)]
+        return [*out, cut.strings(cut.start[at], stop)]
 
-    return _mapped(diffs, "file int, hunk int, header string, no_newline boolean, text string", made)
+    return _mapped(diffs, "file int, hunk int, header string, no_newline boolean" + ", text string" * text, made)
 
 
 def change_rows(diffs: DataFrame, holding: tuple[str, ...] = ()) -> DataFrame:
@@ -157,6 +171,27 @@ def change_rows(diffs: DataFrame, holding: tuple[str, ...] = ()) -> DataFrame:
     return _mapped(diffs, "file int, hunk int, at int, kind string, line_number int, true_line int, content string", made)
 
 
+def line_sums(diffs: DataFrame) -> DataFrame:
+    """One row (diff_id, file, kind, n, numbers, true_lines) for each kind of line in a file: how many, and the sums of their numbers."""
+
+    def made(cut: Cut, ids: pa.Array) -> list[pa.Array]:
+        at, number, true = cut.changed()
+        kind, file = cut.kind[at], cut.file[at]
+        files, sums = [], []
+        for k in (_ADDED, _REMOVED, _CONTEXT):
+            own = np.flatnonzero(kind == k)
+            of = file[own]
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+            files.append(of[first])
+            sums.append([np.diff(np.append(first, len(of))), *(np.add.reduceat(x[own], first) if len(first) else x[:0] for x in (number, true))])
+        n = [len(f) for f in files]
+        of = np.concatenate(files)
+        told = pa.array(KINDS).take(pa.array(np.repeat(np.arange(len(KINDS)), n)))
+        return [ids.take(pa.array(cut.row[cut.file_at[of]])), _int(cut.file_no[of]), told, *(pa.array(np.concatenate(x)) for x in zip(*sums))]
+
+    return _mapped(diffs, "file int, kind string, n long, numbers long, true_lines long", made)
+
+
 _COUNTS = ("import_changes", "function_additions", "function_deletions", "comment_changes")
 
 
@@ -177,27 +212,50 @@ def file_rows(diffs: DataFrame, counted: bool = False) -> DataFrame:
     return _mapped(diffs, "file int, head array<string>, additions long, deletions long" + more, made)
 
 
+def _texts(cut: Cut, at: np.ndarray) -> np.ndarray:
+    """Where the text of each changed line begins, past its sign and the white space after it."""
+    place, end, blank = cut.start[at] + 1, cut.end[at], np.isin(np.arange(256), list(_BLANK.encode()))
+    open_ = np.arange(len(at))
+    for _ in range(_SHORT):
+        open_ = open_[(place[open_] < end[open_]) & blank[cut.data[place[open_]]]]
+        if not len(open_):
+            return place
+        place[open_] += 1
+    for i in open_.tolist():
+        line = cut.raw[place[i] : end[i]]
+        place[i] += len(line) - len(line.lstrip(_BLANK.encode()))
+    return place
+
+
 def _kinds(cut: Cut) -> list[pa.Array]:
     """Changed imports, functions and comments of each file; a removed definition that an added one of its number repeats counts as added."""
-    at, number, _ = cut.changed()
-    edited = cut.kind[at] != _CONTEXT
-    at, number = at[edited], number[edited]
-    content = cut.strings(cut.start[at] + 1, cut.end[at])
-    text = pc.ascii_ltrim(content, characters=_BLANK)
+    at = np.flatnonzero((cut.kind == _ADDED) | (cut.kind == _REMOVED))
+    place = _texts(cut, at)
+    room = cut.end[at] - place
+    data = np.concatenate([cut.data, np.zeros(8, np.uint8)])
+    # the eight bytes from each place on as one number
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))[place]
 
     def begins(*words: str) -> np.ndarray:
         out = np.zeros(len(at), bool)
         for w in words:
-            out |= pc.starts_with(text, w).to_numpy(zero_copy_only=False)
+            head = w.encode()[:8]
+            same = ((eight & np.uint64((1 << 8 * len(head)) - 1)) == np.uint64(int.from_bytes(head, "little"))) & (room >= len(w))
+            for k in range(8, len(w)):
+                same[same] = data[place[same] + k] == ord(w[k])
+            out |= same
         return out
 
     added = cut.kind[at] == _ADDED
     defines = begins("def ", "function ", "class ")
-    # a removed one's twin has the same text, so it is a definition as well
-    at_place = lambda i: zip(cut.hunk[at[i]].tolist(), number[i].tolist(), content.take(pa.array(i)).to_pylist())
-    gone = np.flatnonzero(defines & ~added)
-    came = set(at_place(np.flatnonzero(defines & added)))
-    added = added.copy()
-    added[gone[[x in came for x in at_place(gone)]]] = True
+    new, gone = np.flatnonzero(defines & added), np.flatnonzero(defines & ~added)
+    # a removed one's twin has the same text, so it is a definition as well; most have none of their number
+    name = lambda i, start: cut.hunk[at[i]] * 1_000_003 + start[cut.hunk[at[i]]] + cut.rank(at[i])
+    at_place = lambda i, start: [(int(cut.hunk[x]), int(start[cut.hunk[x]] + r), cut.raw[cut.start[x] + 1 : cut.end[x]]) for x, r in zip(at[i].tolist(), cut.rank(at[i]).tolist())]
+    if len(new) and len(gone):
+        new_name, gone_name = name(new, cut.new), name(gone, cut.old)
+        new, gone = new[np.isin(new_name, gone_name)], gone[np.isin(gone_name, new_name)]
+        came = set(at_place(new, cut.new))
+        added[gone[np.array([x in came for x in at_place(gone, cut.old)], bool)]] = True
     comments = begins("#", "//", "/*", "*") & ~begins("#include")
     return [cut.per_file(at[x]) for x in (begins("import ", "from ", "#include", "require("), defines & added, defines & ~added, comments)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import after_dot
 from ..functions.scores import round2
-from .difflines import HUNK, change_rows, file_rows, hunk_rows
+from .difflines import HUNK, change_rows, file_rows, hunk_rows, line_sums
 from .rules import CHANGED_DEFINITIONS, CRITICAL_PATHS, DEFINITIONS_HOLD
 
 # Fixed value: the header of a file.
@@ -51,11 +51,11 @@ def lines(diffs: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("hunk") == 0, "head").when(F.col("at") == 0, first).otherwise(_kind(F.col("text"))))
 
 
-def hunks(diffs: DataFrame) -> DataFrame:
-    """Hunks with a readable header: old_start, old_count, new_start, new_count, context, whether the last line has no line feed."""
+def hunks(diffs: DataFrame, text: bool = True) -> DataFrame:
+    """Hunks with a readable header: old_start, old_count, new_start, new_count, context, whether the last line has no line feed, and its text if asked."""
     part = lambda i: F.regexp_extract("header", _GOOD_HUNK, i)
     count = lambda i: F.when(part(i) == "", 1).otherwise(part(i).try_cast("int"))
-    return hunk_rows(diffs).select(
+    return hunk_rows(diffs, text).select(
         "diff_id",
         "file",
         "hunk",
@@ -65,7 +65,7 @@ def hunks(diffs: DataFrame) -> DataFrame:
         count(4).alias("new_count"),
         F.trim(part(5)).alias("context"),
         "no_newline",
-        "text",
+        *(["text"] if text else []),
     )
 
 
@@ -77,6 +77,11 @@ def changes(diffs: DataFrame, holding: tuple[str, ...] = ()) -> DataFrame:
     return change_rows(diffs, holding)
 
 
+def change_sums(diffs: DataFrame) -> DataFrame:
+    """Per file and kind of line: how many :func:`changes` there are, and the sums of both their numbers; only sums leave a batch."""
+    return line_sums(diffs).groupBy("diff_id", "file", "kind").agg(*[F.sum(c).alias(c) for c in ("n", "numbers", "true_lines")])
+
+
 def files(diffs: DataFrame, counted: bool = False) -> DataFrame:
     """One row per file: paths, kind of change, mode, binary flag, hashes and counts; the first ten lines tell.
 

@@ -273,6 +273,38 @@ def test_changes_that_hold_a_text_keep_their_numbers(spark, monkeypatch) -> None
     assert "explode" not in diffs.changed_functions(df)._jdf.queryExecution().executedPlan().toString().lower()
 
 
+def test_sums_and_kinds_of_lines_like_a_plain_reader(spark, monkeypatch) -> None:
+    """Only sums leave a batch, and a hunk's text only where asked for."""
+    monkeypatch.setattr(difflines, "PART", 200)
+    monkeypatch.setattr(difflines, "_SHORT", 2)
+    rnd = random.Random(10)
+    parts = ["diff --git a/x b/x", "@@ -1,2 +3 @@ f", "@@ -3 +3 @@", "@@ bad", "+def f(a):", "-def f(a):", "-  def f(a):", "+\t \x0b function g", "-    class A:", "+import x", "- from y", "+#include <a>", "+ # c", "-/* d", "+//", " def z", "+", "-     ", "+de", "+def", "+function", "+functio\u00e9 ", "+require('x')", "- *"]
+    texts = ["\n".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) + rnd.choice(["", "\n"]) for _ in range(120)] + ["", "diff --git a/x b/x\n@@ -1 +1 @@\n+" + " " * 100 + "de", "f g("]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "diff_id long, diff_text string").coalesce(1)
+    sums, kinds = {}, {}
+    for i, t in enumerate(texts):
+        rows = plain_changes(t)
+        came = {(f, h, n, c) for f, h, k, n, _, c in rows if k == "added"}
+        for f, h, k, n, place, c in rows:
+            own = sums.setdefault((i, f, k), [0, 0, 0])
+            own[:] = own[0] + 1, own[1] + n, own[2] + place
+            if k != "context":
+                x, out = c.lstrip(" \t\x0b\f\r"), kinds.setdefault((i, f), [0, 0, 0, 0])
+                defines = x.startswith(("def ", "function ", "class "))
+                as_added = k == "added" or (f, h, n, c) in came
+                for at, told in enumerate((x.startswith(("import ", "from ", "#include", "require(")), defines and as_added, defines and not as_added, x.startswith(("#", "//", "/*", "*")) and not x.startswith("#include"))):
+                    out[at] += told
+    made = diffs.change_sums(df)
+    assert {(r["diff_id"], r["file"], r["kind"]): [r["n"], r["numbers"], r["true_lines"]] for r in made.collect()} == sums
+    assert "content" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r["diff_id"], r["file"]): [r[c] for c in ("import_changes", "function_additions", "function_deletions", "comment_changes")] for r in diffs.files(df, counted=True).collect()}
+    assert {k: v for k, v in got.items() if any(v)} == {k: v for k, v in kinds.items() if any(v)}
+    assert sum(v[1] for v in kinds.values()) and sum(v[2] for v in kinds.values())
+    whole, slim = diffs.hunks(df), diffs.hunks(df, text=False)
+    assert sorted(map(str, slim.collect())) == sorted(map(str, whole.drop("text").collect()))
+    assert "text" not in {f.name for f in difflines.hunk_rows(df, text=False).schema}
+
+
 def test_texts_of_diffs_are_not_gathered(spark, sf) -> None:
     for made in (sql_diffs.varied_diffs(spark, sf), sql_sources.change_diffs(spark, sf)):
         lists = [x for x in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "collect_list(" in x]
