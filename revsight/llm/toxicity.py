@@ -3,9 +3,10 @@
 1. Mining.  Words and word beginnings of four to six letters, and two or three words that share one, are hashed; over all
    marked learning documents each hash is counted with and without the mark, and what the likelihood-ratio test finds for
    the mark becomes a feature (at most ``FEATURES``, a table whose size does not depend on the input).
-2. Voters.  The mined features are a lexicon in ``VOTERS`` bands, by strength: a band fires on a document that has one of
-   its features.  Every word of a fixed lexicon and every text pattern is a voter of its own, and a mark is one more, which
-   is silent on unmarked documents.
+2. Voters.  The mined features are a lexicon in ``VOTERS`` levels, by how much likelier the mark makes them at least: the
+   voter of a level fires on a document whose strongest feature is of that level or a higher one, so the silence of one
+   voter says nothing against kinds of toxicity that others tell.  Every word of a fixed lexicon and every text pattern is
+   a voter of its own, and a mark is one more, which is silent on unmarked documents.
 3. Label model.  Two latent classes; within a class a voter's firing depends on one other voter, its parent in the tree of
    strongest class-conditional mutual information (Chow and Liu, 1968), and a mark is right at a rate of its own.  All
    rates, with them the voters' accuracies and correlations, are estimated by expectation maximisation over all learning
@@ -41,7 +42,7 @@ BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6)
 LEVELS = 3
 MARKED, UNMARKED = 16_000, 8_000
-FEATURES, VOTERS, LEAST_G = 4096, 40, 11.0
+FEATURES, VOTERS, LEAST_G, STRONGEST = 4096, 40, 11.0, 7.0
 MARK_RIGHT, ROUNDS = 0.97, 20
 CACHE = 300_000
 _MODULUS = 1 << 31
@@ -104,14 +105,14 @@ class Known(Words):
 
 
 def sampled(learning: DataFrame, marks: DataFrame, marked: int = MARKED, unmarked: int = UNMARKED) -> DataFrame:
-    """About so many rows (doc_id, text, toxic or null) of the learning documents with and without a mark."""
+    """About so many rows of the learning documents with and without a mark, with ``toxic`` or null."""
     ids = learning.select("doc_id").join(marks, "doc_id", "left").agg(F.count("toxic").alias("m"), F.count("*").alias("n")).first()
     rate = lambda most, n: int(min(1.0, most / max(1, n)) * _MODULUS)
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(_MODULUS))
     most = F.when(F.col("toxic").isNull(), rate(unmarked, ids["n"] - ids["m"])).otherwise(rate(marked, ids["m"]))
-    # ids outside both rates are dropped before their texts are joined
+    # ids outside both rates are dropped before the join
     near = learning.where(draw < max(rate(unmarked, ids["n"] - ids["m"]), rate(marked, ids["m"])))
-    return near.join(marks, "doc_id", "left").where(draw < most).select("doc_id", "text", "toxic")
+    return near.join(marks, "doc_id", "left").where(draw < most)
 
 
 def marks_of(labels: DataFrame) -> DataFrame:
@@ -119,8 +120,14 @@ def marks_of(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
 
 
-def mined(marked: DataFrame, most: int = FEATURES) -> list[int]:
-    """Hashes that the mark makes likelier, strongest first, over all rows (text, toxic)."""
+def levels(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The level, from 1 to ``VOTERS``, of features on ``a`` of ``n1`` documents with the mark and ``b`` of ``n0`` without: a lower bound of their log ratio."""
+    least = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)) - 1.645 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    return np.clip(least / STRONGEST * VOTERS, 0, VOTERS - 1).astype(int) + 1
+
+
+def mined(marked: DataFrame, most: int = FEATURES) -> tuple[list[int], list[int]]:
+    """Hashes that the mark makes likelier, those of largest ratio first, and their levels, over all rows (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sums, rows = Words(), np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
@@ -136,15 +143,16 @@ def mined(marked: DataFrame, most: int = FEATURES) -> list[int]:
     counts = materialise(found.where("h < 0 OR a > 1"), "toxicity-features")
     sizes = counts.where("h < 0").first()
     if sizes is None or not sizes["a"] or not sizes["b"]:
-        return []
+        return [], []
     n1, n0 = sizes["a"], sizes["b"]
     part = lambda k, n, other, m: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * (n + m) / (n * (F.col(k) + F.col(other))))).otherwise(F.lit(0.0))
     rest = lambda k, n, other, m: F.when(F.col(k) < n, (n - F.col(k)) * F.log((n - F.col(k)) * (n + m) / (n * (n + m - F.col(k) - F.col(other))))).otherwise(F.lit(0.0))
     g = 2 * (part("a", n1, "b", n0) + part("b", n0, "a", n1) + rest("a", n1, "b", n0) + rest("b", n0, "a", n1))
     strong = counts.where((F.col("h") >= 0) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("g", g).where(F.col("g") >= LEAST_G)
-    out = [r["h"] for r in strong.orderBy(F.col("g").desc(), "h").limit(most).collect()]
+    out = strong.orderBy(F.col("g").desc(), "h").limit(most).select("h", "a", "b").collect()
     discard(counts)
-    return out
+    a, b = (np.array([r[c] for r in out], float) for c in ("a", "b"))
+    return [r["h"] for r in out], levels(a, b, n1, n0).tolist()
 
 
 def table_of(words: list[str]) -> list[int]:
@@ -154,14 +162,9 @@ def table_of(words: list[str]) -> list[int]:
 N_VOTERS = VOTERS + len(LEXICON) + len(PATTERNS)
 
 
-def bands(n: int) -> list[int]:
-    """The band of each of ``n`` features, strongest first: narrow bands, then ever wider ones."""
-    return [min(VOTERS - 1, int(4 * np.log2(1 + i / 4))) for i in range(n)]
-
-
-def votes_of(text: str | None, active: set[int], lexicon: list[int], band: list[int], triggers: list[set[int]]) -> int:
-    """Bits of the voters that fire: bands of features, the lexicon's words and the patterns, whose words are given as features."""
-    out = sum(1 << b for b in {band[i] for i in active if i < len(band)})
+def votes_of(text: str | None, active: set[int], lexicon: list[int], level_of: list[int], triggers: list[set[int]]) -> int:
+    """Bits of the voters that fire: levels of features, the lexicon's words and the patterns, whose words are given as features."""
+    out = (1 << max((level_of[i] for i in active if i < len(level_of)), default=0)) - 1
     out |= sum(1 << VOTERS + i for i, at in enumerate(lexicon) if at in active)
     out |= sum(1 << VOTERS + len(LEXICON) + i for i, (at, (_, pattern)) in enumerate(zip(triggers, PATTERNS)) if text and not at.isdisjoint(active) and pattern.search(text))
     return out
@@ -270,9 +273,12 @@ def classifier(rows: list[np.ndarray], q: np.ndarray, dims: int, l1: float = 2e-
     at = np.concatenate(rows).astype(np.int64) if len(owner) else np.zeros(0, np.int64)
     w, bias = np.zeros(dims), float(np.log((q.sum() + 1) / (n - q.sum() + 1)))
     # the inverse frequency of a feature scales its step
-    scale = 1 / (np.bincount(at, minlength=dims) / n + 1.0 / n)
+    count = np.bincount(at, minlength=dims)[:dims]
+    scale = 1 / (count / n + 1.0 / n)
     last, t = w.copy(), 1.0
-    step = 1.0 / max(1, max((len(r) for r in rows), default=1))
+    # so scaled, the loss bends by at most a quarter of the features that rows with the same feature have on average
+    beside = np.bincount(at, np.bincount(owner, minlength=n)[owner], minlength=dims)[:dims] / np.maximum(count, 1)
+    step = 4.0 / (1 + beside.max(initial=0))
     for _ in range(rounds):
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = w + (t - 1) / t2 * (w - last)
@@ -286,50 +292,90 @@ def classifier(rows: list[np.ndarray], q: np.ndarray, dims: int, l1: float = 2e-
     return w, bias
 
 
-def learned(docs: DataFrame, labels: DataFrame) -> tuple[list[int], np.ndarray, float]:
-    """(feature hashes, weights, bias) from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    marks = materialise(marks_of(labels), "toxicity-marks")
-    learning = docs.where(residue("doc_id", 5) != 0)
-    # always the same join: marks may be many, and texts move once
-    mined_table = mined(learning.join(marks.hint("merge"), "doc_id"))
-    lex = table_of(LEXICON)
-    table = [*mined_table, *[h for h in dict.fromkeys(lex) if h not in set(mined_table)]]
-    asked = [table_of(words) for words, _ in PATTERNS]
-    sought = [*table, *[h for h in dict.fromkeys(x for own in asked for x in own) if h not in set(table)]]
-    band, lex_at, triggers, width = bands(len(mined_table)), [sought.index(h) for h in lex], [{sought.index(h) for h in own} for own in asked], len(table)
+class Sought:
+    """What texts are searched for: the mined features, the lexicon and the words of the patterns, by their numbers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Known(sought)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            active = [words.of(t) for t in texts]
-            votes = [votes_of(t, a, lex_at, band, triggers) for t, a in zip(texts, active)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted(x for x in a if x < width) for a in active] if "toxic" in batch.schema.names else [None] * len(votes), pa.list_(pa.int32())), pa.array(votes, pa.int64())], names=["doc_id", "at", "votes"])
-
-    # every learning document's votes; texts are not moved for their marks
-    kind = dict(docs.dtypes)["doc_id"]
-    voted = learning.mapInArrow(run, f"doc_id {kind}, at array<int>, votes long").select("doc_id", "votes")
+    def __init__(self, mined_table: list[int], level_of: list[int]):
+        lex, asked = table_of(LEXICON), [table_of(words) for words, _ in PATTERNS]
+        #: The classifier's features; words of patterns alone stand behind them.
+        self.table = list(dict.fromkeys([*mined_table, *lex]))
+        self.all = list(dict.fromkeys([*self.table, *(x for own in asked for x in own)]))
+        self.level_of, self.width = level_of, len(self.table)
+        self.lexicon, self.triggers = [self.all.index(h) for h in lex], [{self.all.index(h) for h in own} for own in asked]
+
+    def found(self, docs: DataFrame) -> DataFrame:
+        """``docs`` without ``text`` but with the features (at, in order) and votes of each row."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = Known(self.all)
+            for batch in batches:
+                at, votes = [], []
+                for text in batch.column("text").to_pylist():
+                    active = words.of(text)
+                    at.append(sorted(x for x in active if x < self.width))
+                    votes.append(votes_of(text, active, self.lexicon, self.level_of, self.triggers) if active else 0)
+                kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != "text"]
+                yield pa.RecordBatch.from_arrays([*[c for _, c in kept], pa.array(at, pa.list_(pa.int32())), pa.array(votes, pa.int64())], names=[*[n for n, _ in kept], "at", "votes"])
+
+        ddl = ", ".join([*[f"`{c}` {t}" for c, t in docs.dtypes if c != "text"], "at array<int>, votes long"])
+        return docs.mapInArrow(run, ddl)
+
+
+def _fitted(found: DataFrame, marks: DataFrame, sought: Sought, any_mined: bool) -> tuple[list[int], np.ndarray, float]:
+    """The model of what was ``found`` (doc_id, at, votes) in all learning documents."""
     told = F.coalesce(F.col("toxic"), F.lit(-1)).alias("mark")
-    counted = materialise(voted.join(marks, "doc_id", "left").groupBy("votes", told).agg(F.count("*").alias("n")), "toxicity-votes")
+    counted = materialise(found.select("doc_id", "votes").join(marks, "doc_id", "left").groupBy("votes", told).agg(F.count("*").alias("n")), "toxicity-votes")
     model = label_model(counted)
     discard(counted)
-    chosen = sampled(learning, marks).withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
-
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in run(iter([batch])):
-                yield pa.RecordBatch.from_arrays([*out.columns[1:], batch.column("toxic")], names=["at", "votes", "mark"])
-
-    rows = chosen.mapInArrow(featured, "at array<int>, votes long, mark int").collect()
-    discard(marks)
+    rows = sampled(found, marks).select("at", "votes", told).collect()
     rows = sorted(rows, key=lambda r: (r["at"], r["votes"], r["mark"]))
     q = model.posterior(bits(np.array([r["votes"] for r in rows], np.int64)), np.array([r["mark"] for r in rows], np.int64))
-    w, bias = classifier([np.array(r["at"], dtype=np.int64) for r in rows], q, len(table))
-    if not mined_table:
-        w = np.where(np.isin(np.arange(len(table)), lex_at), np.maximum(w, 6.0), w)
+    w, bias = classifier([np.array(r["at"], dtype=np.int64) for r in rows], q, sought.width)
+    if not any_mined:
+        w = np.where(np.isin(np.arange(sought.width), sought.lexicon), np.maximum(w, 6.0), w)
         bias = min(bias, -2.0)
-    return table, w, bias
+    return sought.table, w, bias
+
+
+def _mined_of(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, Sought, bool]:
+    """(texts, marks, what to search for, whether the marks told a feature)."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    marks = materialise(marks_of(labels), "toxicity-marks")
+    # always the same join: marks may be many, and texts move once
+    table, level_of = mined(docs.where(residue("doc_id", 5) != 0).join(marks.hint("merge"), "doc_id"))
+    return docs, marks, Sought(table, level_of), bool(table)
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> tuple[list[int], np.ndarray, float]:
+    """(feature hashes, weights, bias) from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    docs, marks, sought, any_mined = _mined_of(docs.select("doc_id", "text"), labels)
+    found = materialise(sought.found(docs.where(residue("doc_id", 5) != 0)), "toxicity-found")
+    model = _fitted(found, marks, sought, any_mined)
+    discard(found)
+    discard(marks)
+    return model
+
+
+def _scores(sums: np.ndarray, bias: float) -> list[pa.Array]:
+    p = 1 / (1 + np.exp(-np.clip(sums + bias, -60, 60)))
+    return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
+
+
+def scored_found(found: DataFrame, model: tuple[list[int], np.ndarray, float]) -> DataFrame:
+    """As :func:`scored`, from rows of :meth:`Sought.found`: no text is read."""
+    _, w, bias = model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at")
+            owner = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
+            # weights of a row are summed in the order of features
+            sums = np.bincount(owner, w[at.flatten().to_numpy(zero_copy_only=False)], minlength=len(at)) if len(owner) else np.zeros(len(at))
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in ("at", "votes")]
+            yield pa.RecordBatch.from_arrays([*[c for _, c in kept], *_scores(sums, bias)], names=[*[n for n, _ in kept], "score", "predicted"])
+
+    ddl = ", ".join([*[f"`{c}` {t}" for c, t in found.dtypes if c not in ("at", "votes")], "score double, predicted int"])
+    return found.mapInArrow(run, ddl)
 
 
 def scored(df: DataFrame, model: tuple[list[int], np.ndarray, float], text: str = "text") -> DataFrame:
@@ -341,10 +387,9 @@ def scored(df: DataFrame, model: tuple[list[int], np.ndarray, float], text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Known(used)
         for batch in batches:
-            s = np.array([sum(weight[i] for i in sorted(words.of(t))) for t in batch.column(text).to_pylist()], dtype=float) + bias
-            p = 1 / (1 + np.exp(-np.clip(s, -60, 60)))
+            s = np.array([sum(weight[i] for i in sorted(words.of(t))) for t in batch.column(text).to_pylist()], dtype=float)
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != text]
-            yield pa.RecordBatch.from_arrays([*[c for _, c in kept], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*[n for n, _ in kept], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*[c for _, c in kept], *_scores(s, bias)], names=[*[n for n, _ in kept], "score", "predicted"])
 
     ddl = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes if c != text], "score double, predicted int"])
     return df.mapInArrow(run, ddl)
@@ -352,6 +397,10 @@ def scored(df: DataFrame, model: tuple[list[int], np.ndarray, float], text: str
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    slim = docs.select("doc_id", "text")
-    model = learned(slim, labels.select("doc_id", "toxic"))
-    return scored(slim.select("doc_id", (residue("doc_id", 5) == 0).alias("held_out"), "text"), model)
+    slim = docs.select("doc_id", (residue("doc_id", 5) == 0).alias("held_out"), "text")
+    slim, marks, sought, any_mined = _mined_of(slim, labels.select("doc_id", "toxic"))
+    # texts are searched once, for the label model and the scores alike
+    found = materialise(sought.found(slim), "toxicity-found")
+    model = _fitted(found.where("NOT held_out").select("doc_id", "at", "votes"), marks, sought, any_mined)
+    discard(marks)
+    return scored_found(found, model)

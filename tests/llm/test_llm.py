@@ -359,6 +359,27 @@ def test_toxicity(spark) -> None:
     assert toxicity.report(docs(spark, rows).limit(0), labels).count() == 0
 
 
+def test_toxicity_of_every_language(spark) -> None:
+    # three of five toxic documents hold English insults; the other languages have words of their own, and few marks
+    sf = "/root/testdata/sf0.1"
+    real, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.report(real, labels).where("held_out").join(toxicity.marks_of(labels), "doc_id").join(real.select("doc_id", "lang"), "doc_id").collect()
+    caught = lambda *langs: np.mean([r["predicted"] for r in rows if r["toxic"] and r["lang"] in langs])
+    assert caught("en", "de", "fr", "es") >= 0.9 and caught("es") >= 0.9
+    assert np.mean([r["predicted"] == 0 for r in rows if not r["toxic"]]) > 0.99
+
+
+def test_toxicity_reads_texts_once_for_votes_and_scores(spark) -> None:
+    rows = [(i, f"calm word{i} {'idiot zork' if i % 7 == 0 else ''}", "en", "s") for i in range(200)] + [(200, None, "en", "s")]
+    made, labels = docs(spark, rows), spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(150)], "doc_id long, toxic int")
+    got = toxicity.report(made, labels)
+    # what is found in texts is stored, and scores are read off that
+    assert "text" not in got._jdf.queryExecution().optimizedPlan().toString()
+    plain = toxicity.scored(made.select("doc_id", "text"), toxicity.learned(made, labels))
+    want = {r["doc_id"]: r["score"] for r in plain.collect()}
+    assert all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in got.collect()) and len(want) == 201
+
+
 def test_label_model_estimates_accuracies_and_correlations(spark) -> None:
     rng = np.random.default_rng(21)
     n, m = 6000, toxicity.N_VOTERS
