@@ -12,13 +12,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 # The header of a hunk, and the lines that tell about a file.
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
 HEADER_LINES = 10
 KINDS = ("added", "removed", "context")
 _ADDED, _REMOVED, _CONTEXT = 1, 2, 3
-_GOOD = re.compile(HUNK.encode())
+_GOOD, _GOOD_AT = re.compile(HUNK.encode()), re.compile(HUNK[1:].encode())
 _BLANK = " \t\x0b\f\r"
 #: So many blanks at the start of lines are passed by vector, more line by line.
 _SHORT = 64
@@ -113,10 +114,84 @@ class Cut:
         return pa.array(np.bincount(self.file[lines], minlength=len(self.file_at)).astype(np.int64))
 
 
-def _mapped(diffs: DataFrame, schema: str, made: Callable[[Cut, pa.Array], list[pa.Array]]) -> DataFrame:
-    """Rows that ``made`` gives for each part of the diffs (diff_id, diff_text)."""
+class Counted:
+    """Files alone: where each begins (``at``), its ``row``, ``no``, ``additions`` and ``deletions``; lines are counted between headers, not told one by one."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        texts = texts.cast(pa.large_string())
+        _, ends, data = texts.buffers()
+        off = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = b"".join([data[off[0] : off[-1]] if data is not None else b"", bytes(4)])
+        off, size, data = off - off[0], len(raw) - 4, np.frombuffer(raw, np.uint8)
+        begins = np.zeros(size + 1, bool)
+        np.equal(data[:size], 10, out=begins[1:])
+        begins[off[:-1]] = True
+        begins[size] = False
+        start = np.flatnonzero(begins)
+        self.raw, self.start = raw, start
+        after = np.append(start[1:], size) if len(start) else start
+        self.end = after - (data[after - 1] == 10)
+        bound = np.searchsorted(start, off)
+        # the first four bytes of each line as one number; the last line of a text may have no line feed that ends it
+        self.four = four = np.ndarray(max(0, len(data) - 3), "<u4", data, strides=(1,))[start]
+        last = bound[1:][bound[1:] > bound[:-1]] - 1
+        short = last[self.end[last] - start[last] < 4]
+        four[short] &= (np.uint32(1) << (8 * (self.end[short] - start[short])).astype(np.uint32)) - np.uint32(1)
+
+        span = lambda at: zip(at.tolist(), start[at].tolist(), self.end[at].tolist())
+        self.at = np.array([i for i, a, b in span(np.flatnonzero(four == self._word(b"diff"))) if raw.startswith(b"diff --git a/", a, b) and raw.find(b" b/", a + 13, b) >= 0], np.int64)
+        self.row = np.searchsorted(bound, self.at, side="right") - 1
+        self.no = np.arange(len(self.at)) - np.searchsorted(self.row, self.row) + 1
+        self.stop = np.minimum(np.append(self.at[1:], len(start))[: len(self.at)], bound[self.row + 1])
+        hunk = np.flatnonzero((four & 0xFFFF) == self._word(b"@@"))
+        of = np.searchsorted(self.at, hunk, side="right") - 1
+        inside = (of >= 0) & (hunk < np.append(self.stop, 0)[of])
+        hunk, of = hunk[inside], of[inside]
+        stop = np.minimum(np.append(hunk[1:], len(start))[: len(hunk)], self.stop[of])
+        good = np.array([_GOOD_AT.match(raw, a, b) is not None for _, a, b in span(hunk)], bool)
+
+        def count(sign: bytes) -> np.ndarray:
+            mine = ((four & 0xFF) == self._word(sign)) & ((four & 0xFFFFFF) != self._word(sign * 3))
+            n = np.append(0, np.cumsum(mine))
+            return np.bincount(of[good], (n[stop] - n[hunk])[good], minlength=len(self.at)).astype(np.int64)
+
+        self.additions, self.deletions = count(b"+"), count(b"-")
+
+    @staticmethod
+    def _word(begin: bytes) -> np.uint32:
+        return np.uint32(int.from_bytes(begin, "little"))
+
+    def first(self) -> pa.Array:
+        """The header line of each file."""
+        at = self.start[self.at], self.end[self.at]
+        off = np.append(0, np.cumsum(at[1] - at[0])).astype(np.int32)
+        return pa.StringArray.from_buffers(len(self.at), pa.py_buffer(off), pa.py_buffer(b"".join([self.raw[a:b] for a, b in zip(*(x.tolist() for x in at))])))
+
+    def modes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each file's first lines call it new (1), deleted (2) or neither (0), the last that does so; and whether one calls it binary."""
+        n = np.minimum(self.stop - self.at, HEADER_LINES)
+        told = np.repeat(self.at - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+        of, mode, binary = np.repeat(np.arange(len(n)), n), np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+        for begin, value in ((b"new file mode", 1), (b"deleted file mode", 2)):
+            likely = np.flatnonzero(self.four[told] == self._word(begin[:4]))
+            line = told[likely]
+            true = np.array([self.raw.startswith(begin, a, b) for a, b in zip(self.start[line].tolist(), self.end[line].tolist())], bool)
+            # places among the first lines, so that the last one counts
+            np.maximum.at(mode, of[likely[true]], (line[true] - self.at[of[likely[true]]]) * 4 + value)
+        found = self.raw.find(b"Binary files")
+        while found >= 0:
+            i = int(np.searchsorted(self.start, found, side="right")) - 1
+            f = int(np.searchsorted(self.at, i, side="right")) - 1
+            if f >= 0 and i < self.at[f] + n[f] and self.raw.find(b"Binary files", self.start[i], self.end[i]) >= 0 and self.raw.find(b"differ", self.start[i], self.end[i]) >= 0:
+                binary[f] = True
+            found = self.raw.find(b"Binary files", int(self.end[i]))
+        return mode % 4, binary
+
+
+def _mapped(diffs: DataFrame, schema: str, made: Callable[[Cut | Counted, pa.Array], list[pa.Array]], cut: type = Cut) -> DataFrame:
+    """Rows that ``made`` gives for each part of the diffs (diff_id, diff_text), cut up by ``cut``."""
     kind = diffs.schema["diff_id"].dataType.simpleString()
-    names = ["diff_id", *[c.split()[0] for c in schema.split(", ")]]
+    names = ["diff_id", *[f.name for f in StructType.fromDDL(schema)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +200,7 @@ def _mapped(diffs: DataFrame, schema: str, made: Callable[[Cut, pa.Array], list[
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, side="right")))
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays(made(Cut(part.column(1)), part.column(0)), names=names)
+                yield pa.RecordBatch.from_arrays(made(cut(part.column(1)), part.column(0)), names=names)
                 at = to
 
     return diffs.select("diff_id", "diff_text").mapInArrow(run, f"diff_id {kind}, {schema}")
@@ -212,6 +287,32 @@ def file_rows(diffs: DataFrame, counted: bool = False) -> DataFrame:
     return _mapped(diffs, "file int, head array<string>, additions long, deletions long" + more, made)
 
 
+def slim_rows(diffs: DataFrame) -> DataFrame:
+    """One row for each file: its header, whether it is new (1), deleted (2) or neither (0), whether binary, and its added and removed lines."""
+
+    def made(cut: Counted, ids: pa.Array) -> list[pa.Array]:
+        mode, binary = cut.modes()
+        return [ids.take(pa.array(cut.row)), _int(cut.no), cut.first(), _int(mode), pa.array(binary), pa.array(cut.additions), pa.array(cut.deletions)]
+
+    return _mapped(diffs, "file int, first string, mode int, is_binary boolean, additions long, deletions long", made, Counted)
+
+
+def top_rows(diffs: DataFrame, top: int) -> DataFrame:
+    """One row for each diff: its files, added and removed lines, and the headers and changes of its ``top`` most changed files."""
+
+    def made(cut: Counted, ids: pa.Array) -> list[pa.Array]:
+        changes = cut.additions + cut.deletions
+        order = np.lexsort((cut.no, -changes, cut.row))
+        row = cut.row[order]
+        kept = order[np.arange(len(row)) - np.searchsorted(row, row) < top]
+        per_diff = lambda x=None: pa.array(np.bincount(cut.row, x, minlength=len(ids)).astype(np.int64))
+        off = np.append(0, np.cumsum(np.bincount(cut.row[kept], minlength=len(ids)))).astype(np.int32)
+        files = pa.StructArray.from_arrays([cut.first().take(pa.array(kept)), pa.array(changes[kept])], names=["first", "changes"])
+        return [ids, per_diff(), per_diff(cut.additions), per_diff(cut.deletions), pa.ListArray.from_arrays(pa.array(off), files)]
+
+    return _mapped(diffs, "total_files long, total_additions long, total_deletions long, top array<struct<first: string, changes: bigint>>", made, Counted)
+
+
 def _texts(cut: Cut, at: np.ndarray) -> np.ndarray:
     """Where the text of each changed line begins, past its sign and the white space after it."""
     place, end, blank = cut.start[at] + 1, cut.end[at], np.isin(np.arange(256), list(_BLANK.encode()))

@@ -5,13 +5,16 @@ Texts are cut by :mod:`.difflines`, a batch at a time; what the headers and line
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import after_dot
 from ..functions.scores import round2
-from .difflines import HUNK, change_rows, file_rows, hunk_rows, line_sums
-from .rules import CHANGED_DEFINITIONS, CRITICAL_PATHS, DEFINITIONS_HOLD
+from .difflines import HUNK, change_rows, file_rows, hunk_rows, line_sums, slim_rows, top_rows
+from .rules import CHANGED_DEFINITIONS, CRITICAL_HOLD, CRITICAL_PATHS, DEFINITIONS_HOLD
 
 # Fixed value: the header of a file.
 HEADER = r"^diff --git a/(.*?) b/(.*)"
@@ -112,6 +115,16 @@ def files(diffs: DataFrame, counted: bool = False) -> DataFrame:
     return out.withColumn("changes", F.col("additions") + F.col("deletions"))
 
 
+def _path(first: Column) -> Column:
+    return F.when(first.rlike(HEADER), F.regexp_extract(first, HEADER, 2))
+
+
+def slim_files(diffs: DataFrame) -> DataFrame:
+    """One row per file as :func:`files` gives it, with its path, kind of change, binary flag and counts alone; only header lines leave a batch."""
+    kind = F.when(F.col("mode") == 1, "added").when(F.col("mode") == 2, "removed").otherwise("modified")
+    return slim_rows(diffs).select("diff_id", "file", _path(F.col("first")).alias("file_path"), kind.alias("change_type"), "is_binary", "additions", "deletions", (F.col("additions") + F.col("deletions")).alias("changes"))
+
+
 def _sums(diffs: DataFrame, per_file: DataFrame, *more: Column) -> DataFrame:
     """Per diff: files, additions, deletions, changes, zeros for a blank diff, and ``more`` of its files."""
     sums = per_file.groupBy("diff_id").agg(F.count("*").alias("total_files"), *[F.sum(c).cast("long").alias(f"total_{c}") for c in ("additions", "deletions", "changes")], *more)
@@ -139,7 +152,11 @@ def largest(per_file: DataFrame, limit: int = 5) -> DataFrame:
 
 def risks(per_file: DataFrame) -> DataFrame:
     """Rows (type, severity, file, pattern) for risky files; the first critical pattern that fits is named."""
-    pattern = F.coalesce(*[F.when(F.col("file_path").rlike(f"(?i)^{p}"), F.lit(p)) for p in CRITICAL_PATHS])
+    lower = F.lower("file_path")
+    first = F.coalesce(*[F.when(F.col("file_path").rlike(f"(?i)^{p}"), F.lit(p)) for p in CRITICAL_PATHS])
+    # most paths hold no word of a pattern, which is told without one
+    per_file = per_file.withColumn("pattern", F.when(reduce(or_, [lower.contains(x) for x in CRITICAL_HOLD]), first))
+    pattern = F.col("pattern")
     row = lambda test, kind, severity, p=None: F.when(test, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), (p if p is not None else F.lit(None).cast("string")).alias("pattern")))
     found = F.array(
         row(F.col("changes") > 100, "large_change", "medium"),
@@ -148,7 +165,8 @@ def risks(per_file: DataFrame) -> DataFrame:
         row(F.col("change_type") == "added", "new_file", "low"),
         row(F.col("change_type") == "removed", "file_deletion", "medium"),
     )
-    return per_file.select("diff_id", "file_path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("r")).select("diff_id", "file_path", "r.*")
+    # nulls are left out behind the generator: a filter of the array would not be compiled
+    return per_file.select("diff_id", "file_path", F.explode(found).alias("r")).where("r IS NOT NULL").select("diff_id", "file_path", "r.*")
 
 
 def patterns(diffs: DataFrame) -> DataFrame:
@@ -175,12 +193,22 @@ def changed_functions(diffs: DataFrame, language: str = "python") -> DataFrame:
     return named.where("name IS NOT NULL").select("diff_id", "file", "kind", "name", "line_number", text.alias("definition"))
 
 
+def summaries(diffs: DataFrame) -> DataFrame:
+    """As :func:`summary`, one row per diff: counted and ranked where its text is cut, so nothing is shuffled."""
+    line = lambda x: F.format_string("  - %s: %d changes", _path(x["first"]), x["changes"])
+    said = F.concat(F.format_string(_SAID, "total_files", "total_additions", "total_deletions"), F.array_join(F.transform("top", line), "\n"))
+    return top_rows(diffs, 3).select("diff_id", F.when(F.col("total_files") == 0, "No changes detected.").otherwise(said).alias("summary"))
+
+
+_SAID = "Changed %d file(s)\n%d additions\n%d deletions\nMost changed files:\n"
+
+
 def summary(diffs: DataFrame, per_file: DataFrame) -> DataFrame:
     """The text that sums up a diff: counts and the three most changed files."""
     # sums and places are taken in one pass over the files
     line = F.format_string("  - %s: %d changes", "file_path", "changes")
     top = F.concat_ws("\n", *[F.max(F.when(F.col("place") == k, line)) for k in (1, 2, 3)]).alias("top")
-    said = F.concat(F.format_string("Changed %d file(s)\n%d additions\n%d deletions\nMost changed files:\n", "total_files", "total_additions", "total_deletions"), F.coalesce("top", F.lit("")))
+    said = F.concat(F.format_string(_SAID, "total_files", "total_additions", "total_deletions"), F.coalesce("top", F.lit("")))
     return _sums(diffs, _placed(per_file), top).select("diff_id", F.when(F.col("total_files") == 0, "No changes detected.").otherwise(said).alias("summary"))
 
 

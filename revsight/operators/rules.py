@@ -113,6 +113,8 @@ STRUCTURE["typescript"] = (*STRUCTURE["javascript"], ("interface", r"interface\s
 
 # Paths whose change is critical, tried in order from the start of the path without case.
 CRITICAL_PATHS = (r".*config.*", r".*\.env.*", r".*security.*", r".*auth.*", r".*password.*", r".*secret.*", r".*key.*", r"requirements\.txt", r"package\.json", r"Dockerfile", r".*\.sql")
+#: What every such path holds in lower case, one of these at least.
+CRITICAL_HOLD = ("config", ".env", "security", "auth", "password", "secret", "key", "requirements.txt", "package.json", "dockerfile", ".sql")
 
 # Definitions on changed lines, by language; the first group of each, if it has one, is the name.
 CHANGED_DEFINITIONS = {

@@ -273,6 +273,23 @@ def test_changes_that_hold_a_text_keep_their_numbers(spark, monkeypatch) -> None
     assert "explode" not in diffs.changed_functions(df)._jdf.queryExecution().executedPlan().toString().lower()
 
 
+def test_slim_files_and_summaries_like_the_whole_ones(spark, monkeypatch) -> None:
+    monkeypatch.setattr(difflines, "PART", 150)
+    rnd = random.Random(11)
+    parts = ["diff --git a/x b/config.py", "diff --git a/y b/\u00e9 b/Auth\u00fc", "diff --git a/z\r b/z", "diff --git a/SQL b/s.SQL", "diff --git none", "new file mode 100644", "deleted file mode 1", "new filed", "+deleted file mode", "x Binary files a and b differ", "Binary files", "differ"]
+    parts += ["@@ -1,2 +3 @@ f", "@@ -7 +9,9 @@", "@@ bad", "@@", "@@ -1 +1 @@\r", *["+a", "-b", " c"] * 4, "+++ d", "--- e", "++", "--", "++-", "+", "-", "", "\u00e9"]
+    texts = ["\n".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) + rnd.choice(["", "\n"]) for _ in range(300)] + ["", "\n", "+", "++", "diff --git a/x b/x\n@@ -1 +1 @@\n+", "++", "diff --git a/x b/x\n@@ -1 +1 @@\n-", "--x", "Binary fi", "les differ"]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "diff_id long, diff_text string").coalesce(1)
+    whole, slim = diffs.files(df), diffs.slim_files(df)
+    assert sorted(map(tuple, slim.collect()), key=str) == sorted(map(tuple, whole.select(*slim.columns).collect()), key=str)
+    assert sorted(map(tuple, diffs.risks(slim).collect()), key=str) == sorted(map(tuple, diffs.risks(whole).collect()), key=str)
+    assert {(r["type"], r["pattern"]) for r in diffs.risks(slim).collect()} >= {("critical_file", ".*config.*"), ("critical_file", ".*auth.*"), ("critical_file", r".*\.sql"), ("binary_change", None), ("new_file", None), ("file_deletion", None)}
+    assert sorted(map(tuple, diffs.summaries(df).collect())) == sorted(map(tuple, diffs.summary(df, whole).collect()))
+    # a file's first ten lines stay where they are read, and a summary needs no other row
+    assert "head" not in slim.columns and "array" not in slim._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in diffs.summaries(df)._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Window", "Join"))
+
+
 def test_sums_and_kinds_of_lines_like_a_plain_reader(spark, monkeypatch) -> None:
     """Only sums leave a batch, and a hunk's text only where asked for."""
     monkeypatch.setattr(difflines, "PART", 200)
