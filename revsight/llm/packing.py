@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import lean
+
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 48, 4080
 POOL, TOLERANCE, END_ID = 512, 8, 2
 CACHE = 250_000
@@ -281,7 +283,7 @@ def pack_documents(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 rows = []
         yield out()
 
-    return slim.mapInArrow(run, ddl)
+    return slim.mapInArrow(lean(run), ddl)
 
 
 def pack_examples(df: DataFrame, key: str, tokens: str, segments: str, loss: str, limits: Limits = Limits()) -> DataFrame:

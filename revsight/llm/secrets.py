@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import discard, fresh, materialise
+from ._common import discard, fresh, lean, materialise
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -279,20 +279,24 @@ def redact(text: str, spans: list[dict]) -> str:
 
 def redacted(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", fdr: float = FDR) -> DataFrame:
     """``df`` with every secret value in ``text`` replaced by a placeholder and, if that column is there, its length mended."""
-    mark = fresh(df, "spans")
-    marked = with_spans(df, text, mark, fdr)
-
-    @F.pandas_udf(T.StringType())
-    def clean(texts, spans):  # noqa: ANN001, ANN202
-        import pandas as pd
+    hit = fresh(df, "hit")
+    share, least = learn(df, text, fdr)
+    first = df.select(F.col(text).cast("string"), *[c for c in df.columns if c != text])
 
-        return pd.Series([redact(t, s) for t, s in zip(texts, spans)])
+    # spans are replaced where they are found: a second Python step would keep a second worker for each task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                texts = part.column(0).to_pylist()
+                found = spans_in(texts, share, least)
+                new = [redact(t, [{"value": v, "end": b} for _, _, b, v in own]) if own else t for t, own in zip(texts, found)]
+                columns = [pa.array(new, part.schema.field(0).type), *part.columns[1:], pa.array([bool(own) for own in found], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, hit])
 
-    hit = F.size(mark) > 0
-    new = marked.withColumn(text, F.when(hit, clean(F.when(hit, F.col(text)).otherwise(F.lit("")), F.when(hit, F.col(mark)).otherwise(F.array().cast(_SPANS)))).otherwise(F.col(text)))
+    new = first.mapInArrow(lean(run), T.StructType([*first.schema.fields, T.StructField(hit, T.BooleanType())]))
     if n_chars and n_chars in df.columns:
-        new = new.withColumn(n_chars, F.when(hit, F.length(text).cast(df.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return new.drop(mark)
+        new = new.withColumn(n_chars, F.when(F.col(hit), F.length(text).cast(df.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return new.select(*df.columns)
 
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import discard, fresh, materialise, words_of
+from ._common import discard, fresh, lean, materialise, words_of
 from .components import components
 
 BITS = 64
@@ -29,8 +29,8 @@ SMALL = 4096
 #: Names of crowded buckets are broadcast up to so many (16 MB), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _SLICE = 1 << 16
-#: Shingles are counted in so many classes (16 MB) to order them by rarity.
-SKETCH, _PART = 1 << 22, 1 << 16
+#: Shingles are counted in so many classes (16 MB) to order them by rarity; a row has the counts of so many (16 KB).
+SKETCH, _PART = 1 << 22, 1 << 12
 _KNOWN = 200_000
 #: In buckets of more texts than this, pairs that other links already join are not tried.
 ALL_PAIRS = 16
@@ -207,7 +207,7 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
     """How many texts have a shingle of each of ``SKETCH`` hash classes; its size does not depend on the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = {}, np.zeros(SKETCH, np.int64)
+        known, total = {}, np.zeros(SKETCH, np.int32)
         for batch in batches:
             for text in batch.column(0):
                 np.add.at(total, (_hashed(text.as_py(), size, known) % np.uint64(SKETCH)).astype(np.int64), 1)
@@ -219,12 +219,12 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_py(), np.int64)
+                sums[part] = sums.get(part, np.int64(0)) + np.frombuffer(counts.as_py(), np.int32)
         for part, n in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["part", "counts"])
 
     out = np.zeros(SKETCH, np.int32)
-    for r in texts.select("text").mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(added, "part int, counts binary").collect():
+    for r in texts.select("text").mapInArrow(lean(run), "part int, counts binary").repartition("part").mapInArrow(added, "part int, counts binary").collect():
         out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["counts"], np.int32)
     return out
 
@@ -291,7 +291,7 @@ def _prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
             columns = [key.view(np.int64), part.astype(np.int32), node, np.repeat(np.array(sizes, np.int32), many), np.concatenate(rests)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "part", "node", "n", "rest"])
 
-    return texts.select("node", "text").mapInArrow(run, "key long, part int, node long, n int, rest int")
+    return texts.select("node", "text").mapInArrow(lean(run), "key long, part int, node long, n int, rest int")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -365,7 +365,7 @@ def _buckets(prefixes: DataFrame, similarity: float) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return prefixes.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, _PAIRS)
+    return prefixes.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(run), _PAIRS)
 
 
 def _parities(texts: DataFrame, size: int) -> DataFrame:
